@@ -1,10 +1,14 @@
 """Queries of this folder by name, and their SQL where SQL can express them."""
 
-from mensura.llm import decontam, simhash
+from mensura.llm import bytebpe, decontam, licenses, secrets, simhash, tokencount
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
     "op3_simhash": simhash.op3_simhash,
+    "op4_licenses": licenses.op4_licenses,
+    "op6_token_counts": tokencount.op6_token_counts,
+    "op8_byte_bpe": bytebpe.op8_byte_bpe,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLE_SQL = {
