@@ -77,7 +77,7 @@ class Join:
         return F.array(*map(F.lit, self.by_token))
 
     def blocks(self, words: Column) -> Column:
-        """Blocks that meet the threshold: array of (label, share, start).
+        """Blocks that meet the threshold: array of (label, share, start, held words).
 
         A token of a template's prefix at place q of it fixes the block: the template's length
         around that place, with some slack (positional filter; every run of consecutive words at
@@ -100,7 +100,7 @@ class Join:
                 F.size(block) >= F.ceil(F.get(distinct, k) * self.threshold - 1e-9),
                 F.size(F.array_intersect(F.get(sets, k), block)) / F.get(distinct, k),
             )
-            return F.struct(F.get(labels, k).alias("label"), share.alias("share"), start.alias("start"))
+            return F.struct(F.get(labels, k).alias("label"), share.alias("share"), start.alias("start"), F.round(share * F.get(distinct, k)).cast("int").alias("held"))
 
         pairs = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["w"]), lambda e: verified(h, e))))
         return F.filter(pairs, lambda x: x["share"] >= self.threshold)
@@ -139,7 +139,7 @@ def scan(
         id_col,
         F.size("words").cast("long").alias("n_words"),
         F.array(*starts).alias("_starts"),
-        F.when(F.arrays_overlap("words", join.prefix), join.blocks(F.col("words"))).otherwise(F.array().cast("array<struct<label:string,share:double,start:int>>")).alias("blocks"),
+        F.when(F.arrays_overlap("words", join.prefix), join.blocks(F.col("words"))).otherwise(F.array().cast("array<struct<label:string,share:double,start:int,held:int>>")).alias("blocks"),
     )
     base = F.filter(F.array(*(F.when(F.size(F.get("_starts", F.lit(k))) > 0, F.lit(label)) for k, label in enumerate(labels))), lambda x: x.isNotNull())
     return rows.select(
@@ -151,9 +151,18 @@ def scan(
     )
 
 
+def leading(blocks: Column) -> Column:
+    """Blocks of which no other at the same place holds more template words: names of one family differ in a word."""
+
+    def beaten(b):
+        return F.exists(blocks, lambda c: (F.abs(c["start"] - b["start"]) <= 2 * SLACK) & (c["held"] > b["held"]))
+
+    return F.filter(blocks, lambda b: ~beaten(b))
+
+
 def op4_licenses(spark, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
-    labels = F.array_sort(F.array_union("base_labels", F.transform("blocks", lambda b: b["label"])))
+    labels = F.array_sort(F.array_union("base_labels", F.transform(leading(F.col("blocks")), lambda b: b["label"])))
     score = F.when(F.size("base_labels") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda b: b["share"])), F.lit(0.0)))
     return found.select(
         "doc_id",

@@ -1,11 +1,12 @@
 """Queries of this folder by name, and their SQL where SQL can express them."""
 
-from mensura.llm import bytebpe, decontam, licenses, secrets, simhash, tokencount
+from mensura.llm import bytebpe, decontam, licenses, secrets, simhash, tokencount, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
     "op3_simhash": simhash.op3_simhash,
     "op4_licenses": licenses.op4_licenses,
+    "op5_warc": warc.op5_warc,
     "op6_token_counts": tokencount.op6_token_counts,
     "op8_byte_bpe": bytebpe.op8_byte_bpe,
     "op10_secrets": secrets.op10_secrets,
@@ -13,4 +14,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontamination": decontam.OP1_SQL,
+    "op5_warc": warc.OP5_SQL,
 }
