@@ -113,11 +113,9 @@ def scan_new(
         unseen = unseen.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")
     one = unseen.select(F.col("blob").alias("_b"), "_least")
     picked = rows.join(one, (F.col("blob") == F.col("_b")) & F.col("_path").eqNullSafe(F.col("_least")), "left_semi")
+    # no filter on the findings here: it would be pushed below the join, and every copy scanned
     found = picked.select("blob", F.lit(version).alias("version"), find_spans(F.col("_text"), rules).alias("spans"))
-    return found.where(F.size("spans") > 0).dropDuplicates(["blob", "version"]).unionByName(
-        # clean blobs are entered too, so that they are not scanned again
-        unseen.select("blob", F.lit(version).alias("version"), F.array().cast(_SPAN).alias("spans"))
-    )
+    return found.dropDuplicates(["blob", "version"])
 
 
 def findings(ledger: DataFrame, version: str = VERSION) -> DataFrame:
