@@ -1,18 +1,22 @@
 """Queries of this folder by name, and their SQL where SQL can express them."""
 
-from mensura.llm import bytebpe, decontam, licenses, secrets, simhash, tokencount, warc
+from mensura.llm import bytebpe, decontam, embeddings, licenses, quality, secrets, simhash, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_simhash": simhash.op3_simhash,
     "op4_licenses": licenses.op4_licenses,
     "op5_warc": warc.op5_warc,
     "op6_token_counts": tokencount.op6_token_counts,
+    "op7_quality": quality.op7_quality,
     "op8_byte_bpe": bytebpe.op8_byte_bpe,
+    "op9_embeddings": embeddings.op9_embeddings,
     "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLE_SQL = {
     "op1_decontamination": decontam.OP1_SQL,
     "op5_warc": warc.OP5_SQL,
+    "op9_embeddings": embeddings.OP9_SQL,
 }
