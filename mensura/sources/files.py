@@ -10,6 +10,7 @@ import struct
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +64,14 @@ def detect_encoding(spark: SparkSession, path: str, head: int = 65536) -> str:
     return "windows-1252"
 
 
+def _decoder(encoding: str):
+    """Bytes to text in encodings that Spark's decode() lacks."""
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: bytes(b).decode(encoding, "replace"))
+
+    return F.pandas_udf(run, "string")
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str, skip_rows: int = 0, header: bool = False, encoding: str | None = None, numeric: Sequence[str] = ()) -> DataFrame:
     """Rows of text fields ``c0..cN`` (or header names); the columns in ``numeric`` become doubles.
 
@@ -75,7 +84,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str, skip_rows: in
         raise DataError("a delimiter is needed")
     d, enc = delimiter[0], _encoding(encoding)
     if skip_rows:
-        whole = spark.read.option("encoding", enc).text(path, wholetext=True) if enc == "UTF-8" else spark.read.format("binaryFile").load(path).select(F.decode("content", enc).alias("value"))
+        whole = spark.read.text(path, wholetext=True) if enc == "UTF-8" else spark.read.format("binaryFile").load(path).select(_decoder(enc)("content").alias("value"))
         rest = F.slice(F.split("value", r"\r?\n"), skip_rows + 1, F.greatest(F.lit(0), F.size(F.split("value", r"\r?\n")) - skip_rows))
         lines = whole.select(F.explode(rest).alias("value"))
     else:
@@ -211,8 +220,6 @@ CELLS = "sheet_id string, sheet_name string, row int, col int, value string, for
 
 def snapshot_cells(spark: SparkSession, path: str, container: Container = Container()) -> DataFrame:
     """(sheet_id, sheet_name, row, col, value, formula) of every snapshot below ``path``; one task reads each file."""
-    import pandas as pd
-
     def run(parts):
         for pdf in parts:
             rows = []
