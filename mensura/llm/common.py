@@ -19,6 +19,27 @@ WORD_BYTES = bytes(
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+class Remembered(dict):
+    """A bounded memo of ``make(key)``: two generations of ``most`` short keys; a lookup of a known key is a plain dict's.
+
+    When the younger is full it becomes the older, which is let go; what is used lives on.
+    """
+
+    def __init__(self, make: Callable, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str):
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.old = self.copy()
+                self.clear()
+            self[key] = out
+        return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.common import held_out, map_batches, table
+from mensura.llm.common import Remembered, held_out, map_batches, table
 
 #: Trusted positives, and unlabelled documents, used for fitting at most.
 POSITIVES, UNLABELLED = 4000, 6000
 #: Hash buckets of token shapes; other features follow them.
 BUCKETS = 384
-#: Tokens that a worker remembers before it starts afresh; bounds memory only.
-REMEMBERED = 300_000
+#: Tokens that a worker remembers in each of two generations; bounds memory only.
+REMEMBERED = 200_000
 #: Documents below this score are rejected.
 THRESHOLD = 0.3
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -35,19 +35,11 @@ def shape(token: str) -> str:
     return _DIGITS.sub("9", _LETTERS.sub(run, token))[:12]
 
 
-class _Shapes(dict):
-    """Token to the bucket of its shape; forgets everything when full."""
+class _Shapes(Remembered):
+    """Token to the bucket of its shape."""
 
     def __init__(self, most: int = REMEMBERED):
-        self.most = most
-
-    def __missing__(self, token: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        out = zlib.crc32(shape(token).encode()) % BUCKETS
-        if len(token) <= 64:
-            self[token] = out
-        return out
+        super().__init__(lambda token: zlib.crc32(shape(token).encode()) % BUCKETS, most)
 
 
 def features(text: str | None, shapes: dict) -> np.ndarray:
@@ -113,7 +105,9 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among the unlabelled: the least ratio of the shares of U and P above a cut.
 
     Any region holds at least prior * P(region) of the unlabelled; the cuts are those of a plain
-    discriminator between the samples, and each keeps at least a tenth of the positives.
+    discriminator between the samples, and each keeps at least a tenth of the positives. The cut
+    taken has the least ratio after two standard errors are added, as the least of noisy ratios
+    would be too small.
     """
     x = np.concatenate([positive, unlabelled])
     y = np.repeat([1.0, 0.0], [len(positive), len(unlabelled)])
@@ -124,7 +118,12 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
         w -= 2.0 * np.append(g.astype(np.float32) @ x + 1e-4 * w[:-1], g.sum())
     zp, zu = positive @ w[:-1], unlabelled @ w[:-1]
     cuts = np.quantile(zp, np.linspace(0, 0.9, 46))
-    return float(min((zu >= c).mean() / max(1e-9, (zp >= c).mean()) for c in cuts))
+    found = []
+    for c in cuts:
+        a, b = (zu >= c).mean(), max(1e-9, (zp >= c).mean())
+        error = np.sqrt(a * (1 - a) / len(zu)) / b + a * np.sqrt(b * (1 - b) / len(zp)) / b**2
+        found.append((a / b + 2 * error, a / b))
+    return float(min(found)[1])
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", id_col="doc_id", text_col="text", positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> PUModel:

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.common import held_out, labelled_sample, map_batches, table
+from mensura.llm.common import Remembered, held_out, labelled_sample, map_batches, table
 
 #: Labelled documents used for fitting at most, and hash buckets of the features.
 SAMPLE, BUCKETS = 4000, 1 << 18
-#: Words that a worker remembers before it starts afresh; bounds memory only.
-REMEMBERED = 300_000
+#: Words that a worker remembers in each of two generations; bounds memory only.
+REMEMBERED = 200_000
 #: A sentence of at least this score is reported as offending.
 OFFENDING = 0.5
 _SENTENCE = re.compile(r"[^.!?\n。！？]+")
@@ -98,19 +98,11 @@ class NoisyOr:
         return np.sort(best[worth[best] > 0])
 
 
-class _Words(dict):
-    """Word to the sum of its features' weights; forgets everything when full."""
+class _Words(Remembered):
+    """Word to the sum of its features' weights."""
 
     def __init__(self, weights: np.ndarray, most: int = REMEMBERED):
-        self.weights, self.most = weights, most
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= self.most:
-            self.clear()
-        out = float(self.weights[word_features(word)].sum())
-        if len(word) <= 64:
-            self[word] = out
-        return out
+        super().__init__(lambda word: float(weights[word_features(word)].sum()), most)
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", id_col="doc_id", text_col="text", rows: int = SAMPLE) -> NoisyOr:
