@@ -65,12 +65,12 @@ class Join:
 
     def __init__(self, templates, frequencies: dict[str, int], threshold: float):
         self.templates, self.threshold = [(t.split(), label) for t, label in templates], threshold
-        self.by_token: dict[str, list[tuple[int, int]]] = {}
+        self.by_token: dict[str, list[int]] = {}
         for k, (seq, _) in enumerate(self.templates):
             tokens = sorted(set(seq), key=lambda t: (frequencies.get(t, 0), t))
             need = math.ceil(threshold * len(tokens) - 1e-9)
             for t in tokens[: len(tokens) - need + 1]:
-                self.by_token.setdefault(t, []).extend((k, q) for q, x in enumerate(seq) if x == t)
+                self.by_token.setdefault(t, []).append(k)
 
     @property
     def prefix(self) -> Column:
@@ -79,31 +79,33 @@ class Join:
     def blocks(self, words: Column) -> Column:
         """Blocks that meet the threshold: array of (label, share, start, held words).
 
-        A token of a template's prefix at place q of it fixes the block: the template's length
-        around that place, with some slack (positional filter; every run of consecutive words at
-        that alignment is inside). Blocks with fewer words than the threshold needs are skipped
-        (length filter), the others are verified by intersecting the sets.
+        A block of a template is a window of its length and some slack, at any word. Each token of
+        the template's prefix that occurs fixes the windows around it (positional filter); those
+        with fewer words than the threshold needs are skipped (length filter), and the others are
+        verified by intersecting the sets. A window without any such token cannot qualify.
         """
-        lengths = F.array(*(F.lit(len(s)) for s, _ in self.templates))
+        n = F.size(words)
+        widths = F.array(*(F.lit(len(s) + 2 * SLACK) for s, _ in self.templates))
         distinct = F.array(*(F.lit(len(set(s))) for s, _ in self.templates))
+        needed = F.array(*(F.lit(math.ceil(self.threshold * len(set(s)) - 1e-9)) for s, _ in self.templates))
         labels = F.array(*(F.lit(label) for _, label in self.templates))
         sets = F.array(*(F.array(*map(F.lit, sorted(set(s)))) for s, _ in self.templates))
-        index = F.create_map(*(x for t, at in self.by_token.items() for x in (F.lit(t), F.array(*(F.struct(F.lit(k).alias("k"), F.lit(q).alias("q")) for k, q in at)))))
+        index = F.create_map(*(x for t, at in self.by_token.items() for x in (F.lit(t), F.array(*map(F.lit, at)))))
         hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(self.prefix, w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
 
-        def verified(hit, entry):
-            k = entry["k"]
-            start = F.greatest(hit["i"] - entry["q"] - SLACK, F.lit(0))
-            end = hit["i"] - entry["q"] + F.get(lengths, k) + SLACK
-            block = F.slice(words, start + 1, end - start)
-            share = F.when(
-                F.size(block) >= F.ceil(F.get(distinct, k) * self.threshold - 1e-9),
-                F.size(F.array_intersect(F.get(sets, k), block)) / F.get(distinct, k),
-            )
-            return F.struct(F.get(labels, k).alias("label"), share.alias("share"), start.alias("start"), F.round(share * F.get(distinct, k)).cast("int").alias("held"))
+        def windows(hit, k):
+            first = F.greatest(hit["i"] - F.get(widths, k) + 1, F.lit(0))
+            last = F.least(hit["i"], n - F.get(needed, k))
+            starts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda s: F.struct(k.alias("k"), s.alias("s")))
 
-        pairs = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["w"]), lambda e: verified(h, e))))
-        return F.filter(pairs, lambda x: x["share"] >= self.threshold)
+        def verified(at):
+            k = at["k"]
+            held = F.size(F.array_intersect(F.get(sets, k), F.slice(words, at["s"] + 1, F.get(widths, k))))
+            return F.struct(F.get(labels, k).alias("label"), (held / F.get(distinct, k)).alias("share"), at["s"].alias("start"), held.alias("held"))
+
+        at = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.flatten(F.transform(F.element_at(index, h["w"]), lambda k: windows(h, k))))))
+        return F.filter(F.transform(at, verified), lambda x: x["share"] >= self.threshold)
 
 
 def scan(
@@ -174,3 +176,28 @@ def op4_licenses(spark, sf_dir: str) -> DataFrame:
         F.array_join(labels, ",").alias("labels"),
         score.alias("score"),
     )
+
+
+def _sql() -> str:
+    """The same blocks without any filter: every window of every document that could hold enough of a template."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    temps = ", ".join(f"('{label}', {quoted(sorted(set(t.split())))}, {len(t.split()) + 2 * SLACK})" for t, label in TEMPLATES)
+    base = ", ".join(f"('{label}', {quoted(p.split())})" for p, label in PHRASES)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+t(label, s, n) AS (VALUES {temps}),
+p(label, s) AS (VALUES {base}),
+b AS (SELECT r, label, unnest(list_filter(range(0, len(w) - len(s) + 1), lambda i: w[i + 1 : i + len(s)] = s)) AS i FROM d, p WHERE list_has_all(w, s)),
+bb AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, list_sort(list_distinct(list(label))) AS labels FROM b GROUP BY r),
+c AS (SELECT r, label, s, n, w, unnest(range(0, len(w))) AS i FROM d, t WHERE len(list_intersect(list_distinct(w), s)) >= {THRESHOLD} * len(s) - 1e-9),
+h AS (SELECT r, label, i, len(s) AS m, len(list_intersect(s, w[i + 1 : i + n])) AS held FROM c),
+k AS (SELECT * FROM h WHERE held >= {THRESHOLD} * m - 1e-9),
+l AS (SELECT r, list(DISTINCT label) AS labels FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.r = k.r AND abs(o.i - k.i) <= {2 * SLACK} AND o.held > k.held) GROUP BY r),
+m AS (SELECT r, max(held / m) AS share FROM k GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(bb.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(array_to_string(bb.labels, ','), '') AS base_labels,
+array_to_string(list_sort(list_distinct(list_concat(coalesce(bb.labels, []), coalesce(l.labels, [])))), ',') AS labels, CASE WHEN bb.n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN bb USING (r) LEFT JOIN l USING (r) LEFT JOIN m USING (r)
+"""
+
+
+OP4_SQL = _sql()

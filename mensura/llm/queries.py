@@ -17,6 +17,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontamination": decontam.OP1_SQL,
+    "op4_licenses": licenses.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op9_embeddings": embeddings.OP9_SQL,
+    "op10_secrets": secrets.OP10_SQL,
 }

@@ -181,3 +181,25 @@ def op10_secrets(spark, sf_dir: str) -> DataFrame:
 
     counts = [count(r.kind) for r in BASE]
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _sql() -> str:
+    """Positions from the lengths of what lies between the matches, rule by rule."""
+    each = " UNION ALL ".join(
+        f"SELECT r, {k} AS rank, '{x.kind}' AS kind, {x.least} AS least, string_split_regex(t, p) AS gaps, regexp_extract_all(t, p, 0) AS found, regexp_extract_all(t, p, {x.group}) AS held FROM (SELECT r, t, '{x.pattern.replace(chr(39), chr(39) * 2)}' AS p FROM d) WHERE regexp_matches(t, p)"
+        for k, x in enumerate(RULES)
+    )
+    size = lambda what: f"coalesce(list_sum(list_transform({what}, lambda x: length(x))), 0)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    listing = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank, b)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({each}),
+x AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m),
+s AS (SELECT r, rank, kind, ({size("gaps[1:i]")} + {size("found[1:i - 1]")})::BIGINT AS a, length(found[i]) AS n FROM x WHERE length(held[i]) >= least),
+o AS (SELECT r, {counts}, {listing} FILTER (rank < {len(BASE)}) AS base, {listing} AS spans FROM (SELECT *, a + n AS b FROM s) GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (r)
+"""
+
+
+OP10_SQL = _sql()

@@ -138,12 +138,15 @@ def test_licenses(docs, empty):
         w = ascii_words(TEXTS[r.doc_id] if r.doc_id is not None else "no id")
         places = [(i, label) for p, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
         assert (r.n_words, r.starts, r.base_labels) == (len(w), sorted(i for i, _ in places), sorted({b for _, b in places})), r
-        best = {}
+        want = set()
         for p, label in licenses.TEMPLATES:
-            t = p.split()
-            if any(len(set(w[max(0, i - q - 2) : i - q + len(t) + 2]) & set(t)) >= licenses.THRESHOLD * len(set(t)) for i in range(len(w)) for q in range(len(t)) if w[i] == t[q]):
-                best.setdefault(label, p)
-        assert {b.label for b in r.blocks} == set(best), r
+            t = set(p.split())
+            width = len(p.split()) + 2 * licenses.SLACK
+            for i in range(len(w)):
+                held = len(t & set(w[i : i + width]))
+                if held >= licenses.THRESHOLD * len(t):
+                    want.add((label, held, i))
+        assert {(b.label, b.held, b.start) for b in r.blocks} == want, r
 
 
 def brute_secrets(t):
