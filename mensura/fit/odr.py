@@ -11,7 +11,7 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
@@ -372,8 +372,8 @@ def respond(spec: FitSpec, beta: np.ndarray, s: State, it: int, reason: str, n:
     q, layers = len(beta), len(spec.layers)
     rank, condition = diagnose(s.hessian)
     dof = n * layers - rank
-    reduced = s.chi2 / dof if dof > 0 else math.nan
-    obs_reduced = s.chi2_obs / dof if dof > 0 else math.nan
+    reduced = float(s.chi2 / dof) if dof > 0 else math.nan
+    obs_reduced = float(s.chi2_obs / dof) if dof > 0 else math.nan
     factor = obs_reduced if math.isfinite(obs_reduced) and obs_reduced > 0 else 1.0
     if rank < q:
         raw = np.full((q, q), math.nan)
@@ -386,10 +386,10 @@ def respond(spec: FitSpec, beta: np.ndarray, s: State, it: int, reason: str, n:
     conf = float(np.clip(spec.confidence, 0.5, 0.999999))
     nu = effective_dof(notes.get("input_dof"), float(dof) if dof > 0 else None, obs_reduced)
     k = student_quantile((1 + conf) / 2, nu) if nu else NORMAL_K
-    ssr = float(s.ssr.sum())
+    ssr, s = float(s.ssr.sum()), replace(s, chi2=float(s.chi2), chi2_obs=float(s.chi2_obs))
     count = n * layers
     sst = sum(v[2] for v in sums.values()) - sum(v[1] for v in sums.values()) ** 2 / count
-    by_layer = [1 - s.ssr[i] / t if (t := sums[i][2] - sums[i][1] ** 2 / sums[i][0]) > 0 else 1.0 for i in range(layers)]
+    by_layer = [float(1 - s.ssr[i] / t) if (t := sums[i][2] - sums[i][1] ** 2 / sums[i][0]) > 0 else 1.0 for i in range(layers)]
     return {
         "success": reason in ("gradient", "step", "objective", "stagnated"), "termination": reason, "iterations": it,
         "parameter_names": list(spec.parameters), "parameters": beta.tolist(), "sigmas": sigma.tolist(), "sigmas_raw": sigma_raw.tolist(),

@@ -30,8 +30,8 @@ GROUP_ROWS = 2_000_000
 def fit_grouped(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec) -> DataFrame:
     """One fit for each group of ``keys``: keys and the RESULT columns.
 
-    Each group is one task's arrays, so it suits many groups of moderate size; a group that cannot
-    be fitted gives a row with ``error`` and no values. For a large single group use ``fit_large``.
+    Each group is one task's arrays, so it suits groups of moderate size; a group that cannot be
+    fitted gives a row with ``error`` and no values. ``fit_groups`` takes groups of any size.
     """
     need = spec.columns()
     schema = T.StructType([*(df.schema[k] for k in keys), *RESULT])
@@ -40,7 +40,7 @@ def fit_grouped(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec) -> DataFr
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         try:
             if len(pdf) > GROUP_ROWS:
-                raise DataError(f"the group has {len(pdf)} rows; use fit_large")
+                raise DataError(f"the group has {len(pdf)} rows; use fit_groups")
             out = odr.fit(spec, {c: pdf[c].to_numpy(float) for c in need})
             row = {n: out.get(n) for n in names} | {"n": len(pdf), "error": None}
         except (MensuraError, np.linalg.LinAlgError) as e:
@@ -51,6 +51,31 @@ def fit_grouped(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec) -> DataFr
     return used.groupBy(*keys).applyInPandas(run, schema)
 
 
+def fit_groups(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec, rows: int = GROUP_ROWS) -> DataFrame:
+    """``fit_grouped`` where groups of more than ``rows`` rows, which are few, are fitted over the cluster one by one."""
+    big = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows).drop("_n")
+    heads = big.limit(10_001).collect()
+    if not heads:
+        return fit_grouped(df, keys, spec)
+    if len(heads) > 10_000:
+        raise DataError(f"more than 10,000 groups exceed {rows} rows")
+    names = [f.name for f in RESULT]
+    schema = T.StructType([*(df.schema[k] for k in keys), *RESULT])
+    done = []
+    for h in heads:
+        own = df
+        for k in keys:
+            own = own.where(F.col(k).eqNullSafe(F.lit(h[k])))
+        try:
+            out = fit_large(own, spec)
+            row = {n: out.get(n) for n in names} | {"n": (out["dof"] + out["rank"]) // len(spec.layers), "error": None}
+        except (MensuraError, np.linalg.LinAlgError) as e:
+            row = dict.fromkeys(names) | {"success": False, "error": str(e)}
+        done.append((*(h[k] for k in keys), *(row[n] for n in names)))
+    small = df.join(F.broadcast(big), list(keys), "left_anti")
+    return fit_grouped(small, keys, spec).unionByName(df.sparkSession.createDataFrame(done, schema))
+
+
 def fit_large(df: DataFrame, spec: odr.FitSpec) -> dict:
     """One fit over all rows: each evaluation is a job that returns one small row from each partition.
 

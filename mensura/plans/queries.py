@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mensura.fit import grid, odr
 from mensura.fit import spark as fits
-from mensura.functions import special, units
+from mensura.functions import sheetlike, special, units
 from mensura.operators import catalog, sheet, uncertainty
 from mensura.sources import files
 
@@ -460,3 +460,56 @@ def residual_table(spark, sf_dir):
 def predicted_range(spark, sf_dir):
     rows = fits.residuals(table(spark, sf_dir, "part"), "c + m*s", "p_retailprice", {"s": "p_size"}, {"c": 900.0, "m": 2.0})
     return grid.predicted_observed(rows, "p_retailprice").select(_r("low").alias("low"), _r("high").alias("high"))
+
+
+# ---------------------------------------------------------------- sheet functions over tables
+
+
+@query("""SELECT l_returnflag, sum(q) AS "SUM", count(q) AS "COUNT", count(*) FILTER (q > 25) AS "COUNTIF", sum(p) FILTER (q > 25) AS "SUMIF", round(avg(p), 4) AS "AVERAGE", median(q) AS "MEDIAN", round(var_samp(q), 6) AS "VAR", round(stddev_pop(q), 6) AS "STDEVP",
+round(quantile_cont(q, 0.25), 6) AS "QUARTILE", round(corr(q, p), 8) AS "CORREL", round(regr_slope(p, q), 4) AS "SLOPE", round(regr_r2(p, q), 8) AS "RSQ", round(exp(avg(ln(q))), 6) AS "GEOMEAN", round(1 / avg(1 / q), 6) AS "HARMEAN", sum(q * q) AS "SUMSQ",
+round(var_pop(q) * count(q), 2) AS "DEVSQ", round(skewness(q), 5) AS "SKEW", round(kurtosis(q), 5) AS "KURT", round(sum((q - t) * (q - t)), 3) AS "SUMXMY2", round(sqrt((regr_syy(p, q) - power(regr_sxy(p, q), 2) / regr_sxx(p, q)) / (count(*) - 2)), 4) AS "STEYX"
+FROM (SELECT l_returnflag, l_quantity AS q, round(l_extendedprice, 0) AS p, l_tax AS t FROM lineitem) GROUP BY l_returnflag""")
+def sheet_aggregates(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").alias("q"), F.round("l_extendedprice", 0).alias("p"), F.col("l_tax").alias("t"))
+    q, p, t, a = F.col("q"), F.col("p"), F.col("t"), sheetlike.aggregate
+    return rows.groupBy("l_returnflag").agg(
+        *(a(n, q).alias(n) for n in ("SUM", "COUNT", "MEDIAN", "SUMSQ")), a("COUNTIF", q > 25).alias("COUNTIF"), a("SUMIF", p, q > 25).alias("SUMIF"), F.round(a("AVERAGE", p), 4).alias("AVERAGE"),
+        *(F.round(a(n, q), 6).alias(n) for n in ("VAR", "STDEVP", "GEOMEAN", "HARMEAN")), F.round(a("QUARTILE", q, F.lit(1)), 6).alias("QUARTILE"), F.round(a("CORREL", q, p), 8).alias("CORREL"), F.round(a("SLOPE", p, q), 4).alias("SLOPE"), F.round(a("RSQ", p, q), 8).alias("RSQ"),
+        F.round(a("DEVSQ", q), 2).alias("DEVSQ"), F.round(a("SKEW", q), 5).alias("SKEW"), F.round(a("KURT", q), 5).alias("KURT"), F.round(a("SUMXMY2", q, t), 3).alias("SUMXMY2"), F.round(a("STEYX", p, q), 4).alias("STEYX"),
+    )
+
+
+@query("""SELECT p_partkey, upper(left(p_name, 3)) AS head, length(p_name) AS n, p_size % 7 AS "mod", CASE WHEN p_size % 2 = 0 THEN p_size ELSE p_size + 1 END::DOUBLE AS even, gcd(p_size, 12)::BIGINT AS gcd, lcm(p_size, 12)::DOUBLE AS lcm, trunc(p_retailprice / 7 * 100) / 100 AS trunc,
+p_size BETWEEN 10 AND 20 AS between_, bin(p_size) AS bin, replace(p_name, ' ', '_') AS sub FROM part""")
+def sheet_scalars(spark, sf_dir):
+    s, n, f = F.col("p_size"), F.col("p_name"), sheetlike.scalar
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", f("UPPER", f("LEFT", n, 3)).alias("head"), f("LEN", n).cast("long").alias("n"), f("MOD", s, 7).cast("int").alias("mod"), f("EVEN", s).cast("double").alias("even"), f("GCD", s, 12).alias("gcd"), f("LCM", s, 12).cast("double").alias("lcm"),
+        f("TRUNC", F.col("p_retailprice") / 7, 2).alias("trunc"), f("ISBETWEEN", s, 10, 20).alias("between_"), f("DEC2BIN", s).alias("bin"), f("SUBSTITUTE", n, " ", "_").alias("sub"),
+    )
+
+
+@query("""SELECT event_id, r AS found FROM events ASOF LEFT JOIN (SELECT s_acctbal AS k, min(s_suppkey) AS r FROM supplier GROUP BY s_acctbal) ON value * 20 >= k""")
+def sheet_lookup_approximate(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("value") * 20).alias("x"))
+    return sheetlike.lookup(rows, table(spark, sf_dir, "supplier"), "x", "s_acctbal", "s_suppkey", "found", approximate=True).select("event_id", "found")
+
+
+@query("""SELECT o_orderkey, c_mktsegment AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
+def sheet_lookup_exact(spark, sf_dir):
+    return sheetlike.lookup(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), "o_custkey", "c_custkey", "c_mktsegment", "segment").select("o_orderkey", "segment")
+
+
+@query("""SELECT p_brand, p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC)::INTEGER AS rank, round(percent_rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice), 9) AS percent_rank FROM part""")
+def sheet_ranks(spark, sf_dir):
+    out = sheetlike.ranks(table(spark, sf_dir, "part"), "p_retailprice", ["p_brand"])
+    return out.select("p_brand", "p_partkey", "rank", F.round("percent_rank", 9).alias("percent_rank"))
+
+
+@query("""SELECT l_returnflag, count(*) AS n, round(power(sum(u2), 2) / sum(u2 * u2 / nu), 3) AS effective_dof FROM (SELECT l_returnflag, power(0.01 * l_extendedprice, 2) AS u2, l_linenumber + 3 AS nu FROM lineitem) GROUP BY l_returnflag""")
+def welch_satterthwaite(spark, sf_dir):
+    """Effective degrees of freedom of a sum from its components: two sums, then the closed form."""
+    u = F.pow(F.col("l_extendedprice") * 0.01, F.lit(2))
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", u.alias("u2"), (F.col("l_linenumber") + 3).alias("nu"))
+    out = rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("u2").alias("a"), F.sum(F.col("u2") * F.col("u2") / F.col("nu")).alias("b"))
+    return out.select("l_returnflag", "n", F.round(F.col("a") * F.col("a") / F.col("b"), 3).alias("effective_dof"))
