@@ -14,8 +14,8 @@ from mensura.llm.common import shared_dir, table
 
 #: Payloads shorter than this are always stored.
 LEAST = 100
-#: Pages in one archive file at most; a file is read by one task.
-PAGES_PER_FILE = 4000
+#: Pages in one archive file at most; a file is streamed by one task.
+PAGES_PER_FILE = 20_000
 DATE = "2024-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -87,21 +87,55 @@ def records(pages: DataFrame, id_col="page_id", uri_col="url", payload_col="html
     return rows.select(F.explode(F.array(request, response, metadata)).alias("record"))
 
 
-def write_warc(pages: DataFrame, path: str, id_col="page_id", uri_col="url", payload_col="html", least: int = LEAST, compressed: bool = True) -> None:
-    """Archives of the pages below ``path``: any file system of Spark's, committed as Spark commits.
+def write_warc(pages: DataFrame, path: str, id_col="page_id", uri_col="url", payload_col="html", least: int = LEAST) -> None:
+    """Gzip archives of the pages below ``path``: any file system of Spark's, committed as Spark commits.
 
     Null payloads are empty; null uris are empty; line breaks in uris become blanks. An empty table
     writes no records. Of several rows with the smallest id of a payload all are responses.
     """
     out = records(pages, id_col, uri_col, payload_col, least).write.option("lineSep", "\n").option("maxRecordsPerFile", 3 * PAGES_PER_FILE)
-    (out.option("compression", "gzip") if compressed else out).text(path)
+    out.option("compression", "gzip").text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(headers, block) of each record of an archive, plain or gzip of any number of members.
+#: What stands between records; what follows it is the version's last digit.
+_BETWEEN = "\r\n\r\nWARC/1."
+
 
-    Blocks are cut by Content-Length, so payloads may hold any bytes. Header names are lower-cased.
+class Splitter:
+    """Records from the fragments between ``_BETWEEN``: (headers, block) pairs, cut by Content-Length.
+
+    A payload that itself holds the sign comes in several fragments, which are joined until the
+    declared length is reached. Header names are lower-cased. Only one record is held at a time.
     """
+
+    def __init__(self):
+        self.parts: list[bytes] = []
+        self.head: dict | None = None
+        self.missing = 0
+
+    def push(self, fragment: bytes, first: bool) -> Iterator[tuple[dict, bytes]]:
+        """The record that this fragment completes, if any. ``first``: it opens a file."""
+        if self.head is not None and not first:
+            fragment = _BETWEEN.encode() + fragment
+            self.parts.append(fragment)
+            self.missing -= len(fragment)
+        else:
+            self.head = None
+            fragment = fragment.removeprefix(b"WARC/1.") if first else fragment
+            head, between, block = fragment.partition(b"\r\n\r\n")
+            if not between:
+                return
+            lines = head.decode("utf-8", "replace").split("\r\n")
+            self.head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            self.parts, self.missing = [block], int(self.head.get("content-length", 0)) - len(block)
+        if self.missing <= 0:
+            block = b"".join(self.parts)[: int(self.head.get("content-length", 0))]
+            head, self.head, self.parts = self.head, None, []
+            yield head, block
+
+
+def parse(data: bytes) -> Iterator[tuple[dict, bytes]]:
+    """(headers, block) of each record of an archive in memory, plain or gzip of any number of members."""
     if data[:2] == b"\x1f\x8b":
         parts = []
         while data:
@@ -109,14 +143,9 @@ def parse(data: bytes) -> Iterator[tuple[dict, bytes]]:
             parts.append(d.decompress(data) + d.flush())
             data = d.unused_data
         data = b"".join(parts)
-    view, at = memoryview(data), 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        head = data[at:end].decode("utf-8", "replace").split("\r\n")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
-        size = int(headers["content-length"])
-        yield headers, bytes(view[end + 4 : end + 4 + size])
-        at = end + 4 + size
+    splitter = Splitter()
+    for k, fragment in enumerate(data.split(_BETWEEN.encode())):
+        yield from splitter.push(fragment, k == 0)
 
 
 def _fields(block: bytes) -> dict:
@@ -143,14 +172,18 @@ def _row(headers: dict, block: bytes, keep: bool) -> tuple:
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row for each record (see RECORD) of the archives below ``path``.
+    """One row for each record (see RECORD) of the archives (``.gz``) below ``path``.
 
-    A file is read whole by one task, so its size bounds the memory; ``write_warc`` keeps files
-    small. Digests of stored payloads are computed anew and compared with the declared SHA-256.
+    Spark's text source streams each archive, cut where a new record may begin, so a task holds
+    one record and one Arrow batch, however large the archive. Compressed archives are read by one
+    task each from start to end; write several. Digests of stored payloads are computed anew and
+    compared with the declared SHA-256.
     """
     import pyarrow as pa
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    lines = spark.read.option("lineSep", _BETWEEN).option("recursiveFileLookup", "true").text(path)
+    # plain archives could be split inside a payload; the compressed ones cannot
+    pieces = lines.select("_metadata.file_path", F.col("value").cast("binary").alias("value")).where(F.col("file_path").endswith(".gz"))
     names = RECORD.names
 
     def run(batches):
@@ -159,23 +192,30 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
         schema = to_arrow_schema(RECORD)
 
         def out(rows):
-            cols = list(zip(*rows)) or [()] * len(names)
+            cols = list(zip(*rows))
             fix = [[list(m.items()) for m in c] if n in ("headers", "fields") else list(c) for n, c in zip(names, cols)]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(fix, schema)], schema=schema)
 
+        splitter, at = Splitter(), None
+        rows, held = [], 0
         for b in batches:
-            for k in range(b.num_rows):
-                rows, held = [], 0
-                for headers, block in parse(b.column(0)[k].as_py()):
+            for file, fragment in zip(b.column(0).to_pylist(), b.column(1)):
+                first = file != at
+                if first and splitter.head is not None:
+                    raise ValueError(f"{at} ends inside a record")
+                at = file
+                for headers, block in splitter.push(fragment.as_py(), first):
                     rows.append(_row(headers, block, payloads))
                     held += len(block)
                     if len(rows) >= 2000 or held > 8 << 20:
                         yield out(rows)
                         rows, held = [], 0
-                if rows:
-                    yield out(rows)
+        if splitter.head is not None:
+            raise ValueError(f"{at} ends inside a record")
+        if rows:
+            yield out(rows)
 
-    return files.mapInArrow(run, RECORD)
+    return pieces.mapInArrow(run, RECORD)
 
 
 def captures(found: DataFrame) -> DataFrame:

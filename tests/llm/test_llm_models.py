@@ -133,9 +133,9 @@ def test_archives(spark, tmp_path):
     long = "<p>" + "line\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n" * 20
     rows = [(3, "http://b\nx", long), (2, "http://a", long), (9, None, long), (2, "http://a", long), (5, "u", None), (6, "u", ""), (7, "u", "é" * 60), (8, "u", "é" * 60), (None, "u", "tiny"), (4, "u", "tiny"), (10, "v", "x" * 99), (11, "v", "x" * 99)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("revisit", F.lit(2))
-    for compressed in (True, False):
-        path = str(tmp_path / f"w{compressed}")
-        warc.write_warc(pages, path, compressed=compressed)
+    for parts in (1, 4):
+        path = str(tmp_path / f"w{parts}")
+        warc.write_warc(pages.repartition(parts), path)
         found = warc.read_warc(spark, path)
         assert found.count() == 3 * len(rows) and found.select("record_id").distinct().count() == 3 * len(rows)
         caps = warc.captures(found).collect()
@@ -150,6 +150,9 @@ def test_archives(spark, tmp_path):
         assert got == sorted(want)
         assert {bytes(c.answer.payload).decode() for c in caps if c.answer.payload is not None} == {long, "", "é" * 60, "tiny", "x" * 99}
     warc.write_warc(pages.where("false"), str(tmp_path / "none"))
+    assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
+    loose = "".join(warc.records(pages).select(F.concat("record", F.lit("\n")).alias("r")).toPandas()["r"]).encode()
+    assert len(list(warc.parse(loose))) == 3 * len(rows)
     two = gzip.compress(b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n") * 2
     assert [b for _, b in warc.parse(two)] == [b"hi", b"hi"]
 
