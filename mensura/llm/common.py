@@ -73,6 +73,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows in an Arrow batch at most, for texts of up to some hundred thousand bytes each.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches, whose rows may be whole texts, from outgrowing a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_batches(
     df: DataFrame,
     columns: Sequence[str],
@@ -85,6 +97,7 @@ def map_batches(
     returns one Arrow array or list for each field. ``columns`` may repeat none; other columns of
     ``df`` are pruned before the transfer, so clashing names cannot matter.
     """
+    short_batches(df.sparkSession)
     schema = T.StructType(list(fields))
     arrow = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in fields])
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.common import shared_dir, table
+from mensura.llm.common import shared_dir, short_batches, table
 
 #: Payloads shorter than this are always stored.
 LEAST = 100
@@ -181,6 +181,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     """
     import pyarrow as pa
 
+    short_batches(spark)
     lines = spark.read.option("lineSep", _BETWEEN).option("recursiveFileLookup", "true").text(path)
     # plain archives could be split inside a payload; the compressed ones cannot
     pieces = lines.select("_metadata.file_path", F.col("value").cast("binary").alias("value")).where(F.col("file_path").endswith(".gz"))
