@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.common import map_batches, table
+from mensura.llm.common import Remembered, map_batches, table
 
 #: Tokens above which a document is over the limit.
 LIMIT = 4096
-#: Chunks and token pairs that a worker remembers before it starts afresh; bounds memory only.
-REMEMBERED = 150_000
+#: Chunks (in each of two generations) and token pairs that a worker remembers; bounds memory only.
+REMEMBERED = 300_000
 SPACE = "▁"
 #: Chunks: blanks, then a run of letters and marks, a run of anything else but digits, or one digit.
 FINE = r"▁*(?:[\p{L}\p{M}]+|[^\p{L}\p{M}\p{Nd}▁]+|\p{Nd})|▁+"
@@ -47,6 +47,9 @@ class PrefixCounter:
         whole = all(fine.fullmatch(p) for p in self.score)
         self.chunks = (fine if whole else regex.compile(COARSE)).findall
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.made: dict[str, tuple] = {}
+        levels = {v: k for k, v in enumerate(sorted({v for p, v in self.score.items() if len(p) > 1}, reverse=True))}
+        self.rank = {p: levels[v] for p, v in self.score.items() if len(p) > 1}
 
     def merge(self, text: str) -> list[str]:
         """Tokens by definition: the best-scored neighbours merge first, leftmost among equals."""
@@ -54,32 +57,67 @@ class PrefixCounter:
         while True:
             best, at = None, -1
             for i in range(len(t) - 1):
-                s = self.score.get(t[i] + t[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
+                r = self.rank.get(t[i] + t[i + 1])
+                if r is not None and (best is None or r < best):
+                    best, at = r, i
             if at < 0:
                 return t
             t[at : at + 2] = [t[at] + t[at + 1]]
 
+    def _parts(self, piece: str) -> tuple[str, str]:
+        """The two tokens whose merge makes a piece of several characters."""
+        found = self.made.get(piece)
+        if found is None:
+            known = self.rank.pop(piece)  # without its own last merge two tokens remain
+            found = self.made[piece] = tuple(self.merge(piece))
+            self.rank[piece] = known
+        return found
+
     def _joined(self, u: str, t: str) -> bool:
-        """Whether u, t is the encoding of u + t."""
-        known = self.pairs.get((u, t))
-        if known is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[u, t] = self.merge(u + t) == [u, t]
-        return known
+        """Whether u, t is the encoding of u + t.
+
+        Merges are taken back from the latest on. At each moment the two tokens at the border must
+        not have a merge of their own that comes earlier than the one taken back next.
+        """
+        if u[-1] == SPACE:  # runs of blanks have merges of equal score: by definition
+            known = self.pairs.get((u, t))
+            if known is None:
+                if len(self.pairs) >= REMEMBERED:
+                    self.pairs.clear()
+                known = self.pairs[u, t] = self.merge(u + t) == [u, t]
+            return known
+        rank, limit = self.rank.get, None
+        while True:
+            r = rank(u + t)
+            if r is not None and (limit is None or r < limit):
+                return False
+            a = self.rank[u] if len(u) > 1 else -1
+            b = self.rank[t] if len(t) > 1 else -1
+            if a < 0 and b < 0:
+                return True
+            if a > b:
+                limit, parts = a, self._parts(u)
+                u = parts[-1]
+            else:  # on a tie the left one merged first
+                limit, parts = b + 1, self._parts(t)
+                t = parts[0]
+            if len(parts) != 2:  # a piece that merges never make
+                return False
 
     def table(self, chunk: str) -> list[int]:
         """Counts at every prefix of a chunk: table[i] for its first i characters."""
-        score = self.score
+        rank, score, joined, longest = self.rank, self.score, self._joined, self.longest
         count, last = [0], [""]
         for i in range(1, len(chunk) + 1):
-            for k in range(max(0, i - self.longest), i):
+            for k in range(max(0, i - longest), i - 1):
                 t = chunk[k:i]
-                if (t in score or k == i - 1) and (k == 0 or self._joined(last[k], t)):
+                if t in rank and (k == 0 or joined(last[k], t)):
+                    n = 1
                     break
-            count.append(count[k] + (1 if t in score else len(t.encode())))
+            else:
+                k, t = i - 1, chunk[i - 1]
+                n = 1 if t in score else len(t.encode())
+            count.append(count[k] + n)
             last.append(t)
         return count
 
@@ -101,19 +139,11 @@ class PrefixCounter:
         return out
 
 
-class _Counts(dict):
-    """Chunk to its prefix table; forgets everything when full."""
+class _Counts(Remembered):
+    """Chunk to its token count, the last entry of its prefix table."""
 
     def __init__(self, counter: PrefixCounter, most: int = REMEMBERED):
-        self.counter, self.most = counter, most
-
-    def __missing__(self, chunk: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        n = self.counter.table(chunk)[-1]
-        if len(chunk) <= 64:
-            self[chunk] = n
-        return n
+        super().__init__(lambda chunk: counter.table(chunk)[-1], most)
 
 
 @functools.lru_cache(4)
