@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.common import map_batches, table
+from mensura.llm.common import Remembered, map_batches, table
 
-#: Pre-tokens that a worker remembers before it starts afresh; bounds memory, never results.
-REMEMBERED = 200_000
+#: Pre-tokens that a worker remembers in each of two generations; bounds memory, never results.
+REMEMBERED = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,8 +42,8 @@ class PerfectHash:
         for self.seed in range(64):
             groups: list[list] = [[] for _ in range(self.buckets)]
             for i, k in enumerate(keys):
-                h = xxhash.xxh3_128_intdigest(k, self.seed)
-                groups[(h >> 96) % self.buckets].append((h & 0xFFFFFFFF, h >> 32 & 0xFFFFFFFF | 1, i))
+                h = xxhash.xxh3_64_intdigest(k, self.seed)
+                groups[(h >> 40) % self.buckets].append((h & 0xFFFFF, h >> 20 & 0xFFFFF | 1, i))
             if self._place(groups):
                 return
         raise ValueError("no perfect hash found; keys repeat")
@@ -73,11 +73,11 @@ class PerfectHash:
 
     def place(self, key: bytes) -> int:
         """The number of the only key that could equal ``key``."""
-        h = xxhash.xxh3_128_intdigest(key, self.seed)
-        d = self.shift[(h >> 96) % self.buckets]
+        h = xxhash.xxh3_64_intdigest(key, self.seed)
+        d = self.shift[(h >> 40) % self.buckets]
         if d < 0:
             return self.slot[-d - 1]
-        return self.slot[((h & 0xFFFFFFFF) + d * (h >> 32 & 0xFFFFFFFF | 1) + (d >> 8)) % self.n]
+        return self.slot[((h & 0xFFFFF) + d * (h >> 20 & 0xFFFFF | 1) + (d >> 8)) % self.n]
 
 
 class ByteBPE:
@@ -90,6 +90,7 @@ class ByteBPE:
         self.ids = [ranks[k] for k in self.keys]
         self.hash = PerfectHash(self.keys)
         self.bytes_of = {i: k for k, i in ranks.items()}
+        self.packed_id = {i: i.to_bytes(4, "little") for i in self.ids}
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: whole by the perfect hash, else merged."""
@@ -99,24 +100,35 @@ class ByteBPE:
     def _merge(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost among equals: a heap of merges over a linked list of spans."""
         get, n = self.ranks.get, len(piece)
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
         end = list(range(1, n + 1))  # span starting at i ends at end[i]; next span starts there
         prev = list(range(-1, n - 1))
-        alive = [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+        # rank of the merge of the span at i with the next; a heap entry with another rank is stale
+        now = [get(piece[i : i + 2], -1) for i in range(n)]
+        now[-1] = -1
+        heap = [r << bits | i for i, r in enumerate(now) if r >= 0]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, to = heapq.heappop(heap)
-            j = end[i]
-            if not alive[i] or j >= n or end[j] != to:  # made from spans that have changed since
+            x = pop(heap)
+            i = x & mask
+            if now[i] != x >> bits:
                 continue
-            alive[j] = False
-            end[i] = to
+            j = end[i]
+            to = end[i] = end[j]
+            now[j] = now[i] = -1
             if to < n:
                 prev[to] = i
                 if (r := get(piece[i : end[to]])) is not None:
-                    heapq.heappush(heap, (r, i, end[to]))
-            if (p := prev[i]) >= 0 and (r := get(piece[p:to])) is not None:
-                heapq.heappush(heap, (r, p, to))
+                    now[i] = r
+                    push(heap, r << bits | i)
+            if (p := prev[i]) >= 0:
+                if (r := get(piece[p:to])) is not None:
+                    now[p] = r
+                    push(heap, r << bits | p)
+                else:
+                    now[p] = -1
         out, i = [], 0
         while i < n:
             out.append(self.ranks[piece[i : end[i]]])
@@ -130,19 +142,12 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-class _Packed(dict):
-    """Pre-token to its ids as little-endian 32-bit bytes; forgets everything when full."""
+class _Packed(Remembered):
+    """Pre-token to its ids as little-endian 32-bit bytes."""
 
     def __init__(self, bpe: ByteBPE, most: int = REMEMBERED):
-        self.bpe, self.most = bpe, most
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        out = np.array(self.bpe.encode_piece(piece.encode()), "<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = out
-        return out
+        four = bpe.packed_id.__getitem__
+        super().__init__(lambda piece: b"".join(map(four, bpe.encode_piece(piece.encode()))), most)
 
 
 @functools.lru_cache(4)
