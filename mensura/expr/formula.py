@@ -142,6 +142,12 @@ def _special(name):
     return run
 
 
+def _through_zero(x, far, near, width: float = 1e-4):
+    x = np.asarray(x, float)
+    small = np.abs(x) < width
+    return np.where(small, near(x), far(np.where(small, 1.0, x)))
+
+
 def _registry() -> dict[str, Function]:
     c, sq = call, lambda u: mul(u, u)
     sqrt = lambda u: c("sqrt", u)
@@ -185,7 +191,14 @@ def _registry() -> dict[str, Function]:
         "floor": one(lambda x: F.floor(x).cast("double"), n.floor, lambda u: ZERO),
         "ceil": one(lambda x: F.ceil(x).cast("double"), n.ceil, lambda u: ZERO),
         "round": one(F.rint, n.rint, lambda u: ZERO),
-        "sinc": one(lambda x: F.when(x == 0, 1.0).otherwise(F.sin(x) / F.nullif(x, F.lit(0.0))), lambda x: n.sinc(n.asarray(x) / math.pi), lambda u: div(c("cos", u) - c("sinc", u), u)),
+        "sinc": one(lambda x: F.when(x == 0, 1.0).otherwise(F.sin(x) / F.nullif(x, F.lit(0.0))), lambda x: n.sinc(n.asarray(x) / math.pi), lambda u: c("sinc_slope", u)),
+        # the derivative of sinc, and that over its argument, continued through zero
+        "sinc_slope": one(
+            lambda x: F.when(F.abs(x) < 1e-4, -x / 3).otherwise((F.cos(x) - F.sin(x) / F.nullif(x, F.lit(0.0))) / F.nullif(x, F.lit(0.0))), lambda x: _through_zero(x, lambda v: (n.cos(v) - n.sin(v) / v) / v, lambda v: -v / 3), lambda u: -add(c("sinc", u), mul(TWO, c("sinc_ratio", u)))
+        ),
+        "sinc_ratio": Function(
+            1, lambda x: F.when(F.abs(x) < 1e-3, x * x / 30 - 1 / 3).otherwise((F.cos(x) - F.sin(x) / F.nullif(x, F.lit(0.0))) / F.nullif(x * x, F.lit(0.0))), lambda x: _through_zero(x, lambda v: (n.cos(v) - n.sin(v) / v) / v**2, lambda v: v * v / 30 - 1 / 3, 1e-3), (None,)
+        ),
         "atan2": Function(2, F.atan2, n.arctan2, (lambda y, x: div(x, add(sq(x), sq(y))), lambda y, x: -div(y, add(sq(x), sq(y))))),
     }
     sp = lambda name, *slopes: Function(len(slopes), None, _special(name), slopes)

@@ -47,6 +47,16 @@ def test_function_derivatives(name):
             assert math.isclose(d, n, rel_tol=1e-5, abs_tol=1e-6), (name, x)
 
 
+def test_sinc_is_smooth_at_zero(spark):
+    e = X.parse("sinc(x)")
+    d, dd = X.diff(e, "x"), X.diff(X.diff(e, "x"), "x")
+    for x in (0.0, 1e-5, 5e-4, 0.3):
+        assert float(X.to_numpy(d, {"x": x})) == pytest.approx(-x / 3 + x**3 / 30, abs=1e-4 if x > 0.1 else 1e-9)
+        r = spark.createDataFrame([(x,)], "x double").select(X.to_column(d, {"x": F.col("x")}), X.to_column(dd, {"x": F.col("x")})).first()
+        assert r[0] == pytest.approx(float(X.to_numpy(d, {"x": x})), abs=1e-12) and r[1] == pytest.approx(float(X.to_numpy(dd, {"x": x})), abs=1e-9)
+    assert float(X.to_numpy(dd, {"x": 0.0})) == pytest.approx(-1 / 3)
+
+
 def test_grammar():
     at = {"x": 3.0}
     assert X.to_numpy(X.parse("-x^2"), at) == -9
