@@ -31,7 +31,7 @@ class _Items:
         self.window = window
         self.seqs = list(by)
         self.ids = [sorted(by[w]) for w in self.seqs]
-        self.shortest = min((len(w) for w in self.seqs), default=0)
+        self.shortest = min((min(window, len(w)) for w in self.seqs), default=0)  # words of the shortest window
 
     def shingles(self) -> dict:
         """Word pairs (for an item of one word that word) by first word; values number them."""

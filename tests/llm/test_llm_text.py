@@ -69,6 +69,19 @@ def test_decontamination(spark, docs, empty, block):
     assert decontam.decontaminate(docs, items.where("false")).where("size(spans) > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 40])
+def test_decontamination_of_single_windows(spark, block):
+    """Documents that are no longer than a window, when every item is longer than any of them."""
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(16 + 8 * k))) for k in range(5)]
+    cuts = [(k, a, n) for k, t in items for a in (0, 3, len(t.split()) - 10) for n in (9, 10, 12)]
+    texts = [" ".join(items[k][1].split()[a : a + n]) for k, a, n in cuts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in decontam.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block).collect()}
+    for i, ((k, _, _), t) in enumerate(zip(cuts, texts)):
+        n = len(t.split())
+        assert (got[i]["items"], [tuple(s) for s in got[i].spans]) == (([str(k)], [(0, n)]) if n >= 10 else ([], [])), t
+
+
 def brute_print(t):
     w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
