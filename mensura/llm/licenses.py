@@ -60,11 +60,20 @@ def token_frequencies(worded: DataFrame, vocabulary: Sequence[str]) -> dict[str,
     return {t: n for t, n in held.groupBy("t").agg(F.count("*")).collect()}  # one row for each template token at most
 
 
+def families(templates) -> list[int]:
+    """For each template the first of its family: names of one family differ in a word, and so do their notices."""
+    sets, out = [set(t.split()) for t, _ in templates], []
+    for k, (_, label) in enumerate(templates):
+        out.append(next((out[j] for j in range(k) if templates[j][1] != label and len(sets[j] ^ sets[k]) <= 2), k))
+    return out
+
+
 class Join:
     """Prefix index of the templates under a global order of tokens, rarest first."""
 
     def __init__(self, templates, frequencies: dict[str, int], threshold: float):
         self.templates, self.threshold = [(t.split(), label) for t, label in templates], threshold
+        self.families = families(templates)
         self.by_token: dict[str, list[int]] = {}
         for k, (seq, _) in enumerate(self.templates):
             tokens = sorted(set(seq), key=lambda t: (frequencies.get(t, 0), t))
@@ -77,18 +86,21 @@ class Join:
         return F.array(*map(F.lit, self.by_token))
 
     def blocks(self, words: Column) -> Column:
-        """Blocks that meet the threshold: array of (label, share, start, held words).
+        """Blocks that meet the threshold: array of (label, share, start, held words, family, whole).
 
         A block of a template is a window of its length and some slack, at any word. Each token of
         the template's prefix that occurs fixes the windows around it (positional filter); those
         with fewer words than the threshold needs are skipped (length filter), and the others are
-        verified by intersecting the sets. A window without any such token cannot qualify.
+        verified by intersecting the sets. A window without any such token cannot qualify. ``whole``
+        says whether the template stands in the block word for word.
         """
         n = F.size(words)
         widths = F.array(*(F.lit(len(s) + 2 * SLACK) for s, _ in self.templates))
         distinct = F.array(*(F.lit(len(set(s))) for s, _ in self.templates))
         needed = F.array(*(F.lit(math.ceil(self.threshold * len(set(s)) - 1e-9)) for s, _ in self.templates))
         labels = F.array(*(F.lit(label) for _, label in self.templates))
+        phrases = F.array(*(F.lit(f" {' '.join(s)} ") for s, _ in self.templates))
+        family = F.array(*map(F.lit, self.families))
         sets = F.array(*(F.array(*map(F.lit, sorted(set(s)))) for s, _ in self.templates))
         index = F.create_map(*(x for t, at in self.by_token.items() for x in (F.lit(t), F.array(*map(F.lit, at)))))
         hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(self.prefix, w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
@@ -102,10 +114,15 @@ class Join:
         def verified(at):
             k = at["k"]
             held = F.size(F.array_intersect(F.get(sets, k), F.slice(words, at["s"] + 1, F.get(widths, k))))
-            return F.struct(F.get(labels, k).alias("label"), (held / F.get(distinct, k)).alias("share"), at["s"].alias("start"), held.alias("held"))
+            return F.struct(k.alias("k"), (held / F.get(distinct, k)).alias("share"), at["s"].alias("start"), held.alias("held"))
+
+        def named(b):
+            k = b["k"]
+            text = F.concat(F.lit(" "), F.array_join(F.slice(words, b["start"] + 1, F.get(widths, k)), " "), F.lit(" "))
+            return F.struct(F.get(labels, k).alias("label"), b["share"], b["start"], b["held"], F.get(family, k).alias("family"), text.contains(F.get(phrases, k)).alias("whole"))
 
         at = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.flatten(F.transform(F.element_at(index, h["w"]), lambda k: windows(h, k))))))
-        return F.filter(F.transform(at, verified), lambda x: x["share"] >= self.threshold)
+        return F.transform(F.filter(F.transform(at, verified), lambda x: x["share"] >= self.threshold), named)
 
 
 def scan(
@@ -141,7 +158,7 @@ def scan(
         id_col,
         F.size("words").cast("long").alias("n_words"),
         F.array(*starts).alias("_starts"),
-        F.when(F.arrays_overlap("words", join.prefix), join.blocks(F.col("words"))).otherwise(F.array().cast("array<struct<label:string,share:double,start:int,held:int>>")).alias("blocks"),
+        F.when(F.arrays_overlap("words", join.prefix), join.blocks(F.col("words"))).otherwise(F.array().cast("array<struct<label:string,share:double,start:int,held:int,family:int,whole:boolean>>")).alias("blocks"),
     )
     base = F.filter(F.array(*(F.when(F.size(F.get("_starts", F.lit(k))) > 0, F.lit(label)) for k, label in enumerate(labels))), lambda x: x.isNotNull())
     return rows.select(
@@ -154,10 +171,14 @@ def scan(
 
 
 def leading(blocks: Column) -> Column:
-    """Blocks of which no other at the same place holds more template words: names of one family differ in a word."""
+    """Blocks that stand word for word, or of whose family no other at the same place holds more template words.
+
+    Only names of one family, which differ in a word, dispute a place: a longer notice of another
+    license beside a block takes nothing from it.
+    """
 
     def beaten(b):
-        return F.exists(blocks, lambda c: (F.abs(c["start"] - b["start"]) <= 2 * SLACK) & (c["held"] > b["held"]))
+        return ~b["whole"] & F.exists(blocks, lambda c: (c["family"] == b["family"]) & (F.abs(c["start"] - b["start"]) <= 2 * SLACK) & (c["held"] > b["held"]))
 
     return F.filter(blocks, lambda b: ~beaten(b))
 

@@ -162,6 +162,28 @@ def test_licenses(docs, empty):
         assert {(b.label, b.held, b.start) for b in r.blocks} == want, r
 
 
+def brute_labels(t):
+    """Every template that a window holds; of the three CC notices of one place the one held most, and those that stand in full."""
+    w, found = ascii_words(t), []
+    for p, label in licenses.TEMPLATES:
+        for i in range(len(w)):
+            part = w[i : i + len(p.split()) + 2 * licenses.SLACK]
+            if (held := len(set(p.split()) & set(part))) >= licenses.THRESHOLD * len(set(p.split())):
+                found.append((label, held, i, p.startswith("licensed under cc "), f" {p} " in f" {' '.join(part)} "))
+    return {x[0] for x in found if x[4] or not (x[3] and any(y[3] and abs(x[2] - y[2]) <= 2 * licenses.SLACK and y[1] > x[1] for y in found))}
+
+
+def test_adjacent_licenses(spark, tmp_path):
+    pairs = [(a, b) for a in licenses.TEMPLATES for b in licenses.TEMPLATES if a is not b]
+    texts = [f"{a} {b}" for (a, _), (b, _) in pairs]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in licenses.op4_licenses(spark, str(tmp_path)).collect()}
+    for i, ((_, a), (_, b)) in enumerate(pairs):
+        base = {label for p, label in licenses.PHRASES if f" {p} " in f" {texts[i]} "}
+        assert set(got[i].labels.split(",")) == brute_labels(texts[i]) | base, texts[i]
+        assert {a, b} <= set(got[i].labels.split(",")), texts[i]
+
+
 def brute_secrets(t):
     out = []
     for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.A):
