@@ -301,15 +301,36 @@ def latex_rows(df: DataFrame) -> DataFrame:
     return df.select(F.concat(F.concat_ws(" & ", *_cells(df, LATEX)), F.lit(r" \\")).alias("line"))
 
 
-def document(df: DataFrame, kind: str) -> str:
-    """A whole small document as text: header and footer around the rows. Meant for reports."""
+def _frame(df: DataFrame, kind: str) -> tuple[str, DataFrame, str]:
+    """Header, rows and footer of a document."""
     rows = {"html": html_rows, "markdown": markdown_rows, "tex": latex_rows}[kind](df)
-    body = "\n".join(r.line for r in rows.limit(100_000).collect())
     if kind == "html":
-        return f"<!DOCTYPE html>\n<html><head><meta charset=\"utf-8\"></head><body><table>\n{body}\n</table></body></html>\n"
+        return '<!DOCTYPE html>\n<html><head><meta charset="utf-8"></head><body><table>\n', rows, "\n</table></body></html>\n"
     if kind == "tex":
-        return f"\\begin{{tabular}}{{{'l' * len(df.columns)}}}\n\\hline\n{body}\n\\hline\n\\end{{tabular}}\n"
-    return body + "\n"
+        return f"\\begin{{tabular}}{{{'l' * len(df.columns)}}}\n\\hline\n", rows, "\n\\hline\n\\end{tabular}\n"
+    return "", rows, "\n"
+
+
+def document(df: DataFrame, kind: str, most: int = 100_000) -> str:
+    """A whole small document as text: header and footer around the rows. Meant for reports.
+
+    More than ``most`` rows are an error, as they would gather on the driver; ``write_document`` has no such bound.
+    """
+    head, rows, foot = _frame(df, kind)
+    lines = rows.limit(most + 1).collect()
+    if len(lines) > most:
+        raise DataError(f"more than {most} rows; use write_document")
+    return head + "\n".join(r.line for r in lines) + foot
+
+
+def write_document(df: DataFrame, kind: str, path: str) -> None:
+    """A document of any size as text parts: put together in the order of their names they are the document."""
+    head, rows, foot = _frame(df, kind)
+    line = lambda s: df.sparkSession.range(0, 1, 1, 1).select(F.lit(s.strip("\n")).alias("line"))
+    for s, before in ((head, True), (foot, False)):
+        if s.strip("\n"):
+            rows = line(s).unionByName(rows) if before else rows.unionByName(line(s))
+    rows.write.mode("overwrite").text(path)
 
 
 def sequences_wide(points: DataFrame, names: Sequence[str]) -> DataFrame:

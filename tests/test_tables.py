@@ -132,6 +132,17 @@ def test_snapshots(spark, tmp_path):
             files.read_snapshot(write(tmp_path / "bad", bad))
 
 
+def test_documents_are_whole(spark, tmp_path):
+    df = spark.range(0, 100_001, 1, 3)
+    with pytest.raises(DataError):
+        files.document(df, "html")
+    assert files.document(df.limit(5), "html", most=5).count("<tr>") == 5
+    for kind in ("html", "markdown", "tex"):
+        files.write_document(df, kind, str(tmp_path / kind))
+        parts = sorted(p for p in os.listdir(tmp_path / kind) if p.startswith("part-"))
+        assert "".join((tmp_path / kind / p).read_text() for p in parts) == files.document(df, kind, most=100_001)
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "q"', None), (2, "x|y\\_", [1])], "i int, s string, l array<int>")
     assert [r.line for r in files.text_rows(df).collect()] == ['1,"a ""q""",', "2,x|y\\_,[1]"]
