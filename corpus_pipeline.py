@@ -21,15 +21,26 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return scored.where(F.col("score") >= quality.THRESHOLD).select("_row.*")
 
 
+def _row_digest(docs: DataFrame):
+    """SHA-256 of a row's values: rows that share it are the same in every column."""
+    parts = []
+    for c in docs.columns:
+        value = F.col(f"`{c}`").cast("string").cast("binary")
+        parts.append(F.coalesce(F.concat(F.concat(F.octet_length(value).cast("string"), F.lit(":")).cast("binary"), value), F.lit("-").cast("binary")))
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id.
 
-    Rows with the same id are one document, and one of them stays; rows without an id cannot be
-    told apart and stay.
+    Rows are told apart by their values, so different texts with the same id are different
+    documents, and of rows that are the same throughout one stays. Where the smallest id repeats in
+    a group, the row of the smallest digest stays. Rows without an id are not compared and stay.
     """
-    found = simhash.near_duplicates(docs.where("doc_id is not null"))
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keyed = docs.where("doc_id is not null").withColumn("_row", _row_digest(docs))
+    found = simhash.near_duplicates(keyed.select(F.struct("doc_id", "_row").alias("_id"), "text"), "_id")
+    kept = found.where(F.col("_id") == F.col("component_id")).select("_id._row").distinct()
+    named = keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"])
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 

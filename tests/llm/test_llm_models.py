@@ -194,3 +194,14 @@ def test_pipeline_edges(spark):
     for stage in (f for _, f in pipe.STAGES):
         assert stage(spark, odd, SF).count() >= 0 and stage(spark, odd.where("false"), SF).count() == 0
     assert pipe.near_duplicate_filter(spark, odd, SF).where("doc_id is null").count() == 2
+
+
+def test_pipeline_repeated_ids(spark):
+    """Different texts with one id are different documents; copies leave one row, whichever ids repeat."""
+    import corpus_pipeline as pipe
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    texts = [(1, a), (1, b), (2, b), (1, c), (3, c), (3, d), (4, a), (1, a), (1, a), (0, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    for order in (docs, docs.orderBy("text"), docs.orderBy("doc_id", ascending=False)):
+        assert sorted((r.doc_id, r.text) for r in pipe.near_duplicate_filter(spark, order, SF).collect()) == [(0, d), (1, a), (1, b), (1, c)]
