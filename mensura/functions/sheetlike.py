@@ -115,25 +115,30 @@ def aggregate(name: str, *args) -> Column:
 def lookup(df: DataFrame, table: DataFrame, key: str, table_key: str, value: str, out: str = "looked_up", approximate: bool = False) -> DataFrame:
     """VLOOKUP / XLOOKUP as a join: the value of the equal key, or with ``approximate`` of the largest key not above.
 
-    Table keys that repeat give their smallest value. The approximate form merges both sides in one
-    pass: each row carries the last table entry before it in key order, found by ranges of keys
-    and one row of carried state for each range, so neither side is broadcast or sorted in one task.
+    Table keys that repeat give their smallest value. The approximate form merges both sides in key
+    order, dealt by ranges and written once; each row takes the last table entry before it in its
+    range, else the one carried over from the ranges before, so neither side is broadcast or sorted
+    in one task. Rows with one key may go to several ranges (they are parted by a hash of the row).
     """
     one = table.where(F.col(table_key).isNotNull()).groupBy(F.col(table_key).alias("_k")).agg(F.min(value).alias("_v"))
     if not approximate:
         return df.join(one, F.col(key) == F.col("_k"), "left").withColumn(out, F.col("_v")).drop("_k", "_v")
     from pyspark.sql import Window
 
-    rows = df.select(F.col(key).alias("_k"), F.lit(None).alias("_e"), F.struct(*df.columns).alias("_row"))
-    entries = one.select("_k", F.struct(F.col("_v").alias("v")).alias("_e"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
-    both = rows.withColumn("_e", F.lit(None).cast(entries.schema["_e"].dataType)).unionByName(entries)
-    both = both.withColumn("_o", F.col("_row").isNotNull().cast("int")).repartitionByRange("_k").withColumn("_p", F.spark_partition_id())
-    inside = Window.partitionBy("_p").orderBy("_k", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("_f", F.last("_e", ignorenulls=True).over(inside))
-    ends = both.groupBy("_p").agg(F.max_by("_e", F.when(F.col("_e").isNotNull(), F.col("_k"))).alias("_x"))  # one row for each range
-    carried = ends.withColumn("_c", F.last("_x", ignorenulls=True).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
-    done = filled.join(F.broadcast(carried.select("_p", "_c")), "_p").where(F.col("_row").isNotNull())
-    found = F.when(F.col("_k").isNotNull(), F.coalesce("_f", "_c"))
+    from mensura.operators.sheet import in_order
+
+    kind = F.struct(F.lit(None).cast(one.schema["_v"].dataType).alias("v"))
+    plain = [c for c, t in df.dtypes if "map<" not in t]
+    rows = df.select(F.col(key).alias("_key"), F.when(F.lit(False), kind).alias("_e"), F.xxhash64(*plain).alias("_s"), F.struct(*df.columns).alias("_row"))
+    entries = one.select(F.col("_k").alias("_key"), F.struct(F.col("_v").alias("v")).alias("_e"), F.lit(0).cast("long").alias("_s"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
+    both = rows.unionByName(entries).withColumn("_o", F.col("_row").isNotNull().cast("int"))
+    dealt = in_order(both, ["_key", "_o", "_s"])
+    inside = Window.partitionBy("_p").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    filled = dealt.withColumn("_f", F.last("_e", ignorenulls=True).over(inside))
+    ends = dealt.groupBy("_p").agg(F.max_by("_e", F.when(F.col("_e").isNotNull(), F.col("_k"))).alias("_x"))  # one row for each range
+    carried = ends.select("_p", F.last("_x", ignorenulls=True).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))
+    done = filled.join(F.broadcast(carried), "_p").where(F.col("_row").isNotNull())
+    found = F.when(F.col("_key").isNotNull(), F.coalesce("_f", "_c"))
     return done.select("_row.*", found["v"].alias(out))
 
 

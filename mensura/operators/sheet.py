@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mensura.errors import DataError, FormulaError
 from mensura.expr import formula as X
+from mensura.scratch import saved
 
 _CELL = re.compile(r"\$?([A-Za-z]{1,3})\$?(\d+)$")
 #: A cell reference that is neither part of a name nor a function's name.
@@ -101,26 +102,38 @@ def range_cells(spark, ref: str) -> DataFrame:
 
 
 def to_cells(df: DataFrame, order: Sequence[str | Column] = (), columns: Sequence[str] | None = None) -> DataFrame:
-    """A table as (row, col, value as text). Rows are numbered by ``order``, which must be total.
-
-    Numbering needs counts by partition only: rows are range-partitioned and numbered inside, so
-    no task ever sorts the whole table.
-    """
+    """A table as (row, col, value as text). Rows are numbered by ``order``, which must be total (see ``numbered``)."""
     columns = list(columns or df.columns)
     pick = F.array(*(F.struct(F.lit(i).alias("col"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(columns)))
-    return numbered(df, order).select("row", F.explode(pick).alias("c")).select("row", "c.col", "c.value")
+    return numbered(df, order).select(F.col("row").cast("int").alias("row"), F.explode(pick).alias("c")).select("row", "c.col", "c.value")
+
+
+#: The low bits of ``monotonically_increasing_id`` count the rows of a task, the others number the task.
+_ROW_BITS = 33
+
+
+def in_order(df: DataFrame, order: Sequence[str | Column], task: str = "_p", row: str = "_k") -> DataFrame:
+    """Rows dealt by ranges of ``order`` and sorted, with the number of their range and their place in it, from zero.
+
+    The dealt rows are written to the shared folder once. Planned twice they could be dealt in two
+    ways, as ranges are sampled and merged by what each plan reads, and numbers would not agree.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    at = F.col("_at")
+    return saved(dealt).withColumns({task: F.shiftright(at, _ROW_BITS).cast("int"), row: at.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))}).drop("_at")
 
 
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "row") -> DataFrame:
-    """Adds the place from zero in a total order, without a single-partition window."""
+    """Adds the place from zero in a total order, as a long, without a single-partition window.
+
+    One range shuffle and one written table; only the counts of its ranges are broadcast.
+    """
     from pyspark.sql import Window
 
-    keys = list(order)
-    parted = df.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id())
-    local = parted.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)))
-    counts = parted.groupBy("_p").agg(F.count("*").alias("_n"))  # one row for each partition
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn(name, (F.col("_k") + F.col("_before") - 1).cast("int")).drop("_p", "_k", "_before")
+    dealt = in_order(df, order)
+    counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))  # one row for each range
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return dealt.join(F.broadcast(before), "_p").withColumn(name, F.col("_k") + F.col("_before")).drop("_p", "_k", "_before")
 
 
 def clean_bounding_box(cells: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from mensura.fit import grid, odr
 from mensura.fit import spark as fits
 from mensura.functions import sheetlike, special, units
 from mensura.operators import catalog, sheet, uncertainty
+from mensura.scratch import shared_dir
 from mensura.sources import files
 
 QUERIES: dict = {}
@@ -31,20 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared place of the session; only tests on one machine fall back to its temporary folder."""
-    sc = spark.sparkContext
-    top = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("mensura.scratch.dir", None)
-    if not top:
-        import tempfile
-
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="mensura-")
-        spark.conf.set("mensura.scratch.dir", top)
-    return f"{top.rstrip('/')}/mensura-files/{uuid.uuid4().hex}"
-
-
 def _r(c, n: int = 6):
     """Rounded, and without negative zero."""
     return F.round(c, n) + F.lit(0.0)
@@ -223,21 +208,21 @@ def _nation(spark, sf_dir):
 
 @query("""SELECT n_nationkey::DOUBLE AS c0, n_name || ', "x"' AS c1, n_regionkey::DOUBLE AS c2 FROM nation""")
 def text_export_roundtrip(spark, sf_dir):
-    path = _scratch(spark)
+    path = shared_dir(spark)
     files.write(_nation(spark, sf_dir), "csv", path)
     return files.read(spark, "csv", path, numeric=["c0", "c2"])
 
 
 @query("""SELECT n_nationkey::VARCHAR AS c0, n_name AS c1 FROM nation""")
 def text_import(spark, sf_dir):
-    path = _scratch(spark)
+    path = shared_dir(spark)
     files.write(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "txt", path, delimiter="|")
     return files.read(spark, "txt", path, delimiter="|")
 
 
 @query("""SELECT count(*) AS rows, 4::BIGINT AS columns FROM nation""")
 def file_metadata(spark, sf_dir):
-    path = _scratch(spark)
+    path = shared_dir(spark)
     files.write(_nation(spark, sf_dir), "csv", path)
     m = files.metadata(spark, path, ",")
     return spark.createDataFrame([(m["rows"], m["columns"])], "rows long, columns long")
@@ -245,7 +230,7 @@ def file_metadata(spark, sf_dir):
 
 @query("""SELECT r_regionkey::VARCHAR AS column_1, r_name AS column_2 FROM region""")
 def parquet_as_text(spark, sf_dir):
-    path = _scratch(spark)
+    path = shared_dir(spark)
     files.write(table(spark, sf_dir, "region"), "parquet", path, as_text=True)
     return files.read(spark, "parquet", path)
 
