@@ -73,16 +73,33 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Rows in an Arrow batch at most, for texts of up to some hundred thousand bytes each.
-BATCH_ROWS = 1000
-
-
-def short_batches(spark: SparkSession) -> None:
-    """Keeps the session's Arrow batches, whose rows may be whole texts, from outgrowing a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if not 0 < now <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+#: Bytes of an Arrow batch that are turned into Python objects at once; a longer text goes by itself.
+PART_BYTES = 8 << 20
+
+
+def parts_of(batch: pa.RecordBatch, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in order, halved until a part holds ``most`` bytes at most, or one row."""
+    todo = [batch]
+    while todo:
+        b = todo.pop()
+        if b.num_rows > 1 and b.nbytes > most:
+            half = b.num_rows // 2
+            todo += [b.slice(half), b.slice(0, half)]
+        elif b.num_rows:
+            yield b
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches joined to about ``most`` bytes, for work whose cost is by batch."""
+    held, size = [], 0
+    for b in batches:
+        if held and size + b.nbytes > most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def map_batches(
@@ -90,20 +107,24 @@ def map_batches(
     columns: Sequence[str],
     fields: Sequence[T.StructField],
     make: Callable[[], Callable[..., list]],
+    gather: int = 0,
 ) -> DataFrame:
     """Arrow batches of ``columns`` to rows of ``fields``: one result row for each input row.
 
     ``make()`` runs once in each task; what it returns takes one Arrow array for each column and
     returns one Arrow array or list for each field. ``columns`` may repeat none; other columns of
     ``df`` are pruned before the transfer, so clashing names cannot matter.
+
+    Spark bounds its batches by bytes; of each no more than ``PART_BYTES`` become Python objects at
+    once, so memory is bounded by that and by the longest text. ``gather``: bytes of batches that
+    are joined first instead, for work that has a cost by batch.
     """
-    short_batches(df.sparkSession)
     schema = T.StructType(list(fields))
     arrow = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for b in batches:
+        for b in gathered(batches, gather) if gather else (x for b in batches for x in parts_of(b)):
             out = work(*b.columns)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -134,12 +155,24 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def one_text_each(documents: DataFrame, picked: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """``picked`` (column _id and others, unique by _id, of bounded size) with the text (_text) of each id.
+
+    Of several rows with one id that of the smallest text counts, and is found before the shuffle, so
+    neither the result nor a task grows with the rows of an id. Ids without a row are left out; null
+    texts are empty.
+    """
+    texts = documents.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    others = [c for c in picked.columns if c != "_id"]
+    return texts.join(F.broadcast(picked), "_id").groupBy("_id", *others).agg(F.min("_text").alias("_text"))
+
+
 def labelled_sample(labels: DataFrame, documents: DataFrame, label: str, rows: int, id_col="doc_id", text_col="text"):
-    """At most ``rows`` labelled documents that are not held out: (id, text, label).
+    """At most ``rows`` labelled documents that are not held out, one row for each id: (_id, _y, _text).
 
     The sample is taken from the labels alone by a hash of the id, so its size is bounded by
-    ``rows`` before it is broadcast against the documents. Ids whose labels disagree or are null,
-    and ids that repeat, count once (largest label).
+    ``rows`` before it is broadcast against the documents. Ids whose labels disagree count once, with
+    the largest label; null labels and ids do not count; of repeated documents see ``one_text_each``.
     """
     picked = (
         labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y"))
@@ -149,5 +182,23 @@ def labelled_sample(labels: DataFrame, documents: DataFrame, label: str, rows: i
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(rows)
     )
-    docs = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return docs.join(F.broadcast(picked), "_id")
+    return one_text_each(documents, picked, id_col, text_col)
+
+
+#: A key with more rows than this, and than a thousandth of all, is joined by broadcast.
+HOT = 100
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, on: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``classes``, unique by ``on``, whose column ``size`` counts the rows of each key.
+
+    Keys with more than ``HOT`` rows and more than a thousandth of ``total`` rows are a thousand at
+    most, so they go by broadcast; no task meets all rows of such a key. The other keys go by a
+    shuffle join, and each has few rows. ``how``: inner, or left (rows without a class keep nulls).
+    Null keys have no class. The result lacks ``size``.
+    """
+    hot = max(HOT, total // 1000)
+    many = classes.where(F.col(size) > hot).drop(size)
+    few = classes.where(F.col(size) <= hot).drop(size)
+    keys = F.broadcast(many.select(*on))
+    return rows.join(F.broadcast(many), on).unionByName(rows.join(keys, on, "left_anti").join(few, on, how))

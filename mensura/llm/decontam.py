@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.common import WORD_BYTES, map_batches, saved, short_batches, table, utf8_bytes
+from mensura.llm.common import WORD_BYTES, gathered, map_batches, parts_of, saved, table, utf8_bytes
 
 #: Words in a window; an item of fewer words is one window.
 WINDOW = 10
 #: UTF-8 bytes of item text in one block of the item index; that bounds what is broadcast at once.
 BLOCK_BYTES = 2 << 20
+#: Bytes of documents that pass through all blocks together when there are several.
+GATHERED = 16 << 20
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -73,7 +75,7 @@ def _count_shingles(blocks):
         import pyarrow as pa
 
         loaded = None
-        for batch in batches:
+        for batch in gathered(batches, GATHERED) if len(blocks) > 1 else (x for b in batches for x in parts_of(b)):
             docs = [words(x) for x in utf8_bytes(batch.column(0))]
             for b, block in enumerate(blocks):
                 if loaded is None or len(blocks) > 1:
@@ -159,22 +161,24 @@ def decontaminate(
     alignment. ``spans`` are merged [start, end) word ranges.
 
     The item side travels in blocks of at most ``block_bytes`` of text each (a single larger item
-    makes its own block); with several blocks every Arrow batch passes through one after the
-    other, so any benchmark size is exact in bounded memory and documents are never shuffled.
+    makes its own block); with several blocks documents of ``GATHERED`` bytes pass through one after
+    the other, so any benchmark size is exact in bounded memory and documents are never shuffled.
 
     Null or wordless texts have no words and hit nothing; items that are null, wordless or have a
-    null id are no items. Equal items and repeated ids are merged; repeated document rows each
-    give a row. Empty tables give n_items 0 or no rows. Other columns are ignored.
+    null id are no items. Very long texts are compared whole; time grows with their words. Equal
+    items and repeated ids are merged; repeated document rows each give a row, ties of frequency
+    fall to the earlier shingle. Empty tables give n_items 0 or no rows. Other columns are ignored.
     """
     spark = documents.sparkSession
     sc = spark.sparkContext
-    short_batches(spark)
     items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).cast("binary").alias("t")).where("i is not null and t is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
     blocks = []
+    if n > 1:  # one pass over the benchmark; each block is then a part of a sorted table
+        items = saved(items.withColumn("b", F.pmod(F.xxhash64("t"), F.lit(n))).repartition("b").sortWithinPartitions("b"))
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k)
+        part = items if n == 1 else items.where(F.col("b") == k).select("i", "t")
         block = _Items(part.toLocalIterator(), window)
         if block.seqs:
             blocks.append(sc.broadcast(block))
@@ -221,6 +225,7 @@ def decontaminate(
             T.StructField("spans", T.ArrayType(span)),
         ],
         make,
+        GATHERED if len(blocks) > 1 else 0,
     )
 
 

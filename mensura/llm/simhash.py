@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -10,15 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.common import LOWER_BYTES, map_batches, saved, table, utf8_bytes
+from mensura.llm.common import LOWER_BYTES, join_classes, map_batches, saved, table, utf8_bytes
 from mensura.llm.components import connected_components
 
 #: Differing bits up to which fingerprints link. The band scheme below is exact for 2.
 RADIUS = 2
 #: Words in a shingle, and the hash seed.
 SHINGLE, SEED = 3, 42
-#: Bits of the structured pivots, which split 64 bits into 32 pairs: pivot j has only pair j set.
-PAIRS = [3 << (2 * j) for j in range(32)]
+#: Structured pivots: the fingerprint 0 and the 64 of one set bit; bits fall into sections for the join keys.
+PIVOTS, SECTIONS = [1 << j for j in range(64)], 5
 #: Further reference fingerprints, from a rule.
 REFERENCES = [xxhash.xxh64_intdigest(str(k), seed=7) for k in range(16)]
 #: A bucket of more fingerprints than this is linked by shared neighbours instead of pairs.
@@ -63,22 +64,39 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def pivot_bands(fp: Column, pivots: Sequence[int] = PAIRS) -> Column:
-    """Join keys from the table of distances to the pivots: array of (band, key).
+def pivot_codes(fp: Column, pivots: Sequence[int] = PIVOTS, sections: int = SECTIONS) -> list[Column]:
+    """Coordinates of the table of distances to the pivots, packed to one code for each section.
 
-    d(x, p_j) - d(x, 0) is 2, 0 or -2 for a pivot of two set bits, and changes for at most one j
-    with each bit of x that flips. The 32 coordinates form four sections; fingerprints within two
-    bits agree in all coordinates of at least two sections, hence in one of six pairs of sections.
+    d(x, p_j) - d(x, 0) is 1 or -1 for a pivot of one set bit, and changes for one j alone with
+    each bit of x that flips.
     """
     origin = F.bit_count(fp)
+    cuts = [len(pivots) * k // sections for k in range(sections + 1)]
     codes = []
-    for s in range(4):
+    for a, b in zip(cuts, cuts[1:]):
         code = F.lit(0).cast("long")
-        for p in pivots[8 * s : 8 * s + 8]:
-            code = code * 3 + ((_distance(fp, F.lit(_signed(p))) - origin + 2) / 2).cast("int")
+        for p in pivots[a:b]:
+            code = code * 2 + ((_distance(fp, F.lit(_signed(p))) - origin + 1) / 2).cast("int")
         codes.append(code)
-    pairs = [(a, b) for a in range(4) for b in range(a)]
-    return F.array(*(F.struct(F.lit(k).alias("band"), (codes[a] * 3**8 + codes[b]).alias("key")) for k, (a, b) in enumerate(pairs)))
+    return codes
+
+
+def pivot_bands(codes: Sequence[Column], radius: int = RADIUS) -> Column:
+    """Join keys: array of (band, key), one for each choice of all sections but ``radius``.
+
+    Fingerprints within ``radius`` bits differ in that many sections at most, so they agree in one
+    choice of the others. With 64 bits in 5 sections a key of 3 has 38 or 39 bits: few of 10^9
+    fingerprints share one by chance.
+    """
+    keep = len(codes) - radius
+    wide = -(-64 // len(codes))
+    bands = []
+    for k, own in enumerate(combinations(codes, keep)):
+        key = own[0]
+        for c in own[1:]:
+            key = key * (1 << wide) + c
+        bands.append(F.struct(F.lit(k).alias("band"), key.alias("key")))
+    return F.array(*bands)
 
 
 def _survivors(members: Column, references: Sequence[int] = REFERENCES) -> Column:
@@ -104,14 +122,16 @@ def near_edges(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
     Buckets of at most ``bucket`` fingerprints are compared inside: the table of distances to the
     reference fingerprints discards a pair when any coordinate differs by more than the radius,
-    and the rest is verified. Members of larger buckets are linked exactly without pairs: two
-    fingerprints are within two bits just if some fingerprint is within one bit of both, so each
-    emits itself and its 64 one-bit neighbours, and those that meet at a neighbour (65 at most) are
-    chained to the smallest.
+    and the rest is verified. Larger buckets are those of many texts almost alike, whose pairs are
+    not to be listed; their members are linked exactly without pairs: two fingerprints are within
+    two bits just if some fingerprint is within one bit of both, so each emits itself and its 64
+    one-bit neighbours, and those that meet at a neighbour (65 at most) are chained to the smallest.
     """
-    keyed = prints.select("fp", F.explode(pivot_bands(F.col("fp"))).alias("b")).select("fp", "b.band", "b.key")
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = saved(keyed.join(sizes, ["band", "key"]))
+    codes = [F.col(f"c{k}") for k in range(SECTIONS)]
+    coded = prints.select("fp", *(c.alias(f"c{k}") for k, c in enumerate(pivot_codes(F.col("fp")))))
+    keyed = saved(coded.select("fp", F.explode(pivot_bands(codes)).alias("b")).select("fp", "b.band", "b.key"))
+    sizes = saved(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")).withColumn("members", F.col("n"))
+    shared = saved(join_classes(keyed, sizes, ["band", "key"], "members", keyed.count()))
     table_ = F.array(*(_distance(F.col("fp"), F.lit(_signed(r))).cast("byte") for r in REFERENCES))
     small = (
         shared.where(F.col("n") <= bucket)
@@ -139,17 +159,18 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """One row for each document row: id, fp, component_id (smallest id reachable by links).
 
     Equal fingerprints are collapsed to one row before any join, so copies cost nothing further.
-    Null, empty and blank texts have fingerprint 0 and are linked like any other. Repeated ids
-    each give a row. A null id is never a component's name unless the component has no other id.
-    An empty table gives no rows; other columns are ignored.
+    Null, empty and blank texts have fingerprint 0 and are linked like any other. Texts of any
+    length are read whole, in bounded pieces of their hashes. Repeated ids each give a row. A null
+    id is never a component's name unless the component has no other id. An empty table gives no
+    rows; other columns are ignored, whatever their names.
     """
     d = saved(fingerprints(documents, id_col, text_col).withColumnRenamed(id_col, "_id"))
-    prints = d.groupBy("fp").agg(F.min("_id").alias("least"))
+    prints = saved(d.groupBy("fp").agg(F.min("_id").alias("least"), F.count("*").alias("copies")))
     linked = connected_components(near_edges(prints.select("fp")))
     named = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    root = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = named.join(root, "component").select("fp", "component_id")
-    return d.join(by_print, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    root = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    by_print = join_classes(named.select("fp", "copies", "component"), root, ["component"], "n", prints.count())
+    return join_classes(d, saved(by_print.select("fp", "component_id", "copies")), ["fp"], "copies", d.count()).select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.common import shared_dir, short_batches, table
+from mensura.llm.common import join_classes, saved, shared_dir, table
 
 #: Payloads shorter than this are always stored.
 LEAST = 100
 #: Pages in one archive file at most; a file is streamed by one task.
 PAGES_PER_FILE = 20_000
+#: Bytes of an uncompressed archive at most: it is read whole, as only compressed files are never split.
+PLAIN_BYTES = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -49,27 +51,50 @@ def _record(headers: list, body: Column) -> Column:
     return F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit("\r\n"), body, F.lit("\r\n\r"))
 
 
+def _revisits(light: DataFrame) -> DataFrame:
+    """(_id, _digest, refers_to, target_uri, target_lone) of the pages whose payload a smaller id holds.
+
+    ``light``: id, digest, uri of the payloads long enough. Copies are counted by (digest, id)
+    before the shuffle; digests of very many pages meet their first page by broadcast.
+    """
+    pages = saved(light.groupBy("digest", "id").agg(F.count("*").alias("m"), F.min("uri").alias("uri")))
+    first = pages.groupBy("digest").agg(F.min_by(F.struct("id", "uri", "m"), "id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    met = join_classes(pages.select("digest", "id"), saved(first), ["digest"], "n", pages.count())
+    again = met.where(~F.col("id").eqNullSafe(F.col("first.id")))
+    return again.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("first.id").alias("refers_to"), F.col("first.uri").alias("target_uri"), (F.col("first.m") == 1).alias("target_lone"))
+
+
+def _repeated(light: DataFrame) -> DataFrame:
+    """(id, digest) that several rows share: their records need names of their own."""
+    return light.groupBy("id", "digest").agg(F.count("*").alias("m")).where("m > 1").select(F.col("id").alias("_rid"), F.col("digest").alias("_rdigest"))
+
+
 def records(pages: DataFrame, id_col="page_id", uri_col="url", payload_col="html", least: int = LEAST, date: str = DATE) -> DataFrame:
     """(record): request, response or revisit, and metadata of each page as one text.
 
     Copies are found from (digest, id) alone, aggregated before the shuffle; the (id, digest) of
     the revisits then meet the pages in a join by both, so a page's thousands of copies do not
-    share a task. Request and metadata name their response by WARC-Concurrent-To; the metadata
-    record carries the page's id and, for a revisit, that of the page it refers to.
+    share a task. Request and metadata name their response by WARC-Concurrent-To. A revisit names
+    the response it repeats by WARC-Refers-To-Target-URI, WARC-Refers-To-Date and, unless that page
+    stands in several rows, WARC-Refers-To; record ids follow from kind, id and payload, and rows
+    that share these get a further number. The metadata record carries the page's id and, for a
+    revisit, that of the page it refers to.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).cast("string")
     rows = pages.select(F.col(id_col).alias("id"), _one_line(F.col(uri_col)).alias("uri"), payload.alias("payload")).withColumns(
         {"digest": F.sha2(F.col("payload").cast("binary"), 256), "size": F.octet_length("payload")}
     )
-    light = rows.where(F.col("size") >= least).select("id", "digest")
-    first = light.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    again = light.join(first, "digest").where(~F.col("id").eqNullSafe(F.col("refers_to"))).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "refers_to").distinct()
-    rows = rows.join(again, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
-    revisit = F.col("_digest").isNotNull()
-    # repeated rows keep ids of their own; all records of a page come from one row, so they agree
-    name = F.concat_ws("|", F.col("id").cast("string"), "digest", F.monotonically_increasing_id().cast("string"))
-    rows = rows.select("id", "uri", "payload", "digest", "size", "refers_to", revisit.alias("revisit"), name.alias("name"))
-    of = lambda kind: _uuid(F.md5(F.concat_ws("|", F.lit(kind), "name").cast("binary")))
+    light = saved(rows.select("id", "digest", "uri", (F.col("size") >= least).alias("long")))
+    again = _revisits(light.where("long")).withColumn("revisit", F.lit(True))
+    # one row for each (id, digest) that is a revisit or repeated, so the join cannot multiply pages
+    notes = saved(again.join(_repeated(light), F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_digest") == F.col("_rdigest")), "full").select(
+        F.coalesce("_id", "_rid").alias("_id"), F.coalesce("_digest", "_rdigest").alias("_digest"), "refers_to", "target_uri", "target_lone", F.coalesce("revisit", F.lit(False)).alias("revisit"), F.col("_rdigest").isNotNull().alias("repeated")
+    ))
+    rows = rows.join(notes, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    number = F.when(F.coalesce("repeated", F.lit(False)), F.monotonically_increasing_id().cast("string"))
+    name = F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("-")), "digest", number)
+    rows = rows.select("id", "uri", "payload", "digest", "size", "refers_to", "target_uri", "target_lone", F.coalesce("revisit", F.lit(False)).alias("revisit"), name.alias("name"))
+    of = lambda kind, n=F.col("name"): _uuid(F.md5(F.concat_ws("|", F.lit(kind), n).cast("binary")))
     kind = F.when(F.col("revisit"), "revisit").otherwise("response")
     target, when = ("WARC-Target-URI", F.col("uri")), ("WARC-Date", F.lit(date))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
@@ -78,7 +103,10 @@ def records(pages: DataFrame, id_col="page_id", uri_col="url", payload_col="html
         F.concat(F.lit("GET "), F.col("uri"), F.lit(" HTTP/1.1\r\n\r\n")),
     )
     answer = [("WARC-Type", kind), ("WARC-Record-ID", of("response")), when, target, ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), ("Content-Type", F.lit("application/http; msgtype=response"))]
-    response = F.when(F.col("revisit"), _record([*answer, ("WARC-Profile", F.lit(_REVISIT))], http)).otherwise(_record(answer, F.concat(http, F.col("payload"))))
+    original = of("response", F.concat_ws("|", F.col("refers_to").cast("string"), "digest"))
+    refers = F.concat(F.when(F.col("target_lone"), F.concat(F.lit("WARC-Refers-To: "), original, F.lit("\r\n"))).otherwise(F.lit("")), F.lit("WARC-Refers-To-Target-URI: "), F.coalesce("target_uri", F.lit("")))
+    repeats = [("WARC-Profile", F.concat(F.lit(_REVISIT + "\r\n"), refers)), ("WARC-Refers-To-Date", F.lit(date))]
+    response = F.when(F.col("revisit"), _record([*answer, *repeats], http)).otherwise(_record(answer, F.concat(http, F.col("payload"))))
     line = lambda key, v: F.coalesce(F.concat(F.lit(f"{key}: "), v.cast("string"), F.lit("\r\n")), F.lit(""))
     metadata = _record(
         [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", of("metadata")), when, target, ("WARC-Concurrent-To", of("response")), ("Content-Type", F.lit("application/warc-fields"))],
@@ -91,7 +119,9 @@ def write_warc(pages: DataFrame, path: str, id_col="page_id", uri_col="url", pay
     """Gzip archives of the pages below ``path``: any file system of Spark's, committed as Spark commits.
 
     Null payloads are empty; null uris are empty; line breaks in uris become blanks. An empty table
-    writes no records. Of several rows with the smallest id of a payload all are responses.
+    writes no records. Of several rows with the smallest id of a payload all are responses; a null
+    id is larger than others. Payloads of any length are written whole, each held by one task.
+    Other columns are ignored. Each file is one gzip member: Spark's sink compresses by file.
     """
     out = records(pages, id_col, uri_col, payload_col, least).write.option("lineSep", "\n").option("maxRecordsPerFile", 3 * PAGES_PER_FILE)
     out.option("compression", "gzip").text(path)
@@ -171,52 +201,60 @@ def _row(headers: dict, block: bytes, keep: bool) -> tuple:
     return kind, headers.get("warc-record-id"), headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers, fields, size, digest, body if keep else None
 
 
-def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row for each record (see RECORD) of the archives (``.gz``) below ``path``.
-
-    Spark's text source streams each archive, cut where a new record may begin, so a task holds
-    one record and one Arrow batch, however large the archive. Compressed archives are read by one
-    task each from start to end; write several. Digests of stored payloads are computed anew and
-    compared with the declared SHA-256.
-    """
+def _parsed(fragments, whole: bool, payloads: bool):
+    """Arrow batches of (file, fragment) or of (file, whole archive) to batches of RECORD."""
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    short_batches(spark)
-    lines = spark.read.option("lineSep", _BETWEEN).option("recursiveFileLookup", "true").text(path)
-    # plain archives could be split inside a payload; the compressed ones cannot
-    pieces = lines.select("_metadata.file_path", F.col("value").cast("binary").alias("value")).where(F.col("file_path").endswith(".gz"))
-    names = RECORD.names
-
-    def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
+    schema, names = to_arrow_schema(RECORD), RECORD.names
 
-        schema = to_arrow_schema(RECORD)
-
-        def out(rows):
-            cols = list(zip(*rows))
-            fix = [[list(m.items()) for m in c] if n in ("headers", "fields") else list(c) for n, c in zip(names, cols)]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(fix, schema)], schema=schema)
+    def out(rows):
+        cols = list(zip(*rows))
+        fix = [[list(m.items()) for m in c] if n in ("headers", "fields") else list(c) for n, c in zip(names, cols)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(fix, schema)], schema=schema)
 
+    def records():
         splitter, at = Splitter(), None
-        rows, held = [], 0
-        for b in batches:
+        for b in fragments:
             for file, fragment in zip(b.column(0).to_pylist(), b.column(1)):
+                if whole:
+                    yield from parse(fragment.as_py())
+                    continue
                 first = file != at
                 if first and splitter.head is not None:
                     raise ValueError(f"{at} ends inside a record")
                 at = file
-                for headers, block in splitter.push(fragment.as_py(), first):
-                    rows.append(_row(headers, block, payloads))
-                    held += len(block)
-                    if len(rows) >= 2000 or held > 8 << 20:
-                        yield out(rows)
-                        rows, held = [], 0
+                yield from splitter.push(fragment.as_py(), first)
         if splitter.head is not None:
             raise ValueError(f"{at} ends inside a record")
-        if rows:
+
+    rows, held = [], 0
+    for headers, block in records():
+        rows.append(_row(headers, block, payloads))
+        held += len(block)
+        if len(rows) >= 2000 or held > 8 << 20:
             yield out(rows)
+            rows, held = [], 0
+    if rows:
+        yield out(rows)
 
-    return pieces.mapInArrow(run, RECORD)
+
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """One row for each record (see RECORD) of the archives below ``path``.
+
+    Spark's text source streams each compressed archive (``.gz``), cut where a new record may begin,
+    so a task holds one record and one Arrow batch, however large the archive. Such an archive is
+    read by one task from start to end; write several. Spark would split uncompressed ones inside
+    a payload, so these are read whole, and one of more than ``PLAIN_BYTES`` is an error. Digests of
+    stored payloads are computed anew and compared with the declared SHA-256. No file, no rows.
+    """
+    lines = spark.read.option("lineSep", _BETWEEN).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").text(path)
+    pieces = lines.select("_metadata.file_path", F.col("value").cast("binary").alias("value"))
+    others = "{*[!z],*[!g]z,*[!.]gz}"
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", others).load(path).where("length > 0")
+    small = F.when(F.col("length") <= PLAIN_BYTES, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("an uncompressed archive is too large: "), F.col("path"))).cast("binary"))
+    from_lines = pieces.mapInArrow(lambda batches: _parsed(batches, False, payloads), RECORD)
+    return from_lines.unionByName(plain.select("path", small.alias("content")).mapInArrow(lambda batches: _parsed(batches, True, payloads), RECORD))
 
 
 def captures(found: DataFrame) -> DataFrame:
