@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.common import Remembered, held_out, map_batches, table
+from mensura.llm.common import Remembered, held_out, map_batches, one_text_each, saved, table
 
 #: Trusted positives, and unlabelled documents, used for fitting at most.
 POSITIVES, UNLABELLED = 4000, 6000
@@ -83,24 +83,30 @@ class PUModel:
             prior = estimated_prior(positive, unlabelled)
         prior = float(np.clip(prior, 0.01, 0.99))
         w, m, v = (np.zeros(positive.shape[1] + 1) for _ in range(3))
-        np_, nu = len(positive), len(unlabelled)
         for step in range(1, steps + 1):
-            w32 = w[:-1].astype(np.float32)
-            zp, zu = positive @ w32 + w[-1], unlabelled @ w32 + w[-1]
-            sp, su = _sigmoid(zp), _sigmoid(zu)
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            gp_neg, gu = -prior * sp / np_, su / nu  # gradient of the bracket
-            if negative >= 0:
-                gp, gu = gp_neg + prior * (sp - 1) / np_, gu
-            else:
-                gp, gu = -gp_neg, -gu
-            grad = np.append(gp.astype(np.float32) @ positive + gu.astype(np.float32) @ unlabelled + decay * w[:-1], gp.sum() + gu.sum())
+            _, grad = descent(w, positive, unlabelled, prior)
+            grad[:-1] += decay * w[:-1]
             m = 0.9 * m + 0.1 * grad
             v = 0.999 * v + 0.001 * grad**2
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return cls(w[:-1], float(w[-1]), prior)
 
 
+def descent(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """(risk, direction) at weights and bias ``w``: the gradient of the risk, or that of the negated bracket while it is below 0."""
+    w32 = w[:-1].astype(np.float32)
+    zp, zu = positive @ w32 + w[-1], unlabelled @ w32 + w[-1]
+    sp, su = _sigmoid(zp), _sigmoid(zu)
+    bracket = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    risk = prior * np.logaddexp(0, -zp).mean() + max(0.0, bracket)
+    gp, gu = -prior * sp / len(zp), su / len(zu)  # gradient of the bracket
+    if bracket >= 0:
+        gp = gp + prior * (sp - 1) / len(zp)
+    else:
+        gp, gu = -gp, -gu
+    return float(risk), np.append(gp.astype(np.float32) @ positive + gu.astype(np.float32) @ unlabelled, gp.sum() + gu.sum())
+
+
 def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among the unlabelled: the least ratio of the shares of U and P above a cut.
 
@@ -126,46 +132,60 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(min(found)[1])
 
 
+def _web_sample(documents: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """(_id): at most ``rows`` distinct ids that are not held out, by a hash of the id.
+
+    About how many ids there are is counted first; a cut of the hash then leaves few more than are
+    asked for, so neither the number of rows of an id nor that of all ids matters to the shuffle.
+    """
+    ids = documents.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull() & ~held_out("_id"))
+    n = ids.agg(F.approx_count_distinct("_id", 0.02)).first()[0]
+    wanted = 1.2 * rows + 6 * rows**0.5 + 30  # more than the count's error and chance can take away
+    if n > 2 * wanted:
+        ids = ids.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < int(wanted / n * (1 << 40)))
+    return ids.distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows)
+
+
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", id_col="doc_id", text_col="text", positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> PUModel:
     """A model from bounded samples, by a hash of the id, of rows that are not held out.
 
-    The prior is the share of positives among the labelled rows that may be learnt from; if these
-    have one class only it is estimated from the samples. Labelled negatives serve no other end.
+    Trusted positives are the documents labelled 1; the unlabelled are taken from all documents.
+    Labelled negatives serve no end: the prior is estimated from the two samples. Ids that repeat
+    count once, with their largest label and smallest text, so a sample has one row for each id;
+    null ids and labels do not count. Without positives or documents the model scores 0.5.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where(~held_out("_id") & F.col("_y").isNotNull() & F.col("_id").isNotNull())
-    known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
-    if prior is None:
-        n, share = known.agg(F.count("*"), F.avg("_y")).first()
-        prior = share if n and 0 < share < 1 else None
-    order = [F.xxhash64("_id"), F.col("_id")]
-    web = documents.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull() & ~held_out("_id"))
-    picked = (
-        known.where("_y = 1").select("_id", F.lit(1).alias("p")).orderBy(*order).limit(positives)
-        .unionByName(web.select("_id", F.lit(0).alias("p")).orderBy(*order).limit(unlabelled))
-    )
-    texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    trusted = known.groupBy("_id").agg(F.max("_y").alias("_y")).where("_y = 1").orderBy(F.xxhash64("_id"), "_id").limit(positives)
+    picked = trusted.select("_id", F.lit(True).alias("p"), F.lit(False).alias("u")).unionByName(_web_sample(documents, id_col, unlabelled).select("_id", F.lit(False).alias("p"), F.lit(True).alias("u")))
+    picked = saved(picked.groupBy("_id").agg(F.max("p").alias("p"), F.max("u").alias("u")))
+    texts = saved(one_text_each(documents, picked, id_col, text_col))
 
     def make():
         shapes = _Shapes()
 
-        def run(p, col):
-            return p, [features(x, shapes).tobytes() for x in col.to_pylist()]
+        def run(p, u, col):
+            return p, u, [features(x, shapes).tobytes() for x in col.to_pylist()]
 
         return run
 
-    rows = map_batches(texts, ["p", "_text"], [T.StructField("p", T.IntegerType()), T.StructField("x", T.BinaryType())], make).toLocalIterator()
+    fields = [T.StructField("p", T.BooleanType()), T.StructField("u", T.BooleanType()), T.StructField("x", T.BinaryType())]
+    rows = map_batches(texts, ["p", "u", "_text"], fields, make).toLocalIterator()
     out: tuple[list, list] = ([], [])
     for r in rows:
-        out[r.p].append(np.frombuffer(r.x, np.float32))
+        x = np.frombuffer(r.x, np.float32)
+        if r.p:
+            out[0].append(x)
+        if r.u:
+            out[1].append(x)
     wide = BUCKETS + 6
-    return PUModel.fit(*(np.array(out[k], np.float32).reshape(-1, wide) for k in (1, 0)), prior=prior)
+    return PUModel.fit(*(np.array(x, np.float32).reshape(-1, wide) for x in out), prior=prior)
 
 
 def score(documents: DataFrame, model: PUModel, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, score) for each document row: the model's probability of good quality, whole texts.
 
-    Null and empty texts are scored as texts without tokens. Repeated rows each give a row; an
-    empty table gives none; other columns are ignored.
+    Null and empty texts are scored as texts without tokens; texts of any length are read whole.
+    Repeated rows each give a row, null ids too; an empty table gives none; other columns are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
 

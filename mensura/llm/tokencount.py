@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import functools
-from bisect import bisect_right
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.common import Remembered, map_batches, table
+from mensura.llm.common import Remembered, map_batches, saved, table
 
 #: Tokens above which a document is over the limit.
 LIMIT = 4096
@@ -22,6 +21,8 @@ SPACE = "▁"
 FINE = r"▁*(?:[\p{L}\p{M}]+|[^\p{L}\p{M}\p{Nd}▁]+|\p{Nd})|▁+"
 #: Used where a vocabulary has pieces that cross the finer cuts.
 COARSE = r"▁*[^▁]+|▁+"
+#: A stored step between the counts of neighbouring prefixes.
+STEP = np.dtype("<i2")
 
 
 class PrefixCounter:
@@ -139,11 +140,17 @@ class PrefixCounter:
         return out
 
 
-class _Counts(Remembered):
-    """Chunk to its token count, the last entry of its prefix table."""
+class _Tables(Remembered):
+    """Chunk to its prefix table: the steps from each count to the next, as 16-bit numbers in bytes."""
 
     def __init__(self, counter: PrefixCounter, most: int = REMEMBERED):
-        super().__init__(lambda chunk: counter.table(chunk)[-1], most)
+        def steps(chunk: str) -> bytes:
+            out = np.diff(counter.table(chunk))
+            if np.abs(out).max(initial=0) > np.iinfo(STEP).max:
+                raise OverflowError("a step between neighbouring prefixes needs more than 16 bits")
+            return out.astype(STEP).tobytes()
+
+        super().__init__(steps, most)
 
 
 @functools.lru_cache(4)
@@ -153,73 +160,99 @@ def load(path: str | None = None) -> PrefixCounter:
     return PrefixCounter(path or public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def fits(counter: PrefixCounter, pieces: list[str], ends: np.ndarray, budget: int) -> int:
-    """Characters of the longest prefix whose count is at most ``budget``.
+def steps_of(table: bytes) -> np.ndarray:
+    """Steps of a text's stored table: the first of the model's own leading blank joined to that of the first character."""
+    steps = np.frombuffer(table, STEP)
+    if not len(steps):
+        return steps
+    steps = steps[1:].copy()
+    steps[0] += np.frombuffer(table, STEP, 1)[0]
+    return steps
 
-    ``ends`` are the counts at chunk ends, which never fall; only the chunk that passes the budget
-    is opened. A prefix may be cut anywhere in it.
-    """
-    k = bisect_right(ends, budget)
-    done = sum(map(len, pieces[:k]))
-    if k < len(pieces):
-        base = int(ends[k - 1]) if k else 0
-        t = counter.table(pieces[k])
-        done += max((i for i in range(len(t)) if base + t[i] <= budget), default=0)
-    return max(0, done - 1)  # without the blank that the model puts in front
 
+def reach(steps: np.ndarray, budget: int) -> int:
+    """Characters of the longest prefix of at most ``budget`` tokens; counts may fall where a merge ends, so the last one counts."""
+    held = np.flatnonzero(np.cumsum(steps, dtype=np.int64) <= budget)
+    return int(held[-1]) + 1 if len(held) else 0
 
-def token_counts(documents: DataFrame, id_col="doc_id", text_col="text", model: str | None = None, limit: int = LIMIT, tables: bool = False) -> DataFrame:
-    """One row for each document row: id, n_tokens, fit_chars, and with ``tables`` the prefix table.
 
-    ``fit_chars`` is the length in code points of the longest prefix of at most ``limit`` tokens.
-    The table holds, for each chunk, its end as a code point offset and the count there
-    (``chunk_end``, ``chunk_count``); counts between come from ``PrefixCounter.table`` of one chunk.
-    ``budget`` answers further limits from it without reading the text's other chunks.
+def token_counts(documents: DataFrame, id_col="doc_id", text_col="text", model: str | None = None, limit: int = LIMIT, tables: bool = False, prefixes: bool = False) -> DataFrame:
+    """One row for each document row: id, n_tokens, fit_chars, and on demand the prefix table.
 
-    Null and empty texts have no tokens. Special strings are ordinary text. Repeated rows each give
-    a row; an empty table gives none; other columns are ignored. ``model`` is a path on every executor.
+    ``fit_chars`` is the length in code points of the longest prefix of at most ``limit`` tokens.
+    ``prefixes`` adds the whole table (``prefix``, see ``prefix_counts``): the count at every prefix, as
+    the 16-bit step from each to the next, so that ``budget`` and ``count_at`` answer any truncation or
+    budget without the text or the vocabulary. ``tables`` adds it and, for each chunk, its end as a
+    code point offset and the count there (``chunk_end``, ``chunk_count``).
+
+    Null and empty texts have no tokens. Special strings are ordinary text. Texts of any length are
+    counted whole; memory is bounded by the longest one's table. Repeated rows each give a row; an
+    empty table gives none; other columns are ignored. ``model`` is a path on every executor.
     """
     fields = [T.StructField(id_col, documents.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("fit_chars", T.LongType())]
+    if tables or prefixes:
+        fields += [T.StructField("prefix", T.BinaryType())]
     if tables:
         fields += [T.StructField("chunk_end", T.ArrayType(T.IntegerType())), T.StructField("chunk_count", T.ArrayType(T.IntegerType()))]
 
     def make():
         counter = load(model)
-        counts = _Counts(counter)
+        known = _Tables(counter)
+        get, normal, chunks = known.__getitem__, counter.normal, counter.chunks
 
         def run(ids, col):
-            total, fit, ends, sums = [], [], [], []
+            total, fit, table, ends, sums = [], [], [], [], []
             for x in col.to_pylist():
-                if not x:
-                    total.append(0), fit.append(0), ends.append([]), sums.append([])
-                    continue
-                pieces = counter.chunks(counter.normal(x))
-                own = list(map(counts.__getitem__, pieces))
-                n = sum(own)
+                pieces = chunks(normal(x)) if x else []
+                raw = b"".join(map(get, pieces))
+                n = int(np.frombuffer(raw, STEP).sum(dtype=np.int64))
                 total.append(n)
-                fit.append(len(x) if n <= limit else fits(counter, pieces, np.cumsum(own), limit))
+                fit.append((len(x) if x else 0) if n <= limit else reach(steps_of(raw), limit))
+                table.append(raw)
                 if tables:
-                    ends.append(np.cumsum([len(p) for p in pieces]) - 1)
-                    sums.append(np.cumsum(own))
-            return [ids, total, fit, ends, sums] if tables else [ids, total, fit]
+                    ends.append(np.cumsum([len(p) for p in pieces], dtype=np.int64) - 1)
+                    sums.append(np.cumsum([np.frombuffer(get(p), STEP).sum(dtype=np.int64) for p in pieces], dtype=np.int64))
+            return [ids, total, fit, *([table] if tables or prefixes else []), *([ends, sums] if tables else [])]
 
         return run
 
     return map_batches(documents, [id_col, text_col], fields, make)
 
 
-def budget(counted: DataFrame, limit: int) -> DataFrame:
-    """Adds ``budget_chars``: code points up to the last chunk end that ``limit`` tokens reach.
+def _from_tables(counted: DataFrame, name: str, answer) -> DataFrame:
+    """Adds a long column: ``answer`` of each row's steps and its number in column ``_n``; no text, no vocabulary."""
+    others = [c for c in counted.columns if c not in ("_n", name)]
+    row = counted.select(F.struct(*others).alias("_row"), "prefix", "_n")
 
-    Reads only the tables of ``token_counts(tables=True)``; nothing is encoded again.
+    def make():
+        def run(rows, tables, numbers):
+            steps = [steps_of(t or b"") for t in tables.to_pylist()]
+            return rows, [answer(s, n) if n is not None else None for s, n in zip(steps, numbers.to_pylist())]
+
+        return run
+
+    out = map_batches(row, ["_row", "prefix", "_n"], [T.StructField("_row", row.schema["_row"].dataType), T.StructField(name, T.LongType())], make)
+    return out.select("_row.*", name)
+
+
+def budget(counted: DataFrame, limit: int | Column) -> DataFrame:
+    """Adds ``budget_chars``: code points of the longest prefix of at most ``limit`` tokens, a number or a column.
+
+    Reads only the tables of ``token_counts(prefixes=True)``; nothing is encoded again.
     """
-    reached = F.size(F.filter("chunk_count", lambda c: c <= limit))
-    return counted.withColumn("budget_chars", F.when(reached > 0, F.get("chunk_end", reached - 1)).otherwise(0).cast("long"))
+    return _from_tables(counted.withColumn("_n", (limit if isinstance(limit, Column) else F.lit(limit)).cast("long")), "budget_chars", reach)
+
+
+def count_at(counted: DataFrame, chars: int | Column) -> DataFrame:
+    """Adds ``n_at``: tokens of the text's first ``chars`` code points (of the whole text, if it is shorter)."""
+    at = (chars if isinstance(chars, Column) else F.lit(chars)).cast("long")
+    return _from_tables(counted.withColumn("_n", at), "n_at", lambda s, n: int(s[: max(0, n)].sum(dtype=np.int64)))
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
+    """The table of prefixes is written to the shared folder; the counts, and what fits the limit, come from it."""
     docs = table(spark, sf_dir, "documents")
     sized = docs.select(F.struct("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).alias("row"), "text")
-    return token_counts(sized, "row").select(
+    return saved(token_counts(sized, "row", prefixes=True)).select(
         "row.doc_id", "row.n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "fit_chars"
     )

@@ -264,3 +264,23 @@ def test_token_counts(spark, docs, empty):
     counter = tokencount.load()
     for t in (TEXTS[17], "a  b   c    d" * 3, " " * 40, PASSAGE):
         assert list(counter.prefix_counts(t)) == [len(sp.encode(t[:i])) for i in range(len(t) + 1)]
+
+
+def test_prefix_tables_answer_budgets(spark, docs):
+    """Every prefix's count and every budget's cut, from the stored tables alone, against the library."""
+    import sentencepiece
+
+    import public_tokenizers
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    few = docs.where("doc_id in (0, 1, 5, 11, 17)")
+    counted = tokencount.token_counts(few, prefixes=True).drop("text").cache()
+    for r in counted.collect():
+        t = TEXTS[r.doc_id] or ""
+        assert np.cumsum(tokencount.steps_of(r.prefix)).tolist() == [len(sp.encode(t[: i + 1])) for i in range(len(t))]
+    for limit in (0, 1, 7, 30, 10_000):
+        for r in tokencount.budget(counted, limit).collect():
+            t = TEXTS[r.doc_id] or ""
+            assert r.budget_chars == max(k for k in range(len(t) + 1) if len(sp.encode(t[:k])) <= limit)
+    for k in (0, 3, 40, 10_000):
+        assert all(r.n_at == len(sp.encode((TEXTS[r.doc_id] or "")[:k])) for r in tokencount.count_at(counted, k).collect())
