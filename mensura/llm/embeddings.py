@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,17 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.common import saved, table
+from mensura.llm.common import join_classes, saved, table
 from mensura.llm.components import connected_components
 
 #: Cosine from which two vectors link.
 COSINE = 0.98
-#: Vectors in a shard aimed at, and at most; larger shards are dealt out by salt.
+#: Vectors in a shard aimed at, and at most; a larger cell is split, or dealt out by salt if it cannot be.
 SHARD, LARGEST = 600, 2500
-#: Vectors that the shard centres are fitted on at most, centres at most, and centres each vector joins.
+#: Vectors that the shard centres are fitted on at most, centres at most, and cells each vector joins.
 SAMPLE, CENTRES, OVERLAP = 20_000, 4096, 3
-#: Near and far neighbours in the graph, candidates each, pruning factor, width of the search.
-NEAR, FAR, POOL, ALPHA, BEAM = 20, 8, 64, 1.2, 32
+#: Levels of splitting, vectors of a cell that its own centres are fitted on, and centres of a cell, at most.
+LEVELS, CELL_SAMPLE, CELL_CENTRES = 4, 4000, 512
+#: Centres closer than this are one: a cell of such alone is of one kind, and is not split.
+APART = 0.9
+#: Near and far neighbours in the graph, candidates each, pruning factor, width of the search and of that at building.
+NEAR, FAR, POOL, ALPHA, BEAM, BUILD_BEAM = 20, 8, 64, 1.2, 32, 16
+#: Vectors searched for together, which bounds memory.
+TOGETHER = 256
 #: Cosine below the threshold down to which the range search still expands.
 MARGIN = 0.04
 #: Vectors whose links are compared with brute force, and the recall asked for.
@@ -54,7 +59,8 @@ def robust_prune(x: np.ndarray, p: int, pool: np.ndarray, most: int, alpha: floa
     away = np.sqrt(np.maximum(0, 2 - 2 * (x[pool] @ x[p])))
     order = np.argsort(away, kind="stable")
     pool, away = pool[order], away[order]
-    between = np.sqrt(np.maximum(0, 2 - 2 * (x[pool] @ x[pool].T)))
+    own = x[pool]
+    between = alpha * np.sqrt(np.maximum(0, 2 - 2 * (own @ own.T)))
     open_ = pool != p
     out: list[int] = []
     for i in range(len(pool)):
@@ -62,35 +68,91 @@ def robust_prune(x: np.ndarray, p: int, pool: np.ndarray, most: int, alpha: floa
             out.append(int(pool[i]))
             if len(out) == most:
                 break
-            open_ &= alpha * between[i] > away
+            open_ &= between[i] > away
     return out
 
 
+def padded(graph, wide: int | None = None) -> np.ndarray:
+    """Neighbour lists as a matrix; rows are filled up with the node itself."""
+    wide = wide or max((len(g) for g in graph), default=0) or 1
+    out = np.repeat(np.arange(len(graph), dtype=np.int32)[:, None], wide, 1)
+    for p, g in enumerate(graph):
+        out[p, : len(g)] = list(g)
+    return out
+
+
+def _visit(x: np.ndarray, near: np.ndarray, like: np.ndarray, rows: np.ndarray, nodes: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines of the nodes' neighbours that a query has not met; they are put into ``like`` and returned as pairs."""
+    next_ = near[nodes]
+    r, c = np.nonzero(like[rows[:, None], next_] < -1.5)
+    r, c = rows[r], next_[r, c]
+    like[r, c] = np.einsum("pd,pd->p", x[c], queries[r])
+    return r, c
+
+
+def walk(x: np.ndarray, near: np.ndarray, start: int, queries: np.ndarray, beam: int) -> np.ndarray:
+    """Greedy searches from ``start``, many together: cosines of the nodes that each query met, -2 elsewhere.
+
+    Each search expands the best node that is not expanded yet, and stops when its ``beam`` best are.
+    """
+    n, m = len(x), len(queries)
+    like, expanded = np.full((m, n), -2.0), np.zeros((m, n), bool)
+    like[:, start] = queries @ x[start]
+    live = np.arange(m)
+    while len(live):
+        own = like[live]
+        best = np.where(expanded[live], -3.0, own).argmax(1)
+        value = own[np.arange(len(live)), best]
+        worst = np.partition(own, n - beam, 1)[:, n - beam] if n > beam else np.full(len(live), -2.0)
+        go = (value > -1.5) & (value >= worst) & ~expanded[live, best]
+        live, best = live[go], best[go]
+        expanded[live, best] = True
+        _visit(x, near, like, live, best, queries)
+    return like
+
+
 def build_graph(x: np.ndarray, seed: int = 0) -> list[set[int]]:
-    """Adjacency of one shard of unit vectors: pruned near neighbours, pruned random far ones, both ways.
+    """Adjacency of one shard of unit vectors: a flat graph that starts random and takes in one vector after another.
 
-    Every node can be reached from the medoid: what a walk from there misses is tied to it.
+    Each is searched for greedily from the medoid in the graph as it stands; what the search met is
+    robust-pruned to its near neighbours, which take it as theirs and are pruned anew where they have
+    too many. Random far neighbours stay. Every node can be reached from the medoid: what a walk
+    from there misses is tied to it.
     """
     n = len(x)
-    graph: list[set[int]] = [set() for _ in range(n)]
     if n == 1:
-        return graph
+        return [set()]
     rng = np.random.default_rng(seed)
-    like = x @ x.T
-    for p in range(n):
-        near = np.argpartition(-like[p], min(POOL, n - 1))[: POOL + 1] if n > POOL + 1 else np.arange(n)
-        far = rng.choice(n, min(n, 4 * FAR), replace=False)
-        graph[p].update(robust_prune(x, p, near, NEAR))
-        graph[p].update(robust_prune(x, p, far, FAR))
-    for p in range(n):
-        for q in list(graph[p]):
-            graph[q].add(p)
-    for p in range(n):
-        if len(graph[p]) > 2 * (NEAR + FAR):
-            own = np.array(sorted(graph[p]))
-            far = rng.choice(own, FAR, replace=False)
-            graph[p] = set(robust_prune(x, p, own, NEAR + FAR)) | set(map(int, far))
-    m = medoid(x)
+    far = [set(rng.choice(n, min(n, FAR), replace=False).tolist()) - {p} for p in range(n)]
+    graph = [set(f) for f in far]
+    wide = 2 * (NEAR + FAR)
+    near, m = padded(graph, wide), medoid(x)
+
+    def put(p: int, own: set) -> None:
+        graph[p] = own
+        near[p] = p
+        near[p, : len(own)] = list(own)
+
+    order = rng.permutation(n)
+    for at in range(0, n, TOGETHER):
+        batch = order[at : at + TOGETHER]
+        like = walk(x, near, m, x[batch], min(BUILD_BEAM, n))
+        for p, row in zip(batch.tolist(), like):
+            met = np.flatnonzero(row > -1.5)
+            if len(met) > POOL:
+                met = met[np.argpartition(-row[met], POOL)[:POOL]]
+            pool = np.array(sorted({*met.tolist(), *graph[p]} - {p}), np.int64)
+            own = set(robust_prune(x, p, pool, NEAR)) | far[p]
+            put(p, own)
+            for q in own:
+                other = graph[q]
+                if p in other:
+                    continue
+                if len(other) < wide:
+                    near[q, len(other)] = p
+                    other.add(p)
+                else:
+                    put(q, set(robust_prune(x, q, np.array(sorted(other | {p}), np.int64), NEAR)) | far[q])
     seen = _reach(graph, m)
     for p in range(n):
         if p not in seen:
@@ -115,42 +177,31 @@ def medoid(x: np.ndarray) -> int:
     return int((x @ x.mean(0)).argmax())
 
 
-def search(x: np.ndarray, graph, start: int, q: np.ndarray, least: float = COSINE, beam: int = BEAM) -> np.ndarray:
-    """Indices with cosine of at least ``least`` found by a greedy walk that then expands its range.
+def search_all(x: np.ndarray, near: np.ndarray, start: int, queries: np.ndarray, least: float = COSINE, beam: int = BEAM) -> np.ndarray:
+    """For each query which vectors have a cosine of at least ``least``, as found by a walk that then expands its range.
 
-    The walk keeps the ``beam`` best nodes and stops when all are expanded. From those in range,
-    or within a margin of it, neighbours are followed as long as they are too. What is returned
-    has been verified by its cosine in double precision.
+    From the nodes in range, or within a margin of it, neighbours are followed as long as they are
+    too. What is returned has been verified by its cosine in double precision.
     """
-    first = float(x[start] @ q)
-    known = {start: first}
-    todo, best = [(-first, start)], [first]
-    while todo:
-        c, p = heapq.heappop(todo)
-        if len(best) >= beam and -c < best[0]:
-            break
-        new = [i for i in graph[p] if i not in known]
-        if new:
-            for i, s in zip(new, (x[new] @ q).tolist()):
-                known[i] = s
-                if len(best) < beam or s > best[0]:
-                    heapq.heappush(todo, (-s, i))
-                    heapq.heappush(best, s)
-                    if len(best) > beam:
-                        heapq.heappop(best)
-    edge = [i for i, s in known.items() if s >= least - MARGIN]
-    while edge:
-        new = list({j for i in edge for j in graph[i]} - known.keys())
-        if not new:
-            break
-        s = x[new] @ q
-        known.update(zip(new, s.tolist()))
-        edge = [i for i, c in zip(new, s) if c >= least - MARGIN]
-    return np.array([i for i, s in known.items() if s >= least], np.int64)
+    like = walk(x, near, start, queries, beam)
+    rows, nodes = np.nonzero(like >= least - MARGIN)
+    while len(rows):
+        new = []
+        for at in range(0, len(rows), 4096):
+            r, c = _visit(x, near, like, rows[at : at + 4096], nodes[at : at + 4096], queries)
+            ok = like[r, c] >= least - MARGIN
+            new.append(np.stack([r[ok], c[ok]]))
+        rows, nodes = np.unique(np.concatenate(new, 1), axis=1)
+    return like >= least
+
+
+def search(x: np.ndarray, graph, start: int, q: np.ndarray, least: float = COSINE, beam: int = BEAM) -> np.ndarray:
+    """Indices that ``search_all`` finds for one query over neighbour lists."""
+    return np.flatnonzero(search_all(x, padded(graph), start, q[None], least, beam)[0])
 
 
 _GRAPH = T.StructType([T.StructField("rid", T.LongType()), T.StructField("near", T.ArrayType(T.LongType()))])
-_FOUND = T.StructType([T.StructField("rid", T.LongType()), T.StructField("root", T.LongType()), T.StructField("links", T.LongType())])
+_FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("rid", "root", "links", "pairs")])
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -161,17 +212,24 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _searcher(least: float, beam: int):
+    """Searches of one cell's own vectors in one part of it; a link is counted for both of its ends.
+
+    Two vectors may meet in the home cells of both. That of the smaller name settles whether they
+    link, and in a common home cell the search of the smaller rid does: so links are symmetric.
+    """
+
     def run(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if members.empty or queries.empty:
-            return pd.DataFrame({"rid": [], "root": [], "links": []})
+            return pd.DataFrame({c: [] for c in _FOUND.names})
         members = members.sort_values("rid", ignore_index=True)
         ids, x = members["rid"].to_numpy(), _matrix(members["vec"])
         at = {r: k for k, r in enumerate(ids.tolist())}
-        graph = [[at[r] for r in near if r in at] for near in members["near"]]
-        copies = members["n"].to_numpy()
-        start = medoid(x)
-        rid = queries["rid"].to_numpy()
+        near = padded([[at[r] for r in near if r in at] for near in members["near"]])
+        copies, homes, cell = members["n"].to_numpy(), members["home"].to_numpy(), members["cell"].iloc[0]
+        rid, own, start = queries["rid"].to_numpy(), queries["n"].to_numpy(), medoid(x)
         parent: dict[int, int] = {}
+        links: dict[int, int] = dict.fromkeys(rid.tolist(), 0)
+        pairs = links.copy()
 
         def find(a: int) -> int:
             while parent.setdefault(a, a) != a:
@@ -179,62 +237,137 @@ def _searcher(least: float, beam: int):
                 a = parent[a]
             return a
 
-        links = []
-        for r, q in zip(rid.tolist(), _matrix(queries["vec"])):
-            found = search(x, graph, start, q, least, beam)
-            other = found[ids[found] != r]
-            links.append(int(copies[other].sum()))
-            for k in ids[other].tolist():
-                a, b = find(r), find(k)
-                parent[max(a, b)] = min(a, b)
-        asked = dict(zip(rid.tolist(), links))
-        nodes = sorted(asked.keys() | parent.keys())
-        return pd.DataFrame({"rid": nodes, "root": [find(r) if r in parent else r for r in nodes], "links": [asked.get(r, 0) for r in nodes]})
+        for first in range(0, len(rid), TOGETHER):
+            found = search_all(x, near, start, _matrix(queries["vec"][first : first + TOGETHER]), least, beam)
+            for k, row in enumerate(found, first):
+                r, other = int(rid[k]), np.flatnonzero(row)
+                if not len(other):
+                    continue
+                home = homes[other]
+                both = np.isin(home, queries["cells"].iloc[k])  # the other's home cell holds this vector too
+                settle = np.where(home == cell, ids[other] > r, ~both | (home > cell))
+                other = other[settle]
+                links[r] += int(copies[other].sum())
+                pairs[r] += len(other)
+                for j in ids[other].tolist():
+                    links[j] = links.get(j, 0) + int(own[k])
+                    pairs[j] = pairs.get(j, 0) + 1
+                    a, b = find(r), find(j)
+                    parent[max(a, b)] = min(a, b)
+        nodes = sorted(links)
+        return pd.DataFrame({"rid": nodes, "root": [find(r) if r in parent else r for r in nodes], "links": [links[r] for r in nodes], "pairs": [pairs[r] for r in nodes]})
 
     return run
 
 
+def _nearest(own: pd.DataFrame, c: np.ndarray, overlap: int) -> np.ndarray:
+    like = _matrix(own["vec"]) @ c.T
+    return np.argsort(-like, axis=1, kind="stable")[:, : min(overlap, len(c))]
+
+
 def _assign(reps: DataFrame, by_size: dict[int, np.ndarray], overlap: int) -> DataFrame:
     """Members (cell by rank): each vector in its ``overlap`` nearest cells; rank 0 is its home."""
     shared = reps.sparkSession.sparkContext.broadcast(by_size)
-    schema = T.StructType([*reps.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("rank", T.IntegerType())])
+    schema = T.StructType([*reps.schema.fields, T.StructField("cell", T.StringType()), T.StructField("rank", T.IntegerType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cents = shared.value
         for pdf in parts:
             for size, own in pdf.groupby("size", sort=False):
-                c = cents[int(size)]
-                like = _matrix(own["vec"]) @ c.T
-                k = min(overlap, len(c))
-                top = np.argsort(-like, axis=1, kind="stable")[:, :k]
-                for r in range(k):
-                    yield own.assign(cell=top[:, r].astype(np.int32), rank=np.int32(r))
+                for r, top in enumerate(_nearest(own, cents[int(size)], overlap).T):
+                    yield own.assign(cell=[f"{k:04d}" for k in top], rank=np.int32(r))
 
     return reps.mapInPandas(run, schema)
 
 
+_CELL = ["label", "size", "cell"]
+
+
+def _cell_centres(n_col: str = "members"):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = pdf.iloc[0]
+        x = _matrix(pdf["vec"][: 2 * CELL_SAMPLE])
+        kept: list[np.ndarray] = []
+        for c in centres(x, int(min(CELL_CENTRES, -(-int(head[n_col]) // SHARD)))):
+            if all(c @ o < APART for o in kept):
+                kept.append(c)
+        return pd.DataFrame({**{k: [head[k]] for k in _CELL}, "members": [head[n_col]], "centres": [[c.tolist() for c in kept]]})
+
+    return run
+
+
+def _split(placed: DataFrame, overlap: int) -> DataFrame:
+    """Cells above ``LARGEST`` cut by centres of their own, level by level; cells of one kind stay as they are.
+
+    Centres are fitted in each cell on a bounded sample by hash; its vectors are assigned in chunks,
+    so neither the number of cells nor the size of one is bounded by a task or the driver.
+    """
+    done = None
+    for level in range(LEVELS):
+        sizes = placed.groupBy(*_CELL).agg(F.count("*").alias("members")).where(F.col("members") > LARGEST)
+        if sizes.isEmpty():
+            break
+        total = placed.count()
+        sizes = saved(sizes.withColumn("rows", F.col("members")))
+        known = saved(join_classes(placed, sizes, _CELL, "rows", total, "left"))
+        big = known.where("members is not null")
+        share = F.pmod(F.xxhash64("rid", F.lit(level)), F.lit(1 << 40)) < F.lit(float(CELL_SAMPLE << 40)) / F.col("members")
+        key = [placed.schema[k] for k in _CELL]
+        schema = T.StructType([*key, T.StructField("members", T.LongType()), T.StructField("centres", T.ArrayType(T.ArrayType(T.DoubleType())))])
+        fitted = saved(big.where(share).select(*_CELL, "members", "vec").groupBy(*_CELL).applyInPandas(_cell_centres(), schema)).where(F.size("centres") > 1)
+        chunks = F.ceil(F.col("members") / 20_000).cast("int")
+        cents = fitted.select(*_CELL, "centres", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+
+        def cut(own: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+            if own.empty or c.empty:
+                return own.drop(columns=["chunk"])
+            grid = np.array([np.asarray(v, float) for v in c["centres"].iloc[0]])
+            home = own["rank"].to_numpy() == 0
+            out = []
+            for r, top in enumerate(_nearest(own, grid / np.linalg.norm(grid, axis=1, keepdims=True), overlap).T):
+                part = own if r == 0 else own[home]  # who is at home here joins more of the new cells
+                names = top if r == 0 else top[home]
+                rank = part["rank"] if r == 0 else np.int32(r)
+                out.append(part.assign(cell=[f"{a}.{k:03d}" for a, k in zip(part["cell"], names)], rank=rank))
+            return pd.concat(out).drop(columns=["chunk"])
+
+        dealt = big.withColumn("chunk", F.pmod(F.xxhash64("rid"), chunks).cast("int")).drop("members")
+        again = dealt.groupBy(*_CELL, "chunk").cogroup(cents.groupBy(*_CELL, "chunk")).applyInPandas(cut, placed.schema)
+        rest = known.where("members is null").drop("members")
+        done = rest if done is None else done.unionByName(rest)
+        placed = saved(again)
+    return placed if done is None else saved(done.unionByName(placed))
+
+
 def _links(reps: DataFrame, by_size, overlap: int, beam: int, least: float) -> DataFrame:
-    """(rid, root, links): links counted in the home cell, roots of the components seen in each shard."""
+    """(rid, root, links, pairs): links of each vector that shards have settled, and roots of the components seen in each."""
     shard = ["label", "size", "cell", "salt"]
-    placed = saved(_assign(reps, by_size, overlap))
-    parts = placed.groupBy("label", "size", "cell").agg(F.ceil(F.count("*") / LARGEST).cast("int").alias("parts"))
-    members = saved(placed.join(parts, ["label", "size", "cell"]).withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")))
+    placed = _split(saved(_assign(reps, by_size, overlap)), overlap)
+    parts = saved(placed.groupBy(*_CELL).agg(F.ceil(F.count("*") / LARGEST).cast("int").alias("parts"), F.count("*").alias("rows")))
+    cells = placed.groupBy("rid").agg(F.collect_list("cell").alias("cells"), F.max(F.when(F.col("rank") == 0, F.col("cell"))).alias("home"))
+    members = join_classes(placed.join(cells, "rid"), parts, _CELL, "rows", placed.count())
+    members = saved(members.withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")))
     built = members.select(*shard, "rid", "vec").groupBy(*shard).applyInPandas(_build, _GRAPH)
     # a node lies in few shards and has few neighbours in each, so its united list is short
     united = saved(built.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-    left = members.join(united, "rid").select(*shard, "rid", "vec", "n", "near").groupBy(*shard)
-    asked = members.where("rank = 0").select("label", "size", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "rid", "vec").toDF(*shard, "rid", "vec").groupBy(*shard)
+    left = members.join(united, "rid").select(*shard, "rid", "vec", "n", "near", "home").groupBy(*shard)
+    asked = members.where("rank = 0").select("label", "size", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "rid", "vec", "n", "cells")
+    asked = asked.toDF(*asked.columns).groupBy(*shard)  # attributes of its own
     return saved(left.cogroup(asked).applyInPandas(_searcher(least, beam), _FOUND))
 
 
 def recall(reps: DataFrame, found: DataFrame, audit: int, least: float) -> float:
-    """Links found by ``audit`` vectors over all that brute force finds for them; 1 if there are none.
+    """The lesser of two shares of what brute force finds for ``audit`` vectors: of links, and of links between classes.
 
-    The audited vectors are a bounded sample by hash; brute force compares each with all vectors
-    of its label, in one pass over the table.
+    Half of the audited vectors are a sample by hash of all, half of those with links, so that
+    neither classes of many copies nor vectors without links decide alone; brute force compares
+    each with all vectors of its label, in one pass over the table. 1 if there are no links.
     """
     spark = reps.sparkSession
-    picked = reps.orderBy(F.xxhash64("rid"), "rid").limit(audit).select("rid", "label", "vec").toPandas()
+    light = reps.select("rid", "label", "vec")
+    mixed = light.orderBy(F.xxhash64("rid"), "rid").limit(audit // 2)
+    linked = found.where("pairs > 0").select("rid").distinct().orderBy(F.xxhash64("rid"), "rid").limit(audit - audit // 2)
+    picked = mixed.unionByName(light.join(F.broadcast(linked), "rid", "left_semi")).dropDuplicates(["rid"]).toPandas()
     shared = spark.sparkContext.broadcast(picked)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,12 +378,13 @@ def recall(reps: DataFrame, found: DataFrame, audit: int, least: float) -> float
                 if len(mine):
                     like = _matrix(mine["vec"]) @ _matrix(own["vec"]).T >= least
                     like &= mine["rid"].to_numpy()[:, None] != own["rid"].to_numpy()[None, :]
-                    yield pd.DataFrame({"rid": mine["rid"], "want": like @ own["n"].to_numpy()})
+                    yield pd.DataFrame({"rid": mine["rid"], "want": like @ own["n"].to_numpy(), "between": like.sum(1)})
 
-    true = reps.select("rid", "label", "size", "vec", "n").mapInPandas(run, "rid long, want long").groupBy("rid").agg(F.sum("want").alias("want"))
-    both = true.where("want > 0").join(found.groupBy("rid").agg(F.sum("links").alias("links")), "rid", "left")
-    got, want = both.agg(F.sum(F.least(F.coalesce("links", F.lit(0)), "want")), F.sum("want")).first()
-    return got / want if want else 1.0
+    true = reps.select("rid", "label", "size", "vec", "n").mapInPandas(run, "rid long, want long, between long").groupBy("rid").agg(F.sum("want").alias("want"), F.sum("between").alias("between"))
+    both = true.where("want > 0").join(found.groupBy("rid").agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs")), "rid", "left")
+    have = lambda got, want: F.sum(F.least(F.coalesce(got, F.lit(0)), want))
+    got, want, pairs, between = both.agg(have("links", "want"), F.sum("want"), have("pairs", "between"), F.sum("between")).first()
+    return min(got / want, pairs / between) if want else 1.0
 
 
 def near_duplicates(
@@ -266,17 +400,20 @@ def near_duplicates(
 
     Equal vectors of a label are one class from the start; classes are searched, not their copies.
     Centres are fitted on at most ``SAMPLE`` vectors; every class joins the cells of its nearest
-    centres, and each label's part of a cell is a shard. Shards above ``LARGEST`` are dealt out by
-    salt and a query visits all parts. Graphs are built shard by shard, adjacency lists of a node
-    united, and each class searches its home cell from the medoid. Only its number of links and
-    the root of its component within the shard leave a shard, never pairs.
+    centres, and each label's part of a cell is a shard. Cells above ``LARGEST`` are split by centres
+    of their own, level by level, so their number grows with the vectors; a cell of vectors all
+    alike is dealt out by salt instead and a query visits all parts. Graphs are built shard by
+    shard, adjacency lists of a node united, and each class searches its home cell from the medoid.
+    A link that is found counts for both ends. Only the numbers of links and the root of its
+    component within the shard leave a shard, never pairs.
 
     Recall is audited against brute force; below ``RECALL`` the search runs again with twice the
     overlap and beam, and after ``attempts`` an error says so.
 
     Null labels, null, empty or zero vectors and those with null or non-finite components link with
     nothing; vectors of different lengths do not link. Repeated rows each give a row (and link, as
-    equal vectors). Ids may be null or repeat. An empty table gives no rows; other columns are ignored.
+    equal vectors); equal cosines are no matter. Ids may be null or repeat. An empty table gives no
+    rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vec"))
@@ -305,10 +442,11 @@ def near_duplicates(
         raise RuntimeError(f"recall {seen:.3f} after {attempts} attempts")
     edges = found.where("rid <> root").select(F.col("rid").alias("u"), F.col("root").alias("v"))
     named = reps.join(connected_components(edges).withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    root = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = saved(named.select("rid", "label", "vec", "n", "least", "component"))
+    root = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
-    classes = named.join(root, "component").join(links, "rid", "left").select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    done = usable.join(classes, ["label", "vec"]).select("id", "n_links", "component_id")
+    classes = join_classes(named, root, ["component"], "classes", named.count()).join(links, "rid", "left").select("label", "vec", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    done = join_classes(usable, saved(classes), ["label", "vec"], "n", usable.count()).select("id", "n_links", "component_id")
     out = done.unionByName(rows.where(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(float(seen)).alias("recall"))
 
