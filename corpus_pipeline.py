@@ -9,15 +9,21 @@ from mensura.llm import bytebpe, decontam, quality, secrets, simhash
 from mensura.llm.common import saved, table
 
 
+def _packed(docs: DataFrame):
+    """The whole row as one column, so that names of the documents' columns never meet those of a stage."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject.
 
     The model is fitted on the stage's own input. Scores are joined to no one: the rows pass
-    through the scorer, so repeated and null ids stay as they are.
+    through the scorer, so repeated and null ids stay as they are. Null and empty texts are scored
+    as texts without tokens, texts of any length whole; a score at the threshold keeps the
+    document. An empty table gives an empty one; other columns are kept, whatever their names.
     """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    row = F.struct(*docs.columns).alias("_row")
-    scored = quality.score(docs.select(row, F.col("text").alias("_text")), model, "_row", "_text")
+    scored = quality.score(docs.select(_packed(docs).alias("_row"), F.col("text").alias("_text")), model, "_row", "_text")
     return scored.where(F.col("score") >= quality.THRESHOLD).select("_row.*")
 
 
@@ -36,33 +42,51 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows are told apart by their values, so different texts with the same id are different
     documents, and of rows that are the same throughout one stays. Where the smallest id repeats in
     a group, the row of the smallest digest stays. Rows without an id are not compared and stay.
+    Null, empty and blank texts are copies of each other. Texts of any length are compared whole. An
+    empty table gives an empty one; other columns are kept, whatever their names.
     """
-    keyed = docs.where("doc_id is not null").withColumn("_row", _row_digest(docs))
-    found = simhash.near_duplicates(keyed.select(F.struct("doc_id", "_row").alias("_id"), "text"), "_id")
+    packed = docs.select(_packed(docs).alias("_doc"), _row_digest(docs).alias("_row"))
+    keyed = packed.where("_doc.doc_id is not null")
+    found = simhash.near_duplicates(keyed.select(F.struct(F.col("_doc.doc_id").alias("doc_id"), "_row").alias("_id"), F.col("_doc.text").alias("text")), "_id")
     kept = found.where(F.col("_id") == F.col("component_id")).select("_id._row").distinct()
     named = keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    return named.select("_doc.*").unionByName(packed.where("_doc.doc_id is null").select("_doc.*"))
 
 
 def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
-    row = F.struct(*docs.columns).alias("_row")
-    found = decontam.decontaminate(docs.select(row, F.col("text").alias("_text")), table(spark, sf_dir, "benchmark"), "_row", "_text")
+    """Documents without any benchmark window.
+
+    Null, empty and wordless texts hold none and stay; texts of any length are compared whole, and
+    each row is judged by itself, repeated or without an id. An empty table gives an empty one, an
+    empty benchmark keeps all; other columns are kept, whatever their names.
+    """
+    rows = docs.select(_packed(docs).alias("_row"), F.col("text").alias("_text"))
+    found = decontam.decontaminate(rows, table(spark, sf_dir, "benchmark"), "_row", "_text")
     return found.where(F.size("spans") == 0).select("_row.*")
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the spans of every secret replaced by a mark; n_chars follows the text."""
-    row = docs.select("*", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("_blob"))
-    found = secrets.scan(docs).where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
-    out = row.join(found, F.col("_blob") == F.col("blob"), "left")
-    clean = F.when(F.col("spans").isNotNull(), secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    out = out.withColumn("text", clean).withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    """All documents, with the spans of every secret replaced by a mark; n_chars follows the text.
+
+    Texts without a secret, null and empty ones too, stay as they are; overlapping spans are one;
+    texts of any length are masked whole. Repeated rows and rows without an id stay. An empty table
+    gives an empty one; other columns are kept, whatever their names.
+    """
+    rows = docs.select(_packed(docs).alias("_row"), F.col("doc_id").alias("_path"), F.col("text").alias("_text"))
+    found = secrets.joined_findings(rows, None, "_path", "_text", keep="_row")
+    hit = F.size("spans") > 0
+    clean = F.when(hit, secrets.redacted(F.col("_row.text"), F.col("spans"))).otherwise(F.col("_row.text"))
+    masked = found.select("_row", "spans", clean.alias("_clean"))
+    new = {"text": F.col("_clean"), "n_chars": F.when(hit, F.length("_clean").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
+    return masked.select(*((new[c] if c in new else F.col("_row").getField(c)).alias(c) for c in docs.columns))
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded bytes of every document."""
+    """doc_id, n_tokens and the digests of ids and decoded bytes of every document.
+
+    Null and empty texts have no tokens; texts of any length are encoded whole. Repeated rows and rows
+    without an id each give a row; an empty table gives none; other columns are left out.
+    """
     return bytebpe.round_trip(docs)
 
 
