@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import operator
+import struct
 
 import numpy as np
 import regex
@@ -145,10 +147,8 @@ class _Tables(Remembered):
 
     def __init__(self, counter: PrefixCounter, most: int = REMEMBERED):
         def steps(chunk: str) -> bytes:
-            out = np.diff(counter.table(chunk))
-            if np.abs(out).max(initial=0) > np.iinfo(STEP).max:
-                raise OverflowError("a step between neighbouring prefixes needs more than 16 bits")
-            return out.astype(STEP).tobytes()
+            t = counter.table(chunk)
+            return struct.pack(f"<{len(chunk)}h", *map(operator.sub, t[1:], t))  # an error beyond 16 bits
 
         super().__init__(steps, most)
 
