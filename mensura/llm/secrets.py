@@ -181,10 +181,11 @@ def joined_findings(
     ledger_path = ledger_path or shared_dir(spark)
     counted = count_blobs(versions, path_col, text_col)
     scan_new(versions, ledger, path_col, text_col, rules, version, counted).write.mode("append").parquet(ledger_path)
-    found = counted.join(findings(read_ledger(spark, ledger_path), version), "blob").select("blob", "copies", "spans")
+    # every blob, not only those with findings: one of very many paths is to go by broadcast in either case
+    found = counted.join(findings(read_ledger(spark, ledger_path), version), "blob", "left").select("blob", "copies", "spans")
     blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("blob")
     paths = versions.select(F.col(keep or path_col), blob)
-    out = join_classes(paths, found, ["blob"], "copies", versions.count(), "left")
+    out = join_classes(paths, found, ["blob"], "copies", versions.count())
     return out.select(keep or path_col, "blob", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
 
 
