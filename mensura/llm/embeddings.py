@@ -15,7 +15,8 @@ from mensura.llm.components import connected_components
 
 #: Cosine from which two vectors link.
 COSINE = 0.98
-#: Vectors in a shard aimed at, and at most; a larger cell is split, or dealt out by salt if it cannot be.
+#: Vectors in a shard aimed at, those of other cells that join it included, and at most; a larger cell
+#: is split, or dealt out by salt if it cannot be.
 SHARD, LARGEST = 600, 2500
 #: Vectors that the shard centres are fitted on at most, centres at most, and cells each vector joins.
 SAMPLE, CENTRES, OVERLAP = 20_000, 4096, 3
@@ -426,7 +427,7 @@ def near_duplicates(
     largest = {r["size"]: r["n"] for r in reps.groupBy("size", "label").agg(F.count("*").alias("n")).groupBy("size").agg(F.max("n").alias("n")).collect()}
     by_size = {}
     for r in sizes:
-        k = int(min(CENTRES, max(1, largest[r["size"]] // SHARD)))
+        k = int(min(CENTRES, max(1, largest[r["size"]] * OVERLAP // SHARD)))
         sample = reps.where(F.col("size") == r["size"]).orderBy(F.xxhash64("rid", F.lit(5)), "rid").limit(SAMPLE // len(sizes)).select("vec").toPandas()
         by_size[r["size"]] = centres(_matrix(sample["vec"]), k)
     for s in largest.keys() - by_size.keys():
