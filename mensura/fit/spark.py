@@ -28,19 +28,23 @@ GROUP_ROWS = 2_000_000
 
 
 def fit_grouped(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec) -> DataFrame:
-    """One fit for each group of ``keys``: keys and the RESULT columns.
+    """One fit for each group of ``keys``, of any size: keys and the RESULT columns.
 
-    Each group is one task's arrays, so it suits groups of moderate size; a group that cannot be
-    fitted gives a row with ``error`` and no values. ``fit_groups`` takes groups of any size.
+    A model linear in its parameters whose independents carry no uncertainty is solved from sums
+    (``fit_linear_groups``); others go to ``fit_groups``. A group that cannot be fitted gives a row
+    with ``error`` and no values.
     """
+    return fit_linear_groups(df, keys, spec) if linear(spec) else fit_groups(df, keys, spec)
+
+
+def _fit_small(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec) -> DataFrame:
+    """One fit for each group, whose rows are one task's arrays."""
     need = spec.columns()
     schema = T.StructType([*(df.schema[k] for k in keys), *RESULT])
     names = [f.name for f in RESULT]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         try:
-            if len(pdf) > GROUP_ROWS:
-                raise DataError(f"the group has {len(pdf)} rows; use fit_groups")
             out = odr.fit(spec, {c: pdf[c].to_numpy(float) for c in need})
             row = {n: out.get(n) for n in names} | {"n": len(pdf), "error": None}
         except (MensuraError, np.linalg.LinAlgError) as e:
@@ -51,12 +55,112 @@ def fit_grouped(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec) -> DataFr
     return used.groupBy(*keys).applyInPandas(run, schema)
 
 
+def linear(spec: odr.FitSpec) -> bool:
+    """One layer, linear in its parameters, exact independents, no correlation, Poisson or type A notes."""
+    if len(spec.layers) != 1 or spec.correlation is not None or spec.poisson or spec.type_a or any(v in spec.sigmas for v in spec.layers[0].independents):
+        return False
+    layer = spec.layers[0]
+    m = odr.compiled(layer.formula, layer.independents, spec.parameters, tuple(sorted((k.lower(), v) for k, v in spec.fixed.items())))
+    return all(e == X.ZERO for e in m.parts["pp"])
+
+
+def fit_linear_groups(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec) -> DataFrame:
+    """Linear fits of all groups from two passes of sums: no group's rows ever meet in one task.
+
+    The first pass sums products of the model's slopes, which do not depend on the parameters, and
+    gives the normal equations; the second takes the residuals at their solution, so that sums of
+    squares do not suffer from cancellation, and corrects it once. Groups are solved in batches.
+    """
+    layer, ps = spec.layers[0], [p.strip().lower() for p in spec.parameters]
+    m = odr.compiled(layer.formula, layer.independents, spec.parameters, tuple(sorted((k.lower(), v) for k, v in spec.fixed.items())))
+    q, need = len(ps), spec.columns()
+    start = np.array(spec.guesses if spec.guesses is not None else np.ones(q), float)
+    if len(start) != q or not np.isfinite(start).all():
+        raise DataError("guesses must be one finite number for each parameter")
+    at = {x: F.col(f"`{c}`") for x, c in zip(m.xs, layer.independents)}
+    points = df.select(*keys, *(F.col(c).cast("double").alias(c) for c in need if c not in keys))
+    y = F.col(f"`{layer.dependent}`")
+    given = F.col(f"`{spec.sigmas[layer.dependent]}`") if layer.dependent in spec.sigmas else F.lit(0.0)
+    finite = [F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`")) & (F.abs(F.col(f"`{c}`")) < float("inf")) for c in need]
+    good = finite[0]
+    for f in finite[1:]:
+        good = good & f
+    sigma = F.greatest(given, F.lit(odr.MIN_SIGMA))
+    rows = points.select(
+        *keys, y.alias("_y"), (1 / (sigma * sigma)).alias("_w"), *(X.to_column(e, at).alias(f"_f{j}") for j, e in enumerate(m.parts["p"])),
+        X.to_column(X.substitute(m.parts["f"][0], dict.fromkeys(ps, 0.0)), at).alias("_f"), good.alias("_good"), *((~f).alias(f"_bad{k}") for k, f in enumerate(finite)), (given < 0).alias("_minus"),
+        ((given < odr.MIN_SIGMA).cast("int") + F.lit(len(layer.independents))).alias("_clamped"),
+    )
+    whole = F.col("_f").isNotNull() & ~F.isnan("_f") & (F.abs("_f") < float("inf"))
+    pairs = [(i, j) for i in range(q) for j in range(i, q)]
+    def sums(r):
+        return [F.sum(F.col("_w") * r * r).alias("_rr"), F.sum(r * r).alias("_ss"), *(F.sum(F.col("_w") * F.col(f"_f{j}") * r).alias(f"_g{j}") for j in range(q))]
+    first = rows.groupBy(*keys).agg(
+        F.count("*").alias("_n"), *(F.count_if(F.col(f"_bad{k}")).alias(f"_bad{k}") for k in range(len(need))), F.count_if(F.col("_minus")).alias("_neg"), F.count_if(F.col("_good") & ~whole).alias("_open"), F.sum("_clamped").alias("_c"), F.sum("_y").alias("_sy"), F.sum(F.col("_y") * F.col("_y")).alias("_syy"),
+        *(F.sum(F.col("_w") * F.col(f"_f{i}") * F.col(f"_f{j}")).alias(f"_h{i}_{j}") for i, j in pairs), *sums(F.col("_y") - F.col("_f")),
+    )
+
+    def hessian(r) -> np.ndarray:
+        h = np.zeros((q, q))
+        for i, j in pairs:
+            h[i, j] = h[j, i] = r[f"_h{i}_{j}"]
+        return h
+
+    def solved(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            beta = []
+            for r in pdf.to_dict("records"):
+                h, g = hessian(r), np.array([r[f"_g{j}"] for j in range(q)])
+                ok = np.isfinite(h).all() and np.isfinite(g).all()
+                beta.append((start + np.linalg.lstsq(h, g - h @ start, rcond=odr.RANK_EPS)[0]).tolist() if ok else start.tolist())
+            yield pdf.assign(_b=beta)
+
+    from mensura.scratch import saved
+
+    normal = saved(first.mapInPandas(solved, T.StructType([*first.schema.fields, T.StructField("_b", _A)])))
+    fitted = F.col("_f")
+    for j in range(q):
+        fitted = fitted + F.col(f"_f{j}") * F.get("_b", F.lit(j))
+    # groups are joined by key; adaptive execution splits the rows of a hot one
+    again = rows.join(normal.select(*keys, "_b"), list(keys)).groupBy(*keys).agg(*sums(F.col("_y") - fitted))
+    both = normal.drop("_rr", "_ss", *(f"_g{j}" for j in range(q))).join(again, list(keys), "left")
+    names = [f.name for f in RESULT]
+
+    def judged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for r in pdf.to_dict("records"):
+                n, error = int(r["_n"]), None
+                bad = [c for k, c in enumerate(need) if r[f"_bad{k}"]]
+                if bad and bad[0] in spec.variables:
+                    error = f"{bad[0]} holds nulls or non-finite values"
+                elif bad or r["_neg"]:
+                    error = f"uncertainties of {layer.dependent} must be {n} finite numbers of at least 0"
+                elif n < 2:
+                    error = "a fit needs at least 2 points"
+                elif r["_open"] or not np.isfinite(hessian(r)).all():
+                    error = "the model is not finite at some point"
+                if error:
+                    out.append(dict.fromkeys(names) | {"success": False, "error": error, "n": n})
+                    continue
+                h, beta = hessian(r), np.array(r["_b"], float)
+                g = np.array([r[f"_g{j}"] for j in range(q)])
+                step = np.linalg.lstsq(h, g, rcond=odr.RANK_EPS)[0]
+                chi2 = max(0.0, r["_rr"] - float(g @ step))
+                state = odr.State(chi2, chi2, -(g - h @ step), h, np.array([r["_ss"]]))
+                got = odr.respond(spec, beta + step, state, 1, "gradient", n, {0: (n, r["_sy"], r["_syy"])}, {"clamped": int(r["_c"])})
+                out.append({k: got.get(k) for k in names} | {"n": n, "error": None})
+            yield pd.concat([pdf[list(keys)].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+
+    return both.mapInPandas(judged, T.StructType([*(df.schema[k] for k in keys), *RESULT]))
+
+
 def fit_groups(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec, rows: int = GROUP_ROWS) -> DataFrame:
-    """``fit_grouped`` where groups of more than ``rows`` rows, which are few, are fitted over the cluster one by one."""
+    """The general solver by group; groups of more than ``rows`` rows, which are few, are fitted over the cluster one by one."""
     big = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows).drop("_n")
     heads = big.limit(10_001).collect()
     if not heads:
-        return fit_grouped(df, keys, spec)
+        return _fit_small(df, keys, spec)
     if len(heads) > 10_000:
         raise DataError(f"more than 10,000 groups exceed {rows} rows")
     names = [f.name for f in RESULT]
@@ -73,7 +177,7 @@ def fit_groups(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec, rows: int
             row = dict.fromkeys(names) | {"success": False, "error": str(e)}
         done.append((*(h[k] for k in keys), *(row[n] for n in names)))
     small = df.join(F.broadcast(big), list(keys), "left_anti")
-    return fit_grouped(small, keys, spec).unionByName(df.sparkSession.createDataFrame(done, schema))
+    return _fit_small(small, keys, spec).unionByName(df.sparkSession.createDataFrame(done, schema))
 
 
 def fit_large(df: DataFrame, spec: odr.FitSpec) -> dict:

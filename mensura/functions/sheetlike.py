@@ -67,7 +67,10 @@ SCALARS: dict[str, Callable[..., Column]] = {
     # dates
     "DATE": F.make_date, "YEAR": F.year, "MONTH": F.month, "DAY": F.dayofmonth, "HOUR": F.hour, "MINUTE": F.minute, "SECOND": F.second, "DAYS": lambda b, a: F.datediff(b, a), "DAYS360": _days360, "EDATE": lambda d, n: F.add_months(d, n), "EOMONTH": lambda d, n: F.last_day(F.add_months(d, n)),
     "WEEKDAY": F.dayofweek, "ISOWEEKNUM": F.weekofyear, "NETWORKDAYS": _workdays, "TODAY": F.current_date, "NOW": F.current_timestamp, "DATEVALUE": lambda s: s.try_cast("date"), "EPOCHTODATE": lambda x: F.timestamp_seconds(x),
+    "DATEDIF": lambda a, b, unit: F.when(F.upper(unit) == "D", F.datediff(b, a)).when(F.upper(unit) == "M", F.floor(F.months_between(b, a))).when(F.upper(unit) == "Y", F.floor(F.months_between(b, a) / 12)),
+    "YEARFRAC": lambda a, b: _days360(a, b) / 360.0, "WEEKNUM": lambda d: F.floor((F.dayofyear(d) + F.dayofweek(F.trunc(d, "year")) - 2) / 7) + 1,
     # logic
+    "IFS": lambda *a: F.coalesce(*(F.when(c, v) for c, v in zip(a[::2], a[1::2]))), "SWITCH": lambda x, *a: _switch(x, a), "TEXTAFTER": lambda s, d: F.when(F.call_function("instr", s, d) > 0, F.substr(s, F.call_function("instr", s, d) + F.length(d))), "FIXED": lambda x, n: F.format_number(x, n),
     "IF": lambda c, a, b: F.when(c, a).otherwise(b), "IFERROR": F.coalesce, "IFNA": F.coalesce, "ISBLANK": F.isnull, "ISNUMBER": lambda s: s.cast("string").try_cast("double").isNotNull(), "ISTEXT": lambda s: s.cast("string").try_cast("double").isNull() & s.isNotNull(), "ISEVEN": lambda x: _trunc(x) % 2 == 0, "ISODD": lambda x: _trunc(x) % 2 != 0,
     "ISBETWEEN": lambda x, a, b: x.between(a, b), "NOT": lambda a: ~a, "AND": lambda *a: _fold(a, lambda x, y: x & y), "OR": lambda *a: _fold(a, lambda x, y: x | y), "XOR": lambda *a: _fold(a, lambda x, y: x != y), "CHOOSE": lambda i, *a: F.try_element_at(F.array(*a), i), "ISEMAIL": lambda s: s.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), "ISURL": lambda s: s.rlike(r"^https?://\S+$"),
 }
@@ -80,6 +83,12 @@ def _fold(items, op):
     return out
 
 
+def _switch(x: Column, pairs) -> Column:
+    """Values by case; an odd last one is the default."""
+    default = pairs[-1] if len(pairs) % 2 else L(None)
+    return F.coalesce(*(F.when(x == c, v) for c, v in zip(pairs[::2], pairs[1::2])), default)
+
+
 def scalar(name: str, *args) -> Column:
     """A named function over columns; plain numbers and texts become literals."""
     f = SCALARS.get(name.upper())
@@ -105,8 +114,106 @@ AGGREGATES: dict[str, Callable[..., Column]] = {
 }
 
 
+def _all(conditions) -> Column:
+    return _fold(conditions, lambda a, b: a & b)
+
+
+#: Aggregates that take several conditions, and further names.
+MORE_AGGREGATES: dict[str, Callable[..., Column]] = {
+    # several conditions, all of which must hold
+    "COUNTIFS": lambda *c: F.count_if(_all(c)), "SUMIFS": lambda x, *c: F.sum(F.when(_all(c), x)), "AVERAGEIFS": lambda x, *c: F.avg(F.when(_all(c), x)),
+    "MAXA": F.max, "MINA": F.min, "AVERAGEA": F.avg, "STDEVA": F.stddev_samp, "STDEVPA": F.stddev_pop, "VARA": F.var_samp, "VARPA": F.var_pop,
+    "FORECAST": lambda at, y, x: F.regr_intercept(y, x) + F.regr_slope(y, x) * at,
+}
+
+# Function numbers of SUBTOTAL and AGGREGATE.
+SUBTOTALS = {1: "AVERAGE", 2: "COUNT", 3: "COUNTA", 4: "MAX", 5: "MIN", 6: "PRODUCT", 7: "STDEV", 8: "STDEVP", 9: "SUM", 10: "VAR", 11: "VARP"}
+MORE_NUMBERS = {12: "MEDIAN", 13: "MODE", 16: "PERCENTILE", 17: "QUARTILE"}
+
+
+def subtotal(number: int, x: Column, hidden: Column | None = None) -> Column:
+    """SUBTOTAL: the numbered aggregate; from 101 on (the same functions) rows that are ``hidden`` do not count."""
+    if number % 100 not in SUBTOTALS or number not in (number % 100, number % 100 + 100):
+        raise FormulaError(f"unknown function number {number}")
+    return aggregate(SUBTOTALS[number % 100], F.when(~hidden, x) if number > 100 and hidden is not None else x)
+
+
+def numbered_aggregate(number: int, x: Column, *more, skip_errors: bool = True) -> Column:
+    """AGGREGATE: the numbered function; with ``skip_errors`` non-finite values do not count."""
+    name = (SUBTOTALS | MORE_NUMBERS).get(number)
+    if name is None:
+        raise FormulaError(f"unknown function number {number}")
+    d = x.cast("double")
+    return aggregate(name, F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d) if skip_errors else x, *more)
+
+
+#: Database functions: the aggregate behind each name, over the rows that meet the criteria.
+DATABASE = {"DSUM": "SUM", "DAVERAGE": "AVERAGE", "DCOUNT": "COUNT", "DCOUNTA": "COUNTA", "DMAX": "MAX", "DMIN": "MIN", "DPRODUCT": "PRODUCT", "DSTDEV": "STDEV", "DSTDEVP": "STDEVP", "DVAR": "VAR", "DVARP": "VARP"}
+
+
+def database(name: str, x: Column, criteria: list[dict[str, Column]] | Column) -> Column:
+    """DSUM and its like: ``criteria`` is a condition, or rows of conditions by field, of which one row must hold whole.
+
+    DGET gives the only value that meets them, null for none, and an error for several.
+    """
+    if not isinstance(criteria, Column):
+        criteria = _fold([_all(list(row.values())) for row in criteria], lambda a, b: a | b)
+    kept = F.when(criteria, x)
+    if name.upper() == "DGET":
+        return F.when(F.count(kept) <= 1, F.max(kept)).otherwise(F.raise_error(L("several rows meet the criteria")).cast("double"))
+    if name.upper() not in DATABASE:
+        raise FormulaError(f"unknown database function {name}")
+    return aggregate(DATABASE[name.upper()], kept)
+
+
+def average_deviation(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """AVEDEV by group: mean distance from the mean, by two aggregations; the means are joined back by key."""
+    means = df.groupBy(*keys).agg(F.avg(value).alias("_m"))
+    return df.join(means, keys).groupBy(*keys).agg(F.avg(F.abs(F.col(value) - F.col("_m"))).alias("avedev"))
+
+
+def unique(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """UNIQUE: distinct rows."""
+    return df.select(*(columns or df.columns)).distinct()
+
+
+def vstack(*tables: DataFrame) -> DataFrame:
+    """VSTACK: tables one below another by column position, narrower ones filled with nulls; names are the widest one's."""
+    names = max((t.columns for t in tables), key=len)
+    grown = [t.toDF(*names[: len(t.columns)]).select("*", *(L(None).alias(n) for n in names[len(t.columns) :])) for t in tables]
+    return _fold(grown, lambda a, b: a.unionByName(b))
+
+
+def hstack(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
+    """HSTACK: tables side by side by place in their orders, the shorter filled with nulls; the place is ``row``."""
+    from mensura.operators.sheet import numbered
+
+    return numbered(left, left_order).join(numbered(right, right_order), "row", "full")
+
+
+def match(df: DataFrame, table: DataFrame, key: str, table_key: str, order: list[str], out: str = "position", approximate: bool = False) -> DataFrame:
+    """MATCH: the place, from 1, of the first entry of ``table`` with the key, or with ``approximate`` of the largest key not above."""
+    from mensura.operators.sheet import numbered
+
+    places = numbered(table.select(*dict.fromkeys([table_key, *order])), order, "_place").select(table_key, (F.col("_place") + 1).alias("_place"))
+    return lookup(df, places, key, table_key, "_place", out, approximate)
+
+
+def index(table: DataFrame, order: list[str], row: int, column: int) -> DataFrame:
+    """INDEX: one row with the value at a place, both counted from 1."""
+    from mensura.operators.sheet import numbered
+
+    return numbered(table, order, "_place").where(F.col("_place") == row - 1).select(F.col(f"`{table.columns[column - 1]}`").alias("value"))
+
+
+def hlookup(cells: DataFrame, key, row: int) -> DataFrame:
+    """HLOOKUP over cells (row, col, value): the value ``row`` rows (from 1) into the first column whose top cell is the key."""
+    heads = cells.where((F.col("row") == 0) & (F.col("value") == str(key))).agg(F.min("col").alias("_c"))  # one row
+    return cells.where(F.col("row") == row - 1).join(F.broadcast(heads), F.col("col") == F.col("_c")).select("value")
+
+
 def aggregate(name: str, *args) -> Column:
-    f = AGGREGATES.get(name.upper())
+    f = AGGREGATES.get(name.upper()) or MORE_AGGREGATES.get(name.upper())
     if f is None:
         raise FormulaError(f"unknown aggregate {name}")
     return f(*args)

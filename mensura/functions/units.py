@@ -15,41 +15,189 @@ from mensura.errors import UnitError
 BASES = ("M", "L", "T", "I", "Θ", "N", "J")
 # SI prefixes.
 PREFIXES = {"Y": 1e24, "Z": 1e21, "E": 1e18, "P": 1e15, "T": 1e12, "G": 1e9, "M": 1e6, "k": 1e3, "h": 1e2, "da": 1e1, "d": 1e-1, "c": 1e-2, "m": 1e-3, "μ": 1e-6, "u": 1e-6, "n": 1e-9, "p": 1e-12, "f": 1e-15, "a": 1e-18, "z": 1e-21, "y": 1e-24}
-# symbol=factor to SI by group and dimension; ``unit:prefixes`` stands for its prefixed forms.
-GROUPS = {
-    "si_base": (("L1", "m=1"), ("M1", "kg=1"), ("T1", "s=1"), ("I1", "A=1"), ("Θ1", "K=1"), ("N1", "mol=1")),
-    "length": (("L1", "m:m,c,k,μ,n Å=1e-10 in=0.0254 ft=0.3048 yd=0.9144 mi=1609.34 mil=2.54e-5 nmi=1852 fathom=1.8288 au=1.495978707e11 ly=9.4607304725808e15 pc=3.0857e16 cubit=0.4572 furlong=201.168 league=4828.032 chain=20.1168 rod=5.0292 link=0.201168 point=0.000352778 pica=0.00423333"),),
-    "mass": (("M1", "g=1e-3 g:m,μ lb=0.453592 oz=0.0283495 stone=6.35029 ton=907.185 metric_ton=1000 grain=6.4799e-5 u=1.66054e-27"),),
-    "time": (("T1", "s:n,μ,m min=60 h=3600 day=86400 week=604800 year=31557600"),),
-    "temperature": (("Θ1", "°C=1 °F=5/9 °R=5/9 °Ré=1.25"),),
-    "angle": (("", "rad=1 deg=π/180 °=π/180 arcmin=π/10800 arcsec=π/648000 grad=π/200 turn=π*2"),),
-    "area": (("L2", "m²=1 km²=1e6 cm²=1e-4 mm²=1e-6 in²=6.4516e-4 ft²=0.092903 yd²=0.836127 mi²=2.59e6 ha=10000 acre=4046.86 perch=25.2929"),),
-    "volume": (("L3", "m³=1 L=1e-3 L:m cm³=1e-6 in³=1.6387e-5 ft³=0.0283168 yd³=0.764555 gal=0.00378541 qt=0.000946353 pt=0.000473176 cup=0.000236588 fl_oz=2.9574e-5 tbsp=1.4787e-5 tsp=4.9289e-6 bbl=0.158987 bushel=0.0352391 imp_gal=0.00454609 imp_qt=0.00113652 imp_pt=0.000568261 imp_fl_oz=2.84131e-5"),),
-    "velocity": (("L1 T-1", "m/s=1 km/h=1/3.6 mph=0.44704 fps=0.3048 c=299792458 kn=0.514444"),),
-    "acceleration": (("L1 T-2", "m/s²=1 ft/s²=0.3048 g₀=9.80665 g_0=9.80665"),),
-    "force": (("M1 L1 T-2", "N=1 lbf=4.44822 kgf=9.80665 dyn=1e-5"),),
-    "pressure": (("M1 L-1 T-2", "Pa=1 Pa:k,M,G bar=1e5 atm=101325 psi=6894.76 mmHg=133.322 torr=133.322 Pa:h bar:m inHg=3386.39 bar_abs=100000"),),
-    "energy": (("M1 L2 T-2", "J=1 J:k,M,G cal=4.184 kcal=4184 BTU=1055.06 kWh=3.6e6 Wh=3600 eV=1.602176634e-19 eV:k,M,G erg=1e-7 dyne_cm=1e-7"),),
-    "power": (("M1 L2 T-3", "W=1 W:k,M,G,m hp=745.7 PS=735.5 erg/s=1e-7 ft.lbf/min=0.0225969667 BTU/h=0.29307107"),),
-    "current": (("I1", "A:m,μ,k"),),
-    "amount": (("N1", "mol:m,μ,k"),),
-    "luminous_intensity": (("J1", "cd=1 cd:m,k,M cp=0.981 hk=0.903"),),
-    "frequency": (("T-1", "Hz=1 Hz:k,M,G"),),
-    "voltage": (("M1 L2 T-3 I-1", "V=1 V:m,k,M"),),
-    "resistance": (("M1 L2 T-3 I-2", "Ω=1 Ω:m,k,M"),),
-    "capacitance": (("M-1 L-2 T4 I2", "F=1 F:μ,n,p"),),
-    "inductance": (("M1 L2 T-2 I-2", "H=1 H:m,μ,n"),),
-    "conductance": (("M-1 L-2 T3 I2", "S=1 S:m,μ"),),
-    "magnetic_flux_density": (("M1 T-2 I-1", "T=1 T:m,μ G=1e-4 gamma=1e-9"),),
-    "magnetic_flux": (("M1 L2 T-2 I-1", "Wb=1 Wb:m Mx=1e-8 unit_pole=1e-8 statWb=2.99792458e10"),),
-    "electric_charge": (("T1 I1", "C=1 C:m,μ,n,p,k,M"),),
-    "radiation_activity": (("T-1", "Bq=1 Ci=3.7e10"),),
-    "radiation_dose": (("L2 T-2", "Gy=1 Sv=1 rem=0.01 rd=0.01"),),
-    "illuminance": (("J1 L-2", "lx=1 fc=10.764 ph=10000"),),
-    "data_storage": (("", "byte=8 B2:k,M,G,T,P bit=1 Kibit=1024 Mibit=1048576 Gibit=1073741824 KiB=8192 MiB=8388608 GiB=8589934592"),),
-    "computing": (("T-1", "FLOPS=1 MIPS=1e6"),),
-    "textile": (("M1 L-1", "tex=1e-6 denier=1.111e-7"),),
-}
+#: Symbol, factor to SI, dimension, group.
+UNITS = (
+    ("m", 1.0, "L1", "si_base"),
+    ("kg", 1.0, "M1", "si_base"),
+    ("s", 1.0, "T1", "si_base"),
+    ("A", 1.0, "I1", "si_base"),
+    ("K", 1.0, "Θ1", "si_base"),
+    ("mol", 1.0, "N1", "si_base"),
+    ("Å", 1e-10, "L1", "length"),
+    ("in", 0.0254, "L1", "length"),
+    ("ft", 0.3048, "L1", "length"),
+    ("yd", 0.9144, "L1", "length"),
+    ("mi", 1609.34, "L1", "length"),
+    ("mil", 2.54e-5, "L1", "length"),
+    ("nmi", 1852.0, "L1", "length"),
+    ("fathom", 1.8288, "L1", "length"),
+    ("au", 1.495978707e11, "L1", "length"),
+    ("ly", 9.4607304725808e15, "L1", "length"),
+    ("pc", 3.0857e16, "L1", "length"),
+    ("cubit", 0.4572, "L1", "length"),
+    ("furlong", 201.168, "L1", "length"),
+    ("league", 4828.032, "L1", "length"),
+    ("chain", 20.1168, "L1", "length"),
+    ("rod", 5.0292, "L1", "length"),
+    ("link", 0.201168, "L1", "length"),
+    ("point", 0.000352778, "L1", "length"),
+    ("pica", 0.00423333, "L1", "length"),
+    ("g", 1e-3, "M1", "mass"),
+    ("lb", 0.453592, "M1", "mass"),
+    ("oz", 0.0283495, "M1", "mass"),
+    ("stone", 6.35029, "M1", "mass"),
+    ("ton", 907.185, "M1", "mass"),
+    ("metric_ton", 1000.0, "M1", "mass"),
+    ("grain", 6.4799e-5, "M1", "mass"),
+    ("u", 1.66054e-27, "M1", "mass"),
+    ("min", 60.0, "T1", "time"),
+    ("h", 3600.0, "T1", "time"),
+    ("day", 86400.0, "T1", "time"),
+    ("week", 604800.0, "T1", "time"),
+    ("year", 31557600.0, "T1", "time"),
+    ("°C", 1.0, "Θ1", "temperature"),
+    ("°F", 5 / 9, "Θ1", "temperature"),
+    ("°R", 5 / 9, "Θ1", "temperature"),
+    ("°Ré", 1.25, "Θ1", "temperature"),
+    ("rad", 1.0, "", "angle"),
+    ("deg", math.pi / 180, "", "angle"),
+    ("°", math.pi / 180, "", "angle"),
+    ("arcmin", math.pi / 10800, "", "angle"),
+    ("arcsec", math.pi / 648000, "", "angle"),
+    ("grad", math.pi / 200, "", "angle"),
+    ("turn", 2 * math.pi, "", "angle"),
+    ("m²", 1.0, "L2", "area"),
+    ("km²", 1e6, "L2", "area"),
+    ("cm²", 1e-4, "L2", "area"),
+    ("mm²", 1e-6, "L2", "area"),
+    ("in²", 6.4516e-4, "L2", "area"),
+    ("ft²", 0.092903, "L2", "area"),
+    ("yd²", 0.836127, "L2", "area"),
+    ("mi²", 2.59e6, "L2", "area"),
+    ("ha", 10000.0, "L2", "area"),
+    ("acre", 4046.86, "L2", "area"),
+    ("perch", 25.2929, "L2", "area"),
+    ("m³", 1.0, "L3", "volume"),
+    ("L", 1e-3, "L3", "volume"),
+    ("cm³", 1e-6, "L3", "volume"),
+    ("in³", 1.6387e-5, "L3", "volume"),
+    ("ft³", 0.0283168, "L3", "volume"),
+    ("yd³", 0.764555, "L3", "volume"),
+    ("gal", 0.00378541, "L3", "volume"),
+    ("qt", 0.000946353, "L3", "volume"),
+    ("pt", 0.000473176, "L3", "volume"),
+    ("cup", 0.000236588, "L3", "volume"),
+    ("fl_oz", 2.9574e-5, "L3", "volume"),
+    ("tbsp", 1.4787e-5, "L3", "volume"),
+    ("tsp", 4.9289e-6, "L3", "volume"),
+    ("bbl", 0.158987, "L3", "volume"),
+    ("bushel", 0.0352391, "L3", "volume"),
+    ("imp_gal", 0.00454609, "L3", "volume"),
+    ("imp_qt", 0.00113652, "L3", "volume"),
+    ("imp_pt", 0.000568261, "L3", "volume"),
+    ("imp_fl_oz", 2.84131e-5, "L3", "volume"),
+    ("m/s", 1.0, "L1 T-1", "velocity"),
+    ("km/h", 1 / 3.6, "L1 T-1", "velocity"),
+    ("mph", 0.44704, "L1 T-1", "velocity"),
+    ("fps", 0.3048, "L1 T-1", "velocity"),
+    ("c", 299792458.0, "L1 T-1", "velocity"),
+    ("kn", 0.514444, "L1 T-1", "velocity"),
+    ("m/s²", 1.0, "L1 T-2", "acceleration"),
+    ("ft/s²", 0.3048, "L1 T-2", "acceleration"),
+    ("g₀", 9.80665, "L1 T-2", "acceleration"),
+    ("g_0", 9.80665, "L1 T-2", "acceleration"),
+    ("N", 1.0, "M1 L1 T-2", "force"),
+    ("lbf", 4.44822, "M1 L1 T-2", "force"),
+    ("kgf", 9.80665, "M1 L1 T-2", "force"),
+    ("dyn", 1e-5, "M1 L1 T-2", "force"),
+    ("Pa", 1.0, "M1 L-1 T-2", "pressure"),
+    ("bar", 1e5, "M1 L-1 T-2", "pressure"),
+    ("atm", 101325.0, "M1 L-1 T-2", "pressure"),
+    ("psi", 6894.76, "M1 L-1 T-2", "pressure"),
+    ("mmHg", 133.322, "M1 L-1 T-2", "pressure"),
+    ("torr", 133.322, "M1 L-1 T-2", "pressure"),
+    ("inHg", 3386.39, "M1 L-1 T-2", "pressure"),
+    ("bar_abs", 100000.0, "M1 L-1 T-2", "pressure"),
+    ("J", 1.0, "M1 L2 T-2", "energy"),
+    ("cal", 4.184, "M1 L2 T-2", "energy"),
+    ("kcal", 4184.0, "M1 L2 T-2", "energy"),
+    ("BTU", 1055.06, "M1 L2 T-2", "energy"),
+    ("kWh", 3.6e6, "M1 L2 T-2", "energy"),
+    ("Wh", 3600.0, "M1 L2 T-2", "energy"),
+    ("eV", 1.602176634e-19, "M1 L2 T-2", "energy"),
+    ("erg", 1e-7, "M1 L2 T-2", "energy"),
+    ("dyne_cm", 1e-7, "M1 L2 T-2", "energy"),
+    ("W", 1.0, "M1 L2 T-3", "power"),
+    ("hp", 745.7, "M1 L2 T-3", "power"),
+    ("PS", 735.5, "M1 L2 T-3", "power"),
+    ("erg/s", 1e-7, "M1 L2 T-3", "power"),
+    ("ft.lbf/min", 0.0225969667, "M1 L2 T-3", "power"),
+    ("BTU/h", 0.29307107, "M1 L2 T-3", "power"),
+    ("cd", 1.0, "J1", "luminous_intensity"),
+    ("cp", 0.981, "J1", "luminous_intensity"),
+    ("hk", 0.903, "J1", "luminous_intensity"),
+    ("Hz", 1.0, "T-1", "frequency"),
+    ("V", 1.0, "M1 L2 T-3 I-1", "voltage"),
+    ("Ω", 1.0, "M1 L2 T-3 I-2", "resistance"),
+    ("F", 1.0, "M-1 L-2 T4 I2", "capacitance"),
+    ("H", 1.0, "M1 L2 T-2 I-2", "inductance"),
+    ("S", 1.0, "M-1 L-2 T3 I2", "conductance"),
+    ("T", 1.0, "M1 T-2 I-1", "magnetic_flux_density"),
+    ("G", 1e-4, "M1 T-2 I-1", "magnetic_flux_density"),
+    ("gamma", 1e-9, "M1 T-2 I-1", "magnetic_flux_density"),
+    ("Wb", 1.0, "M1 L2 T-2 I-1", "magnetic_flux"),
+    ("Mx", 1e-8, "M1 L2 T-2 I-1", "magnetic_flux"),
+    ("unit_pole", 1e-8, "M1 L2 T-2 I-1", "magnetic_flux"),
+    ("statWb", 2.99792458e10, "M1 L2 T-2 I-1", "magnetic_flux"),
+    ("C", 1.0, "T1 I1", "electric_charge"),
+    ("Bq", 1.0, "T-1", "radiation_activity"),
+    ("Ci", 3.7e10, "T-1", "radiation_activity"),
+    ("Gy", 1.0, "L2 T-2", "radiation_dose"),
+    ("Sv", 1.0, "L2 T-2", "radiation_dose"),
+    ("rem", 0.01, "L2 T-2", "radiation_dose"),
+    ("rd", 0.01, "L2 T-2", "radiation_dose"),
+    ("lx", 1.0, "J1 L-2", "illuminance"),
+    ("fc", 10.764, "J1 L-2", "illuminance"),
+    ("ph", 10000.0, "J1 L-2", "illuminance"),
+    ("byte", 8.0, "", "data_storage"),
+    ("bit", 1.0, "", "data_storage"),
+    ("Kibit", 1024.0, "", "data_storage"),
+    ("Mibit", 1048576.0, "", "data_storage"),
+    ("Gibit", 1073741824.0, "", "data_storage"),
+    ("KiB", 8192.0, "", "data_storage"),
+    ("MiB", 8388608.0, "", "data_storage"),
+    ("GiB", 8589934592.0, "", "data_storage"),
+    ("FLOPS", 1.0, "T-1", "computing"),
+    ("MIPS", 1e6, "T-1", "computing"),
+    ("tex", 1e-6, "M1 L-1", "textile"),
+    ("denier", 1.111e-7, "M1 L-1", "textile"),
+)
+#: Units that are also registered with SI prefixes, by group; the factor of each follows from both.
+PREFIXED = (
+    ("m", ("m", "c", "k", "μ", "n",), "length"),
+    ("g", ("m", "μ",), "mass"),
+    ("s", ("n", "μ", "m",), "time"),
+    ("L", ("m",), "volume"),
+    ("Pa", ("k", "M", "G",), "pressure"),
+    ("Pa", ("h",), "pressure"),
+    ("bar", ("m",), "pressure"),
+    ("J", ("k", "M", "G",), "energy"),
+    ("eV", ("k", "M", "G",), "energy"),
+    ("W", ("k", "M", "G", "m",), "power"),
+    ("A", ("m", "μ", "k",), "current"),
+    ("mol", ("m", "μ", "k",), "amount"),
+    ("cd", ("m", "k", "M",), "luminous_intensity"),
+    ("Hz", ("k", "M", "G",), "frequency"),
+    ("V", ("m", "k", "M",), "voltage"),
+    ("Ω", ("m", "k", "M",), "resistance"),
+    ("F", ("μ", "n", "p",), "capacitance"),
+    ("H", ("m", "μ", "n",), "inductance"),
+    ("S", ("m", "μ",), "conductance"),
+    ("T", ("m", "μ",), "magnetic_flux_density"),
+    ("Wb", ("m",), "magnetic_flux"),
+    ("C", ("m", "μ", "n", "p", "k", "M",), "electric_charge"),
+    ("byte", ("k", "M", "G", "T", "P",), "data_storage"),
+)
 # Rounded factors that win over the registry for these pairs.
 QUICK = {("cm", "in"): 0.393701, ("in", "cm"): 2.54, ("ft", "m"): 0.3048, ("m", "ft"): 3.28084, ("mi", "km"): 1.60934, ("km", "mi"): 0.621371, ("lb", "kg"): 0.453592, ("kg", "lb"): 2.20462, ("oz", "g"): 28.3495, ("g", "oz"): 0.035274}
 # kelvin = scale * value + offset.
@@ -78,29 +226,14 @@ def _dimension(text: str) -> tuple[int, ...]:
     return tuple(of.get(b, 0) for b in BASES)
 
 
-def _number(text: str) -> float:
-    if m := re.fullmatch(r"π([/*])(.+)", text):
-        return math.pi / float(m[2]) if m[1] == "/" else math.pi * float(m[2])
-    top, _, below = text.partition("/")
-    return float(top) / float(below) if below else float(top)
-
-
 @functools.lru_cache(1)
 def registry() -> dict[str, Unit]:
-    out: dict[str, Unit] = {}
-    for group, rows in GROUPS.items():
-        for dimension, text in rows:
-            dim = _dimension(dimension)
-            for item in text.split():
-                symbol, eq, value = item.rpartition("=")
-                if eq:
-                    out[symbol] = Unit(symbol, dim, _number(value), group)
-                    continue
-                base, _, prefixes = item.partition(":")
-                factor = 8.0 if base == "B2" else out[base].factor if base in out else 1.0
-                for p in prefixes.split(","):
-                    s = p + ("B" if base == "B2" else base)
-                    out[s] = Unit(s, dim, float(f"{PREFIXES[p]:g}") * factor, group)
+    out = {symbol: Unit(symbol, _dimension(dimension), factor, group) for symbol, factor, dimension, group in UNITS}
+    for base, prefixes, group in PREFIXED:
+        of = out[base]
+        for p in prefixes:
+            symbol = p + ("B" if base == "byte" else base)
+            out[symbol] = Unit(symbol, of.dimension, PREFIXES[p] * of.factor, group)
     return out
 
 

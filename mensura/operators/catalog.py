@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mensura.errors import DataError
 
+# The data model's columns.
 SCHEMA = "id string, name string, description string, tags array<string>, unit string, source string, data array<double>, uncertainties array<double>, is_pinned boolean, created_at timestamp, modified_at timestamp"
 #: Columns of a listing: the arrays stay unread.
 LISTED = ("id", "name", "description", "tags", "unit", "source", "is_pinned", "created_at", "modified_at")
@@ -123,10 +124,23 @@ def all_tags(sequences: DataFrame, tags: str = "tags") -> DataFrame:
 # ---------------------------------------------------------------- joins by position
 
 
-def zip_full(left: DataFrame, right: DataFrame, idx: str = "idx", names: tuple[str, str] = ("left_value", "right_value"), value: str = "value") -> DataFrame:
-    """Two long sequences side by side, the shorter padded with nulls."""
-    a, b = (d.select(idx, F.col(value).alias(n)) for d, n in zip((left, right), names))
-    return a.join(b, idx, "full")
+def positions(points: DataFrame, keys: Sequence[str], order: Sequence[str], idx: str = "idx") -> DataFrame:
+    """Adds the place of each row in its key's order, from zero; no key's rows meet in one task.
+
+    ``keys`` and ``order`` together must be a total order. Rows are numbered all together, and the first number
+    of each key is taken away.
+    """
+    from mensura.operators.sheet import numbered
+
+    rows = numbered(points, [*keys, *order], "_place")
+    first = rows.groupBy(*keys).agg(F.min("_place").alias("_first"))
+    return rows.join(first, list(keys)).withColumn(idx, F.col("_place") - F.col("_first")).drop("_place", "_first")
+
+
+def zip_full(left: DataFrame, right: DataFrame, idx: str = "idx", names: tuple[str, str] = ("left_value", "right_value"), value: str = "value", keys: Sequence[str] = ()) -> DataFrame:
+    """Two long sequences side by side, the shorter padded with nulls; with ``keys`` those of each key."""
+    a, b = (d.select(*keys, idx, F.col(value).alias(n)) for d, n in zip((left, right), names))
+    return a.join(b, [*keys, idx], "full")
 
 
 def zip_strict(sequences: DataFrame) -> DataFrame:

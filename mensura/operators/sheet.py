@@ -130,10 +130,11 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "row") ->
     """
     from pyspark.sql import Window
 
-    dealt = in_order(df, order)
-    counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))  # one row for each range
-    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return dealt.join(F.broadcast(before), "_p").withColumn(name, F.col("_k") + F.col("_before")).drop("_p", "_k", "_before")
+    task, inside, before = "_range_of_rows", "_row_in_range", "_rows_before"
+    dealt = in_order(df, order, task, inside)
+    counts = dealt.groupBy(task).agg(F.count("*").alias("_n"))  # one row for each range
+    sums = counts.select(task, F.coalesce(F.sum("_n").over(Window.orderBy(task).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    return dealt.join(F.broadcast(sums), task).withColumn(name, F.col(inside) + F.col(before)).drop(task, inside, before)
 
 
 def clean_bounding_box(cells: DataFrame) -> DataFrame:
@@ -180,6 +181,28 @@ def numeric_cells(cells: DataFrame) -> DataFrame:
     return cells.withColumn("value", number(F.col("value").cast("string"))).where(F.col("value").isNotNull())
 
 
+def to_library(cells: DataFrame, name: str, values: str, uncertainties: str | None = None, unit: str = "", description: str = "", tags: str = "", source: str = "sheet", id_: str | None = None) -> DataFrame:
+    """A range of a sheet as one row of the catalog: its numbers in reading order, tags parted by commas.
+
+    Cells that are no numbers are left out. Uncertainties must be as many as values, else running
+    the result is an error. One sequence is one row, as large as its range.
+    """
+    from mensura.operators import catalog
+
+    def numbers(ref: str, out: str) -> DataFrame:
+        rows = numeric_cells(read_range(cells, ref)).select(F.struct("row", "col", "value").alias("c"))
+        return rows.agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["value"]).alias(out))
+
+    both = numbers(values, "data")
+    both = both.crossJoin(numbers(uncertainties, "uncertainties")) if uncertainties else both.withColumn("uncertainties", F.lit(None).cast("array<double>"))  # one row each
+    wrong = F.size("uncertainties") != F.size("data")
+    data = F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(F.lit("uncertainties and values differ in number")).cast("array<double>")).otherwise(F.col("data"))
+    listed = [t.strip() for t in tags.split(",") if t.strip()]
+    fixed = {"id": F.lit(id_) if id_ else F.uuid(), "name": F.lit(name), "description": F.lit(description), "tags": F.array(*map(F.lit, listed)).cast("array<string>"), "unit": F.lit(unit), "source": F.lit(source)}
+    out = both.select(*(c.alias(k) for k, c in fixed.items()), data.alias("data"), "uncertainties", F.lit(False).alias("is_pinned"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("modified_at"))
+    return out.select(*(n.split()[0] for n in catalog.SCHEMA.split(", ")))
+
+
 # ---------------------------------------------------------------- references and propagation
 
 

@@ -206,23 +206,44 @@ def edit_text(value: Column, upper: Column, lower: Column | None = None) -> Colu
     return both if lower is None else F.when(lower.isNull() | (lower == upper), both).otherwise(F.concat(s(value), F.lit(" +"), s(upper), F.lit("/-"), s(lower)))
 
 
+def generate(formula: str, rows: int, variables: Mapping[str, tuple[str, str | None]]) -> dict:
+    """Cell formulas of a value and its uncertainty, one for each of ``rows`` rows below the first cells given.
+
+    ``variables``: name -> (first cell of its values, of its uncertainties or None). What fails is
+    told in the payload, never raised: success, error, value_formulas, sigma_formulas.
+    """
+    from mensura.operators import sheet
+
+    try:
+        names = _checked(list(variables))
+        e, sig = X.parse(formula, names), sigma_expression(formula, names)
+        refs = {n: X.Sym(v) for n, (v, _) in zip(names, variables.values())}
+        refs |= {f"sigma_{n}": X.Sym(s) if s is not None else X.ZERO for n, (_, s) in zip(names, variables.values())}
+        texts = ["=" + _named(x, refs) for x in (e, sig)]
+        value, sigma = ([sheet.shift(t, k, 0) for k in range(rows)] for t in texts)
+        return {"success": True, "error": None, "value_formulas": value, "sigma_formulas": sigma}
+    except (FormulaError, DataError) as e:
+        return {"success": False, "error": str(e), "value_formulas": [], "sigma_formulas": []}
+
+
+def _named(e: X.Expr, refs: Mapping[str, X.Expr]) -> str:
+    return X.to_text(X.substitute(e, refs))
+
+
 def autofill(targets: DataFrame, source: DataFrame, index: str = "idx", columns: Sequence[str] = ("upper", "lower")) -> DataFrame:
     """Copies the source's uncertainty cyclically over target rows by index; rows with a formula keep theirs.
 
-    ``source`` is one selection of the user's; its length is read first and is a row count only.
+    ``source`` is one selection of the user's; its length is read first and is a row count only. One
+    of up to 100,000 rows is broadcast, a longer one joined by its row number.
     """
+    from mensura.operators.sheet import numbered
+
     n = source.count()
     if n == 0:
         return targets
-    picked = source.select((F.row_number().over(_by(index)) - 1).alias("_k"), *(F.col(c).alias(f"_{c}") for c in columns))
-    out = targets.join(picked, F.pmod(F.col(index), F.lit(n)) == F.col("_k"), "left")
+    picked = numbered(source.select(index, *columns), [index], "_place").select("_place", *(F.col(c).alias(f"_{c}") for c in columns))
+    out = targets.join(F.broadcast(picked) if n <= 100_000 else picked, F.pmod(F.col(index), F.lit(n)) == F.col("_place"), "left")
     keep = F.col("formula").isNotNull() if "formula" in targets.columns else F.lit(False)
     for c in columns:
         out = out.withColumn(c, F.when(keep, F.col(c)).otherwise(F.col(f"_{c}")) if c in targets.columns else F.when(~keep, F.col(f"_{c}")))
-    return out.drop("_k", *(f"_{c}" for c in columns))
-
-
-def _by(index: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(index)
+    return out.drop("_place", *(f"_{c}" for c in columns))

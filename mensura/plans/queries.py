@@ -133,24 +133,27 @@ def sequence_stats(spark, sf_dir):
     return s.select("user_id", "count", _r("mean").alias("mean"), _r("std_dev").alias("std_dev"), "min", "max", _r("median").alias("median"))
 
 
-_SEQ = "SELECT row_number() OVER (ORDER BY event_id) - 1 AS idx, value FROM events WHERE user_id = {}"
+_SEQ = "SELECT user_id // 2 AS pair, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, value FROM events WHERE user_id % 2 = {}"
 
 
-def _sequence(spark, sf_dir, user: int) -> DataFrame:
-    """One user's values by place; a sequence of the catalog fits one array."""
-    rows = table(spark, sf_dir, "events").where(F.col("user_id") == user).select(F.lit("s").alias("id"), F.col("event_id").alias("idx"), "value")
-    return catalog.to_long(catalog.to_wide(rows, sigma=None)).withColumn("idx", F.col("idx").cast("long"))
+@query(f"""SELECT pair, idx, a.value AS left_value, b.value AS right_value FROM ({_SEQ.format(0)}) a FULL JOIN ({_SEQ.format(1)}) b USING (pair, idx)""")
+def sequence_zip_full(spark, sf_dir):
+    """Every user of an even number beside the next: all users' sequences, padded pair by pair."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    placed = catalog.positions(rows, ["user_id"], ["event_id"]).withColumn("pair", F.floor(F.col("user_id") / 2))
+    even = F.col("user_id") % 2 == 0
+    return catalog.zip_full(placed.where(even), placed.where(~even), keys=["pair"])
 
 
-@query(f"""SELECT idx, a.value AS left_value, b.value AS right_value FROM ({_SEQ.format(1)}) a FULL JOIN ({_SEQ.format(2)}) b USING (idx)""")
-def sequence_zip_full(spark, sf_dir):
-    return catalog.zip_full(_sequence(spark, sf_dir, 1), _sequence(spark, sf_dir, 2))
+_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
-@query(f"""SELECT idx, max(CASE WHEN n = 'a' THEN value END) AS a, max(CASE WHEN n = 'b' THEN value END) AS b FROM (SELECT 'a' AS n, * FROM ({_SEQ.format(3)}) UNION ALL SELECT 'b', * FROM ({_SEQ.format(4)})) GROUP BY idx""")
+@query("""WITH p AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS idx, value FROM events)
+SELECT idx, """ + ", ".join(f"max(CASE WHEN event_type = '{t}' THEN value END) AS \"{t}\"" for t in _TYPES) + """ FROM p GROUP BY idx""")
 def sequence_pivot_fit_input(spark, sf_dir):
-    both = _sequence(spark, sf_dir, 3).withColumn("name", F.lit("a")).unionByName(_sequence(spark, sf_dir, 4).withColumn("name", F.lit("b")))
-    return catalog.fit_input(both, ["a", "b"], sigma=None)
+    """The values of every event type as a column, by place: each type is a sequence."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), "event_id", "value")
+    return catalog.fit_input(catalog.positions(rows, ["name"], ["event_id"]), _TYPES, sigma=None)
 
 
 @query(r"""SELECT doc_id, source FROM documents WHERE (regexp_matches(lower(text), '(^|[^\pL\pN])haed') AND regexp_matches(lower(text), '(^|[^\pL\pN])lic')) OR lower(source) LIKE '%haed lic%'""")
@@ -316,6 +319,37 @@ def special_gamma_beta(spark, sf_dir):
     return rows.select(F.col("p_size").cast("long").alias("p_size"), F.round(F.log10(special.column("gamma")(x)), 9).alias("gamma"), F.round(special.lgamma_native(x), 9).alias("lgamma"), F.round(F.log10(special.column("beta")(x, F.lit(2.5))), 9).alias("beta"))
 
 
+def _zeta_by_sum(s, n: int = 400):
+    """Riemann's zeta for s > 1 from its series: n terms, the integral of the rest, and two corrections."""
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(n - 1)), F.lit(0.0), lambda a, k: a + F.pow(k.cast("double"), -s))
+    m = F.lit(float(n))
+    return terms + F.pow(m, 1 - s) / (s - 1) + F.pow(m, -s) / 2 + s * F.pow(m, -s - 1) / 12
+
+
+@query("""SELECT p_size::BIGINT AS p_size, round((SELECT sum(power(k::DOUBLE, -s)) FROM range(1, 400) t(k)) + power(400.0::DOUBLE, 1 - s) / (s - 1) + power(400.0::DOUBLE, -s) / 2 + s * power(400.0::DOUBLE, -s - 1) / 12, 9) AS zeta,
+round(-0.5772156649015329 + (SELECT sum(1.0::DOUBLE / k) FROM range(1, 400) t(k) WHERE k < p_size), 9) AS digamma, round(pi() * pi() / 6 - (SELECT coalesce(sum(1.0::DOUBLE / (k * k)), 0) FROM range(1, 400) t(k) WHERE k < p_size), 9) AS trigamma
+FROM (SELECT DISTINCT p_size, p_size + 1.0::DOUBLE AS s FROM part WHERE p_size > 1)""")
+def special_zeta(spark, sf_dir):
+    """Zeta, digamma and trigamma against their series."""
+    c, s = special.column, F.col("p_size").cast("double")
+    rows = table(spark, sf_dir, "part").where("p_size > 1").select("p_size").distinct()
+    return rows.select(F.col("p_size").cast("long").alias("p_size"), F.round(c("zeta")(s + 1), 9).alias("zeta"), F.round(c("digamma")(s), 9).alias("digamma"), F.round(c("trigamma")(s), 9).alias("trigamma"))
+
+
+@query("""SELECT p_size::BIGINT AS p_size, round((SELECT sum(cos(2 * t - x * sin(t))) FROM a) / 2000, 8) AS j2, round((SELECT sum(exp(x * cos(t)) * cos(t)) FROM a) / 2000, 8) AS i1,
+round(2 / sqrt(pi()) * (SELECT sum(exp(-power(x * (k + 0.5) / 2000, 2))) FROM range(2000) r(k)) * x / 2000, 5) AS erf,
+round((SELECT sum(1 / sqrt(1 - power(m * sin(t / 2), 2))) FROM a) * pi() / 2 / 2000, 8) AS elliptic_k, round((SELECT sum(sqrt(1 - power(m * sin(t / 2), 2))) FROM a) * pi() / 2 / 2000, 8) AS elliptic_e
+FROM (SELECT DISTINCT p_size, p_size / 10.0::DOUBLE AS x, p_size / 60.0::DOUBLE AS m FROM part), (SELECT 1) one""".replace("FROM a)", "FROM (SELECT (k + 0.5) * pi() / 2000 AS t FROM range(2000) r(k)) a)"))
+def special_integrals(spark, sf_dir):
+    """Bessel, error and elliptic functions against their integrals by the midpoint rule."""
+    c, s = special.column, F.col("p_size").cast("double")
+    rows = table(spark, sf_dir, "part").select("p_size").distinct()
+    x, m = s / 10, s / 60
+    return rows.select(
+        F.col("p_size").cast("long").alias("p_size"), _r(c("besselj")(F.lit(2.0), x), 8).alias("j2"), _r(c("besseli")(F.lit(1.0), x), 8).alias("i1"), _r(c("erf")(x), 5).alias("erf"), _r(c("elliptic_k")(m), 8).alias("elliptic_k"), _r(c("elliptic_e")(m), 8).alias("elliptic_e")
+    )
+
+
 @query("""SELECT p_size::BIGINT AS p_size, round(8 * x * x * x - 12 * x, 6) AS h3, round((3 * t * t - 1) / 2, 9) AS p2, round(sqrt(5 / (4 * pi())) * (3 * power(cos(t), 2) - 1) / 2, 9) AS y20, TRUE AS digamma_ok, TRUE AS lambertw_ok, TRUE AS elliptic_ok, TRUE AS zeta_ok
 FROM (SELECT DISTINCT p_size, p_size / 10.0::DOUBLE AS x, p_size / 51.0::DOUBLE AS t FROM part)""")
 def special_other(spark, sf_dir):
@@ -330,7 +364,7 @@ def special_other(spark, sf_dir):
     return rows.select(
         F.col("p_size").cast("long").alias("p_size"), _r(special.hermite_native(F.lit(3), x)).alias("h3"), _r(c("assoc_legendre")(F.lit(2.0), F.lit(0.0), t), 9).alias("p2"),
         _r(c("spherical_harmonic")(F.lit(2.0), F.lit(0.0), t, F.lit(0.3)), 9).alias("y20"), near(c("digamma")(x + 1), c("digamma")(x) + 1 / x).alias("digamma_ok"),
-        near(c("lambertw")(x) * F.exp(c("lambertw")(x)), x).alias("lambertw_ok"), near(legendre, F.lit(1.5707963267948966)).alias("elliptic_ok"), near(c("zeta")(s + 1), F.lit(1.0) + c("zeta")(s + 1) - 1).alias("zeta_ok"),
+        near(c("lambertw")(x) * F.exp(c("lambertw")(x)), x).alias("lambertw_ok"), near(legendre, F.lit(1.5707963267948966)).alias("elliptic_ok"), near(c("zeta")(s + 1), _zeta_by_sum(s + 1)).alias("zeta_ok"),
     )
 
 
@@ -447,6 +481,33 @@ def predicted_range(spark, sf_dir):
     return grid.predicted_observed(rows, "p_retailprice").select(_r("low").alias("low"), _r("high").alias("high"))
 
 
+@query("""SELECT event_type, n, round(slope, 8) AS slope, round(sqrt(scale / sxx), 8) AS slope_sigma, round(sqrt(scale * (1.0 / n + mx * mx / sxx)), 8) AS intercept_sigma, round(sqrt(1 / sxx) * 0.5, 8) AS slope_raw, round(-mx * scale / sxx, 8) AS covariance,
+round(-mx / sqrt(sxx / n + mx * mx), 8) AS correlation, round(ssr / 0.25, 4) AS chi2, round(ssr / 0.25 / (n - 2), 6) AS chi2_reduced, n - 2 AS dof, (n - 2)::DOUBLE AS effective_dof, round(sqrt(ssr / n), 8) AS rmse, 2 AS rank, TRUE AS k_ok
+FROM (SELECT *, sxy / sxx AS slope, syy - sxy * sxy / sxx AS ssr, (syy - sxy * sxy / sxx) / (n - 2) AS scale FROM (SELECT event_type, count(*) AS n, avg(x) AS mx, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy
+FROM (SELECT event_type, event_id / 1000.0::DOUBLE AS x, 3 * event_id / 1000.0::DOUBLE + sin(value) AS y FROM events) GROUP BY event_type))""")
+def fit_inference(spark, sf_dir):
+    """The general solver's inference: covariance raw and scaled, correlation, degrees of freedom, metrics."""
+    x = F.col("event_id") / F.lit(1000.0)
+    rows = table(spark, sf_dir, "events").select("event_type", x.alias("x"), (3 * x + F.sin("value")).alias("y"), F.lit(0.5).alias("s"))
+    out = fits.fit_groups(rows, ["event_type"], odr.FitSpec.single("a*x + b", "y", ["x"], ["a", "b"], sigmas={"y": "s"}, guesses=(1.0, 0.0), tolerance=1e-11))
+    at = lambda c, i, n=8: _r(F.get(c, F.lit(i)), n)
+    k = F.col("coverage_factor")
+    # Cornish and Fisher's expansion of Student's quantile about the normal one
+    z, v = 1.959963984540054, F.col("effective_dof")
+    want = F.lit(z) + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v * v)
+    good = (F.abs(k - want) < 1e-3) & (F.abs(F.get("expanded", F.lit(0)) - k * F.get("sigmas", F.lit(0))) < 1e-12)
+    return out.select(
+        "event_type", "n", at("parameters", 0).alias("slope"), at("sigmas", 0).alias("slope_sigma"), at("sigmas", 1).alias("intercept_sigma"), at("sigmas_raw", 0).alias("slope_raw"), _r(F.get(F.get("covariance", F.lit(0)), F.lit(1)), 8).alias("covariance"),
+        _r(F.get(F.get("correlation", F.lit(0)), F.lit(1)), 8).alias("correlation"), _r("chi2", 4).alias("chi2"), _r("chi2_reduced").alias("chi2_reduced"), "dof", "effective_dof", _r("rmse", 8).alias("rmse"), "rank", good.alias("k_ok"),
+    )
+
+
+@query("""SELECT event_id, value, row_number() OVER (ORDER BY value, event_id) - 1 AS "row" FROM events""")
+def row_numbers(spark, sf_dir):
+    """Every event's place in the order of values: no single-partition window."""
+    return sheet.numbered(table(spark, sf_dir, "events").select("event_id", "value"), ["value", "event_id"])
+
+
 # ---------------------------------------------------------------- sheet functions over tables
 
 
@@ -498,3 +559,52 @@ def welch_satterthwaite(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", u.alias("u2"), (F.col("l_linenumber") + 3).alias("nu"))
     out = rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("u2").alias("a"), F.sum(F.col("u2") * F.col("u2") / F.col("nu")).alias("b"))
     return out.select("l_returnflag", "n", F.round(F.col("a") * F.col("a") / F.col("b"), 3).alias("effective_dof"))
+
+
+@query("""SELECT l_returnflag, count(*) FILTER (q > 10 AND t < 0.05) AS countifs, round(sum(p) FILTER (q > 10 AND t < 0.05), 2) AS sumifs, round(avg(p) FILTER (q > 10 AND t < 0.05), 4) AS averageifs, max(q) AS subtotal_max, sum(q) FILTER (t >= 0.05) AS subtotal_visible,
+median(q) AS aggregate_median, sum(q) FILTER ((q > 40 AND t < 0.02) OR t > 0.07) AS dsum, max(q) FILTER (q > 40) AS dmax, round(var_samp(q) FILTER (t > 0.07), 6) AS dvar FROM (SELECT l_returnflag, l_quantity AS q, l_extendedprice AS p, l_tax AS t FROM lineitem) GROUP BY l_returnflag""")
+def sheet_conditions(spark, sf_dir):
+    q, p, t = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_tax")
+    a, d = sheetlike.aggregate, sheetlike.database
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        a("COUNTIFS", q > 10, t < 0.05).alias("countifs"), F.round(a("SUMIFS", p, q > 10, t < 0.05), 2).alias("sumifs"), F.round(a("AVERAGEIFS", p, q > 10, t < 0.05), 4).alias("averageifs"), sheetlike.subtotal(4, q).alias("subtotal_max"), sheetlike.subtotal(109, q, t < 0.05).alias("subtotal_visible"),
+        sheetlike.numbered_aggregate(12, q).alias("aggregate_median"), d("DSUM", q, [{"q": q > 40, "t": t < 0.02}, {"t": t > 0.07}]).alias("dsum"), d("DMAX", q, q > 40).alias("dmax"), F.round(d("DVAR", q, t > 0.07), 6).alias("dvar"),
+    )
+
+
+@query("""SELECT event_type, round(avg(abs(value - m)), 6) AS avedev FROM events JOIN (SELECT event_type, avg(value) AS m FROM events GROUP BY event_type) USING (event_type) GROUP BY event_type""")
+def sheet_average_deviation(spark, sf_dir):
+    return sheetlike.average_deviation(table(spark, sf_dir, "events"), "value", ["event_type"]).select("event_type", _r("avedev").alias("avedev"))
+
+
+@query("""SELECT o_orderkey, c.place AS position FROM orders LEFT JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) AS place FROM customer) c ON o_custkey = c_custkey""")
+def sheet_match(spark, sf_dir):
+    return sheetlike.match(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), "o_custkey", "c_custkey", ["c_name", "c_custkey"]).select("o_orderkey", "position")
+
+
+@query("""SELECT DISTINCT c_nationkey AS k, c_mktsegment AS t FROM customer UNION ALL SELECT s_nationkey, NULL FROM (SELECT DISTINCT s_nationkey FROM supplier)""")
+def sheet_unique_vstack(spark, sf_dir):
+    a = sheetlike.unique(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("t")))
+    return sheetlike.vstack(a, sheetlike.unique(table(spark, sf_dir, "supplier"), ["s_nationkey"]))
+
+
+@query("""SELECT "row", p_partkey, s_suppkey FROM (SELECT row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS "row", p_partkey FROM part) FULL JOIN (SELECT row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS "row", s_suppkey FROM supplier) USING ("row")""")
+def sheet_hstack(spark, sf_dir):
+    a, b = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    return sheetlike.hstack(a, b, ["p_retailprice", "p_partkey"], ["s_acctbal", "s_suppkey"]).select("row", "p_partkey", "s_suppkey")
+
+
+@query("""SELECT o_orderkey::DOUBLE AS o_orderkey, o_orderstatus, o_totalprice FROM orders""")
+def text_header_roundtrip(spark, sf_dir):
+    """A table of many parts, each with its header, as tab-separated text and back."""
+    path = shared_dir(spark)
+    files.write(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").repartition(5), "tsv", path, header=True)
+    return files.read(spark, "tsv", path, header=True, numeric=["o_orderkey", "o_totalprice"])
+
+
+@query("""SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part""")
+def numeric_import(spark, sf_dir):
+    """The strict reader of numbers: the delimiter is guessed, columns are named by the header."""
+    path = shared_dir(spark)
+    files.write(table(spark, sf_dir, "part").select(F.col("p_size").alias("x"), F.col("p_retailprice").alias("y")), "txt", path, delimiter=";", header=True)
+    return files.read_numeric(spark, path)

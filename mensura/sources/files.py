@@ -72,39 +72,51 @@ def _decoder(encoding: str):
     return F.pandas_udf(run, "string")
 
 
+def _lines(spark: SparkSession, path: str, encoding: str, header: bool = False) -> DataFrame:
+    """(value): the lines of each file; with ``header`` without the first line of each that is not blank."""
+    if encoding == "UTF-8" and not header:
+        return spark.read.text(path)
+    return spark.read.format("csv").option("encoding", encoding).option("header", header).option("sep", "\u0001").option("quote", "").schema("value string").load(path)
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str, skip_rows: int = 0, header: bool = False, encoding: str | None = None, numeric: Sequence[str] = ()) -> DataFrame:
     """Rows of text fields ``c0..cN`` (or header names); the columns in ``numeric`` become doubles.
 
     Fields may be quoted, quotes doubled; blank lines are dropped, short rows padded with nulls to
-    the widest. The width is found first, by one pass over the text. ``skip_rows`` raw lines of each
-    file are passed over, which Spark can only place by reading a file whole in one task; without
-    it files are split as usual.
+    the widest. The width is found first, by one pass over the text. With ``header`` the first line
+    of each file, and no other, is one. ``skip_rows`` raw lines of each file are passed over, which
+    Spark can only place by reading a file whole in one task; without it files are split as usual.
     """
     if not delimiter:
         raise DataError("a delimiter is needed")
     d, enc = delimiter[0], _encoding(encoding)
+    clean = lambda c: F.regexp_replace(F.regexp_replace(c, "^\ufeff", ""), r"\r$", "")
     if skip_rows:
         whole = spark.read.text(path, wholetext=True) if enc == "UTF-8" else spark.read.format("binaryFile").load(path).select(_decoder(enc)("content").alias("value"))
-        rest = F.slice(F.split("value", r"\r?\n"), skip_rows + 1, F.greatest(F.lit(0), F.size(F.split("value", r"\r?\n")) - skip_rows))
-        lines = whole.select(F.explode(rest).alias("value"))
+        every = F.split("value", r"\r?\n")
+        rest = F.filter(F.slice(every, skip_rows + 1, F.greatest(F.lit(0), F.size(every) - skip_rows)), lambda x: F.trim(clean(x)) != "")
+        files_ = whole.select(rest.alias("v"))
+        heads = files_.select(F.get("v", F.lit(0)).alias("value")) if header else None
+        lines = files_.select(F.explode(F.slice("v", 2, F.greatest(F.lit(0), F.size("v") - 1)) if header else "v").alias("value"))
     else:
-        lines = spark.read.text(path) if enc == "UTF-8" else spark.read.format("csv").option("encoding", enc).option("sep", "\u0001").option("quote", "").schema("value string").load(path)
-    lines = lines.select(F.regexp_replace(F.regexp_replace("value", "^﻿", ""), r"\r$", "").alias("value")).where(F.trim("value") != "")
+        lines = _lines(spark, path, enc, header)
+        heads = _lines(spark, path, enc) if header else None
+    tidy = lambda rows: rows.select(clean("value").alias("value")).where(F.trim("value") != "")
+    lines = tidy(lines)
+    first = tidy(heads).first() if header else None
     bare = F.regexp_replace("value", r'"(?:[^"]|"")*"', "")
-    width = lines.agg(F.max(F.length(bare) - F.length(F.replace(bare, F.lit(d))) + 1)).first()[0] or 0
+    count = F.length(bare) - F.length(F.replace(bare, F.lit(d))) + 1
+    width = lines.agg(F.max(count)).first()[0] or 0
+    if first:
+        title = spark.createDataFrame([first], "value string")
+        width = max(width, title.select(count).first()[0])
     if not width:
         return spark.createDataFrame([], T.StructType([]))
     schema = ", ".join(f"c{i} string" for i in range(width))
     fields = F.from_csv("value", schema, {"sep": d, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
     out = lines.select(fields.alias("r")).select("r.*")
-    if header:
-        first = out.first()
-        names = [(v or "").strip() or f"c{i}" for i, v in enumerate(first)]
-        same = None
-        for c, v in zip(out.columns, first):
-            t = F.col(c).eqNullSafe(F.lit(v))
-            same = t if same is None else same & t
-        out = out.where(~same).toDF(*names)
+    if first:
+        out = out.toDF(*((v or "").strip() or f"c{i}" for i, v in enumerate(title.select(fields.alias("r")).select("r.*").first())))
     return out.withColumns({c: number(F.col(f"`{c}`")) for c in numeric}) if numeric else out
 
 
@@ -219,7 +231,10 @@ CELLS = "sheet_id string, sheet_name string, row int, col int, value string, for
 
 
 def snapshot_cells(spark: SparkSession, path: str, container: Container = Container()) -> DataFrame:
-    """(sheet_id, sheet_name, row, col, value, formula) of every snapshot below ``path``; one task reads each file."""
+    """(sheet_id, sheet_name, row, col, value, formula) of every snapshot below ``path``; one task reads each file.
+
+    A snapshot above the bound is an error, as for ``read_snapshot``.
+    """
     def run(parts):
         for pdf in parts:
             rows = []
@@ -232,7 +247,14 @@ def snapshot_cells(spark: SparkSession, path: str, container: Container = Contai
                             rows.append((sid, sheet.get("name"), int(r), int(c), None if v is None else str(v).lower() if isinstance(v, bool) else str(v), cell.get("f")))
             yield pd.DataFrame(rows, columns=["sheet_id", "sheet_name", "row", "col", "value", "formula"])
 
-    return spark.read.format("binaryFile").load(path).where(F.col("length") <= LARGEST).select("content").mapInPandas(run, CELLS)
+    found = spark.read.format("binaryFile").load(path)
+    small = F.when(F.col("length") <= LARGEST, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("snapshot is larger than 100 MB: "), F.col("path"))).cast("binary"))
+    return found.select(small.alias("content")).mapInPandas(run, CELLS)
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of each text file, whole."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 # ---------------------------------------------------------------- writers
@@ -258,11 +280,16 @@ def text_rows(df: DataFrame, delimiter: str = ",") -> DataFrame:
 
 
 def write_text(df: DataFrame, path: str, delimiter: str = ",", header: bool = False) -> None:
-    """Part files of CRLF lines, written where the rows are; with a header each part has it."""
+    """Part files of CRLF lines, written where the rows are; with a header each part has it, and an empty table one part."""
     line = text_rows(df, delimiter)
     if header:
-        names = df.limit(0).sparkSession.createDataFrame([tuple(df.columns)], [f"c{i}" for i in range(len(df.columns))])
-        line = text_rows(names, delimiter).unionByName(line).coalesce(1)
+        names = df.sparkSession.createDataFrame([tuple(df.columns)], [f"c{i}" for i in range(len(df.columns))])
+        head = text_rows(names, delimiter).first().line
+        if line.isEmpty():
+            line = df.sparkSession.range(0, 1, 1, 1).select(F.lit(head).alias("line"))
+        else:  # the first row of a task has a number without low bits
+            first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+            line = line.select(F.when(first, F.concat(F.lit(head + "\r\n"), F.col("line"))).otherwise(F.col("line")).alias("line"))
     line.write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
@@ -333,16 +360,49 @@ def write_document(df: DataFrame, kind: str, path: str) -> None:
     rows.write.mode("overwrite").text(path)
 
 
+def _plain(text: str | None) -> str:
+    return (text or "").replace(",", ";").replace('"', "'")
+
+
 def sequences_wide(points: DataFrame, names: Sequence[str]) -> DataFrame:
     """The library's CSV layout: a column for each sequence (and ``_uncertainty``), by position, short ones padded."""
     from mensura.operators.catalog import fit_input
 
     wide = fit_input(points, names)
-    plain = lambda s: s.replace(",", ";").replace('"', "'")
-    cols = [F.col(f"`{c}`").alias(plain(c[2:-1]) + "_uncertainty" if c.startswith("σ(") else plain(c)) for c in wide.columns if c != "idx"]
+    cols = [F.col(f"`{c}`").alias(_plain(c[2:-1]) + "_uncertainty" if c.startswith("σ(") else _plain(c)) for c in wide.columns if c != "idx"]
     return wide.orderBy("idx").select(*cols)
 
 
+def export_sequences(sequences: DataFrame, ids: Sequence[str], path: str) -> None:
+    """Sequences of the catalog as one wide CSV, by position, short ones padded, in the order of ``ids``.
+
+    Each column's header is ``[name,unit,description,tags]`` (tags joined by ``|``), and that of its
+    uncertainties ``[name_uncertainty,unit,Uncertainty values for name,tags]``, where there are any;
+    commas in these become semicolons and quotes apostrophes. Only the chosen sequences' names reach
+    the driver. Unknown ids are passed over; if none is known it is an error.
+    """
+    from mensura.operators.catalog import fit_input, to_long
+
+    own = sequences.where(F.col("id").isin(list(ids)))
+    info = {r.id: r for r in own.select("id", "name", "unit", "description", "tags", F.col("uncertainties").isNotNull().alias("u")).collect()}
+    known = [i for i in ids if i in info]
+    if not known:
+        raise DataError("none of these sequences exists")
+    wide = fit_input(to_long(own), known, name="id").orderBy("idx")
+    header, cells = [], []
+    for i in known:
+        r = info[i]
+        name, unit, tags = _plain(r.name), _plain(r.unit), _plain("|".join(r.tags or []))
+        header.append(f"[{name},{unit},{_plain(r.description)},{tags}]")
+        cells.append(F.coalesce(F.col(f"`{i}`").cast("string"), F.lit("")))
+        if r.u:
+            header.append(f"[{name}_uncertainty,{unit},Uncertainty values for {name},{tags}]")
+            cells.append(F.coalesce(F.col(f"`σ({i})`").cast("string"), F.lit("")))
+    rows = wide.select(F.concat_ws(",", *cells).alias("line"))
+    head = sequences.sparkSession.range(0, 1, 1, 1).select(F.lit(",".join(header)).alias("line"))
+    head.unionByName(rows).write.mode("overwrite").text(path)
+
+
 def read(spark: SparkSession, format: str, path: str, **options) -> DataFrame:
     """Import by format name."""
     kinds = {"csv": read_csv, "tsv": read_tsv, "txt": read_txt, "parquet": lambda s, p: s.read.parquet(p), "snapshot": snapshot_cells}
