@@ -237,6 +237,10 @@ def registry() -> dict[str, Unit]:
     return out
 
 
+#: Symbols of the units by group.
+GROUPS = {group: tuple(s for s, u in registry().items() if u.group == group) for group in dict.fromkeys(u.group for u in registry().values())}
+
+
 def _resolve(token: str) -> Unit:
     units = registry()
     if token in units:
