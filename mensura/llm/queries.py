@@ -1,6 +1,6 @@
 """Queries of this folder by name, and their SQL where SQL can express them."""
 
-from mensura.llm import bytebpe, decontam, divergence, embeddings, licenses, quality, secrets, simhash, tokencount, toxicity, warc
+from mensura.llm import bytebpe, decontam, divergence, embeddings, licenses, linededup, quality, secrets, simhash, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_byte_bpe": bytebpe.op8_byte_bpe,
     "op9_embeddings": embeddings.op9_embeddings,
     "op10_secrets": secrets.op10_secrets,
+    "op11_line_dedup": linededup.op11_line_dedup,
     "op12_divergence": divergence.op12_divergence,
 }
 
@@ -22,5 +23,6 @@ ORACLE_SQL = {
     "op5_warc": warc.OP5_SQL,
     "op9_embeddings": embeddings.OP9_SQL,
     "op10_secrets": secrets.OP10_SQL,
+    "op11_line_dedup": linededup.OP11_SQL,
     "op12_divergence": divergence.OP12_SQL,
 }
