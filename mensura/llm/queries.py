@@ -1,6 +1,6 @@
 """Queries of this folder by name, and their SQL where SQL can express them."""
 
-from mensura.llm import bytebpe, decontam, divergence, embeddings, licenses, linededup, quality, secrets, simhash, tokencount, toxicity, warc
+from mensura.llm import bytebpe, decontam, divergence, embeddings, licenses, linededup, quality, secrets, simhash, tokencount, toxicity, trie, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
     "op11_line_dedup": linededup.op11_line_dedup,
     "op12_divergence": divergence.op12_divergence,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op10_secrets": secrets.OP10_SQL,
     "op11_line_dedup": linededup.OP11_SQL,
     "op12_divergence": divergence.OP12_SQL,
+    "op13_prefix_trie": trie.OP13_SQL,
 }
