@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -16,93 +18,170 @@ from mensura.llm.common import LOWER_BYTES, parts_of, saved, table, utf8_bytes
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Probabilities are whole numbers of this part.
 UNIT = 1_000_000_000
-#: Entries of a task's counts (long chunks count more) after which they leave as partial rows.
-ENTRIES = 200_000
+#: Entries of a task's counts, and bytes of the texts they come from, after which they leave as partial rows.
+ENTRIES, TEXT_BYTES = 1_000_000, 64 << 20
 #: Rows up to which a table of groups is broadcast; beyond it the join shuffles.
 SMALL = 100_000
+_PARTS = "lang string, {} string, keys array<bigint>, gs array<bigint>, ns array<bigint>"
 
 
-def chunk_counts(documents: DataFrame, min_docs: int = 3, lang_col="lang", source_col="source", text_col="text") -> DataFrame:
-    """Partial counts of whitespace chunks: (lang, source, chunk, n, docs, keys), several rows for one chunk.
+def _lists(lengths, values, kind) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(values, kind))
 
-    ``n`` occurrences in ``docs`` documents; ``keys`` names those documents where they are fewer
-    than ``min_docs``, else it is empty. Every group has a row of the empty chunk, so that groups
-    without words are known. A-Z are lower-cased first. A task holds ``ENTRIES`` entries at most, and the chunks of one text.
+
+def _batches(lang: str, names: pa.Array, keys: list[list[int]], of: np.ndarray, gs: np.ndarray, ns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of one language: ``names`` with their document keys, and counts ``ns`` of groups ``gs``, each of the name numbered ``of``."""
+    order = np.argsort(of, kind="stable")
+    cols = [
+        pa.array([lang] * len(names), pa.string()),
+        names,
+        _lists([len(k) for k in keys], np.fromiter((x for k in keys for x in k), np.int64), pa.int64()),
+        _lists(np.bincount(of, minlength=len(names)), gs[order], pa.int64()),
+        _lists(np.bincount(of, minlength=len(names)), ns[order], pa.int64()),
+    ]
+    whole = pa.RecordBatch.from_arrays(cols, ["lang", "name", "keys", "gs", "ns"])
+    for at in range(0, len(names), 50_000):
+        yield whole.slice(at, 50_000)
+
+
+def chunk_counts(groups_of: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, chunk, keys, gs, ns) from (lang, g, text): partial rows, several for one chunk.
+
+    A chunk occurs ``ns`` times in the groups ``gs``, and in the documents ``keys``, of which
+    ``min_docs`` are named at most. A task holds ``ENTRIES`` entries at most, and those of one text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, groups = TaskContext.get().partitionId() << 40, 0, {}
+        key, held, size, counts, where = TaskContext.get().partitionId() << 40, 0, 0, {}, {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), counts in groups.items():
-                known = list(counts.items())
-                for at in range(0, len(known), 50_000):
-                    some = known[at : at + 50_000]
-                    cols = [
-                        pa.array([lang] * len(some), pa.string()),
-                        pa.array([source] * len(some), pa.string()),
-                        pa.array([c for c, _ in some], pa.binary()).cast(pa.string()),
-                        pa.array([e[0] for _, e in some], pa.int64()),
-                        pa.array([e[1] for _, e in some], pa.int64()),
-                        pa.array([e[2:] if e[1] < min_docs else [] for _, e in some], pa.list_(pa.int64())),
-                    ]
-                    yield pa.RecordBatch.from_arrays(cols, ["lang", "source", "chunk", "n", "docs", "keys"])
+            for lang, keys in where.items():
+                number = {c: i for i, c in enumerate(keys)}
+                own = [(g, c) for (of, g), c in counts.items() if of == lang]
+                of = np.concatenate([np.fromiter(map(number.__getitem__, c), np.int64, len(c)) for _, c in own])
+                gs = np.repeat(np.array([g for g, _ in own], np.int64), [len(c) for _, c in own])
+                ns = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for _, c in own])
+                yield from _batches(lang, pa.array(list(keys), pa.binary()).cast(pa.string()), list(keys.values()), of, gs, ns)
 
         for batch in batches:
             for part in parts_of(batch):
-                for lang, source, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), utf8_bytes(part.column(2))):
-                    counts = groups.get((lang, source))
-                    if counts is None:
-                        counts = groups[lang, source] = {b"": [0, 0]}
-                        held += 1
-                    for chunk, n in Counter(text.translate(LOWER_BYTES).split()).items():
-                        entry = counts.get(chunk)
-                        if entry is None:
-                            counts[chunk] = [n, 1, key]
-                            held += 1 + len(chunk) // 256
-                        else:
-                            entry[0] += n
-                            entry[1] += 1
-                            if entry[1] < min_docs:
-                                entry.append(key)
-                    key += 1
-                    if held > ENTRIES:
+                for lang, g, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), utf8_bytes(part.column(2))):
+                    words = text.translate(LOWER_BYTES).split()
+                    if not words:
+                        continue
+                    own, keys = counts.setdefault((lang, g), Counter()), where.setdefault(lang, {})
+                    held -= len(own) + len(keys)
+                    own.update(words)
+                    for chunk in set(words):
+                        k = keys.get(chunk)
+                        if k is None:
+                            keys[chunk] = [key]
+                        elif len(k) < min_docs:
+                            k.append(key)
+                    held, size, key = held + len(own) + len(keys), size + len(text), key + 1
+                    if held > ENTRIES or size > TEXT_BYTES:
                         yield from flush()
-                        groups, held = {}, 0
+                        held, size, counts, where = 0, 0, {}, {}
         yield from flush()
 
-    empty = lambda c, name: F.coalesce(F.col(c), F.lit("")).alias(name)
-    rows = documents.select(empty(lang_col, "lang"), empty(source_col, "source"), empty(text_col, "text"))
-    return rows.mapInArrow(run, "lang string, source string, chunk string, n bigint, docs bigint, keys array<bigint>")
+    return groups_of.select("lang", "g", "text").mapInArrow(run, _PARTS.format("name")).withColumnRenamed("name", "chunk")
+
+
+class _Met:
+    """Rows of (lang, name) summed: keys, ``most`` at most, and a count for each group."""
+
+    def __init__(self, most: int):
+        self.most, self.of, self.held = most, {}, 0
+
+    def add(self, lang: str, name, keys: list[int], gs: list[int], ns: list[int], times: int = 1) -> None:
+        e = self.of.get((lang, name))
+        if e is None:
+            e = self.of[lang, name] = ([], {})
+        known, counts = e
+        for k in keys:
+            if len(known) >= self.most:
+                break
+            if k not in known:
+                known.append(k)
+        self.held -= len(counts)
+        for g, n in zip(gs, ns):
+            counts[g] = counts.get(g, 0) + n * times
+        self.held += len(counts)
+
+    def flush(self, least: int = 0) -> Iterator[pa.RecordBatch]:
+        by_lang = {}
+        for (lang, name), e in self.of.items():
+            if len(e[0]) >= least:
+                by_lang.setdefault(lang, []).append((name, *e))
+        for lang, rows in by_lang.items():
+            sizes = [len(c) for _, _, c in rows]
+            gs = np.fromiter((g for _, _, c in rows for g in c), np.int64, sum(sizes))
+            ns = np.fromiter((n for _, _, c in rows for n in c.values()), np.int64, sum(sizes))
+            yield from _batches(lang, pa.array([r[0] for r in rows], pa.string()), [r[1] for r in rows], np.repeat(np.arange(len(rows)), sizes), gs, ns)
+        self.of, self.held = {}, 0
+
+
+def tokenized(chunks: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, term, keys, gs, ns), partial rows: every globally distinct chunk is tokenized once, and its sums joined to its terms.
+
+    All rows of a chunk meet in one task, sorted; they are as many as tasks have counted it.
+    """
+    term = re.compile(TERM)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, now, terms = _Met(min_docs), None, []
+        for batch in batches:
+            for chunk, *row in zip(*(batch.column(i).to_pylist() for i in (1, 0, 2, 3, 4))):
+                if chunk != now:
+                    if met.held > ENTRIES // 4:
+                        yield from met.flush()
+                    now, terms = chunk, list(Counter(term.findall(chunk)).items())
+                for t, times in terms:
+                    met.add(row[0], t, row[1], row[2], row[3], times)
+        yield from met.flush()
+
+    dealt = chunks.repartition("chunk").sortWithinPartitions("chunk")
+    return dealt.mapInArrow(run, _PARTS.format("name")).withColumnRenamed("name", "term")
+
+
+def kept_terms(parts: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, term, gs, ns): the terms of ``min_docs`` documents or more with their counts by group.
+
+    Documents are told apart by their keys up to that number: a document that holds a term in two chunks counts once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, now = _Met(min_docs), None
+        for batch in batches:
+            for lang, term, keys, gs, ns in zip(*(c.to_pylist() for c in batch.columns)):
+                if (lang, term) != now:
+                    if met.held > ENTRIES // 4:
+                        yield from met.flush(min_docs)
+                    now = (lang, term)
+                met.add(lang, term, keys, gs, ns)
+        yield from met.flush(min_docs)
+
+    dealt = parts.repartition("lang", "term").sortWithinPartitions("lang", "term")
+    return dealt.mapInArrow(run, _PARTS.format("name")).select("lang", F.col("name").alias("term"), "gs", "ns")
 
 
 def _small(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.limit(SMALL + 1).count() <= SMALL else side
 
 
-def term_counts(documents: DataFrame, min_docs: int = 3, lang_col="lang", source_col="source", text_col="text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(groups, terms, kept): groups (lang, source); terms (lang, source, term, n); kept (lang, term).
+def term_counts(documents: DataFrame, min_docs: int = 3, lang_col="lang", source_col="source", text_col="text") -> tuple[DataFrame, DataFrame]:
+    """(groups, kept): groups (lang, source, g) that occur, g their number; kept (lang, term, gs, ns) with counts by g.
 
-    Chunks are counted by document inside the tasks, summed over all, and each globally distinct
-    chunk is tokenized once; its terms are joined back to the chunks' sums, never to the documents.
-    A term stands in ``min_docs`` documents of its language if one of its chunks does so in one
-    source; it does not if all its chunks' documents together are fewer. Only between these bounds
-    its documents are told apart: no count of a chunk then hides the keys of its documents, so the
-    keys are joined to the term and counted distinct.
+    Chunks are counted by document and group inside the tasks and meet by chunk, where each is
+    tokenized once; terms meet by (lang, term). What moves are rows of (chunk, counts of its groups)
+    and of (term, counts of its groups), summed before each shuffle, never a row for each document.
     """
-    parts = saved(chunk_counts(documents, min_docs, lang_col, source_col, text_col))
-    chunks = saved(parts.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    found = F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))
-    of_chunk = saved(chunks.select("chunk").distinct().select("chunk", F.explode(found).alias("term")))
-    sums = [F.sum("n").alias("n"), F.max("docs").alias("low"), F.sum("docs").alias("high")]
-    terms = saved(chunks.join(of_chunk, "chunk").groupBy("lang", "source", "term").agg(*sums))
-    bounds = terms.groupBy("lang", "term").agg(F.max("low").alias("low"), F.sum("high").alias("high"))
-    open_ = bounds.where((F.col("low") < min_docs) & (F.col("high") >= min_docs)).select("lang", "term")
-    asked = open_.join(of_chunk.distinct(), "term").select("lang", "chunk", "term")
-    documents_of = parts.where(F.size("keys") > 0).join(asked, ["lang", "chunk"]).select("lang", "term", F.explode("keys").alias("key")).distinct()
-    settled = documents_of.groupBy("lang", "term").count().where(F.col("count") >= min_docs).select("lang", "term")
-    kept = saved(bounds.where(F.col("low") >= min_docs).select("lang", "term").unionByName(settled))
-    return chunks.select("lang", "source").distinct(), terms.select("lang", "source", "term", "n"), kept
+    empty = lambda c, name: F.coalesce(F.col(c), F.lit("")).alias(name)
+    rows = documents.select(empty(lang_col, "lang"), empty(source_col, "source"), empty(text_col, "text")).withColumn("g", F.xxhash64("lang", "source"))
+    groups = saved(rows.select("lang", "source", "g").distinct())
+    if groups.groupBy("g").count().where("count > 1").limit(1).count():
+        raise RuntimeError("two groups have one number")
+    return groups, saved(kept_terms(tokenized(chunk_counts(rows, min_docs), min_docs), min_docs))
 
 
 def _share(n: Column, total: Column, kinds: Column) -> Column:
@@ -130,25 +209,24 @@ def divergence(documents: DataFrame, min_docs: int = 3, top: int = 200, lang_col
 
     Terms that a group lacks all have one share, so only those present are joined: the sum over a
     pair is that of all terms absent from both, corrected for the terms present in one (from counts
-    of equal shares) and for those present in both (a join by term). Sums stay below 2^63 while a
+    of equal shares) and for those present in both (from counts of equal pairs of counts). Sums stay below 2^63 while a
     language keeps fewer than 10^9 terms.
 
     Null texts, languages and sources count as empty. Groups without kept terms are given pairs
     too, with value 0 if their language keeps no term. Repeated rows are documents of their own;
     texts of any length are read whole. An empty table gives no rows. Other columns are ignored.
     """
-    groups, terms, kept = term_counts(documents, min_docs, lang_col, source_col, text_col)
-    present = saved(terms.join(kept, ["lang", "term"]))
-    of_group = present.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    of_term = present.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
-    of_lang = of_term.groupBy("lang").agg(F.count("*").alias("kinds"), F.sum("lang_n").alias("lang_total"))
-    stats = groups.join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left")
+    groups, kept = term_counts(documents, min_docs, lang_col, source_col, text_col)
+    whole = kept.withColumn("lang_n", F.aggregate("ns", F.lit(0).cast("long"), lambda a, n: a + n))
+    present = whole.select("lang", "term", "lang_n", F.explode(F.arrays_zip("gs", "ns")).alias("x")).select("lang", "term", "lang_n", F.col("x.gs").alias("g"), F.col("x.ns").alias("n"))
+    of_lang = whole.groupBy("lang").agg(F.count("*").alias("kinds"), F.sum("lang_n").alias("lang_total"))
+    stats = groups.join(present.groupBy("g").agg(F.sum("n").alias("total")), "g", "left").join(of_lang, "lang", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    stats = stats.select("lang", "source", *(zero(c).alias(c) for c in ("total", "kinds", "lang_total")))
+    stats = stats.select("lang", "source", "g", *(zero(c).alias(c) for c in ("total", "kinds", "lang_total")))
     stats = saved(stats.withColumn("p0", _share(F.lit(0).cast("long"), F.col("total"), F.col("kinds"))))
-    shares = present.join(_small(stats), ["lang", "source"]).withColumn("p", _share(F.col("n"), F.col("total"), F.col("kinds")))
+    shares = present.join(_small(stats.drop("lang")), "g").withColumn("p", _share(F.col("n"), F.col("total"), F.col("kinds")))
 
-    by_lang = shares.join(of_term, ["lang", "term"]).withColumn("q", _share(F.col("lang_n"), F.col("lang_total"), F.col("kinds")))
+    by_lang = shares.withColumn("q", _share(F.col("lang_n"), F.col("lang_total"), F.col("kinds")))
     over = by_lang.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _gain(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = over.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
@@ -163,10 +241,16 @@ def divergence(documents: DataFrame, min_docs: int = 3, top: int = 200, lang_col
     theirs = same.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"), F.col("p").alias("q"), "m")
     theirs = theirs.join(_small(stats.select("lang", "source", "p0")), "lang").where("source <> item")
     theirs = theirs.select("lang", "source", "item", (F.col("m") * (_gain(F.col("p0"), F.col("q")) - both0)).alias("v"))
-    left = shares.select("lang", "term", "source", "p", "p0")
-    right = shares.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("p0").alias("q0"))
+    counted = F.arrays_zip("gs", "ns")
+    met = whole.where(F.size("gs") > 1).select(F.explode(counted).alias("a"), counted.alias("all")).select("a", F.explode("all").alias("b")).where("a.gs <> b.gs")
+    met = met.select(F.col("a.gs").alias("g"), F.col("a.ns").alias("n"), F.col("b.gs").alias("h"), F.col("b.ns").alias("m"))
+    met = met.groupBy("g", "h", "n", "m").agg(F.count("*").alias("times"))  # terms of equal counts in both
+    mine_ = stats.select("g", "lang", "source", "p0", "total", "kinds")
+    theirs_ = stats.select(F.col("g").alias("h"), F.col("source").alias("item"), F.col("p0").alias("q0"), F.col("total").alias("h_total"))
+    met = met.join(_small(mine_), "g").join(_small(theirs_), "h")
+    met = met.withColumn("p", _share(F.col("n"), F.col("total"), F.col("kinds"))).withColumn("q", _share(F.col("m"), F.col("h_total"), F.col("kinds")))
     meet = _gain(F.col("p"), F.col("q")) - _gain(F.col("p"), F.col("q0")) - _gain(F.col("p0"), F.col("q")) + both0
-    shared = left.join(right, ["lang", "term"]).where("source <> item").select("lang", "source", "item", meet.alias("v"))
+    shared = met.select("lang", "source", "item", (F.col("times") * meet).alias("v"))
     each = [x.groupBy("lang", "source", "item").agg(F.sum("v").alias("v")) for x in (base, mine, theirs, shared)]
     summed = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3]).groupBy("lang", "source", "item").agg(F.sum("v").alias("value"))
     paired = summed.select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", F.row_number().over(order))
