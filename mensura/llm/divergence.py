@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mensura.llm.common import LOWER_BYTES, parts_of, saved, table, utf8_bytes
+from mensura.llm.common import LOWER_BYTES, gathered, parts_of, saved, table, utf8_bytes
 
 #: Fixed value: a term, after A-Z are lower-cased.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -20,6 +21,8 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UNIT = 1_000_000_000
 #: Entries of a task's counts, and bytes of the texts they come from, after which they leave as partial rows.
 ENTRIES, TEXT_BYTES = 1_000_000, 64 << 20
+#: Bytes of rows that are summed at once after a shuffle.
+BLOCK_BYTES = 8 << 20
 #: Rows up to which a table of groups is broadcast; beyond it the join shuffles.
 SMALL = 100_000
 _PARTS = "lang string, {} string, keys array<bigint>, gs array<bigint>, ns array<bigint>"
@@ -87,58 +90,74 @@ def chunk_counts(groups_of: DataFrame, min_docs: int) -> DataFrame:
     return groups_of.select("lang", "g", "text").mapInArrow(run, _PARTS.format("name")).withColumnRenamed("name", "chunk")
 
 
-class _Met:
-    """Rows of (lang, name) summed: keys, ``most`` at most, and a count for each group."""
-
-    def __init__(self, most: int):
-        self.most, self.of, self.held = most, {}, 0
-
-    def add(self, lang: str, name, keys: list[int], gs: list[int], ns: list[int], times: int = 1) -> None:
-        e = self.of.get((lang, name))
-        if e is None:
-            e = self.of[lang, name] = ([], {})
-        known, counts = e
-        for k in keys:
-            if len(known) >= self.most:
-                break
-            if k not in known:
-                known.append(k)
-        self.held -= len(counts)
-        for g, n in zip(gs, ns):
-            counts[g] = counts.get(g, 0) + n * times
-        self.held += len(counts)
-
-    def flush(self, least: int = 0) -> Iterator[pa.RecordBatch]:
-        by_lang = {}
-        for (lang, name), e in self.of.items():
-            if len(e[0]) >= least:
-                by_lang.setdefault(lang, []).append((name, *e))
-        for lang, rows in by_lang.items():
-            sizes = [len(c) for _, _, c in rows]
-            gs = np.fromiter((g for _, _, c in rows for g in c), np.int64, sum(sizes))
-            ns = np.fromiter((n for _, _, c in rows for n in c.values()), np.int64, sum(sizes))
-            yield from _batches(lang, pa.array([r[0] for r in rows], pa.string()), [r[1] for r in rows], np.repeat(np.arange(len(rows)), sizes), gs, ns)
-        self.of, self.held = {}, 0
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each run, one run after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _lists_of(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return col.value_lengths().to_numpy().astype(np.int64), col.flatten().to_numpy(zero_copy_only=False)
+
+
+def _summed(of: np.ndarray, names: int, keys: tuple, gs: tuple, ns: np.ndarray, most: int) -> tuple:
+    """Rows numbered ``of`` by name, summed by it: distinct keys, ``most`` at most, and a count for each group.
+
+    Lists are (lengths, values), of rows going in and of names coming out.
+    """
+    own, order = np.repeat(of, keys[0]), np.lexsort((keys[1], np.repeat(of, keys[0])))
+    own, value = own[order], keys[1][order]
+    new = np.r_[True, (own[1:] != own[:-1]) | (value[1:] != value[:-1])][: len(own)]
+    own, value = own[new], value[new]
+    at = np.arange(len(own)) - np.searchsorted(own, own)
+    own, value = own[at < most], value[at < most]
+    name, order = np.repeat(of, gs[0]), np.lexsort((gs[1], np.repeat(of, gs[0])))
+    name, g, n = name[order], gs[1][order], ns[order]
+    first = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (g[1:] != g[:-1])][: len(name)])
+    count = lambda x: np.bincount(x, minlength=names)
+    return (count(own), value), (count(name[first]), g[first]), np.add.reduceat(n, first) if len(first) else n
+
+
+def _named(langs: pa.Array, names: pa.Array, keys: tuple, gs: tuple, ns: np.ndarray) -> pa.RecordBatch:
+    cols = [langs, names, _lists(*keys, pa.int64()), _lists(*gs, pa.int64()), _lists(gs[0], ns, pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, ["lang", "name", "keys", "gs", "ns"])
 
 
 def tokenized(chunks: DataFrame, min_docs: int) -> DataFrame:
     """(lang, term, keys, gs, ns), partial rows: every globally distinct chunk is tokenized once, and its sums joined to its terms.
 
-    All rows of a chunk meet in one task, sorted; they are as many as tasks have counted it.
+    All rows of a chunk meet in one task, sorted; they are as many as tasks have counted it. Terms
+    are summed over ``BLOCK_BYTES`` of rows before they move on, so one that stands in very many chunks does so in few rows.
     """
     term = re.compile(TERM)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met, now, terms = _Met(min_docs), None, []
-        for batch in batches:
-            for chunk, *row in zip(*(batch.column(i).to_pylist() for i in (1, 0, 2, 3, 4))):
-                if chunk != now:
-                    if met.held > ENTRIES // 4:
-                        yield from met.flush()
-                    now, terms = chunk, list(Counter(term.findall(chunk)).items())
-                for t, times in terms:
-                    met.add(row[0], t, row[1], row[2], row[3], times)
-        yield from met.flush()
+        last, last_terms = None, []
+        for batch in gathered(batches, BLOCK_BYTES):
+            lang, chunk = batch.column(0).dictionary_encode(), batch.column(1)
+            starts = np.r_[0, np.flatnonzero(pc.not_equal(chunk.slice(1), chunk.slice(0, len(chunk) - 1)).to_numpy(zero_copy_only=False)) + 1]
+            known, own, times, sizes = {}, [], [], []
+            for c in chunk.take(pa.array(starts)).to_pylist():
+                if c != last:  # one chunk may go on from the block before
+                    last, last_terms = c, Counter(term.findall(c))
+                sizes.append(len(last_terms))
+                for t, n in last_terms.items():
+                    own.append(known.setdefault(t, len(known)))
+                    times.append(n)
+            if not own:
+                continue
+            sizes = np.array(sizes, np.int64)
+            run_of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(chunk)]))
+            row = np.repeat(np.arange(len(chunk)), sizes[run_of])
+            at = _ragged((np.cumsum(sizes) - sizes)[run_of], sizes[run_of])
+            name, of = np.unique(lang.indices.to_numpy()[row].astype(np.int64) * len(known) + np.array(own, np.int64)[at], return_inverse=True)
+            lists = []
+            for col in (2, 3, 4):
+                lengths, values = _lists_of(batch.column(col))
+                lists.append((lengths[row], values[_ragged((np.cumsum(lengths) - lengths)[row], lengths[row])]))
+            keys, gs, (_, ns) = lists
+            keys, gs, ns = _summed(of, len(name), keys, gs, ns * np.repeat(np.array(times, np.int64)[at], gs[0]), min_docs)
+            yield _named(lang.dictionary.take(pa.array(name // len(known))), pa.array(list(known), pa.string()).take(pa.array(name % len(known))), keys, gs, ns)
 
     dealt = chunks.repartition("chunk").sortWithinPartitions("chunk")
     return dealt.mapInArrow(run, _PARTS.format("name")).withColumnRenamed("name", "term")
@@ -151,15 +170,21 @@ def kept_terms(parts: DataFrame, min_docs: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met, now = _Met(min_docs), None
-        for batch in batches:
-            for lang, term, keys, gs, ns in zip(*(c.to_pylist() for c in batch.columns)):
-                if (lang, term) != now:
-                    if met.held > ENTRIES // 4:
-                        yield from met.flush(min_docs)
-                    now = (lang, term)
-                met.add(lang, term, keys, gs, ns)
-        yield from met.flush(min_docs)
+        held = None  # the last term so far, which may go on
+        for batch in gathered(batches, BLOCK_BYTES):
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch.rename_columns(held.schema.names)]).combine_chunks().to_batches()[0]
+            lang, term = batch.column(0), batch.column(1)
+            differs = lambda c: pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+            new = np.r_[True, differs(lang) | differs(term)]
+            starts = pa.array(np.flatnonzero(new))
+            (_, ns) = _lists_of(batch.column(4))
+            keys, gs, ns = _summed(np.cumsum(new) - 1, len(starts), _lists_of(batch.column(2)), _lists_of(batch.column(3)), ns, min_docs)
+            out = _named(lang.take(starts), term.take(starts), keys, gs, ns)
+            done, held = out.slice(0, len(starts) - 1), out.slice(len(starts) - 1)
+            yield done.filter(pa.array(keys[0][:-1] >= min_docs))
+        if held is not None:
+            yield held.filter(pc.greater_equal(pc.list_value_length(held.column(2)), min_docs))
 
     dealt = parts.repartition("lang", "term").sortWithinPartitions("lang", "term")
     return dealt.mapInArrow(run, _PARTS.format("name")).select("lang", F.col("name").alias("term"), "gs", "ns")
