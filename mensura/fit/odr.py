@@ -90,14 +90,15 @@ class Compiled:
         }
 
     def __call__(self, x: np.ndarray, beta: np.ndarray, what: str = "f p x xx xp pp") -> dict[str, np.ndarray]:
+        """Values and derivatives at ``x``; ``beta`` is one vector, or one for each point (then non-finite values pass)."""
         n, k, q = len(x), len(self.xs), len(self.ps)
-        at = {v: x[:, i] for i, v in enumerate(self.xs)} | {p: np.float64(b) for p, b in zip(self.ps, beta)}
+        at = {v: x[:, i] for i, v in enumerate(self.xs)} | {p: np.float64(b) if beta.ndim == 1 else b for p, b in zip(self.ps, beta.T)}
         shape = {"f": (n,), "p": (n, q), "x": (n, k), "xx": (n, k, k), "xp": (n, k, q), "pp": (n, q, q)}
         out = {}
         for w in what.split():
             cols = [np.broadcast_to(np.asarray(X.to_numpy(e, at), float), (n,)) for e in self.parts[w]]
             out[w] = np.stack(cols, -1).reshape(shape[w]) if cols else np.zeros(shape[w])
-            if not np.isfinite(out[w]).all():
+            if beta.ndim == 1 and not np.isfinite(out[w]).all():
                 raise DataError("the model is not finite at some point")
         return out
 
@@ -214,124 +215,215 @@ def _inverse(cov: np.ndarray) -> tuple[np.ndarray, int]:
     return np.linalg.inv(cov), jitter
 
 
+def _solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a^-1 b by point; of singular points among several the result is NaN."""
+    try:
+        return np.linalg.solve(a, b)
+    except np.linalg.LinAlgError:
+        if len(a) == 1:
+            return np.full_like(b, np.nan)
+        return np.concatenate([_solved(a[i : i + 1], b[i : i + 1]) for i in range(len(a))])
+
+
+def _by_point(spec: FitSpec, la: Layer, points: Points, beta: np.ndarray) -> tuple:
+    """A layer's part of the objective by point: chi2, chi2_obs, gradient, Hessian, residual, unconverged; and the regularisations.
+
+    ``beta`` is one vector, or one for each point: then the points may be of many fits at once.
+    """
+    m = compiled(la.formula, la.independents, spec.parameters, tuple(sorted((k.lower(), v) for k, v in spec.fixed.items())))
+    x0 = np.stack([points.values[v] for v in la.independents], -1) if la.independents else np.zeros((len(points), 0))
+    y, k = points.values[la.dependent], len(la.independents)
+    sx = np.stack([points.sigmas[v] ** 2 for v in la.independents], -1) if k else x0
+    live = [i for i in range(k) if (sx[:, i] > CORRECTED_ABOVE).any()]
+    own = (lambda idx: beta) if beta.ndim == 1 else (lambda idx: beta[idx])
+    solved = np.linalg.solve if beta.ndim == 1 else _solved
+    if not live:
+        d = m(x0, beta, "f p pp")
+        r, w = y - d["f"], 1 / np.maximum(points.sigmas[la.dependent] ** 2, MIN_VARIANCE)
+        wr = w * r
+        h = w[:, None, None] * d["p"][:, :, None] * d["p"][:, None, :] - wr[:, None, None] * d["pp"]
+        return wr * r, wr * r, -d["p"] * wr[:, None], h, r, np.zeros(len(y), bool), 0
+    names = [la.independents[i] for i in live] + [la.dependent]
+    W, jitter = _inverse(points.block(names))
+    c, active = np.zeros((len(y), len(live))), np.ones(len(y), bool)
+
+    def at(c):
+        x = x0.copy()
+        x[:, live] += c
+        return x
+
+    def pieces(d, c, W, y):
+        r = np.concatenate([-c, (y - d["f"])[:, None]], 1)
+        wr = np.einsum("nij,nj->ni", W, r)
+        J = np.concatenate([np.broadcast_to(-np.eye(len(live)), (len(y), len(live), len(live))), -d["x"][:, None, live]], 1)
+        g = np.einsum("nik,ni->nk", J, wr)
+        H = np.einsum("nik,nij,njl->nkl", J, W, J) - wr[:, -1, None, None] * d["xx"][:, live][:, :, live]
+        return r, wr, J, g, H
+
+    for _ in range(INNER_ROUNDS):
+        idx = np.flatnonzero(active)
+        if not len(idx):
+            break
+        d = m(at(c)[idx], own(idx), "f x xx")
+        *_, g, H = pieces(d, c[idx], W[idx], y[idx])
+        size = np.abs(g).max(1) * np.sqrt(np.abs(np.einsum("nii->n", H)) + 1e-300) ** -1
+        done = size < INNER_TOLERANCE * 1e3
+        step = solved(H + 1e-300 * np.eye(len(live)), g[..., None])[..., 0]
+        c[idx] -= step
+        done |= (np.abs(step) <= INNER_TOLERANCE * (np.abs(c[idx]) + np.sqrt(sx[idx][:, live]))).all(1)
+        active[idx] = ~done
+    d = m(at(c), beta)
+    r, wr, J, g_c, H_cc = pieces(d, c, W, y)
+    wy, fp = wr[:, -1], d["p"]
+    H_cb = np.einsum("nik,ni->nk", J, W[:, :, -1])[:, :, None] * -fp[:, None, :] - wy[:, None, None] * d["xp"][:, live]
+    H_bb = W[:, -1, -1, None, None] * fp[:, :, None] * fp[:, None, :] - wy[:, None, None] * d["pp"]
+    h = H_bb - np.einsum("nkp,nkq->npq", H_cb, solved(H_cc, H_cb))
+    raw = r[:, -1]
+    obs = raw**2 / np.maximum(points.sigmas[la.dependent] ** 2, MIN_VARIANCE)
+    return (r * wr).sum(1), obs, -fp * wy[:, None], h, raw, active, jitter
+
+
 def evaluate(spec: FitSpec, points: Points, beta: np.ndarray, detail: bool = False):
     """The profiled objective's sums at ``beta``; with ``detail`` also residuals and fitted values by layer."""
     q = len(spec.parameters)
     total = State(0.0, 0.0, np.zeros(q), np.zeros((q, q)), np.zeros(len(spec.layers)))
     rows = []
     for la_no, la in enumerate(spec.layers):
-        m = compiled(la.formula, la.independents, spec.parameters, tuple(sorted((k.lower(), v) for k, v in spec.fixed.items())))
-        x0 = np.stack([points.values[v] for v in la.independents], -1) if la.independents else np.zeros((len(points), 0))
-        y, k = points.values[la.dependent], len(la.independents)
-        sx = np.stack([points.sigmas[v] ** 2 for v in la.independents], -1) if k else x0
-        live = [i for i in range(k) if (sx[:, i] > CORRECTED_ABOVE).any()]
-        if not live:
-            d = m(x0, beta, "f p pp")
-            r, w = y - d["f"], 1 / np.maximum(points.sigmas[la.dependent] ** 2, MIN_VARIANCE)
-            wr = w * r
-            chi2 = float(wr @ r)
-            g = -(d["p"] * wr[:, None]).sum(0)
-            h = np.einsum("n,np,nq->pq", w, d["p"], d["p"]) - np.einsum("n,npq->pq", wr, d["pp"])
-            part = State(chi2, chi2, g, h, np.zeros(len(spec.layers)))
-            raw = r
-        else:
-            names = [la.independents[i] for i in live] + [la.dependent]
-            W, jitter = _inverse(points.block(names))
-            c, active = np.zeros((len(y), len(live))), np.ones(len(y), bool)
-
-            def at(c):
-                x = x0.copy()
-                x[:, live] += c
-                return x
-
-            def pieces(d, c, W, y):
-                r = np.concatenate([-c, (y - d["f"])[:, None]], 1)
-                wr = np.einsum("nij,nj->ni", W, r)
-                J = np.concatenate([np.broadcast_to(-np.eye(len(live)), (len(y), len(live), len(live))), -d["x"][:, None, live]], 1)
-                g = np.einsum("nik,ni->nk", J, wr)
-                H = np.einsum("nik,nij,njl->nkl", J, W, J) - wr[:, -1, None, None] * d["xx"][:, live][:, :, live]
-                return r, wr, J, g, H
-
-            for _ in range(INNER_ROUNDS):
-                idx = np.flatnonzero(active)
-                if not len(idx):
-                    break
-                d = m(at(c)[idx], beta, "f x xx")
-                *_, g, H = pieces(d, c[idx], W[idx], y[idx])
-                size = np.abs(g).max(1) * np.sqrt(np.abs(np.einsum("nii->n", H)) + 1e-300) ** -1
-                done = size < INNER_TOLERANCE * 1e3
-                step = np.linalg.solve(H + 1e-300 * np.eye(len(live)), g[..., None])[..., 0]
-                c[idx] -= step
-                done |= (np.abs(step) <= INNER_TOLERANCE * (np.abs(c[idx]) + np.sqrt(sx[idx][:, live]))).all(1)
-                active[idx] = ~done
-            d = m(at(c), beta)
-            r, wr, J, g_c, H_cc = pieces(d, c, W, y)
-            wy, fp = wr[:, -1], d["p"]
-            H_cb = np.einsum("nik,ni->nk", J, W[:, :, -1])[:, :, None] * -fp[:, None, :] - wy[:, None, None] * d["xp"][:, live]
-            H_bb = W[:, -1, -1, None, None] * fp[:, :, None] * fp[:, None, :] - wy[:, None, None] * d["pp"]
-            h = (H_bb - np.einsum("nkp,nkq->npq", H_cb, np.linalg.solve(H_cc, H_cb))).sum(0)
-            raw = r[:, -1]
-            obs = float((raw**2 / np.maximum(points.sigmas[la.dependent] ** 2, MIN_VARIANCE)).sum())
-            part = State(float((r * wr).sum()), obs, -(fp * wy[:, None]).sum(0), h, np.zeros(len(spec.layers)), int(active.sum()), jitter)
-        part.ssr[la_no] = float(raw @ raw)
-        total = total + part
-        rows.append((raw, y - raw))
+        chi2, obs, g, h, raw, open_, jitter = _by_point(spec, la, points, beta)
+        ssr = np.zeros(len(spec.layers))
+        ssr[la_no] = float(raw @ raw)
+        total = total + State(float(chi2.sum()), float(obs.sum()), g.sum(0), h.sum(0), ssr, int(open_.sum()), jitter)
+        rows.append((raw, points.values[la.dependent] - raw))
     total.hessian = (total.hessian + total.hessian.T) / 2
     return (total, rows) if detail else total
 
 
-def solve(spec: FitSpec, evaluate_at, start: np.ndarray) -> tuple[np.ndarray, State, int, str]:
-    """Levenberg-Marquardt on the profiled objective, then one undamped step if it does not raise it.
+def flat_size(spec: FitSpec) -> int:
+    """Numbers of a state written flat."""
+    q = len(spec.parameters)
+    return 4 + q + q * (q + 1) // 2 + len(spec.layers)
 
-    ``evaluate_at(beta)`` gives the sums, so one process or a cluster may compute them.
-    """
-    beta, now, it, reason = _descend(spec, evaluate_at, start)
-    if reason in ("gradient", "step", "objective") and diagnose(now.hessian)[0] == len(beta):
-        last = beta - np.linalg.solve(now.hessian, now.gradient)
+
+def flat_by_point(spec: FitSpec, points: Points, beta: np.ndarray) -> np.ndarray:
+    """(points, flat_size): each point's part of the state at its own ``beta`` (points, parameters)."""
+    tri = np.triu_indices(len(spec.parameters))
+    out = np.zeros((len(points), flat_size(spec)))
+    q, layers = len(spec.parameters), len(spec.layers)
+    with np.errstate(all="ignore"):
+        for la_no, la in enumerate(spec.layers):
+            chi2, obs, g, h, raw, open_, jitter = _by_point(spec, la, points, beta)
+            h = (h + np.swapaxes(h, 1, 2)) / 2
+            out[:, 0] += chi2
+            out[:, 1] += obs
+            out[:, 2 : 2 + q] += g
+            out[:, 2 + q : -2 - layers] += h[:, tri[0], tri[1]]
+            out[:, -2 - layers + la_no] += raw**2
+            out[:, -2] += open_
+            out[0, -1] += jitter
+    return out
+
+
+def unflat(spec: FitSpec, v: np.ndarray) -> State:
+    q, layers, h = len(spec.parameters), len(spec.layers), np.zeros((len(spec.parameters),) * 2)
+    h[np.triu_indices(q)] = v[2 + q : -2 - layers]
+    return State(float(v[0]), float(v[1]), np.array(v[2 : 2 + q]), h + np.triu(h, 1).T, np.array(v[-2 - layers : -2]), int(v[-2]), int(v[-1]))
+
+
+def flat(s: State) -> list[float]:
+    return [s.chi2, s.chi2_obs, *s.gradient, *s.hessian[np.triu_indices(len(s.gradient))], *s.ssr, s.unconverged, s.jitter]
+
+
+#: What a fit waits for: its first sums, those of a step, those of the last undamped step; or nothing more.
+FIRST, STEP, LAST, DONE = range(4)
+REASONS = ("gradient", "step", "objective", "singular", "damping", "stagnated", "max_iterations")
+
+
+@dataclass
+class Progress:
+    """A fit between two evaluations: it asks for the sums at ``at``. All of it can be written down as numbers."""
+
+    at: np.ndarray
+    beta: np.ndarray
+    now: State | None = None
+    scale: np.ndarray | None = None
+    damping: float = 0.0
+    growth: float = 2.0
+    rejected: int = 0
+    iteration: int = 0
+    phase: int = FIRST
+    reason: str = "max_iterations"
+
+    def numbers(self) -> list[float]:
+        return [*self.at, *self.beta, *self.scale, self.damping, self.growth, self.rejected, self.iteration, self.phase, REASONS.index(self.reason), *flat(self.now)]
+
+    @classmethod
+    def of(cls, spec: FitSpec, v: Sequence[float]) -> Progress:
+        q, v = len(spec.parameters), np.array(v, float)
+        damping, growth, rejected, iteration, phase, reason = v[3 * q : 3 * q + 6]
+        return cls(v[:q], v[q : 2 * q], unflat(spec, v[3 * q + 6 :]), v[2 * q : 3 * q], damping, growth, int(rejected), int(iteration), int(phase), REASONS[int(reason)])
+
+
+def begin(spec: FitSpec, start: np.ndarray) -> Progress:
+    return Progress(start.astype(float), start.astype(float), damping=spec.damping)
+
+
+def advance(spec: FitSpec, p: Progress, s: State) -> Progress:
+    """The fit after the sums it asked for: Levenberg-Marquardt on the profiled objective, then one undamped step if it does not raise it."""
+    tol = spec.tolerance
+    if p.phase == LAST:
+        better = s.chi2 <= p.now.chi2 * (1 + 1e-12)  # sums of many points are not exact to the last digits
+        return replace(p, phase=DONE, beta=p.at, now=s) if better else replace(p, phase=DONE)
+    if p.phase == FIRST:
+        return _propose(spec, replace(p, now=s, scale=np.zeros(len(p.beta))))
+    delta = p.at - p.beta
+    scale = np.where(p.scale < 1e-30, 1.0, p.scale)
+    predicted = -2 * p.now.gradient @ delta - delta @ p.now.hessian @ delta
+    gain = p.now.chi2 - s.chi2
+    ratio = gain / predicted if predicted > 0 else -1.0
+    if gain > 0 and ratio > 0:
+        small = gain <= tol * tol * max(1.0, s.chi2)
+        p = replace(p, beta=p.at, now=s, damping=float(np.clip(p.damping * max(1 / 3, 1 - (2 * ratio - 1) ** 3), *DAMPING_RANGE)), growth=2.0, rejected=0)
+        return _stop(p, "objective") if small else _propose(spec, p)
+    if abs(gain) <= 1e-15 * max(1.0, p.now.chi2) and np.linalg.norm(delta * scale) <= 1e-6 * (np.linalg.norm(p.beta * scale) + tol):
+        return _stop(p, "objective")
+    p = replace(p, rejected=p.rejected + 1, damping=p.damping * p.growth, growth=min(p.growth * 2, GROWTH_CAP))
+    if p.damping > DAMPING_RANGE[1]:
+        return _stop(p, "damping")
+    return _stop(p, "stagnated") if p.rejected >= REJECTIONS else _propose(spec, p)
+
+
+def _stop(p: Progress, reason: str) -> Progress:
+    p = replace(p, reason=reason, phase=DONE)
+    if reason in ("gradient", "step", "objective") and diagnose(p.now.hessian)[0] == len(p.beta):
+        last = p.beta - np.linalg.solve(p.now.hessian, p.now.gradient)
         if np.isfinite(last).all():
-            polished = evaluate_at(last)
-            if polished.chi2 <= now.chi2 * (1 + 1e-12):  # sums of many points are not exact to the last digits
-                return last, polished, it, reason
-    return beta, now, it, reason
-
-
-def _descend(spec: FitSpec, evaluate_at, start: np.ndarray) -> tuple[np.ndarray, State, int, str]:
-    tol, beta = spec.tolerance, start.astype(float)
-    now = evaluate_at(beta)
-    scale = np.zeros(len(beta))
-    lam, nu, rejected = spec.damping, 2.0, 0
-    for it in range(1, int(np.clip(spec.max_iterations, 5, 5000)) + 1):
-        scale = np.maximum(scale, np.sqrt(np.abs(np.diag(now.hessian))))
-        s = np.where(scale < 1e-30, 1.0, scale)
-        g, h = now.gradient / s, now.hessian / s[:, None] / s[None, :]
-        if diagnose(now.hessian)[0] == 0:
-            return beta, now, it, "singular"
-        if np.linalg.norm(g) <= tol:
-            return beta, now, it, "gradient"
-        d = -np.linalg.lstsq(h + lam * np.eye(len(beta)), g, rcond=RANK_EPS)[0]
-        if np.linalg.norm(d) <= tol * (np.linalg.norm(beta * s) + tol):
-            return beta, now, it, "step"
-        delta = d / s
-        trial = evaluate_at(beta + delta)
-        predicted = -2 * now.gradient @ delta - delta @ now.hessian @ delta
-        gain = now.chi2 - trial.chi2
-        ratio = gain / predicted if predicted > 0 else -1.0
-        if gain > 0 and ratio > 0:
-            beta, now = beta + delta, trial
-            lam = float(np.clip(lam * max(1 / 3, 1 - (2 * ratio - 1) ** 3), *DAMPING_RANGE))
-            nu, rejected = 2.0, 0
-            if gain <= tol * tol * max(1.0, now.chi2):
-                return beta, now, it, "objective"
-        else:
-            rejected += 1
-            if abs(gain) <= 1e-15 * max(1.0, now.chi2) and np.linalg.norm(d) <= 1e-6 * (np.linalg.norm(beta * s) + tol):
-                return beta, now, it, "objective"
-            lam, nu = lam * nu, min(nu * 2, GROWTH_CAP)
-            if lam > DAMPING_RANGE[1]:
-                return beta, now, it, "damping"
-            if rejected >= REJECTIONS:
-                return beta, now, it, "stagnated"
-    return beta, now, int(np.clip(spec.max_iterations, 5, 5000)), "max_iterations"
+            return replace(p, at=last, phase=LAST)
+    return p
+
+
+def _propose(spec: FitSpec, p: Progress) -> Progress:
+    limit, tol = int(np.clip(spec.max_iterations, 5, 5000)), spec.tolerance
+    if p.iteration >= limit:
+        return _stop(p, "max_iterations")
+    p = replace(p, iteration=p.iteration + 1, scale=np.maximum(p.scale, np.sqrt(np.abs(np.diag(p.now.hessian)))))
+    s = np.where(p.scale < 1e-30, 1.0, p.scale)
+    g, h = p.now.gradient / s, p.now.hessian / s[:, None] / s[None, :]
+    if diagnose(p.now.hessian)[0] == 0:
+        return _stop(p, "singular")
+    if np.linalg.norm(g) <= tol:
+        return _stop(p, "gradient")
+    d = -np.linalg.lstsq(h + p.damping * np.eye(len(p.beta)), g, rcond=RANK_EPS)[0]
+    if np.linalg.norm(d) <= tol * (np.linalg.norm(p.beta * s) + tol):
+        return _stop(p, "step")
+    return replace(p, at=p.beta + d / s, phase=STEP)
+
+
+def solve(spec: FitSpec, evaluate_at, start: np.ndarray) -> tuple[np.ndarray, State, int, str]:
+    """A fit from its start to its end. ``evaluate_at(beta)`` gives the sums, so one process or a cluster may compute them."""
+    p = begin(spec, start)
+    while p.phase != DONE:
+        p = advance(spec, p, evaluate_at(p.at))
+    return p.beta, p.now, p.iteration, p.reason
 
 
 def diagnose(h: np.ndarray) -> tuple[int, float]:

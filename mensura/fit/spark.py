@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from mensura.errors import DataError, MensuraError
 from mensura.expr import formula as X
 from mensura.fit import odr
+from mensura.scratch import SMALL, drop_path, same_keys, saved, shared_dir, small
 
 _D, _A = T.DoubleType(), T.ArrayType(T.DoubleType())
 #: Result columns of a grouped fit.
@@ -23,8 +24,8 @@ RESULT = [
     T.StructField("chi2", _D), T.StructField("chi2_reduced", _D), T.StructField("chi2_obs", _D), T.StructField("dof", T.LongType()), T.StructField("rmse", _D), T.StructField("r_squared", _D),
     T.StructField("r_squared_layers", _A), T.StructField("rank", T.IntegerType()), T.StructField("condition", _D), T.StructField("warnings", T.ArrayType(T.StringType())), T.StructField("assumptions", T.ArrayType(T.StringType())),
 ]
-#: Rows of a group above which the fit should go over the cluster instead of into one task.
-GROUP_ROWS = 2_000_000
+#: Rows of a group above which it is fitted over the cluster, with all such groups at once, instead of in one task.
+GROUP_ROWS = 50_000
 
 
 def fit_grouped(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec) -> DataFrame:
@@ -115,15 +116,13 @@ def fit_linear_groups(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec) ->
                 beta.append((start + np.linalg.lstsq(h, g - h @ start, rcond=odr.RANK_EPS)[0]).tolist() if ok else start.tolist())
             yield pdf.assign(_b=beta)
 
-    from mensura.scratch import saved
-
     normal = saved(first.mapInPandas(solved, T.StructType([*first.schema.fields, T.StructField("_b", _A)])))
     fitted = F.col("_f")
     for j in range(q):
         fitted = fitted + F.col(f"_f{j}") * F.get("_b", F.lit(j))
-    # groups are joined by key; adaptive execution splits the rows of a hot one
-    again = rows.join(normal.select(*keys, "_b"), list(keys)).groupBy(*keys).agg(*sums(F.col("_y") - fitted))
-    both = normal.drop("_rr", "_ss", *(f"_g{j}" for j in range(q))).join(again, list(keys), "left")
+    # few groups go by broadcast; else adaptive execution splits the rows of a hot one
+    again = same_keys(rows, small(normal.select(*keys, "_b")), list(keys)).groupBy(*keys).agg(*sums(F.col("_y") - fitted))
+    both = same_keys(normal.drop("_rr", "_ss", *(f"_g{j}" for j in range(q))), again, list(keys), "left")
     names = [f.name for f in RESULT]
 
     def judged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,7 +145,7 @@ def fit_linear_groups(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec) ->
                 h, beta = hessian(r), np.array(r["_b"], float)
                 g = np.array([r[f"_g{j}"] for j in range(q)])
                 step = np.linalg.lstsq(h, g, rcond=odr.RANK_EPS)[0]
-                chi2 = max(0.0, r["_rr"] - float(g @ step))
+                chi2 = float(np.maximum(0.0, r["_rr"] - g @ step))  # NaN stays
                 state = odr.State(chi2, chi2, -(g - h @ step), h, np.array([r["_ss"]]))
                 got = odr.respond(spec, beta + step, state, 1, "gradient", n, {0: (n, r["_sy"], r["_syy"])}, {"clamped": int(r["_c"])})
                 out.append({k: got.get(k) for k in names} | {"n": n, "error": None})
@@ -156,28 +155,144 @@ def fit_linear_groups(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec) ->
 
 
 def fit_groups(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec, rows: int = GROUP_ROWS) -> DataFrame:
-    """The general solver by group; groups of more than ``rows`` rows, which are few, are fitted over the cluster one by one."""
-    big = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows).drop("_n")
-    heads = big.limit(10_001).collect()
-    if not heads:
+    """The general solver by group: those of up to ``rows`` rows in a task each, all larger ones together by ``fit_batched``."""
+    keys = list(keys)
+    big = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows).select(*keys)
+    if not big.limit(1).count():
         return _fit_small(df, keys, spec)
-    if len(heads) > 10_000:
-        raise DataError(f"more than 10,000 groups exceed {rows} rows")
-    names = [f.name for f in RESULT]
-    schema = T.StructType([*(df.schema[k] for k in keys), *RESULT])
-    done = []
-    for h in heads:
-        own = df
-        for k in keys:
-            own = own.where(F.col(k).eqNullSafe(F.lit(h[k])))
-        try:
-            out = fit_large(own, spec)
-            row = {n: out.get(n) for n in names} | {"n": (out["dof"] + out["rank"]) // len(spec.layers), "error": None}
-        except (MensuraError, np.linalg.LinAlgError) as e:
-            row = dict.fromkeys(names) | {"success": False, "error": str(e)}
-        done.append((*(h[k] for k in keys), *(row[n] for n in names)))
-    small = df.join(F.broadcast(big), list(keys), "left_anti")
-    return _fit_small(small, keys, spec).unionByName(df.sparkSession.createDataFrame(done, schema))
+    big = small(saved(big))
+    return _fit_small(same_keys(df, big, keys, "left_anti"), keys, spec).unionByName(fit_batched(same_keys(df, big, keys, "left_semi"), keys, spec))
+
+
+def _sigma(spec: odr.FitSpec, v: str) -> Column:
+    """A variable's uncertainty before it is clamped, as ``odr.prepare`` takes it."""
+    if v in spec.sigmas:
+        return F.col(f"`{spec.sigmas[v]}`")
+    if spec.poisson and v in {la.dependent for la in spec.layers}:
+        return F.sqrt(F.greatest(F.col(f"`{v}`"), F.lit(odr.MIN_VARIANCE)))
+    return F.lit(0.0)
+
+
+def _facts(spec: odr.FitSpec, need: Sequence[str]) -> list[Column]:
+    """What a group's result needs besides the state: counts of what is wrong or clamped, moments, mean variances."""
+    c = {n: F.col(f"`{n}`") for n in need}
+    wrong = [F.count_if(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))).alias(f"_bad{k}") for k, x in enumerate(c.values())]
+    deps = [la.dependent for la in spec.layers]
+    sig = {v: _sigma(spec, v) for v in spec.variables}
+    minus = [F.count_if(c[spec.sigmas[v]] < 0 if v in spec.sigmas else c[v] < 0 if spec.poisson and v in deps else F.lit(False)).alias(f"_neg{k}") for k, v in enumerate(spec.variables)]
+    counted = [c[d] for d in deps if spec.poisson and d not in spec.sigmas]
+    low = [F.coalesce(F.max(F.greatest(F.lit(False), F.lit(False), *(x < most for x in counted))), F.lit(False)).alias(n) for n, most in (("_low", 20), ("_zero", odr.MIN_VARIANCE))]
+    clamped = F.lit(0)
+    for x in sig.values():
+        clamped = clamped + (x < odr.MIN_SIGMA).cast("int")
+    moments = [a for k, d in enumerate(deps) for a in (F.sum(c[d]).alias(f"_s{k}"), F.sum(c[d] * c[d]).alias(f"_q{k}"))]
+    spread = [F.avg(F.pow(F.greatest(x, F.lit(odr.MIN_SIGMA)), F.lit(2))).alias(f"_v{k}") for k, x in enumerate(sig.values())]
+    return [F.count("*").alias("_n"), *wrong, *minus, *low, F.sum(clamped).alias("_c"), *moments, *spread]
+
+
+def _refused(spec: odr.FitSpec, need: Sequence[str]) -> Column:
+    """Why a group cannot be fitted, null if it can: what ``odr.prepare`` would say first."""
+    bad, out = {n: F.col(f"_bad{k}") > 0 for k, n in enumerate(need)}, []
+    for k, v in enumerate(spec.variables):
+        out.append(F.when(bad[v], f"{v} holds nulls or non-finite values"))
+        if v in spec.sigmas:
+            out.append(F.when(bad[spec.sigmas[v]] | (F.col(f"_neg{k}") > 0), F.concat(F.lit(f"uncertainties of {v} must be "), F.col("_n").cast("string"), F.lit(" finite numbers of at least 0"))))
+        else:
+            out.append(F.when(F.col(f"_neg{k}") > 0, f"Poisson counts of {v} are negative"))
+    return F.coalesce(*out, F.when(F.col("_n") < 2, "a fit needs at least 2 points"))
+
+
+def fit_batched(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec) -> DataFrame:
+    """The general solver over all groups at once, however many and of whatever size: keys and the RESULT columns.
+
+    A table holds each group's progress (``odr.Progress``: parameters, damping, sums, what it waits
+    for). A round joins the points to the groups not yet done, sums each point's part of the
+    objective, gradient and Hessian at its own group's parameters (inside the tasks first), and
+    advances every group by one step; groups that are done leave the table. Rounds are as many as
+    the slowest group needs; no group's points meet anywhere, and the driver sees only how many
+    groups remain. Each round's table is written to the shared folder, and the one before removed.
+
+    Groups with null keys are groups. One that cannot be fitted gives a row with ``error``. The
+    correlation, if any, is one matrix. An empty table gives no rows.
+    """
+    spark, keys, need = df.sparkSession, list(keys), spec.columns()
+    q, size, names = len(spec.parameters), odr.flat_size(spec), [f.name for f in RESULT]
+    start = np.array(spec.guesses if spec.guesses is not None else np.ones(q), float)
+    if len(start) != q or not np.isfinite(start).all():
+        raise DataError("guesses must be one finite number for each parameter")
+    own = [f"_own{i}" for i in range(len(keys))]
+    rows = df.select(*(F.col(f"`{k}`").alias(o) for k, o in zip(keys, own)), *(F.col(f"`{c}`").cast("double").alias(c) for c in need))
+    facts = rows.groupBy(*own).agg(*_facts(spec, need)).withColumn("_error", _refused(spec, need))
+    groups = saved(facts.withColumn("_g", F.monotonically_increasing_id()))
+    points = saved(same_keys(rows, small(groups.where("_error is null").select(*own, "_g")), own).select("_g", *need))
+
+    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if len(pdf):
+                pdf = pdf.sort_values("_g", kind="stable")
+                g, beta = pdf["_g"].to_numpy(), np.stack(pdf["_at"].to_numpy())
+                twice = 1 + (len(pdf) == 1)  # preparation asks for two points of a fit, not of a batch
+                cols = {c: np.repeat(pdf[c].to_numpy(), twice) for c in need}
+                each = odr.flat_by_point(spec, odr.prepare(spec, cols), np.repeat(beta, twice, axis=0))[: len(g)]
+                first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+                total = np.add.reduceat(each, first)
+                open_ = ~np.isfinite(total).all(axis=1)  # told by itself: NaN would turn null on its way, and be left out of sums
+                total[open_] = 0
+                yield pd.DataFrame(total, columns=[f"v{i}" for i in range(size)]).assign(_g=g[first], _open=open_.astype(int))
+
+    def step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for v, open_, was in zip(pdf[[f"v{i}" for i in range(size)]].to_numpy(), pdf["_open"], pdf["_numbers"]):
+                try:
+                    if open_ or not np.isfinite(v).all():
+                        raise DataError("the model is not finite at some point")
+                    p = odr.advance(spec, odr.begin(spec, start) if was is None else odr.Progress.of(spec, was), odr.unflat(spec, v))
+                    out.append((p.numbers(), p.at.tolist(), p.phase == odr.DONE, None))
+                except (MensuraError, np.linalg.LinAlgError) as e:
+                    out.append((None, None, True, str(e)))
+            yield pd.concat([pdf[["_g"]].reset_index(drop=True), pd.DataFrame(out, columns=["_numbers", "_at", "_done", "_failed"])], axis=1)
+
+    progress = "_g bigint, _numbers array<double>, _at array<double>, _done boolean, _failed string"
+    done = shared_dir(spark)
+    spark.createDataFrame([], progress).write.parquet(done)
+    before, active = None, groups.where("_error is null").select("_g", F.lit(None).cast("array<double>").alias("_numbers"), F.array(*map(F.lit, start.tolist())).alias("_at"))
+    left = active.count()
+    while left:
+        asked = active.select("_g", "_at")
+        at = points.join(F.broadcast(asked) if left <= SMALL else asked, "_g")
+        parts = at.mapInPandas(sums, ", ".join(f"v{i} double" for i in range(size)) + ", _g bigint, _open bigint")
+        summed = parts.groupBy("_g").agg(*(F.sum(c).alias(c) for c in (*(f"v{i}" for i in range(size)), "_open")))
+        now = shared_dir(spark)
+        after = saved(summed.join(active.select("_g", "_numbers"), "_g").mapInPandas(step, progress), now)
+        ended, left = after.agg(F.count_if("_done"), F.count_if(~F.col("_done"))).first()
+        if ended:
+            after.where("_done").write.mode("append").parquet(done)
+        if before:
+            drop_path(spark, before)
+        before, active = now, after.where(~F.col("_done"))
+
+    def told(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for r in pdf.to_dict("records"):
+                n, error = int(r["_n"]), r["_error"] if isinstance(r["_error"], str) else r["_failed"]
+                if isinstance(error, str):
+                    out.append(dict.fromkeys(names) | {"success": False, "error": error, "n": n})
+                    continue
+                p = odr.Progress.of(spec, r["_numbers"])
+                dof = {v: float(n - 1 if d is None else d) for v, d in spec.type_a.items() if v in spec.variables}
+                var = {v: r[f"_v{k}"] for k, v in enumerate(spec.variables)}
+                below = sum((var[v] / sum(var.values())) ** 2 / d for v, d in dof.items() if d > 0)
+                notes = {"clamped": int(r["_c"]), "low_counts": bool(r["_low"]), "zero_counts": bool(r["_zero"]), "inferred_dof": sum(spec.type_a[v] is None for v in dof), "input_dof": 1 / below if below > 0 else None}
+                moments = {k: (n, r[f"_s{k}"], r[f"_q{k}"]) for k in range(len(spec.layers))}
+                got = odr.respond(spec, p.beta, p.now, p.iteration, p.reason, n, moments, notes)
+                out.append({k: got.get(k) for k in names} | {"n": n, "error": None})
+            yield pd.concat([pdf[own].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+
+    ended = groups.join(spark.read.schema(progress).parquet(done).select("_g", "_numbers", "_failed"), "_g", "left")
+    out = ended.mapInPandas(told, T.StructType([*(T.StructField(o, df.schema[k].dataType) for k, o in zip(keys, own)), *RESULT]))
+    return out.toDF(*keys, *names)
 
 
 def fit_large(df: DataFrame, spec: odr.FitSpec) -> dict:

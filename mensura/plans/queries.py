@@ -406,6 +406,19 @@ def fit_deming(spark, sf_dir):
     return fits.fit_deming(rows, "x", "y", ["event_type"]).select("event_type", "n", _r("slope", 4).alias("slope"), _r("intercept", 4).alias("intercept"))
 
 
+@query("""SELECT k, count(*) AS n, round((syy - sxx + sqrt(power(syy - sxx, 2) + 4 * sxy * sxy)) / (2 * sxy), 5) + 0.0 AS slope,
+round(my - (syy - sxx + sqrt(power(syy - sxx, 2) + 4 * sxy * sxy)) / (2 * sxy) * mx, 4) + 0.0 AS intercept FROM (SELECT *, avg(x) OVER w AS mx, avg(y) OVER w AS my,
+var_pop(x) OVER w AS sxx, var_pop(y) OVER w AS syy, covar_pop(x, y) OVER w AS sxy FROM (SELECT CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE l_suppkey % 7 END AS k, l_extendedprice / 1000 AS x, l_extendedprice * (1 - l_discount) * (1 + l_tax) / 1000 AS y FROM lineitem)
+WINDOW w AS (PARTITION BY k)) GROUP BY ALL""")
+def fit_batched_groups(spark, sf_dir):
+    """Lines with equal uncertainties in both variables for groups of suppliers, one of a null key, all advanced together."""
+    k = F.col("l_suppkey") % 7
+    rows = table(spark, sf_dir, "lineitem").select(F.when(k != 0, k).alias("k"), (F.col("l_extendedprice") / 1000).alias("x"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")) / 1000).alias("y"), F.lit(0.5).alias("s"))
+    spec = odr.FitSpec.single("a*x + b", "y", ["x"], ["a", "b"], sigmas={"x": "s", "y": "s"}, guesses=(1.0, 0.0), tolerance=1e-11)
+    out = fits.fit_batched(rows, ["k"], spec)
+    return out.select("k", "n", _r(F.get("parameters", F.lit(0)), 5).alias("slope"), _r(F.get("parameters", F.lit(1)), 4).alias("intercept"))
+
+
 @query("""SELECT count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 5) AS intercept, round(regr_r2(y, x), 7) AS r2 FROM (SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part)""")
 def fit_large_table(spark, sf_dir):
     """One fit whose every step is a job over the whole table."""
