@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mensura.errors import FormulaError
 from mensura.functions import special
+from mensura.scratch import same_keys, small
 
 L = F.lit
 
@@ -44,6 +45,58 @@ def _days360(a: Column, b: Column) -> Column:
     return (F.year(b) - F.year(a)) * 360 + (F.month(b) - F.month(a)) * 30 + d2 - d1
 
 
+def _months(a: Column, b: Column) -> Column:
+    """Whole months from a to b: one is whole on the day of the month it began."""
+    return (F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a) - (F.dayofmonth(b) < F.dayofmonth(a)).cast("int")
+
+
+def _datedif(a: Column, b: Column, unit: Column) -> Column:
+    """DATEDIF: D days, M and Y whole months and years, MD days past whole months, YM months past whole years, YD days past whole years; other units, and a start after the end, are errors."""
+    months, u = _months(a, b), F.upper(unit)
+    before = F.dayofmonth(F.last_day(F.add_months(b, -1)))
+    days = F.dayofmonth(b) - F.dayofmonth(a)
+    same_year = F.add_months(a, (F.year(b) - F.year(a)) * 12)
+    anniversary = F.when(same_year <= b, same_year).otherwise(F.add_months(a, (F.year(b) - F.year(a) - 1) * 12))
+    out = (
+        F.when(a > b, F.raise_error(L("DATEDIF: the start lies after the end")).cast("int"))
+        .when(u == "D", F.datediff(b, a)).when(u == "M", months).when(u == "Y", F.floor(months / 12).cast("int"))
+        .when(u == "MD", F.when(days >= 0, days).otherwise(days + before)).when(u == "YM", months % 12).when(u == "YD", F.datediff(b, anniversary))
+    )
+    return F.when(a.isNotNull() & b.isNotNull(), out.otherwise(F.raise_error(F.concat(L("DATEDIF: unknown unit "), unit)).cast("int")))
+
+
+def _workday(start: Column, n: Column) -> Column:
+    """WORKDAY: the date ``n`` working days (Monday to Friday) after the start, or before it."""
+    # from the last working day at or before the start (at or after it, going back), whole weeks and a rest
+    wd = F.weekday(start)
+    ahead = F.date_sub(start, F.greatest(wd - 4, L(0)))
+    back = F.date_add(start, F.when(wd > 4, 7 - wd).otherwise(0))
+    d, m = F.weekday(ahead), F.weekday(back)
+    forth = F.date_add(ahead, (F.floor((d + n) / 5) * 7 + (d + n) % 5 - d).cast("int"))
+    left = m - F.abs(n)
+    back = F.date_add(back, (F.floor(left / 5) * 7 + (left - F.floor(left / 5) * 5) - m).cast("int"))
+    return F.when(n == 0, start).when(n > 0, forth).otherwise(back)
+
+
+def _if_error(x: Column, other) -> Column:
+    """IFERROR: ``other`` where computing ``x`` fails, or gives null, NaN or infinity. The result is a text if ``other`` is one, else a double.
+
+    The value passes a function that turns any error below it into null, as its text.
+    """
+    text = F.decode(F.try_to_binary(x.cast("string"), L("utf-8")), "UTF-8")
+    if isinstance(other, str):
+        return F.coalesce(text, L(other))
+    number = text.try_cast("double")
+    good = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    return F.coalesce(good, (other if isinstance(other, Column) else L(other)).cast("double"))
+
+
+def _counted(x: Column) -> Column:
+    """A cell's number for AVERAGEA and its like: true 1, other texts and false 0, nulls none."""
+    text = F.lower(x.cast("string"))
+    return F.when(x.isNotNull(), F.when(text == "true", 1.0).otherwise(F.coalesce(text.try_cast("double"), L(0.0))))
+
+
 def _workdays(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.sequence(a, b), lambda d: F.weekday(d) < 5))
 
@@ -62,16 +115,16 @@ SCALARS: dict[str, Callable[..., Column]] = {
     # text
     "UPPER": F.upper, "LOWER": F.lower, "PROPER": _proper, "LEN": F.length, "LENB": F.octet_length, "LEFT": lambda s, n: F.substr(s, L(1), n), "RIGHT": lambda s, n: F.right(s, n), "MID": lambda s, a, n: F.substr(s, a, n), "TRIM": lambda s: F.regexp_replace(F.trim(s), " +", " "), "CLEAN": lambda s: F.regexp_replace(s, r"[\x00-\x1F]", ""),
     "CONCAT": F.concat, "CONCATENATE": F.concat, "TEXTJOIN": lambda d, *s: F.call_function("array_join", F.array_compact(F.array(*s)), d), "REPT": lambda s, n: F.call_function("repeat", s, n), "SUBSTITUTE": F.replace, "EXACT": lambda a, b: a == b, "FIND": lambda t, s: F.nullif(F.call_function("instr", s, t), L(0)), "SEARCH": lambda t, s: F.nullif(F.call_function("instr", F.lower(s), F.lower(t)), L(0)),
-    "REPLACE": lambda s, a, n, t: F.overlay(s, t, a, n), "CHAR": F.char, "UNICHAR": F.char, "CODE": F.ascii, "UNICODE": F.ascii, "VALUE": lambda s: s.try_cast("double"), "T": lambda s: s.cast("string"), "REGEXMATCH": lambda s, p: F.regexp_like(s, p), "REGEXREPLACE": lambda s, p, t: F.regexp_replace(s, p, t), "REGEXEXTRACT": lambda s, p: F.regexp_substr(s, p),
-    "TEXTBEFORE": lambda s, d: F.call_function("substring_index", s, d, L(1)), "TEXTSPLIT": lambda s, d: F.call_function("split", s, d), "ENCODEURL": F.url_encode,
+    "REPLACE": lambda s, a, n, t: F.overlay(s, t, a, n), "CHAR": F.char, "UNICHAR": lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32"), "CODE": F.ascii, "UNICODE": F.ascii, "VALUE": lambda s: s.try_cast("double"), "T": lambda s: F.when(s.cast("string").try_cast("double").isNull() & ~F.lower(s.cast("string")).isin("true", "false"), s.cast("string")).otherwise(""), "REGEXMATCH": lambda s, p: F.regexp_like(s, p), "REGEXREPLACE": lambda s, p, t: F.regexp_replace(s, p, t), "REGEXEXTRACT": lambda s, p: F.regexp_substr(s, p),
+    "TEXTBEFORE": lambda s, d: F.call_function("substring_index", s, d, L(1)), "TEXTSPLIT": lambda s, d: F.call_function("split", s, F.concat(L("\\Q"), d, L("\\E"))), "ENCODEURL": F.url_encode,
     # dates
     "DATE": F.make_date, "YEAR": F.year, "MONTH": F.month, "DAY": F.dayofmonth, "HOUR": F.hour, "MINUTE": F.minute, "SECOND": F.second, "DAYS": lambda b, a: F.datediff(b, a), "DAYS360": _days360, "EDATE": lambda d, n: F.add_months(d, n), "EOMONTH": lambda d, n: F.last_day(F.add_months(d, n)),
     "WEEKDAY": F.dayofweek, "ISOWEEKNUM": F.weekofyear, "NETWORKDAYS": _workdays, "TODAY": F.current_date, "NOW": F.current_timestamp, "DATEVALUE": lambda s: s.try_cast("date"), "EPOCHTODATE": lambda x: F.timestamp_seconds(x),
-    "DATEDIF": lambda a, b, unit: F.when(F.upper(unit) == "D", F.datediff(b, a)).when(F.upper(unit) == "M", F.floor(F.months_between(b, a))).when(F.upper(unit) == "Y", F.floor(F.months_between(b, a) / 12)),
+    "DATEDIF": _datedif, "WORKDAY": _workday,
     "YEARFRAC": lambda a, b: _days360(a, b) / 360.0, "WEEKNUM": lambda d: F.floor((F.dayofyear(d) + F.dayofweek(F.trunc(d, "year")) - 2) / 7) + 1,
     # logic
     "IFS": lambda *a: F.coalesce(*(F.when(c, v) for c, v in zip(a[::2], a[1::2]))), "SWITCH": lambda x, *a: _switch(x, a), "TEXTAFTER": lambda s, d: F.when(F.call_function("instr", s, d) > 0, F.substr(s, F.call_function("instr", s, d) + F.length(d))), "FIXED": lambda x, n: F.format_number(x, n),
-    "IF": lambda c, a, b: F.when(c, a).otherwise(b), "IFERROR": F.coalesce, "IFNA": F.coalesce, "ISBLANK": F.isnull, "ISNUMBER": lambda s: s.cast("string").try_cast("double").isNotNull(), "ISTEXT": lambda s: s.cast("string").try_cast("double").isNull() & s.isNotNull(), "ISEVEN": lambda x: _trunc(x) % 2 == 0, "ISODD": lambda x: _trunc(x) % 2 != 0,
+    "IF": lambda c, a, b: F.when(c, a).otherwise(b), "IFNA": F.coalesce, "ISBLANK": F.isnull, "ISNUMBER": lambda s: s.cast("string").try_cast("double").isNotNull(), "ISTEXT": lambda s: s.cast("string").try_cast("double").isNull() & s.isNotNull(), "ISEVEN": lambda x: _trunc(x) % 2 == 0, "ISODD": lambda x: _trunc(x) % 2 != 0,
     "ISBETWEEN": lambda x, a, b: x.between(a, b), "NOT": lambda a: ~a, "AND": lambda *a: _fold(a, lambda x, y: x & y), "OR": lambda *a: _fold(a, lambda x, y: x | y), "XOR": lambda *a: _fold(a, lambda x, y: x != y), "CHOOSE": lambda i, *a: F.try_element_at(F.array(*a), i), "ISEMAIL": lambda s: s.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), "ISURL": lambda s: s.rlike(r"^https?://\S+$"),
 }
 
@@ -91,6 +144,8 @@ def _switch(x: Column, pairs) -> Column:
 
 def scalar(name: str, *args) -> Column:
     """A named function over columns; plain numbers and texts become literals."""
+    if name.upper() == "IFERROR":
+        return _if_error(args[0] if isinstance(args[0], Column) else L(args[0]), args[1])
     f = SCALARS.get(name.upper())
     if f is None:
         raise FormulaError(f"unknown function {name}")
@@ -122,7 +177,8 @@ def _all(conditions) -> Column:
 MORE_AGGREGATES: dict[str, Callable[..., Column]] = {
     # several conditions, all of which must hold
     "COUNTIFS": lambda *c: F.count_if(_all(c)), "SUMIFS": lambda x, *c: F.sum(F.when(_all(c), x)), "AVERAGEIFS": lambda x, *c: F.avg(F.when(_all(c), x)),
-    "MAXA": F.max, "MINA": F.min, "AVERAGEA": F.avg, "STDEVA": F.stddev_samp, "STDEVPA": F.stddev_pop, "VARA": F.var_samp, "VARPA": F.var_pop,
+    "MAXA": lambda x: F.max(_counted(x)), "MINA": lambda x: F.min(_counted(x)), "AVERAGEA": lambda x: F.avg(_counted(x)), "STDEVA": lambda x: F.stddev_samp(_counted(x)), "STDEVPA": lambda x: F.stddev_pop(_counted(x)),
+    "VARA": lambda x: F.var_samp(_counted(x)), "VARPA": lambda x: F.var_pop(_counted(x)),
     "FORECAST": lambda at, y, x: F.regr_intercept(y, x) + F.regr_slope(y, x) * at,
 }
 
@@ -169,7 +225,7 @@ def database(name: str, x: Column, criteria: list[dict[str, Column]] | Column) -
 def average_deviation(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """AVEDEV by group: mean distance from the mean, by two aggregations; the means are joined back by key."""
     means = df.groupBy(*keys).agg(F.avg(value).alias("_m"))
-    return df.join(means, keys).groupBy(*keys).agg(F.avg(F.abs(F.col(value) - F.col("_m"))).alias("avedev"))
+    return same_keys(df, small(means), list(keys)).groupBy(*keys).agg(F.avg(F.abs(F.col(value) - F.col("_m"))).alias("avedev"))
 
 
 def unique(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -250,16 +306,14 @@ def lookup(df: DataFrame, table: DataFrame, key: str, table_key: str, value: str
 
 
 def ranks(df: DataFrame, value: str, keys: list[str], descending: bool = True) -> DataFrame:
-    """RANK and PERCENTRANK within groups, from the group's distinct values."""
-    from pyspark.sql import Window
+    """RANK and PERCENTRANK within groups of any size: see ``selection.ranks``."""
+    from mensura.operators import selection
 
-    w = Window.partitionBy(*keys).orderBy(F.col(value).desc() if descending else F.col(value).asc())
-    return df.withColumns({"rank": F.rank().over(w), "percent_rank": F.percent_rank().over(Window.partitionBy(*keys).orderBy(F.col(value).asc()))})
+    return selection.ranks(df, value, keys, descending)
 
 
 def nth(df: DataFrame, value: str, keys: list[str], k: int, largest: bool = True) -> DataFrame:
-    """LARGE and SMALL: the k-th value of each group."""
-    from pyspark.sql import Window
+    """LARGE and SMALL: the k-th value of each group, of any size: see ``selection.nth``."""
+    from mensura.operators import selection
 
-    w = Window.partitionBy(*keys).orderBy(F.col(value).desc() if largest else F.col(value).asc())
-    return df.where(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(w)).where(F.col("_n") == k).select(*keys, value)
+    return selection.nth(df, value, keys, k, largest)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mensura.errors import DataError
+from mensura.scratch import same_keys, small
 
 # The data model's columns.
 SCHEMA = "id string, name string, description string, tags array<string>, unit string, source string, data array<double>, uncertainties array<double>, is_pinned boolean, created_at timestamp, modified_at timestamp"
@@ -99,7 +100,7 @@ def statistics(points: DataFrame, keys: Sequence[str] = ("id",), value: str = "v
     """count, mean, std_dev (population), min, max, median, has_uncertainties by key.
 
     Minimum and maximum pass over NaN, the mean does not. ``exact=False`` takes an approximate
-    median, whose memory does not grow with the group.
+    median, whose memory does not grow with the group; ``selection.exact_quantiles`` has both.
     """
     v = F.col(value).cast("double")
     finite = F.when(~F.isnan(v), v)
@@ -127,14 +128,14 @@ def all_tags(sequences: DataFrame, tags: str = "tags") -> DataFrame:
 def positions(points: DataFrame, keys: Sequence[str], order: Sequence[str], idx: str = "idx") -> DataFrame:
     """Adds the place of each row in its key's order, from zero; no key's rows meet in one task.
 
-    ``keys`` and ``order`` together must be a total order. Rows are numbered all together, and the first number
+    ``keys`` and ``order`` together must be a total order; null keys are a key. Rows are numbered all together, and the first number
     of each key is taken away.
     """
     from mensura.operators.sheet import numbered
 
     rows = numbered(points, [*keys, *order], "_place")
     first = rows.groupBy(*keys).agg(F.min("_place").alias("_first"))
-    return rows.join(first, list(keys)).withColumn(idx, F.col("_place") - F.col("_first")).drop("_place", "_first")
+    return same_keys(rows, small(first), list(keys)).withColumn(idx, F.col("_place") - F.col("_first")).drop("_place", "_first")
 
 
 def zip_full(left: DataFrame, right: DataFrame, idx: str = "idx", names: tuple[str, str] = ("left_value", "right_value"), value: str = "value", keys: Sequence[str] = ()) -> DataFrame:

@@ -15,7 +15,7 @@ from mensura.scratch import saved
 
 _CELL = re.compile(r"\$?([A-Za-z]{1,3})\$?(\d+)$")
 #: A cell reference that is neither part of a name nor a function's name.
-_REF = re.compile(r"(?<![A-Za-z0-9_.])(\$?)([A-Za-z]{1,3})(\$?)([1-9]\d*)(?![A-Za-z0-9_(])")
+CELL_REFERENCE = re.compile(r"(?<![A-Za-z0-9_.])(\$?)([A-Za-z]{1,3})(\$?)([1-9]\d*)(?![A-Za-z0-9_(])")
 
 
 def column_number(letters: str) -> int:
@@ -208,7 +208,7 @@ def to_library(cells: DataFrame, name: str, values: str, uncertainties: str | No
 
 def references(formula: str) -> list[str]:
     """Cells that a formula names, each once, without the names of functions such as LOG10( )."""
-    return list(dict.fromkeys(f"{m[2].upper()}{m[4]}" for m in _REF.finditer(formula)))
+    return list(dict.fromkeys(f"{m[2].upper()}{m[4]}" for m in CELL_REFERENCE.finditer(formula)))
 
 
 def shift(formula: str, rows: int, columns: int) -> str:
@@ -221,7 +221,7 @@ def shift(formula: str, rows: int, columns: int) -> str:
             raise DataError(f"{m[0]} cannot move by {rows}, {columns}")
         return f"{m[1]}{column_letters(col)}{m[3]}{row}"
 
-    return _REF.sub(moved, formula)
+    return CELL_REFERENCE.sub(moved, formula)
 
 
 def propagate_cells(cells: dict[str, dict]) -> dict[str, dict]:
@@ -229,8 +229,8 @@ def propagate_cells(cells: dict[str, dict]) -> dict[str, dict]:
 
     ``cells``: reference -> {value, formula?, upper?, lower?, source?}. Referenced cells with bounds
     are variables, others constants (non-numbers 0). Cells whose bounds are ``manual`` keep them;
-    bounds of formulas without uncertain inputs are cleared. A cell graph is a sheet's, not a
-    table's: for columns of rows use ``uncertainty.propagate``.
+    bounds of formulas without uncertain inputs are cleared. For one sheet's few cells; a table of
+    cells goes by ``cellgraph.propagate_table``, columns of rows by ``uncertainty.propagate``.
     """
     out = {k.upper(): dict(v) for k, v in cells.items()}
     state: dict[str, int] = {}
@@ -260,7 +260,7 @@ def propagate_cells(cells: dict[str, dict]) -> dict[str, dict]:
         if not c.get("formula") or c.get("source") == "manual":
             continue
         refs = references(c["formula"])
-        text = _REF.sub(lambda m: f"{m[2]}{m[4]}", c["formula"].lstrip("="))
+        text = CELL_REFERENCE.sub(lambda m: f"{m[2]}{m[4]}", c["formula"].lstrip("="))
         e = X.parse(text, refs)
         numbers = {r.lower(): v if isinstance(v := out.get(r, {}).get("value"), (int, float)) else 0.0 for r in refs}
         live = [r for r in refs if out.get(r, {}).get("upper") is not None]

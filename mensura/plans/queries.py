@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mensura.fit import grid, odr
 from mensura.fit import spark as fits
 from mensura.functions import sheetlike, special, units
-from mensura.operators import catalog, sheet, uncertainty
+from mensura.operators import catalog, cellgraph, selection, sheet, textindex, uncertainty
 from mensura.scratch import shared_dir
 from mensura.sources import files
 
@@ -162,6 +162,50 @@ def catalog_search(spark, sf_dir):
     return catalog.search(rows, "haed lic").select("doc_id", "source")
 
 
+@query(r"""SELECT doc_id, source FROM documents WHERE (regexp_matches(lower(text), '(^|[^\pL\pN])haed') AND regexp_matches(lower(text), '(^|[^\pL\pN])lic')) OR lower(source) LIKE '%haed lic%'""")
+def catalog_search_index(spark, sf_dir):
+    """The same search by an inverted index, which is built from the table first."""
+    d = table(spark, sf_dir, "documents")
+    path = shared_dir(spark)
+    textindex.build(d.select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.col("text").alias("description"), F.array().cast("array<string>").alias("tags"), "source"), path)
+    return textindex.search_catalog(d.select("doc_id", "source"), path, "haed lic", id_col="doc_id")
+
+
+@query("""WITH a AS (SELECT o_orderkey + 1 AS k, o_totalprice AS v FROM orders), f AS (SELECT 1.5 AS r, 0.1 AS s), b AS (SELECT k, v, v * r AS bv, sqrt(power(0.01 * v * r, 2) + power(v * s, 2)) AS bs FROM a, f)
+SELECT 'A' || k AS cell, round(v, 4) AS value, round(0.01 * v, 4) AS upper, NULL::DOUBLE AS lower, NULL AS source FROM b UNION ALL SELECT 'B' || k, round(bv, 4), round(bs, 4), round(sqrt(power(0.01 * v * 1.5, 2) + power(v * 0.05, 2)), 4), 'propagated' FROM b
+UNION ALL SELECT 'C' || k, round(bv - v / 2, 4), round(sqrt(bs * bs + power(0.005 * v, 2)), 4), round(sqrt(power(0.01 * v * 1.5, 2) + power(v * 0.05, 2) + power(0.005 * v, 2)), 4), 'propagated' FROM b UNION ALL SELECT 'F1', 1.5, 0.1, 0.05, NULL UNION ALL SELECT 'D' || k, 6.0, NULL, NULL, NULL FROM b""")
+def cell_graph(spark, sf_dir):
+    """A sheet of four columns over all orders: B and C follow from A and one rate, by formulas of two levels; D from constants."""
+    none = F.lit(None).cast("string")
+    k = (F.col("o_orderkey") + 1).cast("string")
+    o = table(spark, sf_dir, "orders").select(k.alias("k"), F.col("o_totalprice").alias("v"))
+
+    def column(name, formula, value=None, upper=None):
+        zero = F.lit(None).cast("double")
+        return o.select(F.concat(F.lit(name), "k").alias("cell"), (zero if value is None else value).alias("value"), formula.alias("formula"), (zero if upper is None else upper).alias("upper"), zero.alias("lower"), none.alias("source"))
+
+    v = F.col("v")
+    cells = column("A", none, v, v * 0.01).unionByName(column("B", F.concat(F.lit("=A"), "k", F.lit("*$F$1")))).unionByName(column("C", F.concat(F.lit("=b"), "k", F.lit(" - A"), "k", F.lit("/2")))).unionByName(column("D", F.lit("=2*3"), upper=v))
+    rate = spark.createDataFrame([("F1", 1.5, None, 0.1, 0.05, None)], cells.schema)
+    out = cellgraph.propagate_table(cells.unionByName(rate))
+    return out.select("cell", *(F.round(c, 4).alias(c) for c in ("value", "upper", "lower")), "source")
+
+
+@query("""SELECT l_returnflag, p, CASE p WHEN 0.25 THEN q[1] WHEN 0.5 THEN q[2] ELSE q[3] END AS quantile FROM (SELECT CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_returnflag END AS l_returnflag, quantile_cont(l_extendedprice, [0.25, 0.5, 0.9]) AS q FROM lineitem GROUP BY 1), unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE]) AS t(p)""")
+def exact_quantiles(spark, sf_dir):
+    """Exact quartile, median and ninth decile of prices by flag, one of a null key."""
+    flag = F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select(flag, "l_extendedprice")
+    return selection.exact_quantiles(rows, "l_extendedprice", ["l_returnflag"], [0.25, 0.5, 0.9])
+
+
+@query("""SELECT l_returnflag AS flag, l_extendedprice AS price FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC) AS r FROM lineitem) WHERE r = 5""")
+def sheet_large(spark, sf_dir):
+    """The fifth largest price of each flag, from one numbering of all rows."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("price"))
+    return sheetlike.nth(rows, "price", ["flag"], 5)
+
+
 @query("""SELECT DISTINCT unnest(string_split(p_name, ' ')) AS tag FROM part""")
 def catalog_tags(spark, sf_dir):
     return catalog.all_tags(table(spark, sf_dir, "part").select(F.split("p_name", " ").alias("tags")))
@@ -562,7 +606,7 @@ def sheet_lookup_exact(spark, sf_dir):
 @query("""SELECT p_brand, p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC)::INTEGER AS rank, round(percent_rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice), 9) AS percent_rank FROM part""")
 def sheet_ranks(spark, sf_dir):
     out = sheetlike.ranks(table(spark, sf_dir, "part"), "p_retailprice", ["p_brand"])
-    return out.select("p_brand", "p_partkey", "rank", F.round("percent_rank", 9).alias("percent_rank"))
+    return out.select("p_brand", "p_partkey", F.col("rank").cast("int").alias("rank"), F.round("percent_rank", 9).alias("percent_rank"))
 
 
 @query("""SELECT l_returnflag, count(*) AS n, round(power(sum(u2), 2) / sum(u2 * u2 / nu), 3) AS effective_dof FROM (SELECT l_returnflag, power(0.01 * l_extendedprice, 2) AS u2, l_linenumber + 3 AS nu FROM lineitem) GROUP BY l_returnflag""")
