@@ -28,6 +28,8 @@ APART = 0.9
 NEAR, FAR, POOL, ALPHA, BEAM, BUILD_BEAM = 20, 8, 64, 1.2, 32, 16
 #: Vectors searched for together, which bounds memory.
 TOGETHER = 256
+#: Slack, in radians, of bounds by angles: pairs so near a bound are verified.
+SLACK = 1e-6
 #: Cosine below the threshold down to which the range search still expands.
 MARGIN = 0.04
 #: Vectors whose links are compared with brute force, and the recall asked for.
@@ -55,6 +57,15 @@ def centres(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def apart(c: np.ndarray) -> np.ndarray:
+    """Centres of which no two are of one kind."""
+    kept: list[np.ndarray] = []
+    for one in c:
+        if all(one @ o < APART for o in kept):
+            kept.append(one)
+    return np.array(kept)
+
+
 def robust_prune(x: np.ndarray, p: int, pool: np.ndarray, most: int, alpha: float = ALPHA) -> list[int]:
     """Neighbours of p from a pool: the nearest is taken, and those it covers by factor alpha go, and so on."""
     away = np.sqrt(np.maximum(0, 2 - 2 * (x[pool] @ x[p])))
@@ -261,6 +272,121 @@ def _searcher(least: float, beam: int):
     return run
 
 
+def _verifier(least: float):
+    """One part of a cell of one kind against all that ask: bounds by angles to the cell's middle settle most pairs.
+
+    By the triangle inequality two vectors link if their angles add up to no more than that of
+    ``least``, and do not if they differ by more; what lies between is verified, block by block.
+    Vectors at home here each count their own links, as all ask all parts; those of other homes
+    are settled as in other cells.
+    """
+    reach = float(np.arccos(least))
+
+    def run(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if members.empty or queries.empty:
+            return pd.DataFrame({c: [] for c in _FOUND.names})
+        members = members.assign(guest=members["rank"] > 0).sort_values(["guest", "angle"], ignore_index=True)
+        ids, copies, x, homes, cell = members["rid"].to_numpy(), members["n"].to_numpy(), _matrix(members["vec"]), members["home"].to_numpy(), members["cell"].iloc[0]
+        at_home = int((~members["guest"]).sum())
+        angle = members["angle"].to_numpy()[:at_home]
+        upto = np.r_[0, np.cumsum(copies[:at_home])]
+        place = {r: k for k, r in enumerate(ids[:at_home].tolist())}
+        kind, least_id, joined, found, guests = np.arange(len(ids)), ids.copy(), 0, [], {}
+
+        def unite(nodes: np.ndarray, rid: int) -> int:
+            """The members ``nodes``, and a query's name, become one kind."""
+            kinds = np.unique(kind[nodes])
+            to = kinds[0]
+            if len(kinds) > 1:
+                kind[np.isin(kind, kinds)] = to
+            least_id[to] = min(int(least_id[kinds].min()), rid)
+            return int(nodes[0])
+
+        for first in range(0, len(queries), TOGETHER):
+            q = queries.iloc[first : first + TOGETHER]
+            own, theta, sure = _matrix(q["vec"]), q["angle"].to_numpy(), q["sure"].to_numpy(bool)
+            k = np.where(sure, 0, np.searchsorted(angle, reach - SLACK - theta, "right"))
+            end = np.where(sure, 0, np.searchsorted(angle, reach + SLACK + theta, "right"))
+            start = np.minimum(np.maximum(k, np.searchsorted(angle, theta - reach - SLACK, "left")), end)
+            asks = end > start
+            lo, hi = (int(start[asks].min()), int(end[asks].max())) if asks.any() else (0, 0)
+            place_ = np.arange(lo, hi)
+            near = (own @ x[lo:hi].T >= least) & (place_ >= start[:, None]) & (place_ < end[:, None])
+            links = upto[k] + near @ copies[lo:hi]
+            pairs = k + near.sum(1)
+            other = own @ x[at_home:].T >= least
+            for j, (rid, n, cells) in enumerate(zip(q["rid"].tolist(), q["n"].tolist(), q["cells"])):
+                nodes = place_[near[j]]
+                if not sure[j] and rid in place:
+                    links[j] -= n
+                    pairs[j] -= 1
+                if k[j]:
+                    if k[j] > joined:
+                        unite(np.arange(k[j]), rid)
+                        joined = int(k[j])
+                    nodes = np.r_[0, nodes]
+                met = at_home + np.flatnonzero(other[j])
+                if len(met):
+                    met = met[~np.isin(homes[met], cells) | (homes[met] > cell)]
+                    links[j] += copies[met].sum()
+                    pairs[j] += len(met)
+                    for g in met.tolist():
+                        a, b = guests.get(g, (0, 0))
+                        guests[g] = (a + n, b + 1)
+                    nodes = np.r_[nodes, met]
+                found.append((rid, unite(nodes, rid) if len(nodes) else -1, int(links[j]), int(pairs[j])))
+        rows = [(r, int(least_id[kind[node]]) if node >= 0 else r, links, pairs) for r, node, links, pairs in found]
+        rows += [(int(r), int(least_id[kind[j]]), 0, 0) for j, r in enumerate(ids.tolist()) if least_id[kind[j]] != r]
+        rows += [(int(ids[g]), int(ids[g]), a, b) for g, (a, b) in guests.items()]
+        return pd.DataFrame(rows, columns=_FOUND.names)
+
+    return run
+
+
+def _dense_links(members: DataFrame, total: int, least: float) -> DataFrame:
+    """Links of cells of one kind, which are dealt out by salt: those that bounds settle for a whole cell need no search.
+
+    A vector whose angle to the cell's middle and the cell's radius add up to less than the angle of
+    ``least`` links with all at home there, so it is given their number and asks no part. The others
+    ask every part, as does who may link with a vector of another home.
+    """
+    key = [members.schema[k] for k in _CELL]
+    share = F.pmod(F.xxhash64("rid", F.lit(77)), F.lit(1 << 40)) < F.lit(float(CELL_SAMPLE << 40)) / F.col("many")
+
+    def middle(pdf: pd.DataFrame) -> pd.DataFrame:
+        head, m = pdf.iloc[0], _matrix(pdf["vec"]).mean(0)
+        return pd.DataFrame({**{k: [head[k]] for k in _CELL}, "middle": [m.tolist()]})
+
+    sample = members.where("rank = 0").where(share).select(*_CELL, "vec")
+    middles = sample.groupBy(*_CELL).applyInPandas(middle, T.StructType([*key, T.StructField("middle", T.ArrayType(T.DoubleType()))]))
+    sized = saved(members.groupBy(*_CELL).agg(F.count("*").alias("rows")).join(middles, _CELL, "left"))
+
+    def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            angles = []
+            for vec, m in zip(_matrix(pdf["vec"]) if len(pdf) else [], pdf["middle"]):
+                size = 0.0 if m is None else np.linalg.norm(m)
+                angles.append(float(np.arccos(np.clip(vec @ m / size, -1, 1))) if size > 1e-9 else float(np.pi))
+            yield pdf.drop(columns=["middle"]).assign(angle=angles)
+
+    schema = T.StructType([*members.schema.fields, T.StructField("angle", T.DoubleType())])
+    placed = saved(join_classes(members, sized, _CELL, "rows", total, "left").select(*members.columns, "middle").mapInPandas(measure, schema))
+    own = F.col("rank") == 0
+    facts = placed.groupBy(*_CELL).agg(
+        F.max(F.when(own, F.col("angle"))).alias("radius"), F.sum(F.when(own, F.col("n"))).alias("copies"), F.count_if(own).alias("homes"), F.min(F.when(own, F.col("rid"))).alias("hub"), F.min(F.when(~own, F.col("angle"))).alias("guest"), F.count("*").alias("rows")
+    )
+    known = saved(join_classes(placed, saved(facts), _CELL, "rows", total, "left"))
+    reach = float(np.arccos(least))
+    sure = F.col("angle") + F.col("radius") <= reach - SLACK
+    settled = known.where(own & sure).select("rid", F.col("hub").alias("root"), (F.col("copies") - F.col("n")).alias("links"), (F.col("homes") - 1).alias("pairs"))
+    asked = known.where(own & (~sure | F.coalesce(F.col("angle") >= F.col("guest") - reach - SLACK, F.lit(False)))).withColumn("sure", sure)
+    shard = ["label", "size", "cell", "salt"]
+    asked = asked.select("label", "size", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "rid", "vec", "n", "cells", "angle", "sure")
+    near = known.where(own | (F.col("angle") <= reach + F.col("radius") + SLACK)).select(*shard, "rid", "vec", "n", "rank", "home", "angle")
+    searched = near.groupBy(*shard).cogroup(asked.toDF(*asked.columns).groupBy(*shard)).applyInPandas(_verifier(least), _FOUND)
+    return settled.unionByName(searched)
+
+
 def _nearest(own: pd.DataFrame, c: np.ndarray, overlap: int) -> np.ndarray:
     like = _matrix(own["vec"]) @ c.T
     return np.argsort(-like, axis=1, kind="stable")[:, : min(overlap, len(c))]
@@ -288,10 +414,7 @@ def _cell_centres(n_col: str = "members"):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf.iloc[0]
         x = _matrix(pdf["vec"][: 2 * CELL_SAMPLE])
-        kept: list[np.ndarray] = []
-        for c in centres(x, int(min(CELL_CENTRES, -(-int(head[n_col]) // SHARD)))):
-            if all(c @ o < APART for o in kept):
-                kept.append(c)
+        kept = apart(centres(x, int(min(CELL_CENTRES, -(-int(head[n_col]) // SHARD)))))
         return pd.DataFrame({**{k: [head[k]] for k in _CELL}, "members": [head[n_col]], "centres": [[c.tolist() for c in kept]]})
 
     return run
@@ -344,17 +467,22 @@ def _links(reps: DataFrame, by_size, overlap: int, beam: int, least: float) -> D
     """(rid, root, links, pairs): links of each vector that shards have settled, and roots of the components seen in each."""
     shard = ["label", "size", "cell", "salt"]
     placed = _split(saved(_assign(reps, by_size, overlap)), overlap)
-    parts = saved(placed.groupBy(*_CELL).agg(F.ceil(F.count("*") / LARGEST).cast("int").alias("parts"), F.count("*").alias("rows")))
+    parts = saved(placed.groupBy(*_CELL).agg(F.ceil(F.count("*") / LARGEST).cast("int").alias("parts"), F.count("*").alias("rows"), F.count("*").alias("many")))
     cells = placed.groupBy("rid").agg(F.collect_list("cell").alias("cells"), F.max(F.when(F.col("rank") == 0, F.col("cell"))).alias("home"))
-    members = join_classes(placed.join(cells, "rid"), parts, _CELL, "rows", placed.count())
+    total = placed.count()
+    members = join_classes(placed.join(cells, "rid"), parts, _CELL, "rows", total)
     members = saved(members.withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")))
+    dense = members.where("parts > 1")
+    found = None if dense.isEmpty() else saved(_dense_links(dense, total, least))
+    members = members.where("parts = 1")
     built = members.select(*shard, "rid", "vec").groupBy(*shard).applyInPandas(_build, _GRAPH)
     # a node lies in few shards and has few neighbours in each, so its united list is short
     united = saved(built.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
     left = members.join(united, "rid").select(*shard, "rid", "vec", "n", "near", "home").groupBy(*shard)
     asked = members.where("rank = 0").select("label", "size", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "rid", "vec", "n", "cells")
     asked = asked.toDF(*asked.columns).groupBy(*shard)  # attributes of its own
-    return saved(left.cogroup(asked).applyInPandas(_searcher(least, beam), _FOUND))
+    searched = saved(left.cogroup(asked).applyInPandas(_searcher(least, beam), _FOUND))
+    return searched if found is None else searched.unionByName(found)
 
 
 def recall(reps: DataFrame, found: DataFrame, audit: int, least: float) -> float:
@@ -403,7 +531,8 @@ def near_duplicates(
     Centres are fitted on at most ``SAMPLE`` vectors; every class joins the cells of its nearest
     centres, and each label's part of a cell is a shard. Cells above ``LARGEST`` are split by centres
     of their own, level by level, so their number grows with the vectors; a cell of vectors all
-    alike is dealt out by salt instead and a query visits all parts. Graphs are built shard by
+    alike is dealt out by salt instead: bounds by angles to its middle settle its inner pairs by
+    number, and its border is verified part by part. Graphs of the other cells are built shard by
     shard, adjacency lists of a node united, and each class searches its home cell from the medoid.
     A link that is found counts for both ends. Only the numbers of links and the root of its
     component within the shard leave a shard, never pairs.
@@ -429,7 +558,7 @@ def near_duplicates(
     for r in sizes:
         k = int(min(CENTRES, max(1, largest[r["size"]] * OVERLAP // SHARD)))
         sample = reps.where(F.col("size") == r["size"]).orderBy(F.xxhash64("rid", F.lit(5)), "rid").limit(SAMPLE // len(sizes)).select("vec").toPandas()
-        by_size[r["size"]] = centres(_matrix(sample["vec"]), k)
+        by_size[r["size"]] = apart(centres(_matrix(sample["vec"]), k))
     for s in largest.keys() - by_size.keys():
         by_size[s] = np.ones((1, s)) / np.sqrt(s)
     overlap, beam = OVERLAP, BEAM

@@ -58,3 +58,20 @@ def test_the_graph_is_searched_not_read_off(monkeypatch):
     assert built < 0.5 * len(x) ** 2 and seen[0] < 0.7 * len(x) ** 2
     true = x @ x.T >= 0.98
     assert not (found & ~true).any() and found.sum() >= 0.95 * true.sum()
+
+
+@pytest.mark.parametrize("spread", [0.006, 0.02], ids=["inner", "border"])
+def test_one_dense_cluster(spark, monkeypatch, spread):
+    """A label that is one cluster in several parts: every link is counted, by bounds alone or at the border."""
+    monkeypatch.setattr(embeddings, "LARGEST", 150)
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=24)
+    centre /= np.linalg.norm(centre)
+    rows = [(i, (centre + rng.normal(size=24) * spread * (1 + i % 2)).tolist(), 1) for i in range(700)]
+    rows += [(1000 + i, rng.normal(size=24).tolist(), 2 + i % 2) for i in range(60)] + [(2000 + i, rng.normal(size=24).tolist(), 1) for i in range(40)]
+    rows += [(3000 + i, rows[3][1], 1) for i in range(9)]
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = brute(rows)
+    links = np.array([got[i].n_links for i, *_ in rows])
+    assert (links == want.sum(1)).mean() >= 0.99 and (links <= want.sum(1)).all()
+    assert len({got[i].component_id for k, (i, *_) in enumerate(rows) if want[k].any()}) == 1 and min(got[i].component_id for i in range(700)) == 0
