@@ -372,11 +372,11 @@ def _zeta_by_sum(s, n: int = 400):
 
 @query("""SELECT p_size::BIGINT AS p_size, round((SELECT sum(power(k::DOUBLE, -s)) FROM range(1, 400) t(k)) + power(400.0::DOUBLE, 1 - s) / (s - 1) + power(400.0::DOUBLE, -s) / 2 + s * power(400.0::DOUBLE, -s - 1) / 12, 9) AS zeta,
 round(-0.5772156649015329 + (SELECT sum(1.0::DOUBLE / k) FROM range(1, 400) t(k) WHERE k < p_size), 9) AS digamma, round(pi() * pi() / 6 - (SELECT coalesce(sum(1.0::DOUBLE / (k * k)), 0) FROM range(1, 400) t(k) WHERE k < p_size), 9) AS trigamma
-FROM (SELECT DISTINCT p_size, p_size + 1.0::DOUBLE AS s FROM part WHERE p_size > 1)""")
+FROM (SELECT DISTINCT p_size, p_size + 1.0::DOUBLE AS s FROM part)""")
 def special_zeta(spark, sf_dir):
     """Zeta, digamma and trigamma against their series."""
     c, s = special.column, F.col("p_size").cast("double")
-    rows = table(spark, sf_dir, "part").where("p_size > 1").select("p_size").distinct()
+    rows = table(spark, sf_dir, "part").select("p_size").distinct()
     return rows.select(F.col("p_size").cast("long").alias("p_size"), F.round(c("zeta")(s + 1), 9).alias("zeta"), F.round(c("digamma")(s), 9).alias("digamma"), F.round(c("trigamma")(s), 9).alias("trigamma"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mensura.errors import DataError, FormatError
+from mensura.scratch import small
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 VERSION, LARGEST = 1, 100 * 1024 * 1024
@@ -47,21 +48,24 @@ def resolve(path: str) -> str:
 
 
 def _encoding(name: str | None) -> str:
-    low = (name or "utf-8").lower()
-    return "windows-1252" if low in ("latin1", "latin-1", "iso-8859-1", "cp1252", "windows-1252", "ansi") else "UTF-8" if low in ("utf8", "utf-8", "auto") else name
+    low = (name or "auto").lower()
+    if low == "auto":
+        return "auto"
+    return "windows-1252" if low in ("latin1", "latin-1", "iso-8859-1", "cp1252", "windows-1252", "ansi") else "UTF-8" if low in ("utf8", "utf-8") else name
 
 
-def detect_encoding(spark: SparkSession, path: str, head: int = 65536) -> str:
-    """utf-8 (with or without mark) if the first bytes are, else windows-1252. Only the head reaches the driver."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, head).alias("h")).first()
-    data = bytes(row.h) if row else b""
-    for cut in range(4):  # the head may end inside a character
-        try:
-            data[: len(data) - cut].decode("utf-8")
-            return "utf-8"
-        except UnicodeDecodeError:
-            continue
-    return "windows-1252"
+# What bytes 80 to 9F stand for in windows-1252, those without a sign left as they are.
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
+_CP1252 = "".join(bytes([c]).decode("cp1252") if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(c) for c in range(0x80, 0xA0))
+
+
+def _cp1252(data: Column) -> Column:
+    return F.translate(F.decode(data, "ISO-8859-1"), _C1, _CP1252)
+
+
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """utf-8 (with or without mark) if every line of every file is, else windows-1252: one pass over the lines, of which one flag is read."""
+    return "windows-1252" if spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count() else "utf-8"
 
 
 def _decoder(encoding: str):
@@ -72,11 +76,43 @@ def _decoder(encoding: str):
     return F.pandas_udf(run, "string")
 
 
+def _decoded(data: Column, encoding: str, legacy: Column | None = None) -> Column:
+    """Bytes as text; ``auto`` takes windows-1252 where ``legacy`` holds (by default where the bytes are no UTF-8)."""
+    text = F.make_valid_utf8(data.cast("string"))
+    if encoding == "UTF-8":
+        return text
+    if encoding == "windows-1252":
+        return _cp1252(data)
+    if encoding == "auto":
+        return F.when(~F.is_valid_utf8(data.cast("string")) if legacy is None else legacy, _cp1252(data)).otherwise(text)
+    return _decoder(encoding)(data)
+
+
+#: Encodings in which every byte 0A is a line's end.
+_BY_LINE = ("UTF-8", "windows-1252", "auto")
+
+
 def _lines(spark: SparkSession, path: str, encoding: str, header: bool = False) -> DataFrame:
-    """(value): the lines of each file; with ``header`` without the first line of each that is not blank."""
-    if encoding == "UTF-8" and not header:
-        return spark.read.text(path)
-    return spark.read.format("csv").option("encoding", encoding).option("header", header).option("sep", "\u0001").option("quote", "").schema("value string").load(path)
+    """(value): the lines of each file; with ``header`` without the first line of each that is not blank.
+
+    Bytes are parted into lines first and decoded then. A file that ``auto`` finds with a line that
+    is no UTF-8 is windows-1252 as a whole.
+    """
+    one_column = {"sep": "\u0001", "quote": "", "columnNameOfCorruptRecord": "whole", "mode": "PERMISSIVE", "header": header}
+
+    def csv(name: str) -> Column | DataFrame:  # a line with the separator in it is kept as it stood
+        rows = spark.read.format("csv").options(**one_column).option("encoding", name).schema("value string, whole string").load(path)
+        return rows.select(F.coalesce("whole", "value").alias("value"), F.col("_metadata.file_path").alias("file"))
+
+    if header:
+        raw = csv("ISO-8859-1").select(F.encode(F.col("value"), "ISO-8859-1").alias("data"), "file")  # each byte is a sign
+    else:
+        raw = spark.read.text(path).select(F.col("value").cast("binary").alias("data"), F.col("_metadata.file_path").alias("file"))
+    if encoding != "auto":
+        return raw.select(_decoded(F.col("data"), encoding).alias("value"))
+    odd = spark.read.text(path).where(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("_odd")).distinct()
+    marked = raw.join(small(odd), F.col("file") == F.col("_odd"), "left")
+    return marked.select(_decoded(F.col("data"), "auto", F.col("_odd").isNotNull()).alias("value"))
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str, skip_rows: int = 0, header: bool = False, encoding: str | None = None, numeric: Sequence[str] = ()) -> DataFrame:
@@ -84,15 +120,17 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str, skip_rows: in
 
     Fields may be quoted, quotes doubled; blank lines are dropped, short rows padded with nulls to
     the widest. The width is found first, by one pass over the text. With ``header`` the first line
-    of each file, and no other, is one. ``skip_rows`` raw lines of each file are passed over, which
-    Spark can only place by reading a file whole in one task; without it files are split as usual.
+    of each file, and no other, is one. Without ``encoding`` a file is UTF-8 if all its lines are, else windows-1252. ``skip_rows`` raw lines of each file are passed over, which
+    Spark can only place by reading a file whole in one task, as it does encodings such as UTF-16;
+    otherwise files are split as usual.
     """
     if not delimiter:
         raise DataError("a delimiter is needed")
     d, enc = delimiter[0], _encoding(encoding)
     clean = lambda c: F.regexp_replace(F.regexp_replace(c, "^\ufeff", ""), r"\r$", "")
-    if skip_rows:
-        whole = spark.read.text(path, wholetext=True) if enc == "UTF-8" else spark.read.format("binaryFile").load(path).select(_decoder(enc)("content").alias("value"))
+    if skip_rows or enc not in _BY_LINE:
+        raw = spark.read.text(path, wholetext=True).select(F.col("value").cast("binary").alias("content")) if enc in _BY_LINE else spark.read.format("binaryFile").load(path)
+        whole = raw.select(_decoded(F.col("content"), enc).alias("value"))
         every = F.split("value", r"\r?\n")
         rest = F.filter(F.slice(every, skip_rows + 1, F.greatest(F.lit(0), F.size(every) - skip_rows)), lambda x: F.trim(clean(x)) != "")
         files_ = whole.select(rest.alias("v"))
