@@ -71,7 +71,7 @@ def exact_quantiles(df: DataFrame, value: str, keys: Sequence[str], probabilitie
     return every.join(both, ["g", "p"], "left").select(*own, "p", "quantile").toDF(*keys, "p", "quantile")
 
 
-def _placed(df: DataFrame, value: str, keys: Sequence[str], descending: bool) -> tuple[DataFrame, DataFrame]:
+def placed(df: DataFrame, value: str, keys: Sequence[str], descending: bool) -> tuple[DataFrame, DataFrame]:
     """Rows with their place in the order of (keys, value), written once; and by group its first place and size."""
     from mensura.operators.sheet import numbered
 
@@ -89,7 +89,7 @@ def ranks(df: DataFrame, value: str, keys: Sequence[str], descending: bool = Tru
     order puts them: last if descending, else first. Null keys are a group.
     """
     keys = list(keys)
-    rows, groups = _placed(df, value, keys, descending)
+    rows, groups = placed(df, value, keys, descending)
     ties = rows.groupBy(*(F.col(f"`{k}`") for k in keys), F.col(f"`{value}`")).agg(F.min("_place").alias("_head"), F.max("_place").alias("_tail"))
     out = same_keys(same_keys(rows, small(ties), [*keys, value]), small(groups), keys)
     below = (F.col("_n") - 1 - (F.col("_tail") - F.col("_first"))) if descending else F.col("_head") - F.col("_first")
@@ -100,5 +100,5 @@ def ranks(df: DataFrame, value: str, keys: Sequence[str], descending: bool = Tru
 def nth(df: DataFrame, value: str, keys: Sequence[str], k: int, largest: bool = True) -> DataFrame:
     """keys, value: the k-th largest or smallest value of each group (repeats count), of groups of any size; smaller groups give none."""
     keys = list(keys)
-    rows, groups = _placed(df.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keys, value]))).where(F.col(f"`{value}`").isNotNull()), value, keys, largest)
+    rows, groups = placed(df.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keys, value]))).where(F.col(f"`{value}`").isNotNull()), value, keys, largest)
     return same_keys(rows, small(groups), keys).where(F.col("_place") - F.col("_first") == k - 1).select(*(F.col(f"`{c}`") for c in (*keys, value)))

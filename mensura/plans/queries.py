@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mensura.fit import grid, odr
 from mensura.fit import spark as fits
-from mensura.functions import sheetlike, special, units
+from mensura.functions import matrix, sheetlike, special, units
 from mensura.operators import catalog, cellgraph, selection, sheet, textindex, uncertainty
 from mensura.scratch import shared_dir
 from mensura.sources import files
@@ -371,7 +371,7 @@ def _zeta_by_sum(s, n: int = 400):
 
 
 @query("""SELECT p_size::BIGINT AS p_size, round((SELECT sum(power(k::DOUBLE, -s)) FROM range(1, 400) t(k)) + power(400.0::DOUBLE, 1 - s) / (s - 1) + power(400.0::DOUBLE, -s) / 2 + s * power(400.0::DOUBLE, -s - 1) / 12, 9) AS zeta,
-round(-0.5772156649015329 + (SELECT sum(1.0::DOUBLE / k) FROM range(1, 400) t(k) WHERE k < p_size), 9) AS digamma, round(pi() * pi() / 6 - (SELECT coalesce(sum(1.0::DOUBLE / (k * k)), 0) FROM range(1, 400) t(k) WHERE k < p_size), 9) AS trigamma
+round(-0.5772156649015329 + (SELECT coalesce(sum(1.0::DOUBLE / k), 0) FROM range(1, 400) t(k) WHERE k < p_size), 9) AS digamma, round(pi() * pi() / 6 - (SELECT coalesce(sum(1.0::DOUBLE / (k * k)), 0) FROM range(1, 400) t(k) WHERE k < p_size), 9) AS trigamma
 FROM (SELECT DISTINCT p_size, p_size + 1.0::DOUBLE AS s FROM part)""")
 def special_zeta(spark, sf_dir):
     """Zeta, digamma and trigamma against their series."""
@@ -472,34 +472,34 @@ def fit_large_table(spark, sf_dir):
     return spark.createDataFrame([(n, round(out["parameters"][0], 6), round(out["parameters"][1], 5), round(out["r_squared"], 7))], "n long, slope double, intercept double, r2 double")
 
 
-@query("""SELECT * FROM (VALUES (0, 2.0::DOUBLE, 0.7::DOUBLE, 0.5::DOUBLE, TRUE), (1, 3.0, 0.7, 0.5, TRUE), (2, 4.0, 0.7, 0.5, TRUE)) t(k, a, b, c, success)""")
+@query("""SELECT DISTINCT (p_size % 3)::INTEGER AS k, (p_size % 3 + 2)::DOUBLE AS a, 0.7::DOUBLE AS b, 0.5::DOUBLE AS c, TRUE AS success FROM part""")
 def fit_nonlinear(spark, sf_dir):
-    """Gaussians of known parameters, with uncertainty in both variables."""
-    rows = spark.range(243).select((F.col("id") % 3).cast("int").alias("k"), (F.floor(F.col("id") / 3) * 0.05 - 2).alias("x"), F.lit(0.02).alias("sx"), F.lit(0.03).alias("sy"))
+    """Gaussians of known parameters at places that follow from the parts, with uncertainty in both variables."""
+    rows = table(spark, sf_dir, "part").select((F.col("p_size") % 3).cast("int").alias("k"), (F.col("p_partkey") % 81 * 0.05 - 2).alias("x"), F.lit(0.02).alias("sx"), F.lit(0.03).alias("sy"))
     rows = rows.withColumn("y", (F.col("k") + 2) * F.exp(-0.7 * F.col("x") * F.col("x")) + 0.5)
     out = fits.fit_grouped(rows, ["k"], odr.FitSpec.single("a*exp(-b*x^2)+c", "y", ["x"], ["a", "b", "c"], sigmas={"x": "sx", "y": "sy"}, guesses=(1.0, 0.2, 0.0)))
     return out.select("k", *(_r(F.get("parameters", F.lit(i)), 5).alias(n) for i, n in enumerate("abc")), "success")
 
 
-@query("""SELECT 1 AS k, 2.0::DOUBLE AS a, 1.0::DOUBLE AS b, -3.0::DOUBLE AS c, TRUE AS success""")
+@query("""SELECT DISTINCT (p_size % 2)::INTEGER AS k, 2.0::DOUBLE AS a, 1.0::DOUBLE AS b, -3.0::DOUBLE AS c, TRUE AS success FROM part""")
 def fit_two_layer(spark, sf_dir):
-    t = F.col("id").cast("double")
-    rows = spark.range(20).select(F.lit(1).alias("k"), t.alias("t"), (2 * t + 1).alias("x1"), (2 * (2 * t + 1) - 3).alias("y"), F.lit(0.01).alias("st"), F.lit(0.05).alias("s"))
+    t = (F.col("p_partkey") % 20).cast("double")
+    rows = table(spark, sf_dir, "part").select((F.col("p_size") % 2).cast("int").alias("k"), t.alias("t"), (2 * t + 1).alias("x1"), (2 * (2 * t + 1) - 3).alias("y"), F.lit(0.01).alias("st"), F.lit(0.05).alias("s"))
     spec = odr.FitSpec((odr.Layer("a*t+b", "x1", ("t",)), odr.Layer("a*x1+c", "y", ("x1",))), ("a", "b", "c"), (1.0, 0.0, 0.0), sigmas={"t": "st", "x1": "s", "y": "s"})
     return fits.fit_grouped(rows, ["k"], spec).select("k", *(_r(F.get("parameters", F.lit(i)), 4).alias(n) for i, n in enumerate("abc")), "success")
 
 
-@query("""SELECT 1 AS k, 1.0::DOUBLE AS a, TRUE AS success, TRUE AS warned""")
+@query("""SELECT DISTINCT (p_partkey % 2)::INTEGER AS k, 1.0::DOUBLE AS a, TRUE AS success, TRUE AS warned FROM part""")
 def fit_poisson(spark, sf_dir):
-    x = F.col("id").cast("double")
-    rows = spark.range(10).select(F.lit(1).alias("k"), x.alias("x"), (x * x).alias("y"))
+    x = (F.col("p_size") % 10).cast("double")
+    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 2).cast("int").alias("k"), x.alias("x"), (x * x).alias("y"))
     out = fits.fit_grouped(rows, ["k"], odr.FitSpec.single("a*x^2", "y", ["x"], ["a"], guesses=(0.5,), poisson=True))
     return out.select("k", _r(F.get("parameters", F.lit(0)), 2).alias("a"), "success", F.exists("warnings", lambda w: w.contains("Poisson")).alias("warned"))
 
 
-@query("""SELECT 1 AS k, 1 AS rank, TRUE AS infinite, TRUE AS warned""")
+@query("""SELECT DISTINCT (p_partkey % 2)::INTEGER AS k, 1 AS rank, TRUE AS infinite, TRUE AS warned FROM part""")
 def fit_rank_deficient(spark, sf_dir):
-    rows = spark.range(25).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("x"), F.lit(3.0).alias("y"), F.lit(0.1).alias("s"))
+    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 2).cast("int").alias("k"), F.col("p_size").cast("double").alias("x"), F.lit(3.0).alias("y"), F.lit(0.1).alias("s"))
     out = fits.fit_grouped(rows, ["k"], odr.FitSpec.single("a+b", "y", ["x"], ["a", "b"], sigmas={"x": "s", "y": "s"}, guesses=(1.0, 2.0)))
     return out.select("k", "rank", F.forall("sigmas", lambda s: s == float("inf")).alias("infinite"), F.exists("warnings", lambda w: w.contains("rank-deficient")).alias("warned"))
 
@@ -516,14 +516,19 @@ def normal_matrix(spark, sf_dir):
     return m.select(F.round("l_quantity_l_quantity", 2).alias("l_quantity_l_quantity"), F.round("l_quantity_l_discount", 4).alias("l_quantity_l_discount"), F.round("l_discount_l_discount", 6).alias("l_discount_l_discount"))
 
 
-@query("""SELECT i, round(x, 9) AS x, round(2.5 * x - 4, 9) AS y FROM (SELECT range AS i, CASE WHEN range = 299 THEN 10.0::DOUBLE ELSE -5 + range * (15.0::DOUBLE / 299) END AS x FROM range(300))""")
+@query("""SELECT i, round(x, 9) AS x, round(2.5 * x - 4, 9) AS y FROM (SELECT range AS i, CASE WHEN range = 299 THEN hi ELSE lo + range * ((hi - lo) / 299) END AS x FROM range(300), (SELECT min(p_retailprice) - (max(p_retailprice) - min(p_retailprice)) * 0.1 AS lo, max(p_retailprice) + (max(p_retailprice) - min(p_retailprice)) * 0.1 AS hi FROM part))""")
 def curve_grid(spark, sf_dir):
-    return grid.curve(spark, "a*x + b", "x", -5.0, 10.0, {"a": 2.5, "b": -4.0}).select("i", _r("x", 9).alias("x"), _r("y", 9).alias("y"))
+    """A line over the padded range of the parts' prices."""
+    low, high = grid.padded_range(table(spark, sf_dir, "part"), "p_retailprice")
+    return grid.curve(spark, "a*x + b", "x", low, high, {"a": 2.5, "b": -4.0}).select("i", _r("x", 9).alias("x"), _r("y", 9).alias("y"))
 
 
-@query("""SELECT i, round(x, 9) AS x, round(y, 9) AS y, round(x * x + 2 * y, 9) AS z FROM (SELECT range AS i, CASE WHEN range % 30 = 29 THEN 1.0::DOUBLE ELSE (range % 30) * (1.0::DOUBLE / 29) END AS x, CASE WHEN range // 30 = 29 THEN 4.0::DOUBLE ELSE 2 + (range // 30) * (2.0::DOUBLE / 29) END AS y FROM range(900))""")
+@query("""SELECT i, round(x, 9) AS x, round(y, 9) AS y, round(x * x + 2 * y, 9) AS z FROM (SELECT range AS i, CASE WHEN range % 30 = 29 THEN a.hi ELSE a.lo + (range % 30) * ((a.hi - a.lo) / 29) END AS x, CASE WHEN range // 30 = 29 THEN b.hi ELSE b.lo + (range // 30) * ((b.hi - b.lo) / 29) END AS y FROM range(900), (SELECT min(l_discount) - (max(l_discount) - min(l_discount)) * 0.1 AS lo, max(l_discount) + (max(l_discount) - min(l_discount)) * 0.1 AS hi FROM lineitem) a, (SELECT min(l_tax) - (max(l_tax) - min(l_tax)) * 0.1 AS lo, max(l_tax) + (max(l_tax) - min(l_tax)) * 0.1 AS hi FROM lineitem) b)""")
 def surface_grid(spark, sf_dir):
-    return grid.surface(spark, "u^2 + k*v", ("u", "v"), (0.0, 1.0), (2.0, 4.0), {"k": 2.0}).select("i", *(_r(c, 9).alias(c) for c in "xyz"))
+    """A surface over the padded ranges of discounts and taxes."""
+    rows = table(spark, sf_dir, "lineitem")
+    spans = [grid.padded_range(rows, c) for c in ("l_discount", "l_tax")]
+    return grid.surface(spark, "u^2 + k*v", ("u", "v"), *spans, {"k": 2.0}).select("i", *(_r(c, 9).alias(c) for c in "xyz"))
 
 
 @query("""SELECT p_partkey, round(900 + 2.0 * p_size, 6) AS fitted, round(p_retailprice - 900 - 2.0 * p_size, 6) AS residual FROM part""")
@@ -665,3 +670,33 @@ def numeric_import(spark, sf_dir):
     path = shared_dir(spark)
     files.write(table(spark, sf_dir, "part").select(F.col("p_size").alias("x"), F.col("p_retailprice").alias("y")), "txt", path, delimiter=";", header=True)
     return files.read_numeric(spark, path)
+
+
+@query("""SELECT a.r AS "row", b.c AS col, sum(a.v * b.v) AS value FROM (SELECT o_custkey % 200 AS r, o_orderkey % 300 AS c, sum(floor(o_totalprice)) AS v FROM orders GROUP BY ALL) a JOIN (SELECT l_orderkey % 300 AS r, l_suppkey % 40 AS c, sum(floor(l_quantity)) AS v FROM lineitem GROUP BY ALL) b ON a.c = b.r GROUP BY ALL""")
+def matrix_product(spark, sf_dir):
+    """Customers by orders times orders by suppliers, in blocks; whole numbers, so that sums are exact."""
+    o = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 200).alias("row"), (F.col("o_orderkey") % 300).alias("col")).agg(F.sum(F.floor("o_totalprice")).alias("value"))
+    i = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 300).alias("row"), (F.col("l_suppkey") % 40).alias("col")).agg(F.sum(F.floor("l_quantity")).alias("value"))
+    return matrix.mmult(o, i)
+
+
+@query("""SELECT l_returnflag, round(regr_intercept(y, x), 4) AS intercept, round(regr_slope(y, x), 6) AS slope, round(regr_r2(y, x), 6) AS r2, round(sqrt((regr_syy(y, x) - power(regr_sxy(y, x), 2) / regr_sxx(y, x)) / (count(*) - 2)), 4) AS se_y, count(*) - 2 AS dof
+FROM (SELECT l_returnflag, l_extendedprice / 1000 AS x, l_extendedprice * (1 - l_discount) / 1000 AS y FROM lineitem) GROUP BY l_returnflag""")
+def sheet_linest(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_extendedprice") / 1000).alias("x"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 1000).alias("y"))
+    out = matrix.linest(rows, "y", ["x"], ["l_returnflag"])
+    return out.select("l_returnflag", _r(F.get("coefficients", F.lit(0)), 4).alias("intercept"), _r(F.get("coefficients", F.lit(1))).alias("slope"), _r("r2").alias("r2"), _r("se_y", 4).alias("se_y"), "dof")
+
+
+@query("""WITH b AS (SELECT DISTINCT s_acctbal AS bound FROM supplier), e AS (SELECT bound, lag(bound) OVER (ORDER BY bound) AS before FROM b UNION ALL SELECT NULL, max(bound) FROM b), v AS (SELECT l_extendedprice / 10 AS v FROM lineitem)
+SELECT bound, (SELECT count(*) FROM v WHERE (before IS NULL OR v > before) AND (bound IS NULL OR v <= bound))::BIGINT AS n FROM e""")
+def sheet_frequency(spark, sf_dir):
+    """Prices counted between the suppliers' balances."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 10).alias("v"))
+    return matrix.frequency(rows, "v", table(spark, sf_dir, "supplier"), "s_acctbal")
+
+
+@query("""SELECT l_returnflag, round(avg(v), 4) AS trimmean FROM (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) WHERE r > floor(n * 0.25 / 2) AND r <= n - floor(n * 0.25 / 2) GROUP BY l_returnflag""")
+def sheet_trimmean(spark, sf_dir):
+    out = matrix.trimmean(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"], 0.25)
+    return out.select("l_returnflag", _r("trimmean", 4).alias("trimmean"))
