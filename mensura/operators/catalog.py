@@ -7,7 +7,7 @@ import operator
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.errors import DataError
@@ -93,6 +93,29 @@ def page(sequences: DataFrame, sort: str = "modified", descending: bool = True,
     return {"total": total, "pinned": pinned, "page": number, "page_size": size, "total_pages": pages, "has_next": number + 1 < pages, "has_prev": number > 0}, rows
 
 
+def write_listing(sequences: DataFrame, path: str, sort: str = "modified", descending: bool = True) -> None:
+    """Writes the listing in the order of ``page``, numbered from 0 (``place``): sorted files whose bounds Parquet keeps."""
+    from mensura.operators.sheet import numbered
+
+    if sort not in ORDERS:
+        raise DataError(f"unknown order {sort!r}")
+    key = F.size("data") if sort == "size" else F.col(ORDERS[sort])
+    rows = sequences.select(*LISTED, key.alias("_key"))
+    placed = numbered(rows, [F.desc("is_pinned"), F.desc("_key") if descending else F.asc("_key"), F.asc("id")], "place").drop("_key")
+    placed.repartitionByRange("place").sortWithinPartitions("place").write.mode("overwrite").parquet(path)
+
+
+def read_page(spark: SparkSession, path: str, number: int = 0, size: int = 50) -> tuple[dict, DataFrame]:
+    """(totals, rows) of a page of a written listing, as ``page`` gives them: a range of places, pushed down to the scan, however far back."""
+    listing = spark.read.parquet(path)
+    total, pinned = listing.agg(F.count("*"), F.count_if("is_pinned")).first()
+    size = max(1, size)
+    pages = -(-total // size)
+    number = min(max(0, number), max(0, pages - 1))
+    rows = listing.where((F.col("place") >= number * size) & (F.col("place") < (number + 1) * size)).orderBy("place").select(*LISTED)
+    return {"total": total, "pinned": pinned, "page": number, "page_size": size, "total_pages": pages, "has_next": number + 1 < pages, "has_prev": number > 0}, rows
+
+
 # ---------------------------------------------------------------- aggregates
 
 

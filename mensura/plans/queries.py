@@ -211,14 +211,26 @@ def catalog_tags(spark, sf_dir):
     return catalog.all_tags(table(spark, sf_dir, "part").select(F.split("p_name", " ").alias("tags")))
 
 
-@query("""SELECT o_orderkey::VARCHAR AS id, o_orderstatus AS name, o_orderpriority = '1-URGENT' AS is_pinned, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderpriority = '1-URGENT' DESC, o_orderdate DESC, id LIMIT 25 OFFSET 50""")
-def catalog_page(spark, sf_dir):
+def _orders_listed(spark, sf_dir):
     none = F.lit(None).cast("string")
-    rows = table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("name"), none.alias("description"), F.array().cast("array<string>").alias("tags"), none.alias("unit"), none.alias("source"),
         F.array().cast("array<double>").alias("data"), (F.col("o_orderpriority") == "1-URGENT").alias("is_pinned"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("modified_at"),
     )
-    head, page = catalog.page(rows, "modified", True, 2, 25)
+
+
+@query("""SELECT o_orderkey::VARCHAR AS id, o_orderstatus AS name, o_orderpriority = '1-URGENT' AS is_pinned, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderpriority = '1-URGENT' DESC, o_orderdate DESC, id LIMIT 25 OFFSET 50""")
+def catalog_page(spark, sf_dir):
+    head, page = catalog.page(_orders_listed(spark, sf_dir), "modified", True, 2, 25)
+    return page.select("id", "name", "is_pinned", F.lit(head["total"]).cast("long").alias("total"))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS id, o_orderstatus AS name, o_orderpriority = '1-URGENT' AS is_pinned, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderpriority = '1-URGENT' DESC, o_orderdate DESC, id LIMIT 10 OFFSET (SELECT least(1000, (count(*) + 9) // 10 - 1) * 10 FROM orders)""")
+def catalog_seek_page(spark, sf_dir):
+    """Page 1,000 of the orders (the last, if they are fewer), read as a range of a written listing."""
+    path = shared_dir(spark)
+    catalog.write_listing(_orders_listed(spark, sf_dir), path)
+    head, page = catalog.read_page(spark, path, 1000, 10)
     return page.select("id", "name", "is_pinned", F.lit(head["total"]).cast("long").alias("total"))
 
 

@@ -7,6 +7,7 @@ import json
 import os
 import re
 import struct
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -474,24 +475,79 @@ def unique_names(existing: Sequence[str], wanted: Sequence[str]) -> list[str]:
     return out
 
 
-def append_sheets(spark: SparkSession, target: str, sheets: dict[str, DataFrame]) -> list[str]:
-    """All sheets or none: each is written to a staging folder, and all are renamed into place at the end."""
+def _file_system(spark: SparkSession, target: str):
     path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    existing = [s.getPath().getName() for s in fs.listStatus(path(target))] if fs.exists(path(target)) else []
-    names = unique_names(existing, list(sheets))
-    staging = f"{target.rstrip('/')}.staging"
-    try:
-        for n, df in zip(names, sheets.values()):
-            df.write.mode("overwrite").parquet(f"{staging}/{n}")
+    return path, path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _committed(spark: SparkSession, target: str) -> dict[str, list]:
+    """Appends that are committed but not all in place: token -> [[name, staged folder], ...]."""
+    path, fs = _file_system(spark, target)
+    log = path(f"{target.rstrip('/')}.appends")
+    found = sorted(s.getPath().getName() for s in fs.listStatus(log)) if fs.exists(log) else []
+    return {n[:-5]: json.loads(spark.read.text(f"{log}/{n}").first().value) for n in found if n.endswith(".json")}
+
+
+def _sheet_names(spark: SparkSession, target: str) -> list[str]:
+    path, fs = _file_system(spark, target)
+    return sorted(s.getPath().getName() for s in fs.listStatus(path(target))) if fs.exists(path(target)) else []
+
+
+def _place_sheet(spark: SparkSession, target: str, name: str, staged: str) -> None:
+    path, fs = _file_system(spark, target)
+    if fs.exists(path(staged)):  # else it is in place already
+        free = unique_names(_sheet_names(spark, target), [name])[0]  # taken meanwhile only if two appends raced
+        if not fs.rename(path(staged), path(f"{target}/{free}")):
+            raise FormatError(f"could not place sheet {name}")
+
+
+def finish_appends(spark: SparkSession, target: str) -> None:
+    """Puts the sheets of committed appends in place that a lost driver has left, and forgets the appends."""
+    path, fs = _file_system(spark, target)
+    log = f"{target.rstrip('/')}.appends"
+    for token, sheets in _committed(spark, target).items():
         fs.mkdirs(path(target))
-        moved = []
-        for n in names:
-            if not fs.rename(path(f"{staging}/{n}"), path(f"{target}/{n}")):
-                for m in moved:
-                    fs.delete(path(f"{target}/{m}"), True)
-                raise FormatError(f"could not place sheet {n}")
-            moved.append(n)
-    finally:
-        fs.delete(path(staging), True)
+        for name, staged in sheets:
+            _place_sheet(spark, target, name, staged)
+        fs.delete(path(f"{log}/{token}.json"), False)
+        fs.delete(path(f"{log}/{token}"), True)
+    if fs.exists(path(log)) and not fs.listStatus(path(log)):
+        fs.delete(path(log), True)
+
+
+def append_sheets(spark: SparkSession, target: str, sheets: dict[str, DataFrame]) -> list[str]:
+    """All sheets or none, at any moment: returns their names (see ``unique_names``).
+
+    Each sheet is written to a staging folder of this append's own. One rename of a manifest, which
+    names them all, commits it; then they are renamed into place. A driver lost before the commit
+    leaves nothing that readers see; one lost after it leaves the manifest, which ``read_sheets``
+    follows and ``finish_appends``, or the next append, carries out.
+    """
+    finish_appends(spark, target)
+    path, fs = _file_system(spark, target)
+    names = unique_names(_sheet_names(spark, target), list(sheets))
+    log, token = f"{target.rstrip('/')}.appends", uuid.uuid4().hex
+    staged = [[n, f"{log}/{token}/{k}"] for k, n in enumerate(names)]
+    try:
+        for (_, place), df in zip(staged, sheets.values()):
+            df.write.parquet(place)
+        out = fs.create(path(f"{log}/{token}.tmp"))
+        out.writeBytes(json.dumps(staged))  # ASCII
+        out.close()
+        if not fs.rename(path(f"{log}/{token}.tmp"), path(f"{log}/{token}.json")):
+            raise FormatError("could not commit the sheets")
+    except BaseException:
+        fs.delete(path(f"{log}/{token}.tmp"), False)
+        fs.delete(path(f"{log}/{token}"), True)
+        raise
+    finish_appends(spark, target)
     return names
+
+
+def read_sheets(spark: SparkSession, target: str) -> dict[str, DataFrame]:
+    """The sheets of a folder by name: those in place, and those of committed appends wherever they are."""
+    path, fs = _file_system(spark, target)
+    at = {n: f"{target}/{n}" for n in _sheet_names(spark, target)}
+    for sheets in _committed(spark, target).values():
+        at |= {n: place for n, place in sheets if fs.exists(path(place))}
+    return {n: spark.read.parquet(place) for n, place in sorted(at.items())}
