@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mensura.fit import grid, odr
 from mensura.fit import spark as fits
-from mensura.functions import matrix, sheetlike, special, units
+from mensura.functions import elimination, matrix, sheetlike, special, units
 from mensura.operators import catalog, cellgraph, selection, sheet, textindex, uncertainty
 from mensura.scratch import shared_dir
 from mensura.sources import files
@@ -712,3 +712,13 @@ def sheet_frequency(spark, sf_dir):
 def sheet_trimmean(spark, sf_dir):
     out = matrix.trimmean(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"], 0.25)
     return out.select("l_returnflag", _r("trimmean", 4).alias("trimmean"))
+
+
+@query("""WITH c AS (SELECT l_suppkey % 5 AS suppliers, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS r, l_linenumber % 3 AS c, avg(l_extendedprice) / 1000 AS v FROM lineitem GROUP BY ALL),
+m AS (SELECT suppliers, max(v) FILTER (r = 0 AND c = 0) AS a, max(v) FILTER (r = 0 AND c = 1) AS b, max(v) FILTER (r = 0 AND c = 2) AS c, max(v) FILTER (r = 1 AND c = 0) AS d, max(v) FILTER (r = 1 AND c = 1) AS e, max(v) FILTER (r = 1 AND c = 2) AS f, max(v) FILTER (r = 2 AND c = 0) AS g, max(v) FILTER (r = 2 AND c = 1) AS h, max(v) FILTER (r = 2 AND c = 2) AS i FROM c GROUP BY suppliers)
+SELECT suppliers, 3::INTEGER AS n, round(a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g), 4) AS determinant FROM m""")
+def matrix_determinant(spark, sf_dir):
+    """For each fifth of the suppliers, the determinant of mean prices by return flag and line."""
+    row = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    means = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("suppliers"), row.alias("row"), (F.col("l_linenumber") % 3).alias("col")).agg((F.avg("l_extendedprice") / 1000).alias("value"))
+    return elimination.mdeterm(means, ["suppliers"]).select("suppliers", "n", _r("determinant", 4).alias("determinant"))

@@ -62,3 +62,29 @@ def test_frequency_and_trimmed_mean(spark):
             assert np.isclose(r.trimmean, own[cut : len(own) - cut].mean())
     with pytest.raises(Exception, match="fraction"):
         matrix.trimmean(df, "v", ["k"], 1.0)
+
+
+def test_determinant_and_inverse(spark):
+    """Matrices of several sizes at once: a hot one, one that needs row swaps, a singular one, a null key, numbers apart by size."""
+    from mensura.functions import elimination
+
+    rng = np.random.default_rng(5)
+    swap = np.roll(np.eye(9), 1, 0) * 2 + np.triu(rng.normal(size=(9, 9)), 4) * 0.1
+    singular = rng.normal(size=(4, 4))
+    singular[2] = 0
+    given = {"hot": rng.normal(size=(21, 21)), "swap": swap, "zero": singular, None: np.array([[4.0]]), "tiny": rng.normal(size=(5, 5)) * np.array([1e-6, 1, 1e6, 1, 1])[:, None]}
+    rows = [(k, int(i), int(j), float(v)) for k, m in given.items() for (i, j), v in np.ndenumerate(m) if v]
+    rows.append(("zero", 2, 3, None))
+    cells = spark.createDataFrame(rows, "k string, row long, col long, value double").repartition(3)
+    dets = {r.k: r.determinant for r in elimination.mdeterm(cells, ["k"], 4).collect()}
+    assert dets.keys() == given.keys() and dets["zero"] == 0
+    for k, m in given.items():
+        assert np.isclose(dets[k], np.linalg.det(m), rtol=1e-9, atol=0 if k != "zero" else 1e-12), k
+    inv = {k: np.full(m.shape, np.nan) for k, m in given.items()}
+    for r in elimination.minverse(cells, ["k"], 4).collect():
+        inv[r.k][r.row, r.col] = r.value
+    assert np.isnan(inv.pop("zero")).all() and all(np.allclose(v @ given[k], np.eye(len(v)), atol=1e-8) for k, v in inv.items())
+    one = cells.where("k = 'hot'").drop("k")
+    assert np.isclose(elimination.mdeterm(one).first().determinant, np.linalg.det(given["hot"])) and elimination.minverse(one).count() == 441
+    none = cells.limit(0)
+    assert elimination.mdeterm(none, ["k"]).count() == 0 and elimination.minverse(none, ["k"]).count() == 0
