@@ -12,12 +12,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mensura.errors import DataError, FormatError
-from mensura.scratch import small
+from mensura.scratch import saved, small
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 VERSION, LARGEST = 1, 100 * 1024 * 1024
@@ -116,27 +116,53 @@ def _lines(spark: SparkSession, path: str, encoding: str, header: bool = False)
     return marked.select(_decoded(F.col("data"), "auto", F.col("_odd").isNotNull()).alias("value"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(data, file, line): the lines of each file as bytes, numbered from 0 in the order of the file.
+
+    Tasks read splits of files. A line's place in its split follows from the order in which the task
+    read it, and splits are counted to tell where each begins. The lines are written once to the
+    shared folder, as a second reading may be split in another way.
+    """
+    raw = spark.read.text(path).select(F.col("value").cast("binary").alias("data"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    rows = saved(raw)
+    splits = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # one row for each split
+    starts = splits.select("file", "block", (F.coalesce(before, F.lit(0).cast("long")) - F.col("first")).alias("shift"))
+    return rows.join(small(starts), ["file", "block"]).select("data", "file", (F.col("at") + F.col("shift")).alias("line"))
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str, skip_rows: int = 0, header: bool = False, encoding: str | None = None, numeric: Sequence[str] = ()) -> DataFrame:
     """Rows of text fields ``c0..cN`` (or header names); the columns in ``numeric`` become doubles.
 
     Fields may be quoted, quotes doubled; blank lines are dropped, short rows padded with nulls to
     the widest. The width is found first, by one pass over the text. With ``header`` the first line
-    of each file, and no other, is one. Without ``encoding`` a file is UTF-8 if all its lines are, else windows-1252. ``skip_rows`` raw lines of each file are passed over, which
-    Spark can only place by reading a file whole in one task, as it does encodings such as UTF-16;
-    otherwise files are split as usual.
+    of each file, and no other, is one. Without ``encoding`` a file is UTF-8 if all its lines are,
+    else windows-1252. ``skip_rows`` raw lines of each file are passed over: lines are numbered by
+    file (``numbered_lines``, which writes them once), so files are split as usual. Only encodings such
+    as UTF-16 make Spark read a file whole in one task.
     """
     if not delimiter:
         raise DataError("a delimiter is needed")
     d, enc = delimiter[0], _encoding(encoding)
     clean = lambda c: F.regexp_replace(F.regexp_replace(c, "^\ufeff", ""), r"\r$", "")
-    if skip_rows or enc not in _BY_LINE:
-        raw = spark.read.text(path, wholetext=True).select(F.col("value").cast("binary").alias("content")) if enc in _BY_LINE else spark.read.format("binaryFile").load(path)
-        whole = raw.select(_decoded(F.col("content"), enc).alias("value"))
+    if enc not in _BY_LINE:
+        whole = spark.read.format("binaryFile").load(path).select(_decoded(F.col("content"), enc).alias("value"))
         every = F.split("value", r"\r?\n")
         rest = F.filter(F.slice(every, skip_rows + 1, F.greatest(F.lit(0), F.size(every) - skip_rows)), lambda x: F.trim(clean(x)) != "")
         files_ = whole.select(rest.alias("v"))
         heads = files_.select(F.get("v", F.lit(0)).alias("value")) if header else None
         lines = files_.select(F.explode(F.slice("v", 2, F.greatest(F.lit(0), F.size("v") - 1)) if header else "v").alias("value"))
+    elif skip_rows:
+        rows = numbered_lines(spark, path)
+        odd = rows.where(~F.is_valid_utf8(F.col("data").cast("string"))).select(F.col("file").alias("_odd")).distinct() if enc == "auto" else None
+        marked = rows if odd is None else rows.join(small(odd), F.col("file") == F.col("_odd"), "left")
+        text = _decoded(F.col("data"), enc, None if odd is None else F.col("_odd").isNotNull())
+        lines = marked.where(F.col("line") >= skip_rows).select("file", "line", text.alias("value")).where(F.trim(clean("value")) != "")
+        if header:
+            tops = lines.groupBy("file").agg(F.min("line").alias("_top"))
+            lines = lines.join(small(tops), "file")
+            heads, lines = lines.where(F.col("line") == F.col("_top")).select("value"), lines.where(F.col("line") > F.col("_top"))
+        lines = lines.select("value")
     else:
         lines = _lines(spark, path, enc, header)
         heads = _lines(spark, path, enc) if header else None

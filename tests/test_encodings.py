@@ -34,3 +34,23 @@ def test_each_file_by_itself(spark, tmp_path):
 def test_invalid_bytes_of_named_utf8(spark, tmp_path):
     (tmp_path / "c.csv").write_bytes(b"\xff,1\n")
     assert _read(spark, tmp_path / "c.csv", encoding="utf-8") == [("�", "1")]
+
+
+def test_skipped_lines_of_split_files(spark, tmp_path):
+    """Lines are numbered over splits of a file: fewer skipped than the first split holds, and more; each file by itself."""
+    for name, enc in (("a", "utf-8"), ("b", "cp1252")):
+        (tmp_path / f"{name}.csv").write_bytes("".join("\r\n" if i % 50 == 7 else f"{name}é,{i}\r\n" for i in range(2000)).encode(enc))
+    (tmp_path / "c.csv").write_bytes(b"only\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        numbered = files.numbered_lines(spark, str(tmp_path / "a.csv"))
+        assert sorted((r.line, bytes(r.data)) for r in numbered.collect()) == list(enumerate((tmp_path / "a.csv").read_bytes().split(b"\r\n")[:-1]))
+        for skip in (1, 8, 1500, 1999, 3000):
+            want = [(f"{n}é", str(i)) for n in "ab" for i in range(skip, 2000) if i % 50 != 7]
+            assert _read(spark, tmp_path, skip_rows=skip) == sorted(want), skip
+        got = files.read_csv(spark, str(tmp_path), skip_rows=1507, header=True)
+        assert sorted(tuple(r) for r in got.collect()) == sorted((f"{n}é", str(i)) for n in "ab" for i in range(1509, 2000) if i % 50 != 7)
+        assert got.columns[1] == "1508" and "binaryFile" not in got._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
