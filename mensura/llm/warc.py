@@ -257,23 +257,48 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     return from_lines.unionByName(plain.select("path", small.alias("content")).mapInArrow(lambda batches: _parsed(batches, True, payloads), RECORD))
 
 
+_ROLES = {"response": "answer", "revisit": "answer", "resource": "answer", "request": "request", "metadata": "metadata"}
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    """``found`` with the capture and the role of each record, and an order in which only copies are equal."""
+    sorted_ = lambda c: F.array_sort(F.map_entries(c))
+    content = F.xxhash64("kind", "record_id", "concurrent_to", "uri", "payload_bytes", "payload_digest", sorted_("headers"), sorted_("fields"))
+    role = F.element_at(F.create_map(*(F.lit(x) for kv in _ROLES.items() for x in kv)), F.coalesce("kind", F.lit("")))
+    named = found.withColumns({"_role": F.coalesce(role, F.lit("other")), "_order": F.struct(F.col("record_id").alias("id"), content.alias("content"))})
+    return named.withColumn("_capture", F.coalesce("concurrent_to", "record_id", F.concat(F.lit("unnamed:"), F.hex("_order.content"))))
+
+
 def captures(found: DataFrame) -> DataFrame:
-    """One nested row for each capture: answer (response, revisit or resource), request, metadata.
+    """One nested row for each capture: answer (response, revisit or resource), request, metadata, records, conflicting.
 
     Records name the capture by WARC-Concurrent-To, the answer is its own centre; all meet in one
-    aggregation by that identifier. Records that no answer goes with give a row with a null answer.
+    aggregation by that identifier. Records that no answer goes with give a row with a null answer,
+    and those without any identifier are captures of their own. ``records`` counts the rows of each
+    role: more than one are copies (archives read twice) or, if ``conflicting``, records that differ,
+    of which the greatest identifier is shown here and every other by ``others``.
     """
-    key = F.coalesce("concurrent_to", "record_id")
     whole = F.struct(*[c for c in found.columns if c != "concurrent_to"])
+    is_ = lambda role: F.col("_role") == role
+    roles = ("answer", "request", "metadata")
+    one = [F.max_by(F.when(is_(r), F.col("_whole")), F.when(is_(r), F.col("_order"))).alias(r) for r in roles]
+    count = F.struct(*(F.count_if(is_(r)).alias(r) for r in roles)).alias("records")
+    ends = [F.coalesce(F.max(F.when(is_(r), F.col("_order"))) != F.min(F.when(is_(r), F.col("_order"))), F.lit(False)) for r in roles]
+    rows = _placed(found).select("_capture", "_role", "_order", whole.alias("_whole")).where("_role <> 'other'")
+    return rows.groupBy(F.col("_capture").alias("capture")).agg(*one, count, (ends[0] | ends[1] | ends[2]).alias("conflicting"))
 
-    def one(*kinds):
-        return F.max_by(F.when(F.col("kind").isin(*kinds), whole), F.when(F.col("kind").isin(*kinds), F.col("record_id")))
 
-    return (
-        found.withColumn("capture", key)
-        .groupBy("capture")
-        .agg(one("response", "revisit", "resource").alias("answer"), one("request").alias("request"), one("metadata").alias("metadata"))
-    )
+def others(found: DataFrame) -> DataFrame:
+    """The records that ``captures`` does not show, but for copies of those it shows, with their capture: rows of ``found`` as they are.
+
+    These are records that differ from the shown one of their capture and role, and those of kinds
+    (such as warcinfo) that belong to no capture. Nothing is there unless identifiers repeat.
+    """
+    rows = _placed(found)
+    shown = rows.where("_role <> 'other'").groupBy("_capture", "_role").agg(F.max("_order").alias("_top"), F.min("_order").alias("_least")).where("_top <> _least")
+    left = rows.where("_role <> 'other'").join(shown, ["_capture", "_role"]).where(F.col("_order") != F.col("_top"))
+    columns = [F.col("_capture").alias("capture"), *(F.col(f"`{c}`") for c in found.columns)]
+    return left.select(*columns).unionByName(rows.where("_role = 'other'").select(*columns))
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:

@@ -205,3 +205,30 @@ def test_pipeline_repeated_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
     for order in (docs, docs.orderBy("text"), docs.orderBy("doc_id", ascending=False)):
         assert sorted((r.doc_id, r.text) for r in pipe.near_duplicate_filter(spark, order, SF).collect()) == [(0, d), (1, a), (1, b), (1, c)]
+
+
+def test_captures_of_repeated_records(spark, tmp_path):
+    """Archives read twice, records that differ under one identifier, records without one: none is lost without a word."""
+    pages = spark.createDataFrame([(1, "u", "<p>" + "a" * 200), (2, "v", "b")], "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write_warc(pages, path)
+    found = warc.read_warc(spark, path)
+    twice = found.unionByName(found).repartition(3)
+    caps = warc.captures(twice).collect()
+    assert len(caps) == 2 and all(tuple(c.records) == (2, 2, 2) and not c.conflicting and c.answer and c.request and c.metadata for c in caps)
+    assert warc.others(twice).count() == 0 and {bytes(c.answer.payload) for c in caps} == {b"<p>" + b"a" * 200, b"b"}
+
+    def made(kind, id_, to, digest):
+        return (kind, id_, to, "x", {"a": digest}, {}, 1, digest, None)
+
+    rows = [made("response", "r", None, "1"), made("response", "r", None, "2"), made("response", "r", None, "2"), made("metadata", "m1", "r", "3"), made("metadata", "m2", "r", "4")]
+    rows += [made("response", None, None, "5"), made("response", None, None, "6"), made("request", "q", "gone", "7"), made("warcinfo", "i", None, "8"), made(None, None, None, "9")]
+    mixed = spark.createDataFrame(rows, warc.RECORD).repartition(2)
+    got = warc.captures(mixed).collect()
+    shown = [x.payload_digest for c in got for x in (c.answer, c.request, c.metadata) if x]
+    rest = [r.payload_digest for r in warc.others(mixed).collect()]
+    assert len(got) == 4 and set(shown) | set(rest) == set("123456789") and not set(shown) & set(rest)
+    r = next(c for c in got if c.capture == "r")
+    assert r.conflicting and tuple(r.records) == (3, 0, 2) and r.metadata.record_id == "m2"
+    assert sum(c.conflicting for c in got) == 1 and next(c for c in got if c.capture == "gone").answer is None
+    assert warc.captures(mixed.limit(0)).count() == 0 and warc.others(mixed.limit(0)).count() == 0
