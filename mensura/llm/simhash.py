@@ -14,14 +14,15 @@ from pyspark.sql import types as T
 from mensura.llm.common import LOWER_BYTES, join_classes, map_batches, saved, table, utf8_bytes
 from mensura.llm.components import connected_components
 
-#: Differing bits up to which fingerprints link. The band scheme below is exact for 2.
+#: Differing bits up to which fingerprints link. The keys below are exact for 2.
 RADIUS = 2
 #: Words in a shingle, and the hash seed.
 SHINGLE, SEED = 3, 42
-#: Structured pivots: the fingerprint 0 and the 64 of one set bit; bits fall into sections for the join keys.
-PIVOTS, SECTIONS = [1 << j for j in range(64)], 5
-#: Further reference fingerprints, from a rule.
-REFERENCES = [xxhash.xxh64_intdigest(str(k), seed=7) for k in range(16)]
+#: Runs of neighbouring bits; the flips between linked fingerprints leave all but RADIUS of them alone.
+SECTIONS = [sum(1 << j for j in range(64 * k // 5, 64 * (k + 1) // 5)) for k in range(5)]
+#: Reference fingerprints, from a rule: in each family one and, for each section, the same with that section inverted.
+FAMILIES = [[r, *(r ^ s for s in SECTIONS)] for r in (xxhash.xxh64_intdigest(str(k), seed=7) for k in range(8))]
+REFERENCES = [r for family in FAMILIES for r in family]
 #: A bucket of more fingerprints than this is linked by shared neighbours instead of pairs.
 BUCKET = 32
 
@@ -64,19 +65,24 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def pivot_codes(fp: Column, pivots: Sequence[int] = PIVOTS, sections: int = SECTIONS) -> list[Column]:
-    """Coordinates of the table of distances to the pivots, packed to one code for each section.
+def distance_table(fp: Column, references: Sequence[int] = REFERENCES) -> list[Column]:
+    """The row of the pivot table: the Hamming distance of a fingerprint to every reference."""
+    return [_distance(fp, F.lit(_signed(r))) for r in references]
 
-    d(x, p_j) - d(x, 0) is 1 or -1 for a pivot of one set bit, and changes for one j alone with
-    each bit of x that flips.
+
+def section_codes(distances: Sequence[Column], families: int = len(FAMILIES)) -> list[Column]:
+    """For each section one code, from the distances alone, that changes only if bits of the section do.
+
+    Distances to a reference and to the same with a section inverted differ by the section's size
+    less twice the distance within the section, whatever the other bits are. The code is these
+    differences of all families, which tell most contents of a section apart.
     """
-    origin = F.bit_count(fp)
-    cuts = [len(pivots) * k // sections for k in range(sections + 1)]
+    step = len(SECTIONS) + 1
     codes = []
-    for a, b in zip(cuts, cuts[1:]):
+    for s in range(1, step):
         code = F.lit(0).cast("long")
-        for p in pivots[a:b]:
-            code = code * 2 + ((_distance(fp, F.lit(_signed(p))) - origin + 1) / 2).cast("int")
+        for f in range(families):
+            code = code * 32 + (distances[f * step] - distances[f * step + s] + 16)
         codes.append(code)
     return codes
 
@@ -84,19 +90,12 @@ def pivot_codes(fp: Column, pivots: Sequence[int] = PIVOTS, sections: int = SECT
 def pivot_bands(codes: Sequence[Column], radius: int = RADIUS) -> Column:
     """Join keys: array of (band, key), one for each choice of all sections but ``radius``.
 
-    Fingerprints within ``radius`` bits differ in that many sections at most, so they agree in one
-    choice of the others. With 64 bits in 5 sections a key of 3 has 38 or 39 bits: few of 10^9
-    fingerprints share one by chance.
+    Fingerprints within ``radius`` bits differ in that many sections at most, so their codes agree
+    in one choice of the others. A key is a hash of the chosen codes: fingerprints that share one
+    by chance are candidates that the table of distances discards.
     """
-    keep = len(codes) - radius
-    wide = -(-64 // len(codes))
-    bands = []
-    for k, own in enumerate(combinations(codes, keep)):
-        key = own[0]
-        for c in own[1:]:
-            key = key * (1 << wide) + c
-        bands.append(F.struct(F.lit(k).alias("band"), key.alias("key")))
-    return F.array(*bands)
+    keys = (F.xxhash64(*own) for own in combinations(codes, len(codes) - radius))
+    return F.array(*(F.struct(F.lit(k).alias("band"), key.alias("key")) for k, key in enumerate(keys)))
 
 
 def _survivors(members: Column, references: Sequence[int] = REFERENCES) -> Column:
@@ -127,12 +126,14 @@ def near_edges(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     two bits just if some fingerprint is within one bit of both, so each emits itself and its 64
     one-bit neighbours, and those that meet at a neighbour (65 at most) are chained to the smallest.
     """
-    codes = [F.col(f"c{k}") for k in range(SECTIONS)]
-    coded = prints.select("fp", *(c.alias(f"c{k}") for k, c in enumerate(pivot_codes(F.col("fp")))))
+    measured = prints.select("fp", *(d.alias(f"d{k}") for k, d in enumerate(distance_table(F.col("fp")))))
+    distances = [F.col(f"d{k}") for k in range(len(REFERENCES))]
+    coded = measured.select("fp", *(c.alias(f"c{k}") for k, c in enumerate(section_codes(distances))))
+    codes = [F.col(f"c{k}") for k in range(len(SECTIONS))]
     keyed = saved(coded.select("fp", F.explode(pivot_bands(codes)).alias("b")).select("fp", "b.band", "b.key"))
     sizes = saved(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")).withColumn("members", F.col("n"))
     shared = saved(join_classes(keyed, sizes, ["band", "key"], "members", keyed.count()))
-    table_ = F.array(*(_distance(F.col("fp"), F.lit(_signed(r))).cast("byte") for r in REFERENCES))
+    table_ = F.array(*(d.cast("byte") for d in distance_table(F.col("fp"))))
     small = (
         shared.where(F.col("n") <= bucket)
         .groupBy("band", "key")

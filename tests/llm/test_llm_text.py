@@ -284,3 +284,35 @@ def test_prefix_tables_answer_budgets(spark, docs):
             assert r.budget_chars == max(k for k in range(len(t) + 1) if len(sp.encode(t[:k])) <= limit)
     for k in (0, 3, 40, 10_000):
         assert all(r.n_at == len(sp.encode((TEXTS[r.doc_id] or "")[:k])) for r in tokencount.count_at(counted, k).collect())
+
+
+def test_simhash_codes_follow_distances(spark):
+    """A section's code comes from distances to the references alone, and stays when other sections change."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for x in (int(v) for v in rng.integers(0, 1 << 63, 30)):
+        for k, mask in enumerate(simhash.SECTIONS):
+            rows.append((simhash._signed(x), simhash._signed(x ^ (int(rng.integers(0, 1 << 63)) & ~mask)), k))
+    df = spark.createDataFrame(rows, "x long, y long, k int")
+    table = simhash.distance_table(F.col("x"))
+    want = [(rows[0][0] % (1 << 64) ^ r).bit_count() for r in simhash.REFERENCES]
+    assert df.select(F.array(*table)).first()[0] == want
+    codes = lambda c: F.array(*simhash.section_codes(simhash.distance_table(F.col(c))))
+    assert df.where(F.get(codes("x"), "k") != F.get(codes("y"), "k")).count() == 0
+    contents = [len({tuple((v << (m & -m).bit_length() - 1 ^ f[0] & m).bit_count() for f in simhash.FAMILIES) for v in range(1 << m.bit_count())}) for m in simhash.SECTIONS]
+    assert min(contents) > 3000  # most of the 2^12 or 2^13 contents of a section have a code of their own
+
+
+def test_simhash_whole_table(spark):
+    """Components at sf0.1 against all pairs, block by block."""
+    got = simhash.near_duplicates(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).toPandas()
+    prints = np.unique(got.fp.to_numpy().view(np.uint64))
+    root = np.arange(len(prints))
+    for at in range(0, len(prints), 500):
+        near = np.argwhere(np.bitwise_count(prints[at : at + 500, None] ^ prints[None, :]) <= simhash.RADIUS)
+        for a, b in near[near[:, 0] + at < near[:, 1]]:
+            low, high = sorted((root[a + at], root[b]))
+            root[root == high] = low
+    component = root[np.searchsorted(prints, got.fp.to_numpy().view(np.uint64))]
+    least = got.groupby(component).doc_id.min()
+    assert (least.loc[component].to_numpy() == got.component_id.to_numpy()).all() and len(least) < len(prints)
