@@ -187,13 +187,8 @@ def decimals(bound: Column) -> Column:
 def format_uncertain(value: Column, upper: Column, lower: Column | None = None) -> Column:
     """``v ± u``, or ``v +u/-l``, with as many decimals as the larger bound calls for."""
     d = decimals(upper if lower is None else F.greatest(upper, lower))
-    # the number of decimals varies by row: one format for each count, chosen by it
-    def fixed(x):
-        out = F.format_string("%.0f", F.round(x, 0))
-        for k in range(1, 16):
-            out = F.when(d == k, F.format_string(f"%.{k}f", x)).otherwise(out)
-        return out
-
+    pattern = F.concat(F.lit("%."), d.cast("string"), F.lit("f"))
+    fixed = lambda x: F.call_function("format_string", pattern, x.cast("double"))
     if lower is None:
         return F.concat(fixed(value), F.lit(" ± "), fixed(upper))
     return F.concat(fixed(value), F.lit(" +"), fixed(upper), F.lit("/-"), fixed(lower))

@@ -67,10 +67,15 @@ def rescale_confidence(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", _r(uncertainty.rescale(F.col("p_retailprice") * 0.01, 95, 99)).alias("sigma99"))
 
 
-@query("""SELECT * FROM (VALUES (50.0::DOUBLE, 0.67449::DOUBLE, 50.0::DOUBLE), (68.0, 0.994458, 68.0), (95.0, 1.959964, 95.0), (99.0, 2.575829, 99.0), (99.9, 3.290527, 99.9)) t(percent, z, back)""")
+@query("""SELECT percent, z, percent AS back, count(*) AS n FROM (SELECT c_custkey % 5 AS k FROM customer) JOIN (VALUES (0, 50.0::DOUBLE, 0.67449::DOUBLE), (1, 68.0, 0.994458), (2, 95.0, 1.959964), (3, 99.0, 2.575829), (4, 99.9, 3.290527)) t(k, percent, z) USING (k) GROUP BY percent, z""")
 def confidence_table(spark, sf_dir):
-    rows = [(p, round(uncertainty.z_of(p), 6), round(uncertainty.percent_of(uncertainty.z_of(p)), 6)) for p in (50.0, 68.0, 95.0, 99.0, 99.9)]
-    return spark.createDataFrame(rows, "percent double, z double, back double")
+    """Coverage factors of the confidence levels that occur, and the levels that follow from them."""
+    levels = (50.0, 68.0, 95.0, 99.0, 99.9)
+    percent = F.element_at(F.array(*map(F.lit, levels)), (F.col("c_custkey") % 5 + 1).cast("int"))
+    found = table(spark, sf_dir, "customer").groupBy(percent.alias("percent")).agg(F.count("*").alias("n"))
+    z = F.create_map(*(F.lit(x) for p in levels for x in (p, uncertainty.z_of(p))))
+    back = F.create_map(*(F.lit(x) for p in levels for x in (p, uncertainty.percent_of(uncertainty.z_of(p)))))
+    return found.select("percent", _r(z[F.col("percent")]).alias("z"), _r(back[F.col("percent")]).alias("back"), "n")
 
 
 @query("""SELECT p_partkey, p_retailprice AS nominal, p_size::DOUBLE AS upper, CASE WHEN p_partkey % 3 = 1 THEN 2.5::DOUBLE END AS lower, CASE WHEN p_partkey % 3 = 2 THEN 'relative' ELSE 'absolute' END AS upper_type FROM part""")
@@ -113,9 +118,20 @@ def unit_lookup_join(spark, sf_dir):
     return out.select("event_id", "source_unit", "target_unit", _r("converted").alias("converted"))
 
 
-@query("""SELECT * FROM (VALUES ('N', '[M·L·T^-2]', 'force'), ('J', '[M·L^2·T^-2]', 'energy'), ('Ω', '[M·L^2·T^-3·I^-2]', 'resistance'), ('rad', '[dimensionless]', 'angle'), ('°C', '[Θ]', 'temperature'), ('kPa', '[M·L^-1·T^-2]', 'pressure')) t(symbol, formula, category)""")
+@query("""SELECT event_id, symbol, formula, category FROM (SELECT event_id, event_id % 6 AS k FROM events) JOIN (VALUES (0, 'N', '[M·L·T^-2]', 'force'), (1, 'J', '[M·L^2·T^-2]', 'energy'), (2, 'Ω', '[M·L^2·T^-3·I^-2]', 'resistance'), (3, 'rad', '[dimensionless]', 'angle'), (4, '°C', '[Θ]', 'temperature'), (5, 'kPa', '[M·L^-1·T^-2]', 'pressure')) t(k, symbol, formula, category) USING (k)""")
 def dimension_formula(spark, sf_dir):
-    return units.unit_table(spark).where(F.col("symbol").isin("N", "J", "Ω", "rad", "°C", "kPa")).select("symbol", "formula", "category")
+    """The dimension of each event's unit: the unit table, of a few hundred rows, goes by broadcast."""
+    symbol = F.element_at(F.array(*map(F.lit, ("N", "J", "Ω", "rad", "°C", "kPa"))), (F.col("event_id") % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", symbol.alias("symbol"))
+    return rows.join(F.broadcast(units.unit_table(spark)), "symbol", "left").select("event_id", "symbol", "formula", "category")
+
+
+@query(r"""SELECT event_id, CASE WHEN x = 0 THEN '0' WHEN abs(x) >= 1e6 OR abs(x) < 1e-6 THEN printf('%.6e', x) WHEN abs(x) >= 1 THEN regexp_replace(printf('%.6f', x), '\.?0+$', '') ELSE regexp_replace(printf('%.8f', x), '\.?0+$', '') END AS "text"
+FROM (SELECT event_id, round(value, 2) * [1.0, 0.00001, 1000000.0, 0.000000001][event_id % 4 + 1]::DOUBLE AS x FROM events)""")
+def unit_text(spark, sf_dir):
+    """Converted values as the text that is shown: plain or with an exponent by size."""
+    scale = F.element_at(F.array(*map(F.lit, (1.0, 1e-5, 1e6, 1e-9))), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", units.format_column(F.round("value", 2) * scale).alias("text"))
 
 
 # ---------------------------------------------------------------- catalog
@@ -261,52 +277,52 @@ def catalog_delete(spark, sf_dir):
 # ---------------------------------------------------------------- files
 
 
-def _nation(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit(', "x"')).alias("n_name"), "n_regionkey")
+def _quoted(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit(', "x"')).alias("o_orderpriority"), "o_custkey")
 
 
-@query("""SELECT n_nationkey::DOUBLE AS c0, n_name || ', "x"' AS c1, n_regionkey::DOUBLE AS c2 FROM nation""")
+@query("""SELECT o_orderkey::DOUBLE AS c0, o_orderpriority || ', "x"' AS c1, o_custkey::DOUBLE AS c2 FROM orders""")
 def text_export_roundtrip(spark, sf_dir):
     path = shared_dir(spark)
-    files.write(_nation(spark, sf_dir), "csv", path)
+    files.write(_quoted(spark, sf_dir), "csv", path)
     return files.read(spark, "csv", path, numeric=["c0", "c2"])
 
 
-@query("""SELECT n_nationkey::VARCHAR AS c0, n_name AS c1 FROM nation""")
+@query("""SELECT o_orderkey::VARCHAR AS c0, o_orderpriority AS c1 FROM orders""")
 def text_import(spark, sf_dir):
     path = shared_dir(spark)
-    files.write(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "txt", path, delimiter="|")
+    files.write(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "txt", path, delimiter="|")
     return files.read(spark, "txt", path, delimiter="|")
 
 
-@query("""SELECT count(*) AS rows, 4::BIGINT AS columns FROM nation""")
+@query("""SELECT count(*) AS rows, 4::BIGINT AS columns FROM orders""")
 def file_metadata(spark, sf_dir):
     path = shared_dir(spark)
-    files.write(_nation(spark, sf_dir), "csv", path)
+    files.write(_quoted(spark, sf_dir), "csv", path)
     m = files.metadata(spark, path, ",")
     return spark.createDataFrame([(m["rows"], m["columns"])], "rows long, columns long")
 
 
-@query("""SELECT r_regionkey::VARCHAR AS column_1, r_name AS column_2 FROM region""")
+@query("""SELECT o_orderkey::VARCHAR AS column_1, o_orderpriority AS column_2 FROM orders""")
 def parquet_as_text(spark, sf_dir):
     path = shared_dir(spark)
-    files.write(table(spark, sf_dir, "region"), "parquet", path, as_text=True)
+    files.write(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "parquet", path, as_text=True)
     return files.read(spark, "parquet", path)
 
 
-@query("""SELECT '<tr><td>' || n_nationkey || '</td><td>' || n_name || ', &quot;x&quot;' || '</td><td>' || n_regionkey || '</td></tr>' AS line FROM nation""")
+@query("""SELECT '<tr><td>' || o_orderkey || '</td><td>' || o_orderpriority || ', &quot;x&quot;' || '</td><td>' || o_custkey || '</td></tr>' AS line FROM orders""")
 def html_rows(spark, sf_dir):
-    return files.html_rows(_nation(spark, sf_dir))
+    return files.html_rows(_quoted(spark, sf_dir))
 
 
-@query(r"""SELECT '| ' || n_nationkey || ' | ' || n_name || '\|z |' AS line FROM nation""")
+@query(r"""SELECT '| ' || o_orderkey || ' | ' || o_orderpriority || '\|z |' AS line FROM orders""")
 def markdown_rows(spark, sf_dir):
-    return files.markdown_rows(table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit("|z")).alias("n")))
+    return files.markdown_rows(table(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit("|z")).alias("n")))
 
 
-@query(r"""SELECT n_nationkey || ' & ' || replace(n_name, '_', '\_') || '\_100\%\textbackslash{} \\' AS line FROM nation""")
+@query(r"""SELECT o_orderkey || ' & ' || replace(o_orderpriority, '_', '\_') || '\_100\%\textbackslash{} \\' AS line FROM orders""")
 def latex_rows(spark, sf_dir):
-    return files.latex_rows(table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit("_100%\\")).alias("n")))
+    return files.latex_rows(table(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit("_100%\\")).alias("n")))
 
 
 @query("""SELECT event_id::DOUBLE AS event_id, epoch_us(ts)::DOUBLE AS ts, value, event_type FROM events""")
@@ -318,25 +334,27 @@ def sheet_values(spark, sf_dir):
 
 
 def _cells(spark, sf_dir):
-    return sheet.to_cells(table(spark, sf_dir, "nation"), ["n_nationkey"], ["n_nationkey", "n_name", "n_regionkey"])
+    return sheet.to_cells(table(spark, sf_dir, "orders"), ["o_orderkey"], ["o_orderkey", "o_orderpriority", "o_custkey"])
 
 
-_CELLS_SQL = """(SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INTEGER AS r, unnest([0, 1, 2])::INTEGER AS c, unnest([n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR]) AS v FROM nation)"""
+_CELLS_SQL = """(SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::INTEGER AS r, unnest([0, 1, 2])::INTEGER AS c, unnest([o_orderkey::VARCHAR, o_orderpriority, o_custkey::VARCHAR]) AS v FROM orders)"""
 
 
-@query(f"""SELECT r AS "row", c AS col, v AS value FROM {_CELLS_SQL} WHERE r BETWEEN 1 AND 4 AND c BETWEEN 0 AND 1""")
+@query(f"""SELECT r AS "row", c AS col, v AS value FROM {_CELLS_SQL} WHERE r BETWEEN 1 AND 9998 AND c BETWEEN 0 AND 1""")
 def range_read(spark, sf_dir):
-    return sheet.read_range(_cells(spark, sf_dir), "A2:B5")
+    return sheet.read_range(_cells(spark, sf_dir), "A2:B9999")
 
 
-@query(f"""SELECT r AS "row", c AS col, v AS value FROM {_CELLS_SQL} WHERE r < 3 AND c < 2""")
+@query(f"""SELECT r AS "row", c AS col, v AS value FROM {_CELLS_SQL} WHERE r < 9990 AND c < 2""")
 def truncate_range(spark, sf_dir):
-    return sheet.truncate(_cells(spark, sf_dir), "D10:E12")
+    return sheet.truncate(_cells(spark, sf_dir), "D10:E9999")
 
 
-@query(f"""SELECT (r - 2)::INTEGER AS "row", c AS col, CASE WHEN r BETWEEN 2 AND 10 THEN v END AS value FROM {_CELLS_SQL} WHERE r BETWEEN 2 AND 10""")
+@query(f"""SELECT (r - 2)::INTEGER AS "row", c AS col, CASE WHEN r % 5 < 4 THEN v END AS value FROM {_CELLS_SQL} WHERE r >= 2 AND r <= (SELECT max(r) FROM {_CELLS_SQL} WHERE r % 5 < 4)""")
 def clean_bounding_box(spark, sf_dir):
-    return sheet.clean_bounding_box(_cells(spark, sf_dir).withColumn("value", F.when(F.col("row").between(2, 10), F.col("value"))))
+    """Two empty rows before the first filled one go, every fifth inside stays empty."""
+    filled = (F.col("row") >= 2) & (F.col("row") % 5 < 4)
+    return sheet.clean_bounding_box(_cells(spark, sf_dir).withColumn("value", F.when(filled, F.col("value"))))
 
 
 @query(f"""SELECT r AS "row", list(CASE WHEN (r + c) % 2 = 0 THEN v END ORDER BY c) AS "values" FROM {_CELLS_SQL} GROUP BY r""")
@@ -722,3 +740,123 @@ def matrix_determinant(spark, sf_dir):
     row = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     means = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("suppliers"), row.alias("row"), (F.col("l_linenumber") % 3).alias("col")).agg((F.avg("l_extendedprice") / 1000).alias("value"))
     return elimination.mdeterm(means, ["suppliers"]).select("suppliers", "n", _r("determinant", 4).alias("determinant"))
+
+
+# ---------------------------------------------------------------- changes of the library, uncertain cells
+
+
+def _rows_to_insert(spark, sf_dir):
+    """Customers as rows of the library; by their key some lack what a row needs."""
+    k = F.col("c_custkey") % 7
+    return table(spark, sf_dir, "customer").select(
+        F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.concat(F.lit("s"), (F.col("c_custkey") % 5 + 1).cast("string"))).otherwise(F.concat(F.lit("c"), F.col("c_custkey").cast("string"))).alias("id"),
+        F.when(k == 2, " ").otherwise(F.col("c_name")).alias("name"),
+        F.when(k != 3, F.array("c_acctbal")).alias("data"),
+        F.when(k == 4, F.array(F.lit(0.1), F.lit(0.2))).when(k == 5, F.array(F.lit(0.1))).alias("uncertainties"),
+    )
+
+
+def _suppliers_listed(spark, sf_dir):
+    none = F.lit(None).cast("array<double>")
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.array("s_acctbal").alias("data"), none.alias("uncertainties"))
+
+
+@query("""SELECT 's' || s_suppkey AS id, s_name AS name, NULL::VARCHAR AS error FROM supplier UNION ALL SELECT CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 's' || (c_custkey % 5 + 1) ELSE 'c' || c_custkey END, CASE WHEN c_custkey % 7 = 2 THEN ' ' ELSE c_name END,
+CASE c_custkey % 7 WHEN 0 THEN 'missing id' WHEN 1 THEN 'id exists' WHEN 2 THEN 'missing name' WHEN 3 THEN 'missing data' WHEN 4 THEN 'uncertainties differ in length' END FROM customer""")
+def catalog_insert(spark, sf_dir):
+    """Customers inserted beside the suppliers: what is valid stays, the rest comes back with its error."""
+    kept, rejected = catalog.insert(_suppliers_listed(spark, sf_dir), _rows_to_insert(spark, sf_dir))
+    return kept.select("id", "name", F.lit(None).cast("string").alias("error")).unionByName(rejected.select("id", "name", "error"))
+
+
+@query("""SELECT c_custkey, c_name, CASE WHEN c_custkey % 6 = 3 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 6 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer""")
+def catalog_update(spark, sf_dir):
+    """Partial changes of every third customer: fields that a change leaves null stay."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    even = F.col("c_custkey") % 2 == 0
+    changes = c.where("c_custkey % 3 = 0").select("c_custkey", F.when(~even, F.col("c_acctbal") + 1).alias("c_acctbal"), F.when(even, "MOVED").alias("c_mktsegment"))
+    return catalog.update(c, changes, "c_custkey")
+
+
+@query("""SELECT 's' || s_suppkey AS id, s_name AS name, s_suppkey IN (1, 3) AS is_pinned FROM supplier UNION ALL SELECT 'copy', s_name || ' (copy)', FALSE FROM supplier WHERE s_suppkey = 3""")
+def catalog_pin_duplicate(spark, sf_dir):
+    """Two suppliers pinned, one of them duplicated: the copy is not pinned."""
+    listed = _suppliers_listed(spark, sf_dir).withColumn("is_pinned", F.lit(False))
+    return catalog.duplicate(catalog.pin(listed, ["s1", "s3"]), "s3", "copy").select("id", "name", "is_pinned")
+
+
+def _sequences(spark, sf_dir):
+    """Users' values as sequences, with uncertainties for odd users, and an empty sequence for each customer."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("idx"), "value", F.when(F.col("user_id") % 2 == 1, F.abs("value") * 0.5).alias("sigma"))
+    none = F.array().cast("array<double>")
+    empty = table(spark, sf_dir, "customer").select(F.concat(F.lit("e"), F.col("c_custkey").cast("string")).alias("id"), none.alias("data"), none.alias("uncertainties"))
+    return catalog.to_wide(rows).unionByName(empty)
+
+
+@query("""SELECT user_id::VARCHAR AS id, count(*) AS "count", round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std_dev, min(value) AS min, max(value) AS max, round(median(value), 6) AS median, user_id % 2 = 1 AS has_uncertainties FROM events GROUP BY user_id
+UNION ALL SELECT 'e' || c_custkey, 0, 0, 0, 0, 0, 0, FALSE FROM customer""")
+def sequence_catalog_stats(spark, sf_dir):
+    """Statistics by row of the library; an empty sequence has zeros."""
+    out = catalog.sequence_statistics(_sequences(spark, sf_dir))
+    return out.select("id", F.col("count").cast("long").alias("count"), _r("mean").alias("mean"), _r("std_dev").alias("std_dev"), "min", "max", _r("median").alias("median"), "has_uncertainties")
+
+
+@query("""SELECT user_id::VARCHAR AS id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS idx, value, CASE WHEN user_id % 2 = 1 THEN abs(value) * 0.5 END AS sigma FROM events""")
+def sequence_points(spark, sf_dir):
+    """Sequences as points, each value beside its uncertainty; sequences whose lengths differ would raise."""
+    return catalog.zip_strict(_sequences(spark, sf_dir))
+
+
+@query("""SELECT count(*) FILTER (event_id % 10 = 2) AS v_null, count(*) FILTER (event_id % 10 < 2) AS v_nonfinite, count(*) FILTER (value IS NULL) AS value_null, 0::BIGINT AS value_nonfinite FROM events""")
+def finite_report(spark, sf_dir):
+    k = F.col("event_id") % 10
+    v = F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k > 2, F.lit(1.0))
+    return uncertainty.finite_report(table(spark, sf_dir, "events").select("value", v.alias("v")), ["v", "value"])
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN abs(p_retailprice) * p_size * 0.01 ELSE p_size END::DOUBLE AS bound, p_partkey || ' ± ' || p_size AS edited, printf(f, p_partkey::DOUBLE) || ' ± ' || printf(f, u) AS shown, printf(f, p_partkey::DOUBLE) || ' +' || printf(f, u) || '/-' || printf(f, u / 4) AS sides
+FROM (SELECT *, '%.' || (CASE WHEN u / power(10.0, floor(log10(u))) < 2.95 THEN 1 ELSE 0 END - floor(log10(u)))::INTEGER || 'f' AS f FROM (SELECT *, p_size * 0.0137 AS u FROM part))""")
+def uncertain_text(spark, sf_dir):
+    """Bounds in percent made absolute, and the texts of uncertain values as shown and as edited."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    upper = size * 0.0137
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        uncertainty.absolute(F.col("p_retailprice"), size.cast("double"), F.when(key % 2 == 0, "relative").otherwise("absolute")).alias("bound"),
+        uncertainty.edit_text(key, size).alias("edited"),
+        uncertainty.format_uncertain(key.cast("double"), upper).alias("shown"),
+        uncertainty.format_uncertain(key.cast("double"), upper, upper / 4).alias("sides"),
+    )
+
+
+@query("""SELECT o_orderkey AS idx, formula, CASE WHEN formula IS NULL THEN u ELSE -1.0 END::DOUBLE AS upper, CASE WHEN formula IS NULL THEN u / 2 ELSE -2.0 END::DOUBLE AS lower FROM (SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 'A1*2' END AS formula, o_orderkey % (SELECT count(*) FROM part) AS place FROM orders)
+JOIN (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS place, p_size::DOUBLE AS u FROM part) USING (place)""")
+def uncertainty_autofill(spark, sf_dir):
+    """The parts' uncertainties copied cyclically over the orders; rows with a formula keep theirs."""
+    source = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.col("p_size").cast("double").alias("upper"), (F.col("p_size") / 2.0).alias("lower"))
+    targets = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), F.when(F.col("o_custkey") % 4 == 0, "A1*2").alias("formula"), F.lit(-1.0).alias("upper"), F.lit(-2.0).alias("lower"))
+    return uncertainty.autofill(targets, source)
+
+
+# ---------------------------------------------------------------- fits with correlated and several variables
+
+
+@query("""SELECT event_type, n, round(slope, 4) AS slope, round(my - slope * mx, 4) AS intercept FROM (SELECT *, (syy - sxx + sqrt(power(syy - sxx, 2) + 4 * (sxy - 0.5 * sxx) * (sxy - 0.5 * syy))) / (2 * (sxy - 0.5 * sxx)) AS slope FROM
+(SELECT event_type, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS sxx, var_pop(y) AS syy, covar_pop(x, y) AS sxy FROM (SELECT event_type, value / 100 AS x, 2 * value / 100 + sin(event_id) AS y FROM events) GROUP BY event_type))""")
+def fit_correlated(spark, sf_dir):
+    """Errors of x and y correlated by 0.5: the profiled line has a closed form by moments. All groups advance together."""
+    rows = table(spark, sf_dir, "events").select("event_type", (F.col("value") / 100).alias("x"), (2 * F.col("value") / 100 + F.sin("event_id")).alias("y"), F.lit(0.5).alias("s"))
+    spec = odr.FitSpec.single("a*x + b", "y", ["x"], ["a", "b"], sigmas={"x": "s", "y": "s"}, guesses=(1.0, 0.0), correlation=((1.0, 0.5), (0.5, 1.0)))
+    out = fits.fit_batched(rows, ["event_type"], spec)
+    return out.select("event_type", "n", _r(F.get("parameters", F.lit(0)), 4).alias("slope"), _r(F.get("parameters", F.lit(1)), 4).alias("intercept"))
+
+
+@query("""SELECT event_type, count(*) AS n, 2.0::DOUBLE AS p, -3.0::DOUBLE AS q, 0.5::DOUBLE AS r, 1.0::DOUBLE AS s, 4 AS rank, TRUE AS success FROM events GROUP BY event_type""")
+def fit_three_variables(spark, sf_dir):
+    """A plane over three uncertain, correlated variables, through places that follow from the events."""
+    x1, x2, x3 = F.col("value") / 100, F.sin("event_id") * 2, F.cos(F.col("event_id") * 0.7)
+    rows = table(spark, sf_dir, "events").select("event_type", x1.alias("x1"), x2.alias("x2"), x3.alias("x3"), (2 * x1 - 3 * x2 + 0.5 * x3 + 1).alias("y"), F.lit(0.05).alias("s"))
+    rho = ((1.0, 0.3, 0.1, 0.2), (0.3, 1.0, 0.25, -0.1), (0.1, 0.25, 1.0, 0.15), (0.2, -0.1, 0.15, 1.0))
+    spec = odr.FitSpec.single("p*x1 + q*x2 + r*x3 + s", "y", ["x1", "x2", "x3"], list("pqrs"), sigmas=dict.fromkeys(("x1", "x2", "x3", "y"), "s"), guesses=(0.0,) * 4, correlation=rho)
+    out = fits.fit_batched(rows, ["event_type"], spec)
+    return out.select("event_type", "n", *(_r(F.get("parameters", F.lit(i)), 5).alias(c) for i, c in enumerate("pqrs")), "rank", "success")
