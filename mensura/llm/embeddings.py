@@ -593,3 +593,22 @@ r AS (SELECT vec_id AS u, vec_id AS v FROM v UNION SELECT r.u, l.v FROM r JOIN l
 c AS (SELECT u AS vec_id, min(v) AS component_id FROM r GROUP BY u)
 SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.u = c.vec_id)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept FROM c
 """
+
+
+def embeddings_linked(spark, sf_dir: str) -> DataFrame:
+    """The operator over vectors that link: each of the table with two beside it, 0.1 and 0.25 of its length along the first axis.
+
+    Neighbours in this order link, the first and the third do not, so a component is a chain.
+    """
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
+    first = F.get("e", F.lit(0))
+    beside = [F.col("e")] + [F.concat(F.array(first + F.lit(t) * length), F.slice("e", 2, 1 << 20)) for t in (0.1, 0.25)]
+    rows = v.select("vec_id", "label", F.posexplode(F.array(*beside)).alias("k", "embedding"))
+    return near_duplicates(rows.select((F.col("vec_id") * 3 + F.col("k")).alias("vec_id"), "label", "embedding")).select("vec_id", "n_links", "component_id", "kept")
+
+
+LINKED_SQL = OP9_SQL.replace(
+    "SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings",
+    "SELECT vec_id * 3 + k AS vec_id, label, list_concat([e[1] + t * sqrt(list_dot_product(e, e))], e[2:]) AS e FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), (VALUES (0, 0.0::DOUBLE), (1, 0.1), (2, 0.25)) p(k, t)",
+)

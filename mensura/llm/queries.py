@@ -12,6 +12,7 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_byte_bpe": bytebpe.op8_byte_bpe,
     "op9_embeddings": embeddings.op9_embeddings,
+    "embeddings_linked": embeddings.embeddings_linked,
     "op10_secrets": secrets.op10_secrets,
     "op11_line_dedup": linededup.op11_line_dedup,
     "op12_divergence": divergence.op12_divergence,
@@ -23,6 +24,7 @@ ORACLE_SQL = {
     "op4_licenses": licenses.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op9_embeddings": embeddings.OP9_SQL,
+    "embeddings_linked": embeddings.LINKED_SQL,
     "op10_secrets": secrets.OP10_SQL,
     "op11_line_dedup": linededup.OP11_SQL,
     "op12_divergence": divergence.OP12_SQL,
