@@ -121,3 +121,17 @@ def test_special_columns(spark):
     assert r.g == 24 and r.b == pytest.approx(1 / 12) and r.s == 1 and r.a == pytest.approx(math.acos(0.5)) and r.n is None
     k = spark.createDataFrame([(0.6,)], "k double").select(S.elliptic_native(F.col("k")).alias("k"), S.elliptic_native(F.col("k"), "e").alias("e"), S.lgamma_native(F.lit(4.5)).alias("l")).first()
     assert k.k == pytest.approx(float(S.elliptic_k(0.6))) and k.e == pytest.approx(float(S.elliptic_e(0.6))) and k.l == pytest.approx(math.lgamma(4.5))
+
+
+def test_uncertain_text_of_tiny_bounds_and_its_plan(spark):
+    """Bounds far below one keep their digits, and the text of three columns still compiles to generated code."""
+    df = spark.createDataFrame([(1.0, 1e-17), (2.5, 4e-16)], "v double, u double")
+    got = [r[0] for r in df.select(Q.format_uncertain(F.col("v"), F.col("u"))).collect()]
+    assert got == ["1.000000000000000000 ± 0.000000000000000010", "2.5000000000000000 ± 0.0000000000000004"]
+    v, u = F.col("id") + 1.5, F.col("id") * 0.01 + 0.03
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        both = spark.range(3).select(*(Q.format_uncertain(v, u * k, u).alias(f"t{k}") for k in (1, 2, 3))).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert both[0].t1 == "1.50 +0.03/-0.03" and len(both) == 3
