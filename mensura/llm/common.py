@@ -108,6 +108,7 @@ def map_batches(
     fields: Sequence[T.StructField],
     make: Callable[[], Callable[..., list]],
     gather: int = 0,
+    part: int = PART_BYTES,
 ) -> DataFrame:
     """Arrow batches of ``columns`` to rows of ``fields``: one result row for each input row.
 
@@ -115,7 +116,7 @@ def map_batches(
     returns one Arrow array or list for each field. ``columns`` may repeat none; other columns of
     ``df`` are pruned before the transfer, so clashing names cannot matter.
 
-    Spark bounds its batches by bytes; of each no more than ``PART_BYTES`` become Python objects at
+    Spark bounds its batches by bytes; of each no more than ``part`` bytes become Python objects at
     once, so memory is bounded by that and by the longest text. ``gather``: bytes of batches that
     are joined first instead, for work that has a cost by batch.
     """
@@ -124,7 +125,7 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for b in gathered(batches, gather) if gather else (x for b in batches for x in parts_of(b)):
+        for b in gathered(batches, gather) if gather else (x for b in batches for x in parts_of(b, part)):
             out = work(*b.columns)
             yield pa.RecordBatch.from_arrays(
                 [

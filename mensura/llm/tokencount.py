@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import functools
-import operator
 import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +24,29 @@ SPACE = "▁"
 FINE = r"▁*(?:[\p{L}\p{M}]+|[^\p{L}\p{M}\p{Nd}▁]+|\p{Nd})|▁+"
 #: Used where a vocabulary has pieces that cross the finer cuts.
 COARSE = r"▁*[^▁]+|▁+"
+#: Bytes of texts that are cut into chunks at once, as that takes many times as much; bounds memory only.
+CUT_BYTES = 2 << 20
+#: Kinds of code points, which tell where chunks begin.
+BLANK, LETTER, OTHER, DIGIT = range(4)
 #: A stored step between the counts of neighbouring prefixes.
 STEP = np.dtype("<i2")
 
 
+def sign_kinds(fine: bool) -> np.ndarray:
+    """The kind of every code point for the chunks of ``FINE``; for those of ``COARSE`` all but blanks are alike."""
+    out = np.full(0x110000, OTHER, np.uint8)
+    if fine:
+        signs = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+        for kind, pattern in ((LETTER, r"[\p{L}\p{M}]+"), (DIGIT, r"\p{Nd}+")):
+            out[_codes("".join(regex.findall(pattern, signs)))] = kind
+    out[ord(SPACE)] = BLANK
+    return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
 class PrefixCounter:
     """Token counts of a byte-fallback BPE piece model whose normaliser is the identity.
 
@@ -35,6 +55,10 @@ class PrefixCounter:
     last token u of the prefix before t is compatible with t. ``count[i] = count[i - len(t)] + 1``.
     Pieces hold blanks only at their start and do not cross the cuts of ``FINE`` (verified when the
     model is loaded, else ``COARSE`` is used), so chunks are independent and their tables add up.
+
+    A table's entries follow from the characters before them, so the table of a chunk goes on from
+    that of the chunk before where both begin alike: chunks in order cost only what is new in each.
+    Whether two tokens are compatible is decided once and remembered by their numbers.
     """
 
     def __init__(self, path: str):
@@ -47,12 +71,15 @@ class PrefixCounter:
             raise ValueError("this model's blanks are not supported")
         self.longest = max(map(len, self.score))
         fine = regex.compile(FINE)
-        whole = all(fine.fullmatch(p) for p in self.score)
-        self.chunks = (fine if whole else regex.compile(COARSE)).findall
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.kinds = sign_kinds(all(fine.fullmatch(p) for p in self.score))
+        self.pairs: dict[int, bool] = {}
         self.made: dict[str, tuple] = {}
         levels = {v: k for k, v in enumerate(sorted({v for p, v in self.score.items() if len(p) > 1}, reverse=True))}
         self.rank = {p: levels[v] for p, v in self.score.items() if len(p) > 1}
+        self.names = list(self.score)
+        self.number = {p: k for k, p in enumerate(self.names)}
+        self.held, self.last, self.count, self.step = "", [0], [0], []  # of the last chunk, entry by entry
+        self.known = _Tables(self)
 
     def merge(self, text: str) -> list[str]:
         """Tokens by definition: the best-scored neighbours merge first, leftmost among equals."""
@@ -83,12 +110,7 @@ class PrefixCounter:
         not have a merge of their own that comes earlier than the one taken back next.
         """
         if u[-1] == SPACE:  # runs of blanks have merges of equal score: by definition
-            known = self.pairs.get((u, t))
-            if known is None:
-                if len(self.pairs) >= REMEMBERED:
-                    self.pairs.clear()
-                known = self.pairs[u, t] = self.merge(u + t) == [u, t]
-            return known
+            return self.merge(u + t) == [u, t]
         rank, limit = self.rank.get, None
         while True:
             r = rank(u + t)
@@ -107,22 +129,81 @@ class PrefixCounter:
             if len(parts) != 2:  # a piece that merges never make
                 return False
 
-    def table(self, chunk: str) -> list[int]:
-        """Counts at every prefix of a chunk: table[i] for its first i characters."""
-        rank, score, joined, longest = self.rank, self.score, self._joined, self.longest
-        count, last = [0], [""]
-        for i in range(1, len(chunk) + 1):
+    def _decided(self, pair: int) -> bool:
+        """``_joined`` of the tokens that a number stands for; signs outside the vocabulary follow its numbers."""
+        n = len(self.names)
+        u, t = divmod(pair, n)
+        if len(self.pairs) >= REMEMBERED:
+            self.pairs.clear()
+        out = self.pairs[pair] = self._joined(self.names[u] if u < n else chr(u - n), self.names[t])
+        return out
+
+    def _walk(self, chunk: str) -> None:
+        """Fill last tokens, counts and steps for a chunk, from where it parts from the one before."""
+        rank, number, known, longest, n_names = self.rank, self.number.get, self.pairs.get, self.longest, len(self.names)
+        last, count, step, same = self.last, self.count, self.step, 0
+        for a, b in zip(self.held, chunk):
+            if a != b:
+                break
+            same += 1
+        self.held = chunk[:same]
+        del last[same + 1 :], count[same + 1 :], step[same:]
+        for i in range(same + 1, len(chunk) + 1):
             for k in range(max(0, i - longest), i - 1):
                 t = chunk[k:i]
-                if t in rank and (k == 0 or joined(last[k], t)):
-                    n = 1
-                    break
+                if t in rank:
+                    token = number(t)
+                    if k == 0:
+                        break
+                    pair = last[k] * n_names + token
+                    fits = known(pair)
+                    if self._decided(pair) if fits is None else fits:
+                        break
             else:
                 k, t = i - 1, chunk[i - 1]
-                n = 1 if t in score else len(t.encode())
-            count.append(count[k] + n)
-            last.append(t)
-        return count
+                token = number(t)
+            n = 1
+            if token is None:
+                token, n = n_names + ord(t), len(t.encode())
+            n += count[k]
+            step.append(n - count[-1])
+            count.append(n)
+            last.append(token)
+        self.held = chunk
+
+    def table(self, chunk: str) -> list[int]:
+        """Counts at every prefix of a chunk: table[i] for its first i characters."""
+        self._walk(chunk)
+        return self.count[:]
+
+    def steps(self, chunk: str) -> bytes:
+        """The steps from each count of a chunk's table to the next, as 16-bit numbers; an error beyond these."""
+        self._walk(chunk)
+        return struct.pack(f"<{len(chunk)}h", *self.step)
+
+    def starts(self, text: str, heads: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Where the chunks of a text begin, in code points, and their bytes; ``heads`` are starts of texts joined in it."""
+        codes = _codes(text)
+        kind = self.kinds[codes]
+        new = np.zeros(len(kind), bool)
+        new[1:] = (kind[:-1] != BLANK) & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+        new[heads] = True
+        at = np.flatnonzero(new)
+        width = np.ones(len(codes), np.uint8)
+        for least in (0x80, 0x800, 0x10000):
+            width += codes >= least
+        return at, np.add.reduceat(width, at, dtype=np.int64)
+
+    def tables(self, text: str, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Steps of every character of normal texts joined, and where their chunks begin. Each distinct chunk counts once."""
+        at, width = self.starts(text, heads)
+        ends = np.concatenate([[0], np.cumsum(width)])
+        chunks = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(text.encode())).dictionary_encode()
+        order = pc.array_sort_indices(chunks.dictionary)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        steps = pa.array([self.known[c] for c in chunks.dictionary.take(order).to_pylist()], pa.large_binary())
+        return np.frombuffer(steps.take(pa.array(place[chunks.indices])).buffers()[2], STEP, len(text)), at
 
     @staticmethod
     def normal(text: str) -> str:
@@ -132,9 +213,10 @@ class PrefixCounter:
         """counts[i]: tokens of ``text[:i]``, for i from 0 to len(text)."""
         if not text:
             return np.zeros(1, np.int64)
-        parts, total = [], 0
-        for c in self.chunks(self.normal(text)):
-            t = self.table(c)
+        parts, total, normal = [], 0, self.normal(text)
+        at = self.starts(normal)[0].tolist()
+        for a, b in zip(at, [*at[1:], len(normal)]):
+            t = self.table(normal[a:b])
             parts.append(np.array(t[1:], np.int64) + total)
             total += t[-1]
         out = np.concatenate(parts)
@@ -143,14 +225,10 @@ class PrefixCounter:
 
 
 class _Tables(Remembered):
-    """Chunk to its prefix table: the steps from each count to the next, as 16-bit numbers in bytes."""
+    """Chunk to its prefix table in bytes (``PrefixCounter.steps``); a worker keeps it over all its tasks."""
 
     def __init__(self, counter: PrefixCounter, most: int = REMEMBERED):
-        def steps(chunk: str) -> bytes:
-            t = counter.table(chunk)
-            return struct.pack(f"<{len(chunk)}h", *map(operator.sub, t[1:], t))  # an error beyond 16 bits
-
-        super().__init__(steps, most)
+        super().__init__(counter.steps, most)
 
 
 @functools.lru_cache(4)
@@ -197,26 +275,32 @@ def token_counts(documents: DataFrame, id_col="doc_id", text_col="text", model:
 
     def make():
         counter = load(model)
-        known = _Tables(counter)
-        get, normal, chunks = known.__getitem__, counter.normal, counter.chunks
 
         def run(ids, col):
-            total, fit, table, ends, sums = [], [], [], [], []
-            for x in col.to_pylist():
-                pieces = chunks(normal(x)) if x else []
-                raw = b"".join(map(get, pieces))
-                n = int(np.frombuffer(raw, STEP).sum(dtype=np.int64))
-                total.append(n)
-                fit.append((len(x) if x else 0) if n <= limit else reach(steps_of(raw), limit))
-                table.append(raw)
-                if tables:
-                    ends.append(np.cumsum([len(p) for p in pieces], dtype=np.int64) - 1)
-                    sums.append(np.cumsum([np.frombuffer(get(p), STEP).sum(dtype=np.int64) for p in pieces], dtype=np.int64))
-            return [ids, total, fit, *([table] if tables or prefixes else []), *([ends, sums] if tables else [])]
+            texts = [x or "" for x in col.to_pylist()]
+            sizes = np.array([len(x) + 1 if x else 0 for x in texts], np.int64)  # with the model's own leading blank
+            to = np.cumsum(sizes)
+            since, some = to - sizes, np.flatnonzero(sizes)
+            total, steps, at = np.zeros(len(texts), np.int64), np.zeros(0, STEP), np.zeros(0, np.int64)
+            if len(some):
+                steps, at = counter.tables("".join(map(counter.normal, texts)), since[some])
+                total[some] = np.add.reduceat(steps, since[some], dtype=np.int64)
+            spans = list(zip(since.tolist(), to.tolist()))
+            fit = [len(x) if n <= limit else reach(steps_of(steps[a:b]), limit) for x, n, (a, b) in zip(texts, total.tolist(), spans)]
+            out = [ids, total.tolist(), fit]
+            if tables or prefixes:
+                out.append([steps[a:b].tobytes() for a, b in spans])
+            if tables:
+                ends = np.append(at[1:], len(steps))
+                sums = np.cumsum(np.add.reduceat(steps, at, dtype=np.int64)) if len(at) else at
+                own = list(zip(np.searchsorted(at, since).tolist(), np.searchsorted(at, to).tolist()))
+                out.append([ends[i:j] - a - 1 for (i, j), (a, _) in zip(own, spans)])
+                out.append([sums[i:j] - (sums[i - 1] if i else 0) for i, j in own])
+            return out
 
         return run
 
-    return map_batches(documents, [id_col, text_col], fields, make)
+    return map_batches(documents, [id_col, text_col], fields, make, part=CUT_BYTES)
 
 
 def _from_tables(counted: DataFrame, name: str, answer) -> DataFrame:

@@ -286,6 +286,55 @@ def test_prefix_tables_answer_budgets(spark, docs):
         assert all(r.n_at == len(sp.encode((TEXTS[r.doc_id] or "")[:k])) for r in tokencount.count_at(counted, k).collect())
 
 
+def test_token_tables_go_on_from_the_last_chunk(monkeypatch):
+    """Tokens meet at most once at a border and beginnings that chunks share are walked once, whatever the order of chunks."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    words = sorted({"▁" + w + e for t in TEXTS if t for w in t.split()[:40] if len(w) < 40 for e in ("", "ing", "ed", "ингé", "好𝒳")} | {"▁" * 9, "▁" * 9 + "a", "𝒳" * 5})
+    counter, asked = tokencount.PrefixCounter(path), []
+    joined = counter._joined
+    monkeypatch.setattr(counter, "_joined", lambda u, t: asked.append((u, t)) or joined(u, t))
+    back = {w: counter.table(w) for w in reversed(words)}
+    assert {w: counter.table(w) for w in words} == back
+    assert all(back[w][1:] == [len(sp.encode(w[1:k])) or 1 for k in range(1, len(w) + 1)] for w in words if w.rfind("▁") == 0)
+    assert asked and len(asked) == len(set(asked))
+
+
+def test_token_chunks_begin_where_the_patterns_cut():
+    import regex
+
+    counter = tokencount.load()
+    signs = "".join(chr(c) for c in range(1, 0x3000) if c != 0x2581)
+    texts = [t for t in TEXTS if t] + [signs, " 12  a1 . b  ", "   ", "é ́x٣4 好𝒳!"]
+    for fine, pattern in ((True, tokencount.FINE), (False, tokencount.COARSE)):
+        counter.kinds = tokencount.sign_kinds(fine)
+        for t in map(counter.normal, texts):
+            want = regex.findall(pattern, t)
+            at, width = counter.starts(t)
+            assert at.tolist() == np.cumsum([0, *map(len, want)])[:-1].tolist() and width.tolist() == [len(w.encode()) for w in want]
+        joined = [counter.normal(t) for t in texts]
+        steps, at = counter.tables("".join(joined), np.cumsum([0, *map(len, joined)])[:-1])
+        assert steps.tobytes() == b"".join(counter.steps(w) for t in joined for w in regex.findall(pattern, t))
+    counter.kinds = tokencount.sign_kinds(True)
+
+
+def test_token_counts_with_full_memos(spark, docs, monkeypatch):
+    """Memos that are let go all the time change nothing."""
+    import public_tokenizers
+
+    want = {r.doc_id: r for r in tokencount.token_counts(docs, tables=True).collect()}
+    counter = tokencount.PrefixCounter(public_tokenizers.path("piece_bpe_32k.model"))
+    counter.known.most = 3
+    monkeypatch.setattr(tokencount, "REMEMBERED", 2)
+    for t in (t for t in TEXTS if t):
+        steps, at = counter.tables(counter.normal(t), np.zeros(1, np.int64))
+        row = want[TEXTS.index(t)]
+        assert steps.tobytes() == bytes(row.prefix) and (at[1:] - 1).tolist() == row.chunk_end[:-1] and len(counter.known) <= 3 and len(counter.pairs) <= 2
+
+
 def test_simhash_codes_follow_distances(spark):
     """A section's code comes from distances to the references alone, and stays when other sections change."""
     rng = np.random.default_rng(8)
