@@ -34,6 +34,8 @@ SLACK = 1e-6
 MARGIN = 0.04
 #: Vectors whose links are compared with brute force, and the recall asked for.
 AUDIT, RECALL = 1000, 0.9
+#: Components of the vectors in a block of the exact check, at most.
+BLOCK = 1 << 20
 
 
 def _unit(v: Column) -> Column:
@@ -485,6 +487,54 @@ def _links(reps: DataFrame, by_size, overlap: int, beam: int, least: float) -> D
     return searched if found is None else searched.unionByName(found)
 
 
+def _checker(least: float):
+    """Every pair of two blocks, or of one block with itself: a link is counted for both of its ends."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        alone = len(left) and left["a"].iloc[0] == left["b"].iloc[0]
+        if left.empty or (right.empty and not alone):
+            return pd.DataFrame({c: [] for c in _FOUND.names})
+        both, beside = (left, 0) if alone else (pd.concat([left, right], ignore_index=True), len(left))
+        ids, copies, x = both["rid"].to_numpy(), both["n"].to_numpy(), _matrix(both["vec"])
+        kind, links, pairs = np.arange(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        for first in range(0, len(left), TOGETHER):
+            from_ = beside or first  # within one block, a vector meets those after it
+            rows, cols = np.nonzero(x[first : min(first + TOGETHER, len(left))] @ x[from_:].T >= least)
+            rows, cols = rows + first, cols + from_
+            rows, cols = rows[cols > rows], cols[cols > rows]
+            for one, other in ((rows, cols), (cols, rows)):
+                np.add.at(links, one, copies[other])
+                np.add.at(pairs, one, 1)
+            starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else rows
+            for r, own in zip(rows[starts], np.split(cols, starts[1:])):
+                kinds = kind[own]
+                if (kinds != kind[r]).any():
+                    kinds = np.unique(np.r_[kinds, kind[r]])
+                    kind[np.isin(kind, kinds)] = kinds[0]
+        met = pairs > 0
+        least_id = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least_id, kind, ids)
+        return pd.DataFrame({"rid": ids[met], "root": least_id[kind][met], "links": links[met], "pairs": pairs[met]})
+
+    return run
+
+
+def _checked(reps: DataFrame, least: float) -> DataFrame:
+    """(rid, root, links, pairs) of all pairs of vectors of a label and length, block by block: no link is left out.
+
+    Blocks are dealt by hash and hold ``BLOCK`` components at most, on average, so a label of any size
+    is spread over pairs of blocks; each vector goes to as many tasks as its label has blocks.
+    """
+    parts = saved(reps.groupBy("label", "size").agg(F.count("*").alias("rows"), F.ceil(F.count("*") * F.col("size") / F.lit(BLOCK)).cast("int").alias("parts")))
+    dealt = join_classes(reps.select("rid", "label", "size", "vec", "n"), parts, ["label", "size"], "rows", reps.count())
+    dealt = saved(dealt.withColumn("part", F.pmod(F.xxhash64("rid", F.lit(3)), F.col("parts")).cast("int")))
+    pair, rest = ["label", "size", "a", "b"], ["rid", "vec", "n"]
+    left = dealt.select("label", "size", F.col("part").alias("a"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("b"), *rest)
+    right = dealt.where("part > 0").select("label", "size", F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("a"), F.col("part").alias("b"), *rest)
+    right = right.toDF(*right.columns)  # attributes of its own
+    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(_checker(least), _FOUND)
+
+
 def recall(reps: DataFrame, found: DataFrame, audit: int, least: float) -> float:
     """The lesser of two shares of what brute force finds for ``audit`` vectors: of links, and of links between classes.
 
@@ -538,7 +588,9 @@ def near_duplicates(
     component within the shard leave a shard, never pairs.
 
     Recall is audited against brute force; below ``RECALL`` the search runs again with twice the
-    overlap and beam, and after ``attempts`` an error says so.
+    overlap and beam, ``attempts`` times at most. An exact check follows: all pairs of classes of a
+    label are compared block by block, and links that the search missed count like the others. Its
+    work grows with the square of a label's classes. ``recall`` is that of the search.
 
     Null labels, null, empty or zero vectors and those with null or non-finite components link with
     nothing; vectors of different lengths do not link. Repeated rows each give a row (and link, as
@@ -568,13 +620,12 @@ def near_duplicates(
         if seen >= RECALL:
             break
         overlap, beam = 2 * overlap, 2 * beam
-    else:
-        raise RuntimeError(f"recall {seen:.3f} after {attempts} attempts")
-    edges = found.where("rid <> root").select(F.col("rid").alias("u"), F.col("root").alias("v"))
+    checked = saved(_checked(reps, least))
+    edges = found.unionByName(checked).where("rid <> root").select(F.col("rid").alias("u"), F.col("root").alias("v"))
     named = reps.join(connected_components(edges).withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     named = saved(named.select("rid", "label", "vec", "n", "least", "component"))
     root = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
-    links = found.groupBy("rid").agg(F.sum("links").alias("links"))
+    links = checked.groupBy("rid").agg(F.sum("links").alias("links"))
     classes = join_classes(named, root, ["component"], "classes", named.count()).join(links, "rid", "left").select("label", "vec", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     done = join_classes(usable, saved(classes), ["label", "vec"], "n", usable.count()).select("id", "n_links", "component_id")
     out = done.unionByName(rows.where(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))

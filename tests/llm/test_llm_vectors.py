@@ -75,3 +75,22 @@ def test_one_dense_cluster(spark, monkeypatch, spread):
     links = np.array([got[i].n_links for i, *_ in rows])
     assert (links == want.sum(1)).mean() >= 0.99 and (links <= want.sum(1)).all()
     assert len({got[i].component_id for k, (i, *_) in enumerate(rows) if want[k].any()}) == 1 and min(got[i].component_id for i in range(700)) == 0
+
+
+@pytest.mark.parametrize("block", [16 * 50, 1 << 20], ids=["blocks", "one"])
+def test_links_that_the_search_misses(spark, monkeypatch, block):
+    """A search of one cell and a narrow beam misses links; the exact check over pairs of blocks adds every one."""
+    for k, v in {"OVERLAP": 1, "BEAM": 1, "RECALL": 0.0, "CENTRES": 6, "SHARD": 40, "BLOCK": block}.items():
+        monkeypatch.setattr(embeddings, k, v, raising=False)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(150, 16))
+    chain = [base + t * np.linalg.norm(base, axis=1, keepdims=True) * np.eye(16)[0] for t in (0, 0.1, 0.25)]
+    rows = [(3 * i + k, chain[k][i].tolist(), i % 2) for i in range(150) for k in range(3)]
+    rows += [(1000 + i, (base[0] + rng.normal(size=16) * 0.05).tolist(), 0) for i in range(60)] + [(2000 + i, rows[9][1], rows[9][2]) for i in range(5)]
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    near = brute(rows)
+    ids, least = [i for i, *_ in rows], np.array([i for i, *_ in rows])
+    for _ in ids:
+        least = np.minimum(least, np.where(near, least[None, :], 1 << 40).min(1))
+    assert {i: (got[i].n_links, got[i].component_id) for i in ids} == {i: (n, c) for i, n, c in zip(ids, near.sum(1).tolist(), least.tolist())}
+    assert got[0].recall < 1
