@@ -347,6 +347,18 @@ def symbols(e: Expr) -> set[str]:
     return set().union(*map(symbols, e.args)) if isinstance(e, Call) else set()
 
 
+def degree(e: Expr, names: Iterable[str]) -> float:
+    """Degree of e as a polynomial in ``names`` as it is written; infinite if it is none."""
+    if isinstance(e, Call):
+        own = [degree(a, names) for a in e.args]
+        if e.fn == "+":
+            return max(own)
+        if e.fn == "*":
+            return sum(own)
+        return own[0] if e.fn == "/" and not own[1] else math.inf if any(own) else 0
+    return int(isinstance(e, Sym) and e.name in names)
+
+
 def substitute(e: Expr, values: Mapping[str, Expr | float]) -> Expr:
     """Symbols replaced by expressions or numbers, simplified again."""
     if isinstance(e, Sym):

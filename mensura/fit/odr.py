@@ -25,6 +25,8 @@ CORRECTED_ABOVE = 2 * MIN_VARIANCE
 INNER_ROUNDS, INNER_TOLERANCE = 30, 1e-12
 RANK_EPS, PSD_TOLERANCE = 1e-14, 1e-10
 DAMPING_RANGE, GROWTH_CAP, REJECTIONS = (1e-15, 1e15), 1e12, 25
+#: Iterations at least, besides half of those allowed, after which a fit is begun anew with steps that all lead downhill.
+RESTART = 50
 NORMAL_K = 1.959963984540054
 
 
@@ -352,15 +354,16 @@ class Progress:
     iteration: int = 0
     phase: int = FIRST
     reason: str = "max_iterations"
+    guarded: bool = False
 
     def numbers(self) -> list[float]:
-        return [*self.at, *self.beta, *self.scale, self.damping, self.growth, self.rejected, self.iteration, self.phase, REASONS.index(self.reason), *flat(self.now)]
+        return [*self.at, *self.beta, *self.scale, self.damping, self.growth, self.rejected, self.iteration, self.phase, REASONS.index(self.reason), int(self.guarded), *flat(self.now)]
 
     @classmethod
     def of(cls, spec: FitSpec, v: Sequence[float]) -> Progress:
         q, v = len(spec.parameters), np.array(v, float)
-        damping, growth, rejected, iteration, phase, reason = v[3 * q : 3 * q + 6]
-        return cls(v[:q], v[q : 2 * q], unflat(spec, v[3 * q + 6 :]), v[2 * q : 3 * q], damping, growth, int(rejected), int(iteration), int(phase), REASONS[int(reason)])
+        damping, growth, rejected, iteration, phase, reason, guarded = v[3 * q : 3 * q + 7]
+        return cls(v[:q], v[q : 2 * q], unflat(spec, v[3 * q + 7 :]), v[2 * q : 3 * q], damping, growth, int(rejected), int(iteration), int(phase), REASONS[int(reason)], bool(guarded))
 
 
 def begin(spec: FitSpec, start: np.ndarray) -> Progress:
@@ -405,6 +408,10 @@ def _propose(spec: FitSpec, p: Progress) -> Progress:
     limit, tol = int(np.clip(spec.max_iterations, 5, 5000)), spec.tolerance
     if p.iteration >= limit:
         return _stop(p, "max_iterations")
+    if not p.guarded and p.iteration >= max(RESTART, limit // 2):
+        # an indefinite Hessian may have led it uphill, into a valley without an end
+        first = begin(spec, np.array(spec.guesses if spec.guesses is not None else np.ones(len(p.beta)), float))
+        return replace(first, now=p.now, scale=np.zeros(len(p.beta)), iteration=p.iteration, guarded=True)
     p = replace(p, iteration=p.iteration + 1, scale=np.maximum(p.scale, np.sqrt(np.abs(np.diag(p.now.hessian)))))
     s = np.where(p.scale < 1e-30, 1.0, p.scale)
     g, h = p.now.gradient / s, p.now.hessian / s[:, None] / s[None, :]
@@ -412,7 +419,10 @@ def _propose(spec: FitSpec, p: Progress) -> Progress:
         return _stop(p, "singular")
     if np.linalg.norm(g) <= tol:
         return _stop(p, "gradient")
-    d = -np.linalg.lstsq(h + p.damping * np.eye(len(p.beta)), g, rcond=RANK_EPS)[0]
+    low, damping = float(np.linalg.eigvalsh(h)[0]) if p.guarded else 1.0, p.damping
+    if low + damping <= 0:
+        damping -= 2 * low
+    d = -np.linalg.lstsq(h + damping * np.eye(len(p.beta)), g, rcond=RANK_EPS)[0]
     if np.linalg.norm(d) <= tol * (np.linalg.norm(p.beta * s) + tol):
         return _stop(p, "step")
     return replace(p, at=p.beta + d / s, phase=STEP)

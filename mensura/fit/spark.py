@@ -202,7 +202,60 @@ def _refused(spec: odr.FitSpec, need: Sequence[str]) -> Column:
     return F.coalesce(*out, F.when(F.col("_n") < 2, "a fit needs at least 2 points"))
 
 
-def fit_batched(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec) -> DataFrame:
+def condensable(spec: odr.FitSpec) -> bool:
+    """Models of first degree in their independents, with given uncertainties: each sum over points that share
+    their uncertainties is then a quadratic form of the values, whatever the parameters are."""
+    for la in spec.layers:
+        m = odr.compiled(la.formula, la.independents, spec.parameters, tuple(sorted((k.lower(), v) for k, v in spec.fixed.items())))
+        if X.degree(m.parts["f"][0], m.xs) > 1:
+            return False
+    return not spec.poisson and not set(spec.sigmas.values()) & set(spec.variables)
+
+
+#: Kinds of points (of a group and its uncertainties) that a task holds before it lets them go.
+HELD = 20_000
+
+
+def _condensed(points: DataFrame, spec: odr.FitSpec) -> DataFrame:
+    """(_g, the spec's columns, _weight): few weighted points that have the sums of all, exact for ``condensable`` specs.
+
+    Points of a group that share all uncertainties are a matrix with rows (1, values). Its triangular
+    factor R has the same products and is found part by part: in each task, then over the tasks. Of v
+    variables 2 v points follow, the mean plus and minus each row of R's rest, which have the points'
+    moments of first and second order. No squares are formed, so near-perfect fits keep their digits.
+    """
+    names, sig = list(spec.variables), list(dict.fromkeys(spec.sigmas.values()))
+    kind, wide = ["_g", *sig], len(names) + 1
+    head = [points.schema[c] for c in kind]
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def told() -> pd.DataFrame:
+            return pd.DataFrame([(*k, z.ravel().tolist()) for k, z in held.items()], columns=[*kind, "_z"])
+
+        for pdf in batches:
+            for k, own in pdf.groupby(kind, sort=False):
+                z = np.column_stack([np.ones(len(own)), own[names].to_numpy(float)])
+                held[k] = np.linalg.qr(np.concatenate([held[k], z]) if k in held else z, mode="r")
+            if len(held) > HELD:
+                yield told()
+                held.clear()
+        yield told()
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = np.linalg.qr(np.concatenate([np.array(z, float).reshape(-1, wide) for z in pdf["_z"]]), mode="r")
+        v = len(names)
+        root, mean, rest = r[0, 0], r[0, 1:] / r[0, 0], np.zeros((v, v))
+        rest[: len(r) - 1] = r[1:, 1:] * np.sqrt(v) / root
+        out = pd.DataFrame(np.concatenate([mean + rest, mean - rest]), columns=names)
+        return out.assign(**{c: pdf[c].iloc[0] for c in kind}, _weight=root**2 / (2 * v))
+
+    factors = points.select(*kind, *names).mapInPandas(parts, T.StructType([*head, T.StructField("_z", _A)]))
+    return factors.groupBy(*kind).applyInPandas(whole, T.StructType([*head, *(T.StructField(c, _D) for c in names), T.StructField("_weight", _D)]))
+
+
+def fit_batched(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec, rows: int = GROUP_ROWS) -> DataFrame:
     """The general solver over all groups at once, however many and of whatever size: keys and the RESULT columns.
 
     A table holds each group's progress (``odr.Progress``: parameters, damping, sums, what it waits
@@ -212,6 +265,10 @@ def fit_batched(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec) -> DataFr
     the slowest group needs; no group's points meet anywhere, and the driver sees only how many
     groups remain. Each round's table is written to the shared folder, and the one before removed.
 
+    Where the model is of first degree in its independents and many points share their
+    uncertainties, a few weighted points take the place of them all (``_condensed``), so the table is
+    read twice and no more; a group that then has up to ``rows`` points runs its rounds in one task.
+
     Groups with null keys are groups. One that cannot be fitted gives a row with ``error``. The
     correlation, if any, is one matrix. An empty table gives no rows.
     """
@@ -221,19 +278,28 @@ def fit_batched(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec) -> DataFr
     if len(start) != q or not np.isfinite(start).all():
         raise DataError("guesses must be one finite number for each parameter")
     own = [f"_own{i}" for i in range(len(keys))]
-    rows = df.select(*(F.col(f"`{k}`").alias(o) for k, o in zip(keys, own)), *(F.col(f"`{c}`").cast("double").alias(c) for c in need))
-    facts = rows.groupBy(*own).agg(*_facts(spec, need)).withColumn("_error", _refused(spec, need))
+    table = df.select(*(F.col(f"`{k}`").alias(o) for k, o in zip(keys, own)), *(F.col(f"`{c}`").cast("double").alias(c) for c in need))
+    # an estimate, by which only the way is chosen
+    kinds = F.approx_count_distinct(F.xxhash64(*(F.col(f"`{c}`") for c in dict.fromkeys(spec.sigmas.values())))) if spec.sigmas else F.lit(1).cast("long")
+    facts = table.groupBy(*own).agg(*_facts(spec, need), kinds.alias("_kinds")).withColumn("_error", _refused(spec, need))
     groups = saved(facts.withColumn("_g", F.monotonically_increasing_id()))
-    points = saved(same_keys(rows, small(groups.where("_error is null").select(*own, "_g")), own).select("_g", *need))
+    points = same_keys(table, small(groups.where("_error is null").select(*own, "_g")), own).select("_g", *need)
+    n, kinds = groups.where("_error is null").agg(F.sum("_n"), F.sum("_kinds")).first()
+    condensed = condensable(spec) and n is not None and 4 * len(spec.variables) * kinds <= n
+    points = saved(_condensed(points, spec) if condensed else points.withColumn("_weight", F.lit(1.0)))
+
+    def by_point(pdf: pd.DataFrame, beta: np.ndarray) -> np.ndarray:
+        out = odr.flat_by_point(spec, odr.prepare(spec, {c: pdf[c].to_numpy() for c in need}), beta)
+        out[:, :-1] *= pdf["_weight"].to_numpy()[:, None]  # the last counts regularisations, not points
+        return out
 
     def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             if len(pdf):
                 pdf = pdf.sort_values("_g", kind="stable")
                 g, beta = pdf["_g"].to_numpy(), np.stack(pdf["_at"].to_numpy())
-                twice = 1 + (len(pdf) == 1)  # preparation asks for two points of a fit, not of a batch
-                cols = {c: np.repeat(pdf[c].to_numpy(), twice) for c in need}
-                each = odr.flat_by_point(spec, odr.prepare(spec, cols), np.repeat(beta, twice, axis=0))[: len(g)]
+                twice = [0, 0] if len(pdf) == 1 else slice(None)  # preparation asks for two points of a fit, not of a batch
+                each = by_point(pdf.iloc[twice], beta[twice])[: len(g)]
                 first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
                 total = np.add.reduceat(each, first)
                 open_ = ~np.isfinite(total).all(axis=1)  # told by itself: NaN would turn null on its way, and be left out of sums
@@ -253,10 +319,28 @@ def fit_batched(df: DataFrame, keys: Sequence[str], spec: odr.FitSpec) -> DataFr
                     out.append((None, None, True, str(e)))
             yield pd.concat([pdf[["_g"]].reset_index(drop=True), pd.DataFrame(out, columns=["_numbers", "_at", "_done", "_failed"])], axis=1)
 
+    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = odr.begin(spec, start)
+        try:
+            while p.phase != odr.DONE:
+                v = by_point(pdf, np.tile(p.at, (len(pdf), 1))).sum(0)
+                if not np.isfinite(v).all():
+                    raise DataError("the model is not finite at some point")
+                p = odr.advance(spec, p, odr.unflat(spec, v))
+            out = p.numbers(), p.at.tolist(), True, None
+        except (MensuraError, np.linalg.LinAlgError) as e:
+            out = None, None, True, str(e)
+        return pd.DataFrame([(pdf["_g"].iloc[0], *out)], columns=["_g", "_numbers", "_at", "_done", "_failed"])
+
     progress = "_g bigint, _numbers array<double>, _at array<double>, _done boolean, _failed string"
     done = shared_dir(spark)
     spark.createDataFrame([], progress).write.parquet(done)
-    before, active = None, groups.where("_error is null").select("_g", F.lit(None).cast("array<double>").alias("_numbers"), F.array(*map(F.lit, start.tolist())).alias("_at"))
+    open_groups = groups.where("_error is null").select("_g")
+    if condensed:
+        large = small(saved(points.groupBy("_g").agg(F.count("*").alias("_points")).where(F.col("_points") > rows).select("_g")))
+        points.join(large, "_g", "left_anti").groupBy("_g").applyInPandas(alone, progress).write.mode("append").parquet(done)
+        open_groups = open_groups.join(large, "_g", "left_semi")
+    before, active = None, open_groups.select("_g", F.lit(None).cast("array<double>").alias("_numbers"), F.array(*map(F.lit, start.tolist())).alias("_at"))
     left = active.count()
     while left:
         asked = active.select("_g", "_at")
